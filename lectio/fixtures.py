@@ -1,18 +1,42 @@
-"""Search inputs shaped from the supplied Parquet tables (FIXTURES.md)."""
+"""Search inputs shaped from the supplied Parquet tables (FIXTURES.md).
+
+The passage table is built once per session and source folder, the way the index build
+of the service runs once: Spark derives it from ``documents`` (one shuffle, for the
+verse-number window), range-partitions it by ``ord`` and writes it as Parquet under the
+shared checkpoint folder. Searches then read it with column pruning and pushed filters
+instead of re-deriving it per query."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.classify import Thresholds
 from .plans.search import SearchInputs
+from .session import scratch_path
 from .sources import tables
 from .sources.dictionaries import synthetic_dictionaries
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def build_passages(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """Write the passage table (S1 output shape) and return its path."""
+    path = path or scratch_path(spark, "verses")
+    (tables.verses(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord")
+     .write.mode("overwrite").parquet(path))
+    return path
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        _BUILT[key] = build_passages(spark, sf_dir)
+    return spark.read.parquet(_BUILT[key])
+
 
 def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     return SearchInputs(
-        verses=tables.verses(spark, sf_dir),
+        verses=passages(spark, sf_dir),
         vectors=tables.vectors(spark, sf_dir),
         queries=tables.queries_with_vectors(spark, sf_dir),
         prototypes=tables.prototypes(spark, sf_dir),

@@ -4,8 +4,9 @@ Every function takes a DataFrame of queries and returns it with columns added; n
 is evaluated per row in Python. Regex patterns run on Spark's Java regex engine, the
 same engine (and so the same semantics) as the reference service.
 
-Dictionary containment (scope resolution) is computed once per *distinct* scope phrase,
-as a broadcast theta join against the fixed-size dictionary tables, then joined back."""
+Dictionary containment (scope resolution) runs against the fixed-size dictionaries
+inlined as literal arrays (the same work as a broadcast nested-loop join, without the
+join): a per-row projection whose cost grows linearly with the number of queries."""
 
 from __future__ import annotations
 
@@ -96,21 +97,38 @@ def prototype_centroids(protos: DataFrame) -> DataFrame:
             .select("set", "class", F.transform("cells", lambda c: c["x"]).alias("centroid")))
 
 
-def with_class_similarity(q: DataFrame, centroids: DataFrame, classes: dict[str, str],
+MAX_CLASSES = 64
+MAX_DICTIONARY_ROWS = 10_000
+
+
+def centroid_literals(centroids: DataFrame) -> dict[str, list[float]]:
+    """Bring the per-class centroids to the driver: one small vector per class (the
+    size is bounded by classes x dim and checked), to be inlined as literals."""
+    rows = centroids.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} prototype classes")
+    return {r["class"]: [float(x) for x in r["centroid"]] for r in rows}
+
+
+def with_class_similarity(q: DataFrame, centroids: DataFrame | dict, classes: dict[str, str],
                           vec_col: str = "qvec") -> DataFrame:
     """Adds one column per class: mean cosine of the query vector to that class's
-    prototypes (0 for an empty class or a zero query vector). Each centroid enters the
-    plan as a scalar subquery, so the per-query work is one dot product per class."""
-    out = q
-    qn = norm(vec_col)
+    prototypes (0 for an empty class or a zero query vector): one dot product per class
+    against the inlined centroid, a pure projection with no join or shuffle."""
+    lit = centroids if isinstance(centroids, dict) else centroid_literals(centroids)
+    q = q.select("*", norm(vec_col).alias("__qn"))
+    qn = F.col("__qn")
+    cols = []
     for out_col, cls in classes.items():
-        c = centroids.filter(F.col("class") == cls).select("centroid").scalar()
-        tmp = f"__c_{out_col}"
-        out = out.withColumn(tmp, c)
-        sim = F.when(F.col(tmp).isNull() | (qn == 0) | F.col(vec_col).isNull(), F.lit(0.0)) \
-            .otherwise(dot(vec_col, tmp) / qn)
-        out = out.withColumn(out_col, sim).drop(tmp)
-    return out
+        c = lit.get(cls)
+        if not c:
+            cols.append(F.lit(0.0).alias(out_col))
+            continue
+        carr = F.array(*[F.lit(x) for x in c])
+        sim = F.when((qn == 0) | F.col(vec_col).isNull() | (F.size(vec_col) != len(c)), F.lit(0.0)) \
+            .otherwise(dot(vec_col, carr) / qn)
+        cols.append(sim.alias(out_col))
+    return q.select("*", *cols).drop("__qn")
 
 
 # ---------------------------------------------------------------------------
@@ -137,36 +155,37 @@ def extract_keyword(t: str | Column, stop_words: list[str]) -> Column:
 # C1 / C10 intent
 # ---------------------------------------------------------------------------
 
-def classify_intent(q: DataFrame, centroids: DataFrame, stop_words: list[str],
+def classify_intent(q: DataFrame, centroids: DataFrame | dict, stop_words: list[str],
                     th: Thresholds = Thresholds(), text_col: str = "search_query",
                     vec_col: str = "qvec") -> DataFrame:
     """Adds intent, extracted_keyword, intent_reason, kw_sim, sem_sim and the C10
     flags needs_keyword / needs_semantic."""
-    t = java_trim(text_col)
-    q = q.withColumn("__t", t)
-    q = with_class_similarity(q, centroids, {"kw_sim": "KEYWORD", "sem_sim": "SEMANTIC"}, vec_col)
+    q = with_class_similarity(q.withColumn("__t", java_trim(text_col)), centroids,
+                              {"kw_sim": "KEYWORD", "sem_sim": "SEMANTIC"}, vec_col)
     t, kw, sem = F.col("__t"), F.col("kw_sim"), F.col("sem_sim")
     diff = kw - sem
-    blank = ~not_blank(text_col)
-    short = (F.size(java_split_ws(t)) == 1) & (F.length(t) <= SHORT_WORD_MAX_CHARS)
-    is_kw = (kw > th.keyword_floor) & (diff > th.intent_difference)
-    is_sem = (sem > th.semantic_floor) & (-diff > th.intent_difference)
+    q = q.select("*",
+                 (~not_blank(text_col)).alias("__blank"),
+                 ((F.size(java_split_ws(t)) == 1) & (F.length(t) <= SHORT_WORD_MAX_CHARS)).alias("__short"),
+                 ((kw > th.keyword_floor) & (diff > th.intent_difference)).alias("__kw"),
+                 ((sem > th.semantic_floor) & (-diff > th.intent_difference)).alias("__sem"),
+                 extract_keyword(t, stop_words).alias("__kwx"))
+    blank, short, is_kw, is_sem = F.col("__blank"), F.col("__short"), F.col("__kw"), F.col("__sem")
     intent = (F.when(blank, "SEMANTIC").when(short, "HYBRID").when(is_kw, "KEYWORD")
               .when(is_sem, "SEMANTIC").otherwise("HYBRID"))
     keyword = (F.when(blank, F.lit(None).cast("string")).when(short, t)
-               .when(is_kw, extract_keyword(t, stop_words)).when(is_sem, F.lit(None).cast("string"))
-               .otherwise(extract_keyword(t, stop_words)))
+               .when(is_kw, F.col("__kwx")).when(is_sem, F.lit(None).cast("string"))
+               .otherwise(F.col("__kwx")))
     pk, ps = percent0(kw * 100), percent0(sem * 100)
     reason = (F.when(blank, F.lit(REASON_EMPTY))
               .when(short, F.format_string(REASON_SHORT, F.length(t)))
               .when(is_kw, F.format_string(REASON_KEYWORD.replace("%.0f", "%s"), pk, ps))
               .when(is_sem, F.format_string(REASON_SEMANTIC.replace("%.0f", "%s"), ps, pk))
               .otherwise(F.format_string(REASON_AMBIGUOUS.replace("%.0f", "%s"), pk, ps)))
-    return (q.withColumn("intent", intent).withColumn("extracted_keyword", keyword)
-            .withColumn("intent_reason", reason)
-            .withColumn("needs_keyword", F.col("intent").isin("KEYWORD", "HYBRID"))
-            .withColumn("needs_semantic", F.col("intent").isin("SEMANTIC", "HYBRID"))
-            .drop("__t"))
+    keep = [c for c in q.columns if not c.startswith("__")]
+    q = q.select(*keep, intent.alias("intent"), keyword.alias("extracted_keyword"), reason.alias("intent_reason"))
+    return q.select("*", F.col("intent").isin("KEYWORD", "HYBRID").alias("needs_keyword"),
+                    F.col("intent").isin("SEMANTIC", "HYBRID").alias("needs_semantic"))
 
 
 # ---------------------------------------------------------------------------
@@ -177,97 +196,108 @@ def split_scope(q: DataFrame, text_col: str = "trimmed") -> DataFrame:
     """Adds ko_scope/ko_search and en_scope/en_search (null when the pattern does
     not match the whole trimmed query)."""
     t = F.col(text_col)
-    out = q
+    cols = []
     for lang, p in (("ko", KOREAN_SCOPE_PATTERN), ("en", ENGLISH_SCOPE_PATTERN)):
         hit = t.rlike(p)
-        out = (out.withColumn(f"{lang}_scope", F.when(hit, java_trim(F.regexp_extract(t, p, 1))))
-               .withColumn(f"{lang}_search", F.when(hit, java_trim(F.regexp_extract(t, p, 2)))))
-    return out
-
-
-def _best_match(phrases: DataFrame, dictionary: DataFrame, phrase_col: str, keep: list[str]) -> DataFrame:
-    """Broadcast theta join ``lower(phrase) contains lower(key)``, then one winner per
-    phrase: longest key, then lexically smallest (deterministic where the reference
-    iterates an unordered map)."""
-    d = F.broadcast(dictionary.withColumnRenamed("lang", "__dlang"))
-    j = phrases.join(d, (F.col("lang") == F.col("__dlang")) &
-                     F.lower(F.col(phrase_col)).contains(F.lower(F.col("key"))))
-    order = F.struct((-F.length("key")).alias("l"), F.col("key").alias("k"))
-    grp = [c for c in phrases.columns]
-    return j.groupBy(*grp).agg(F.min_by(F.struct("key", *keep), order).alias("m"))
-
-
-def resolve_scopes(parts: DataFrame, dicts: Dictionaries) -> DataFrame:
-    """C6/C7 over distinct ``(lang, scope)``: in order testament, book group, several
-    books (> 1 resolved part), one book. Returns scope_type, scope_books, scope_testament,
-    scope_desc (null scope_type when nothing matches)."""
-    parts = parts.select("lang", "scope").distinct()
-    s = F.col("scope")
-    is_ko = F.col("lang") == "ko"
-    ot = F.when(is_ko, s.rlike(KOREAN_OT_PATTERN)).otherwise(s.rlike(ENGLISH_OT_PATTERN))
-    nt = F.when(is_ko, s.rlike(KOREAN_NT_PATTERN)).otherwise(s.rlike(ENGLISH_NT_PATTERN))
-
-    group = _best_match(parts, dicts.book_group, "scope", ["codes"]).select(
-        "lang", "scope", F.col("m.key").alias("g_key"), F.col("m.codes").alias("g_codes"))
-    single = _best_match(parts, dicts.book_name, "scope", ["code"]).select(
-        "lang", "scope", F.col("m.key").alias("b_key"), F.col("m.code").alias("b_code"))
-    pieces = (parts.select("lang", "scope", F.posexplode(F.split("scope", MULTI_BOOK_SPLIT)).alias("pos", "piece"))
-              .withColumn("piece", java_trim("piece")).filter(F.length("piece") > 0))
-    multi = (_best_match(pieces, dicts.book_name, "piece", ["code"])
-             .groupBy("lang", "scope")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("m.code").alias("code")))).alias("cs"))
-             .select("lang", "scope", F.transform("cs", lambda c: c["code"]).alias("m_codes")))
-
-    r = parts.join(group, ["lang", "scope"], "left").join(multi, ["lang", "scope"], "left") \
-        .join(single, ["lang", "scope"], "left")
-    multi_ok = F.coalesce(F.size("m_codes"), F.lit(0)) > 1
-    label = lambda lang, n: F.lit(TESTAMENT_LABELS[(lang, n)])
+        cols += [F.when(hit, java_trim(F.regexp_extract(t, p, 1))).alias(f"{lang}_scope"),
+                 F.when(hit, java_trim(F.regexp_extract(t, p, 2))).alias(f"{lang}_search")]
+    return q.select("*", *cols)
+
+
+def _entries(df: DataFrame, literal: dict | None, value_col: str) -> list[tuple]:
+    """Dictionary rows ``(lang, key, value)`` sorted by (lang, -len(key), key): the first
+    hit in this order is the longest key, then the lexically smallest (deterministic
+    where the reference iterates an unordered map)."""
+    if literal is not None:
+        rows = [(lang, k, v) for lang, d in literal.items() for k, v in d.items()]
+    else:
+        got = df.limit(MAX_DICTIONARY_ROWS + 1).collect()
+        if len(got) > MAX_DICTIONARY_ROWS:
+            raise ValueError("dictionary too large to inline")
+        rows = [(r["lang"], r["key"], r[value_col]) for r in got]
+    return sorted(rows, key=lambda r: (r[0], -len(r[1]), r[1]))
+
+
+def _dict_array(rows: list[tuple]) -> Column:
+    def val(v):
+        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    return F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(k).alias("key"), val(v).alias("v"))
+                     for lang, k, v in rows])
+
+
+def _first_contained(phrase: Column, lang: Column, arr: Column) -> Column:
+    """First dictionary entry of ``lang`` whose key occurs in ``lower(phrase)``."""
+    lp = F.lower(phrase)
+    return F.try_element_at(F.filter(arr, lambda d: (d["lang"] == lang) & lp.contains(F.lower(d["key"]))), F.lit(1))
+
+
+def dictionary_columns(dicts: Dictionaries) -> tuple[Column, Column]:
+    """The group and book-name dictionaries as literal arrays of structs (sorted so the
+    first hit wins); fixed-size tables, checked when they come from a DataFrame."""
+    groups = _dict_array(_entries(dicts.book_group, dicts.groups_by_lang, "codes"))
+    names = _dict_array(_entries(dicts.book_name, dicts.names_by_lang, "code"))
+    return groups, names
+
+
+def resolve_scope(scope: Column, lang: Column, groups: Column, names: Column) -> Column:
+    """C6/C7 for one (scope phrase, language): in order testament, book group, several
+    books (> 1 resolved part), one book. Returns a struct (scope_type, scope_books,
+    scope_testament, scope_desc), or null when nothing matches. The fixed-size
+    dictionaries are inlined, so this is a projection: no join, no shuffle."""
+    is_ko = lang == "ko"
+    ot = F.when(is_ko, scope.rlike(KOREAN_OT_PATTERN)).otherwise(scope.rlike(ENGLISH_OT_PATTERN))
+    nt = F.when(is_ko, scope.rlike(KOREAN_NT_PATTERN)).otherwise(scope.rlike(ENGLISH_NT_PATTERN))
+    g = _first_contained(scope, lang, groups)
+    b = _first_contained(scope, lang, names)
+    pieces = F.filter(F.transform(F.split(scope, MULTI_BOOK_SPLIT), lambda x: java_trim(x)), lambda x: F.length(x) > 0)
+    codes = F.filter(F.transform(pieces, lambda x: _first_contained(x, lang, names)["v"]), lambda c: c.isNotNull())
+    multi_ok = F.size(codes) > 1
+    label = lambda lg, n: F.lit(TESTAMENT_LABELS[(lg, n)])
     t_desc = F.when(ot, F.when(is_ko, label("ko", 1)).otherwise(label("en", 1))) \
         .when(nt, F.when(is_ko, label("ko", 2)).otherwise(label("en", 2)))
     no_books = F.lit(None).cast("array<string>")
-    return r.select(
-        "lang", "scope",
-        F.when(ot | nt, "TESTAMENT").when(F.col("g_key").isNotNull(), "BOOK_GROUP")
-         .when(multi_ok, "MULTIPLE_BOOKS").when(F.col("b_key").isNotNull(), "SINGLE_BOOK").alias("scope_type"),
-        F.when(ot | nt, no_books).when(F.col("g_key").isNotNull(), F.col("g_codes"))
-         .when(multi_ok, F.col("m_codes")).when(F.col("b_key").isNotNull(), F.array("b_code")).alias("scope_books"),
-        F.when(ot, 1).when(nt, 2).cast("int").alias("scope_testament"),
-        F.when(ot | nt, t_desc).when(F.col("g_key").isNotNull(), F.col("g_key"))
-         .when(multi_ok, F.array_join("m_codes", ", ")).when(F.col("b_key").isNotNull(), F.col("b_key"))
-         .alias("scope_desc"))
-
-
-def detect_scope(q: DataFrame, centroids: DataFrame, dicts: Dictionaries, th: Thresholds = Thresholds(),
+    stype = (F.when(ot | nt, "TESTAMENT").when(g.isNotNull(), "BOOK_GROUP")
+             .when(multi_ok, "MULTIPLE_BOOKS").when(b.isNotNull(), "SINGLE_BOOK"))
+    books = (F.when(ot | nt, no_books).when(g.isNotNull(), g["v"]).when(multi_ok, codes)
+             .when(b.isNotNull(), F.array(b["v"])))
+    testament = F.when(ot, 1).when(nt, 2).cast("int")
+    desc = (F.when(ot | nt, t_desc).when(g.isNotNull(), g["key"]).when(multi_ok, F.array_join(codes, ", "))
+            .when(b.isNotNull(), b["key"]))
+    res = F.struct(stype.alias("scope_type"), books.alias("scope_books"), testament.alias("scope_testament"),
+                   desc.alias("scope_desc"))
+    return F.when(scope.isNotNull() & stype.isNotNull(), res)
+
+
+def detect_scope(q: DataFrame, centroids: DataFrame | dict, dicts: Dictionaries, th: Thresholds = Thresholds(),
                  query_col: str = "query", vec_col: str = "qvec") -> DataFrame:
     """Adds trimmed, ctx_sim, noctx_sim, scope_type (NONE when no scope),
-    scope_books, scope_testament, scope_desc, confidence, cleaned_query, search_query."""
-    q = q.withColumn("trimmed", java_trim(query_col))
-    q = with_class_similarity(q, centroids, {"ctx_sim": "CONTEXT", "noctx_sim": "NO_CONTEXT"}, vec_col)
-    gate_off = (F.col("noctx_sim") > F.col("ctx_sim")) & \
-        (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)
-    q = split_scope(q.withColumn("__gate_off", gate_off | ~not_blank(query_col)))
-
-    attempts = None
-    for i, lang in enumerate(("ko", "en")):
-        a = (q.filter(~F.col("__gate_off") & F.col(f"{lang}_scope").isNotNull())
-             .select("qid", F.lit(i).alias("attempt"), F.lit(lang).alias("lang"),
-                     F.col(f"{lang}_scope").alias("scope"), F.col(f"{lang}_search").alias("search_part")))
-        attempts = a if attempts is None else attempts.unionByName(a)
-    resolved = resolve_scopes(attempts, dicts)
-    best = (attempts.join(resolved, ["lang", "scope"]).filter(F.col("scope_type").isNotNull())
-            .groupBy("qid").agg(F.min_by(F.struct("scope_type", "scope_books", "scope_testament",
-                                                  "scope_desc", "search_part"), F.col("attempt")).alias("r")))
-    out = q.join(best, "qid", "left")
-    has = F.col("r").isNotNull()
-    cleaned = F.when(has, F.col("r.search_part")).otherwise(F.col("trimmed"))
-    return (out.withColumn("scope_type", F.coalesce(F.col("r.scope_type"), F.lit("NONE")))
-            .withColumn("scope_books", F.col("r.scope_books"))
-            .withColumn("scope_testament", F.col("r.scope_testament"))
-            .withColumn("scope_desc", F.col("r.scope_desc"))
-            .withColumn("confidence", F.when(has, F.col("ctx_sim")).otherwise(F.lit(1.0)))
-            .withColumn("cleaned_query", cleaned)
-            .withColumn("search_query", F.when(not_blank(cleaned), cleaned).otherwise(F.col("trimmed")))
-            .drop("r", "__gate_off", "ko_scope", "ko_search", "en_scope", "en_search"))
+    scope_books, scope_testament, scope_desc, confidence, cleaned_query, search_query.
+    The Korean form is tried first, then the English one; all per-row projections."""
+    q = with_class_similarity(q.withColumn("trimmed", java_trim(query_col)), centroids,
+                              {"ctx_sim": "CONTEXT", "noctx_sim": "NO_CONTEXT"}, vec_col)
+    gate_off = ((F.col("noctx_sim") > F.col("ctx_sim")) &
+                (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)) | ~not_blank(query_col)
+    q = split_scope(q)
+    groups, names = dictionary_columns(dicts)
+    q = q.select("*", groups.alias("__groups"), names.alias("__names"), gate_off.alias("__off"))
+    g, n = F.col("__groups"), F.col("__names")
+    q = q.select("*", F.when(~F.col("__off"), resolve_scope(F.col("ko_scope"), F.lit("ko"), g, n)).alias("__ko"),
+                 F.when(~F.col("__off"), resolve_scope(F.col("en_scope"), F.lit("en"), g, n)).alias("__en"))
+    q = q.select("*", F.coalesce(F.col("__ko"), F.col("__en")).alias("__r"),
+                 F.when(F.col("__ko").isNotNull(), F.col("ko_search"))
+                  .when(F.col("__en").isNotNull(), F.col("en_search")).alias("__part"))
+    has = F.col("__r").isNotNull()
+    q = q.select("*", F.when(has, F.col("__part")).otherwise(F.col("trimmed")).alias("cleaned_query"))
+    keep = [c for c in q.columns if not c.startswith("__") and c not in
+            ("ko_scope", "ko_search", "en_scope", "en_search")]
+    return q.select(
+        *keep,
+        F.coalesce(F.col("__r.scope_type"), F.lit("NONE")).alias("scope_type"),
+        F.col("__r.scope_books").alias("scope_books"),
+        F.col("__r.scope_testament").alias("scope_testament"),
+        F.col("__r.scope_desc").alias("scope_desc"),
+        F.when(has, F.col("ctx_sim")).otherwise(F.lit(1.0)).alias("confidence"),
+        F.when(not_blank("cleaned_query"), F.col("cleaned_query")).otherwise(F.col("trimmed")).alias("search_query"))
 
 
 # ---------------------------------------------------------------------------

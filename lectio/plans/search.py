@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..operators.classify import (Thresholds, classify_intent, detect_scope, prototype_centroids,
-                                  validate_queries)
+from ..operators.classify import (Thresholds, centroid_literals, classify_intent, detect_scope,
+                                  prototype_centroids, validate_queries)
 from ..operators.filters import (KEYWORD_BNLJ_LIMIT, keyword_join, scope_matches, version_matches,
                                  with_version_rules)
 from ..operators.knn import knn_candidates
@@ -46,9 +46,12 @@ class SearchInputs:
     prefilter: bool = False      # filter version/scope before the top-50 cut (not the reference order)
 
 
-def query_context(inp: SearchInputs, centroids: DataFrame | None = None) -> DataFrame:
-    """Valid queries with scope, intent and request defaults resolved (one row per qid)."""
-    c = centroids if centroids is not None else prototype_centroids(inp.prototypes)
+def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame:
+    """Valid queries with scope, intent and request defaults resolved (one row per qid).
+
+    The result is persisted: it is small (one row per query) and read by several
+    branches and size checks; a lost block is recomputed from its lineage."""
+    c = centroids if centroids is not None else centroid_literals(prototype_centroids(inp.prototypes))
     q = validate_queries(inp.queries).filter("valid")
     q = detect_scope(q, c, inp.dicts, inp.thresholds)
     q = classify_intent(q, c, inp.dicts.stop_words, inp.thresholds, text_col="search_query")
@@ -57,7 +60,7 @@ def query_context(inp: SearchInputs, centroids: DataFrame | None = None) -> Data
          .withColumn("version_filter", F.col("version"))
          .withColumn("search_keyword", F.when(is_blank("extracted_keyword"), F.col("search_query"))
                      .otherwise(F.col("extracted_keyword"))))
-    return with_version_rules(q, inp.dicts.version_alias, "version_filter")
+    return with_version_rules(q, inp.dicts.version_alias, "version_filter").persist()
 
 
 def _result_projection(df: DataFrame) -> DataFrame:
@@ -74,23 +77,19 @@ def _max_k(ctx: DataFrame) -> int:
 # Semantic branch (V2 + J1 + R2)
 # ---------------------------------------------------------------------------
 
-def semantic_candidates(inp: SearchInputs, ctx: DataFrame, exclude_keyword: bool = False) -> DataFrame:
+def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     """Top-50 cosine candidates of each query in ``ctx``, hydrated (J1), filtered by
-    version and scope *after* the cut (R2), re-ranked (R1) and floored at min_score.
-    With ``exclude_keyword`` the hybrid anti-join J4 applies: a candidate whose text holds
-    the query keyword is already a keyword hit (keys are unique), so it is dropped."""
+    version and scope *after* the cut (R2), re-ranked (R1) and floored at min_score."""
     qside = ctx.select("qid", "qvec")
     corpus = inp.vectors
     if inp.prefilter:
         raise NotImplementedError("prefilter mode needs per-query corpora; use the default order")
     cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor)
-    small = ctx.select("qid", "search_query", "search_keyword", "k", "min_score", "version_filter",
+    small = ctx.select("qid", "intent", "search_query", "search_keyword", "k", "min_score", "version_filter",
                        "alias_lower", "alias_exact", "scope_type", "scope_books", "scope_testament")
     j = (cands.join(inp.verses.select(*VERSE_COLUMNS), "ord")           # J1 (F7: unresolved dropped)
          .join(small, "qid")
          .filter(version_matches("version", "version_filter") & scope_matches()))
-    if exclude_keyword:
-        j = j.filter(~F.col("text").contains(F.col("search_keyword")))
     return (j.withColumn("reranked_score", rerank_score("score", "text", "search_query"))
             .filter(F.col("reranked_score") >= F.col("min_score")))
 
@@ -127,7 +126,7 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
     hits = hits.filter(version_matches("version", "version_filter") & scope_matches())
     hits = top_per_group(hits, "sig_id", [F.col("ord").asc()], kmax, "sig_rank") \
         .filter(F.col("sig_rank") <= F.col("sig_k"))
-    per_q = ctx.select("qid", F.col(k_col).alias("qk"), F.xxhash64(*SIGNATURE).alias("sig_id"))
+    per_q = ctx.select("qid", "intent", F.col(k_col).alias("qk"), F.xxhash64(*SIGNATURE).alias("sig_id"))
     out = hits.drop("k").join(per_q, "sig_id").filter(F.col("sig_rank") <= F.col("qk")).withColumn("k", F.col("qk"))
     return (out.withColumn("rank", F.col("sig_rank")).withColumn("score", F.lit(1.0))
             .withColumn("reranked_score", F.lit(1.0)))
@@ -149,32 +148,39 @@ def semantic_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFram
     return _result_projection(semantic_results(inp, ctx))
 
 
-def hybrid_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFrame:
-    """Keyword hits (score 1.0) first, then semantic candidates that are not
-    keyword hits, into the remaining slots."""
-    ctx = ctx if ctx is not None else query_context(inp)
-    kw = keyword_hits(inp, ctx).select(
-        "qid", "ord", *[c for c in VERSE_COLUMNS if c != "ord"], "score", "reranked_score", "k",
-        F.lit(0).alias("prio"), F.lit(0.0).alias("sk1"), F.col("ord").alias("sk2"))
-    sem = semantic_candidates(inp, ctx, exclude_keyword=True).select(
+def _hybrid_merge(kw: DataFrame, sem: DataFrame) -> DataFrame:
+    """Keyword rows first (arrival order), then re-ranked semantic rows that are
+    not keyword hits (J4), into the slots left by max_results."""
+    kw = kw.select("qid", "ord", *[c for c in VERSE_COLUMNS if c != "ord"], "score", "reranked_score", "k",
+                   F.lit(0).alias("prio"), F.lit(0.0).alias("sk1"), F.col("ord").alias("sk2"))
+    sem = sem.filter(~F.col("text").contains(F.col("search_keyword"))).select(
         "qid", "ord", *[c for c in VERSE_COLUMNS if c != "ord"], "score", "reranked_score", "k",
         F.lit(1).alias("prio"), (-F.round("reranked_score", TIE_DIGITS)).alias("sk1"),
         F.col("cand_rank").cast("long").alias("sk2"))
-    merged = kw.unionByName(sem)
-    return _result_projection(top_per_group(merged, "qid", [F.col("prio"), F.col("sk1"), F.col("sk2")], F.col("k")))
+    return top_per_group(kw.unionByName(sem), "qid", [F.col("prio"), F.col("sk1"), F.col("sk2")], F.col("k"))
+
+
+def hybrid_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFrame:
+    """Every valid query as a hybrid search."""
+    ctx = ctx if ctx is not None else query_context(inp)
+    return _result_projection(_hybrid_merge(keyword_hits(inp, ctx), semantic_candidates(inp, ctx)))
 
 
 def routed_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFrame:
-    """Scope -> intent -> exactly one branch per query; adds ``search_method``."""
+    """Scope -> intent -> exactly one branch per query; adds ``search_method``.
+
+    One similarity scan serves every SEMANTIC and HYBRID query and one text scan every
+    KEYWORD and HYBRID query; KEYWORD queries never reach the vector kernel."""
     ctx = ctx if ctx is not None else query_context(inp)
-    parts = []
-    for method, fn in (("KEYWORD", keyword_search), ("SEMANTIC", semantic_search), ("HYBRID", hybrid_search)):
-        sub = ctx.filter(F.col("intent") == method)
-        parts.append(fn(inp, sub).withColumn("search_method", F.lit(method)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cands = semantic_candidates(inp, ctx.filter("needs_semantic"))
+    hits = keyword_hits(inp, ctx.filter("needs_keyword"))
+    order = [F.round("reranked_score", TIE_DIGITS).desc(), F.col("cand_rank").asc()]
+    sem = top_per_group(cands.filter(F.col("intent") == "SEMANTIC"), "qid", order, F.col("k"))
+    kw = hits.filter(F.col("intent") == "KEYWORD")
+    hyb = _hybrid_merge(hits.filter(F.col("intent") == "HYBRID"), cands.filter(F.col("intent") == "HYBRID"))
+    parts = [_result_projection(df).withColumn("search_method", F.lit(m))
+             for m, df in (("KEYWORD", kw), ("SEMANTIC", sem), ("HYBRID", hyb))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx: DataFrame | None = None) -> DataFrame:

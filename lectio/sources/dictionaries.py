@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # They must equal the reference service's tables for equal results.
@@ -159,17 +160,31 @@ class Dictionaries:
     crosswalk: DataFrame
     ref_book: DataFrame
     stop_words: list[str]
+    # The same fixed-size tables as plain values, for plans that inline them as literals.
+    groups_by_lang: dict = None
+    names_by_lang: dict = None
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table built JVM-side (LocalRelation via inline), no Python scan."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) if not isinstance(v, list) else
+                          F.array(*[F.lit(x) for x in v]).cast(t).alias(n)
+                          for (n, t), v in zip(fields, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def _build(spark: SparkSession, aliases, groups_by_lang, names_by_lang, crosswalk, reader, stop_words) -> Dictionaries:
-    va = spark.createDataFrame([(k, a) for k, v in aliases.items() for a in v], "key string, alias string")
-    bg = spark.createDataFrame([(lang, k, v) for lang, g in groups_by_lang.items() for k, v in g.items()],
-                               "lang string, key string, codes array<string>")
-    bn = spark.createDataFrame([(lang, k, v) for lang, g in names_by_lang.items() for k, v in g.items()],
-                               "lang string, key string, code string")
-    cw = spark.createDataFrame(list(crosswalk.items()), "code_a string, code_b string")
-    rb = spark.createDataFrame([(k, c, v) for k, (c, v) in reader.items()], "name string, code string, version string")
-    return Dictionaries(va, bg, bn, cw, rb, list(stop_words))
+    va = _values(spark, [(k, a) for k, v in aliases.items() for a in v], "key string, alias string")
+    bg = _values(spark, [(lang, k, v) for lang, g in groups_by_lang.items() for k, v in g.items()],
+                 "lang string, key string, codes array<string>")
+    bn = _values(spark, [(lang, k, v) for lang, g in names_by_lang.items() for k, v in g.items()],
+                 "lang string, key string, code string")
+    cw = _values(spark, list(crosswalk.items()), "code_a string, code_b string")
+    rb = _values(spark, [(k, c, v) for k, (c, v) in reader.items()], "name string, code string, version string")
+    return Dictionaries(va, bg, bn, cw, rb, list(stop_words), groups_by_lang, names_by_lang)
 
 
 def reference_dictionaries(spark: SparkSession) -> Dictionaries:
