@@ -305,24 +305,329 @@ def hybrid_search_sql() -> str:
 SELECT {RESULT_COLS} FROM hyb"""
 
 
-def routed_search_sql() -> str:
+def routed_ctes() -> str:
     kw, sem, hy = "c.intent = 'KEYWORD'", "c.intent = 'SEMANTIC'", "c.intent = 'HYBRID'"
-    return f"""WITH {context_ctes()},
-{keyword_ctes(kw)},
+    hyb = (hybrid_body(hy).replace('kwh AS', 'hkw AS').replace('FROM kwh', 'FROM hkw')
+           .replace('sem AS (', 'hsem AS (').replace('FROM sem WHERE', 'FROM hsem WHERE')
+           .replace('cand0 AS', 'hcand0 AS').replace('FROM cand0', 'FROM hcand0')
+           .replace('cand AS (', 'hcand AS (').replace('FROM cand t', 'FROM hcand t'))
+    return f"""{keyword_ctes(kw)},
 {semantic_ctes(sem)},
 semr AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(reranked_score, 12) DESC, cand_rank) AS rank
     FROM sem WHERE reranked_score >= min_score) WHERE rank <= k),
-{hybrid_body(hy).replace('kwh AS', 'hkw AS').replace('FROM kwh', 'FROM hkw').replace('sem AS (', 'hsem AS (').replace('FROM sem WHERE', 'FROM hsem WHERE').replace('cand0 AS', 'hcand0 AS').replace('FROM cand0', 'FROM hcand0').replace('cand AS (', 'hcand AS (').replace('FROM cand t', 'FROM hcand t')}
-SELECT {RESULT_COLS}, 'KEYWORD' AS search_method FROM kwh
-UNION ALL SELECT {RESULT_COLS}, 'SEMANTIC' AS search_method FROM semr
-UNION ALL SELECT {RESULT_COLS}, 'HYBRID' AS search_method FROM hyb"""
+{hyb},
+routed AS (
+  SELECT {RESULT_COLS}, 'KEYWORD' AS search_method FROM kwh
+  UNION ALL SELECT {RESULT_COLS}, 'SEMANTIC' AS search_method FROM semr
+  UNION ALL SELECT {RESULT_COLS}, 'HYBRID' AS search_method FROM hyb)"""
+
+
+def routed_search_sql() -> str:
+    return f"""WITH {context_ctes()},
+{routed_ctes()}
+SELECT * FROM routed"""
 
 
+def semres_ctes() -> str:
+    return f"""{semantic_ctes()},
+semres AS (
+  SELECT {RESULT_COLS} FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(reranked_score, 12) DESC, cand_rank) AS rank
+    FROM sem WHERE reranked_score >= min_score) WHERE rank <= k)"""
+
+
+# ---------------------------------------------------------------------------
+# Corpus jobs
+# ---------------------------------------------------------------------------
+
+CROSSWALK = "crosswalk(code_a, code_b) AS (VALUES " + ", ".join(f"('src{i}', 'src{i + 10}')" for i in range(5)) + ")"
+PAIRS = """codes AS (SELECT DISTINCT book_short AS code FROM verses),
+code_pairs AS (
+  SELECT c.code,
+    CASE WHEN f.code_a IS NOT NULL THEN c.code ELSE coalesce(b.code_a, c.code) END AS code_a,
+    CASE WHEN b.code_b IS NOT NULL THEN c.code ELSE coalesce(f.code_b, c.code) END AS code_b
+  FROM codes c LEFT JOIN crosswalk f ON f.code_a = c.code LEFT JOIN crosswalk b ON b.code_b = c.code)"""
+PARALLEL = """pairs AS (SELECT DISTINCT code_a, code_b FROM code_pairs),
+pa AS (SELECT p.code_a, p.code_b, v.chapter, v.verse, v.text AS text_a FROM verses v JOIN pairs p ON p.code_a = v.book_short
+       WHERE v.version = 'EN'),
+pb AS (SELECT p.code_a, p.code_b, v.chapter, v.verse, v.text AS text_b FROM verses v JOIN pairs p ON p.code_b = v.book_short
+       WHERE v.version = 'FR'),
+ta AS (SELECT code_a, max(chapter) AS ta FROM pa GROUP BY code_a),
+tb AS (SELECT code_b, max(chapter) AS tb FROM pb GROUP BY code_b),
+pj AS (
+  SELECT coalesce(pa.code_a, pb.code_a) AS code_a, coalesce(pa.code_b, pb.code_b) AS code_b,
+    coalesce(pa.chapter, pb.chapter) AS chapter, coalesce(pa.verse, pb.verse) AS verse, pa.text_a, pb.text_b
+  FROM pa FULL OUTER JOIN pb ON pa.code_a = pb.code_a AND pa.code_b = pb.code_b AND pa.chapter = pb.chapter
+    AND pa.verse = pb.verse),
+parallel AS (
+  SELECT pj.*, CAST(greatest(coalesce(ta.ta, 0), coalesce(tb.tb, 0)) AS INT) AS total_chapters
+  FROM pj LEFT JOIN ta USING (code_a) LEFT JOIN tb USING (code_b))"""
+VOK = ("(r.req_version IS NULL OR r.req_version = '' OR lower(v.version) = lower(r.req_version) "
+       "OR (lower(r.req_version) = 'krv' AND v.version = '개역개정'))")
+
+
+def book_info_ctes(req: str) -> str:
+    return f"""bj AS (SELECT r.req_book, r.req_version, v.* FROM {req} r JOIN verses v
+              ON lower(v.book_short) = lower(r.req_book) AND {VOK}),
+binfo AS (
+  SELECT req_book, req_version, arg_min(book_name, ord) AS book_name, arg_min(book_short, ord) AS book_short,
+    arg_min(version, ord) AS version, CAST(max(chapter) AS INT) AS total_chapters
+  FROM bj GROUP BY req_book, req_version)"""
+
+
+CORPUS_FLATTEN = """WITH c AS (
+  SELECT conv_id, turn, CASE WHEN conv_id = 0 AND turn = 0 THEN NULL ELSE text END AS text FROM conversations),
+r AS (
+  SELECT conv_id, turn, text, CAST(conv_id % 5 AS BIGINT) AS part,
+    CAST(dense_rank() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) - 1 AS BIGINT) AS cpos,
+    CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS vpos
+  FROM c),
+f AS (
+  SELECT (part << 40) + (cpos << 16) + vpos AS ord,
+    CASE WHEN part = 2 THEN 'DEF' ELSE 'CONV' END AS version,
+    concat('c', CAST(part AS VARCHAR)) AS book_short, concat('Conv ', CAST(part AS VARCHAR)) AS book_name,
+    CAST(CASE WHEN part = 3 THEN 0 ELSE part % 2 + 1 END AS INT) AS testament,
+    CAST(CASE WHEN part = 4 THEN 0 ELSE part + 1 END AS INT) AS book_number,
+    CAST(conv_id AS INT) AS chapter, CAST(turn AS INT) AS verse, CAST(NULL AS VARCHAR) AS title,
+    coalesce(text, '') AS text
+  FROM r)
+SELECT *, concat(book_name, ' ', CAST(chapter AS VARCHAR), ':', CAST(verse AS VARCHAR)) AS reference,
+  concat_ws(':', version, book_short, CAST(chapter AS VARCHAR), CAST(verse AS VARCHAR)) AS key
+FROM f"""
+
+BACKREF1 = "\\1 "
+_LETTERS = r"a-zA-Z\x{3131}-\x{318E}\x{AC00}-\x{D7A3}"
+REFERENCE_PATTERN = (f"(?i)^((?:[0-9]{WS}*)?[{_LETTERS}]+"
+                     f"(?:{WS}+[{_LETTERS}]+)*){WS}*([0-9]+)(?:장|편)?"
+                     f"(?:{WS}*[:.]{WS}*([0-9]+)절?|{WS}*([0-9]+)절)?$")
+
+
+def reference_parse_sql() -> str:
+    t = jtrim("query")
+    name0 = jtrim(f"lower({jtrim(f'regexp_extract({t}, {q(REFERENCE_PATTERN)}, 1)')})")
+    name1 = f"regexp_replace(regexp_replace({name0}, '^([0-9]){WS}*', '\\1 '), '{WS}+', ' ', 'g')"
+    rows = ", ".join(f"('src{i}', 'src{i}', 'EN')" for i in range(20))
+    return f"""WITH {QUERIES},
+ref_book(name, code, version) AS (VALUES {rows}),
+p AS (
+  SELECT qid, regexp_matches({t}, {q(REFERENCE_PATTERN)}) AS hit,
+    {jtrim(name1)} AS nm,
+    regexp_extract({t}, {q(REFERENCE_PATTERN)}, 2) AS g2,
+    regexp_extract({t}, {q(REFERENCE_PATTERN)}, 3) AS g3,
+    regexp_extract({t}, {q(REFERENCE_PATTERN)}, 4) AS g4
+  FROM queries WHERE {not_blank('query')}),
+j AS (
+  SELECT p.*, coalesce(a.code, b.code) AS code, coalesce(a.version, b.version) AS ver
+  FROM p LEFT JOIN ref_book a ON p.hit AND a.name = p.nm
+    LEFT JOIN ref_book b ON p.hit AND b.name = regexp_replace(p.nm, '{WS}+', '', 'g'))
+SELECT qid, CASE WHEN code IS NOT NULL THEN 'READ' ELSE 'SEARCH' END AS route, code AS ref_book, ver AS ref_version,
+  CASE WHEN code IS NOT NULL THEN CAST(g2 AS INT) END AS ref_chapter,
+  CASE WHEN code IS NOT NULL THEN CAST(coalesce(nullif(g3, ''), nullif(g4, '')) AS INT) END AS ref_verse
+FROM j"""
+
+
+def with_ctx(body: str) -> str:
+    return f"WITH {context_ctes()},\n{body}"
+
+
+SIM_COLS = "round(kw_sim, 6) AS kw_sim, round(sem_sim, 6) AS sem_sim, round(ctx_sim, 6) AS ctx_sim, round(noctx_sim, 6) AS noctx_sim"
+
+TOP50 = f"""c0 AS (SELECT v.qid, e.vec_id AS ord, {cos('v.qvec', 'e.embedding')} AS score FROM valid v, embeddings e),
+top50 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
+                 FROM c0 WHERE score >= 0.1) WHERE cand_rank <= 50)"""
+
+HEX = "'0123456789abcdef'"
+EMBED = f"""WITH toks AS (SELECT doc_id, unnest(string_split_regex(lower(text), {q(WS + '+')})) AS tok FROM documents),
+h AS (SELECT doc_id, md5(tok) AS h FROM toks WHERE length(tok) > 0),
+c AS (
+  SELECT doc_id,
+    CAST(((instr({HEX}, substr(h, 7, 1)) - 1) * 16 + (instr({HEX}, substr(h, 8, 1)) - 1)) % 64 AS INT) AS bucket,
+    CASE WHEN (instr({HEX}, substr(h, 9, 1)) - 1) % 2 = 0 THEN 1 ELSE -1 END AS s
+  FROM h),
+cells AS (SELECT doc_id, bucket, CAST(sum(s) AS DOUBLE) AS v FROM c GROUP BY doc_id, bucket HAVING sum(s) <> 0),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM cells GROUP BY doc_id)
+SELECT doc_id, bucket, round(v / n, 6) AS weight FROM cells JOIN n USING (doc_id)"""
+
+VSUM = ("SELECT vec_id, CAST(len(embedding) AS INT) AS dim, "
+        "round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm "
+        "FROM embeddings")
+
+ENVELOPE = f"""WITH {context_ctes()},
+{routed_ctes()},
+agg AS (SELECT qid, CAST(count(*) AS INT) AS total_results, string_agg(key, ',' ORDER BY rank) AS result_keys
+        FROM routed GROUP BY qid),
+qs AS (SELECT qid, query, {not_blank('query')} AS valid FROM queries)
+SELECT qs.qid, CASE WHEN qs.valid THEN qs.query END AS query, qs.valid AS success,
+  CASE WHEN qs.valid THEN NULL ELSE 'Query cannot be empty' END AS error,
+  CAST(coalesce(agg.total_results, 0) AS INT) AS total_results, c.intent AS search_method, c.extracted_keyword,
+  c.intent_reason, CASE WHEN c.scope_type <> 'NONE' THEN c.scope_type END AS detected_context_type,
+  CASE WHEN c.scope_type <> 'NONE' THEN c.scope_desc END AS detected_context,
+  CASE WHEN c.scope_type <> 'NONE' THEN array_to_string(c.scope_books, ',') END AS context_books,
+  c.search_query, agg.result_keys
+FROM qs LEFT JOIN ctx c ON c.qid = qs.qid LEFT JOIN agg ON agg.qid = qs.qid"""
+
+SERVICE_STATS = f"""WITH {VERSES},
+{PROTOS},
+seg AS (SELECT concat('[', version, '] ', book_name, ' ', CAST(chapter AS VARCHAR), ':', CAST(verse AS VARCHAR),
+          CASE WHEN length(title) > 0 THEN concat(' <', title, '>') ELSE '' END, ' ', coalesce(text, 'null')) AS t
+        FROM verses v JOIN embeddings e ON e.vec_id = v.ord)
+SELECT 50 AS candidate_count, 5 AS result_count, 0.3::DOUBLE AS min_score,
+  (SELECT count(DISTINCT t) FROM seg) AS indexed_segments,
+  (SELECT count(*) FILTER (WHERE class = 'KEYWORD') FROM protos) AS n_keyword_prototypes,
+  (SELECT count(*) FILTER (WHERE class = 'SEMANTIC') FROM protos) AS n_semantic_prototypes,
+  (SELECT count(*) FILTER (WHERE class = 'CONTEXT') FROM protos) AS n_context_prototypes,
+  (SELECT count(*) FILTER (WHERE class = 'NO_CONTEXT') FROM protos) AS n_no_context_prototypes,
+  (SELECT count(*) FROM verses) AS total_verses,
+  (SELECT count(*) FILTER (WHERE version = 'KRV') FROM verses) AS krv_verses,
+  (SELECT count(*) FILTER (WHERE version = 'ASV') FROM verses) AS asv_verses"""
+
+
+def corpus_oracles() -> dict[str, str]:
+    v = f"WITH {VERSES}"
+    return {
+        "corpus_flatten": CORPUS_FLATTEN,
+        "corpus_union": f"""{v}
+SELECT CASE version WHEN 'EN' THEN 0 WHEN 'FR' THEN 1 WHEN 'DE' THEN 2 WHEN 'ES' THEN 3 END AS part, ord, key
+FROM verses_x WHERE version IN ('EN', 'FR', 'DE', 'ES')""",
+        "dedup_last": f"""{v},
+u AS (SELECT ord, key, version FROM verses_x UNION ALL SELECT ord + 1000000, key, version FROM verses_x WHERE ord % 5 = 0)
+SELECT key, ord, version FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC) AS rn FROM u) WHERE rn = 1""",
+        "corpus_stats": f"""{v}
+SELECT count(*) AS total_verses, count(*) FILTER (WHERE version = 'KRV') AS krv_verses,
+  count(*) FILTER (WHERE version = 'ASV') AS asv_verses FROM verses""",
+        "load_counts": f"""{v}
+SELECT version, count(DISTINCT book_short) AS books, count(*) AS verses FROM verses GROUP BY version""",
+        "embedding_text": f"""{v}
+SELECT ord, concat('[', version, '] ', book_name, ' ', CAST(chapter AS VARCHAR), ':', CAST(verse AS VARCHAR),
+  CASE WHEN length(title) > 0 THEN concat(' <', title, '>') ELSE '' END, ' ', coalesce(text, 'null')) AS embedding_text
+FROM verses""",
+        "verse_key": f"{v}\nSELECT ord, key, reference FROM verses_x",
+        "book_info": f"""{v},
+req AS (SELECT DISTINCT book_short AS req_book, lower(version) AS req_version FROM verses
+        UNION SELECT DISTINCT book_short, CAST(NULL AS VARCHAR) FROM verses),
+{book_info_ctes('req')}
+SELECT * FROM binfo""",
+        "read_chapter": f"""{v},
+req AS (SELECT DISTINCT book_short AS req_book, chapter AS req_chapter, lower(version) AS req_version FROM verses),
+breq AS (SELECT DISTINCT req_book, req_version FROM req),
+{book_info_ctes('breq')},
+hits AS (
+  SELECT r.req_book, r.req_chapter, r.req_version, v.verse, v.version,
+    CAST(row_number() OVER (PARTITION BY r.req_book, r.req_chapter, r.req_version ORDER BY v.verse, v.ord) AS INT) AS pos
+  FROM req r JOIN verses v ON lower(v.book_short) = lower(r.req_book) AND v.chapter = r.req_chapter AND {VOK})
+SELECT h.req_book, h.req_chapter, h.req_version, h.pos, h.verse, h.version,
+  CAST(coalesce(b.total_chapters, 0) AS INT) AS total_chapters
+FROM hits h LEFT JOIN binfo b ON b.req_book = h.req_book AND b.req_version IS NOT DISTINCT FROM h.req_version""",
+        "chapter_neighbors": f"""{v},
+ch AS (SELECT DISTINCT version, book_short, chapter FROM verses)
+SELECT version, book_short, chapter,
+  lag(chapter) OVER (PARTITION BY version, book_short ORDER BY chapter) AS prev_chapter,
+  lead(chapter) OVER (PARTITION BY version, book_short ORDER BY chapter) AS next_chapter
+FROM ch""",
+        "code_crosswalk": f"{v},\n{CROSSWALK},\n{PAIRS}\nSELECT code, code_a, code_b FROM code_pairs",
+        "parallel_chapter": f"{v},\n{CROSSWALK},\n{PAIRS},\n{PARALLEL}\nSELECT * FROM parallel",
+        "hits_in_context": f"""WITH {context_ctes()},
+{semres_ctes()},
+{CROSSWALK},
+{PAIRS},
+{PARALLEL},
+hp AS (
+  SELECT s.qid, s.rank, s.chapter, s.verse AS hit_verse,
+    CASE WHEN f.code_a IS NOT NULL THEN s.book_short ELSE coalesce(b.code_a, s.book_short) END AS code_a,
+    CASE WHEN b.code_b IS NOT NULL THEN s.book_short ELSE coalesce(f.code_b, s.book_short) END AS code_b
+  FROM semres s LEFT JOIN crosswalk f ON f.code_a = s.book_short LEFT JOIN crosswalk b ON b.code_b = s.book_short)
+SELECT hp.qid, hp.rank, hp.code_a, hp.code_b, hp.chapter, p.verse, p.verse = hp.hit_verse AS highlight
+FROM hp JOIN parallel p ON p.code_a = hp.code_a AND p.code_b = hp.code_b AND p.chapter = hp.chapter""",
+    }
+
+
+def querylog_oracles() -> dict[str, str]:
+    return {
+        "keyword_filter": f"WITH {VERSES}\nSELECT ord, key FROM verses_x WHERE text IS NOT NULL AND contains(text, 'the')",
+        "keyword_topk": with_ctx("""kt AS (SELECT c.qid, v.ord, row_number() OVER (PARTITION BY c.qid ORDER BY v.ord) AS rank
+       FROM ctx c JOIN verses v ON v.text IS NOT NULL AND contains(v.text, c.search_keyword))
+SELECT qid, CAST(rank AS INT) AS rank, ord FROM kt WHERE rank <= 5"""),
+        "keyword_join": with_ctx("""kws AS (SELECT DISTINCT search_keyword AS keyword FROM ctx)
+SELECT k.keyword, v.ord FROM kws k JOIN verses v ON v.text IS NOT NULL AND contains(v.text, k.keyword)"""),
+        "version_alias_filter": f"""WITH {VERSES},
+{_dict_ctes()},
+filters AS (SELECT alias AS f FROM version_alias UNION SELECT key FROM version_alias UNION SELECT lower(version) FROM verses),
+pv AS (SELECT version, count(*) AS n FROM verses GROUP BY version),
+m AS (
+  SELECT f.f, pv.n FROM filters f JOIN pv ON NOT {not_blank('f.f')} OR lower(f.f) = lower(pv.version)
+    OR EXISTS (SELECT 1 FROM version_alias a WHERE a.key = upper(f.f) AND lower(a.alias) = lower(pv.version))
+    OR EXISTS (SELECT 1 FROM version_alias a WHERE a.key = pv.version AND lower(a.alias) = lower(f.f)))
+SELECT f.f AS filter, CAST(coalesce(sum(m.n), 0) AS BIGINT) AS n_match FROM filters f LEFT JOIN m ON m.f = f.f GROUP BY f.f""",
+        "scope_filter": with_ctx(f"""sf AS (SELECT c.qid, c.scope_type, v.ord FROM ctx c LEFT JOIN verses v ON {SCOPE_OK}
+       WHERE c.scope_type <> 'NONE')
+SELECT qid, scope_type, CAST(count(ord) AS BIGINT) AS n_passages FROM sf GROUP BY qid, scope_type"""),
+        "validate_queries": f"""WITH {QUERIES}
+SELECT qid, {not_blank('query')} AS valid, CASE WHEN {not_blank('query')} THEN NULL ELSE 'Query cannot be empty' END AS error
+FROM queries""",
+        "query_tokens": f"""WITH {QUERIES},
+t AS (SELECT qid, string_split_regex(lower({jtrim('query')}), {q(WS + '+')}) AS toks FROM queries WHERE {not_blank('query')}),
+u AS (SELECT qid, unnest(toks) AS token, unnest(range(0, len(toks))) AS pos FROM t)
+SELECT qid, CAST(pos AS INT) AS pos, token FROM u""",
+        "keyword_extract": f"""WITH {QUERIES},
+t AS (SELECT qid, {jtrim('query')} AS st FROM queries WHERE {not_blank('query')})
+SELECT qid, {extract_keyword('st')} AS keyword FROM t""",
+        "reference_parse": reference_parse_sql(),
+        "scope_split": with_ctx("x AS (SELECT 1)\nSELECT qid, ko_scope, ko_search, en_scope, en_search FROM sc0"),
+        "scope_resolve": with_ctx("""x AS (SELECT 1)
+SELECT qid, scope_type, array_to_string(scope_books, ',') AS scope_books, scope_testament, scope_desc, cleaned_query,
+  search_query FROM ctx"""),
+        "prototype_similarity": with_ctx(f"x AS (SELECT 1)\nSELECT qid, {SIM_COLS} FROM ctx"),
+        "intent_classify": with_ctx("""x AS (SELECT 1)
+SELECT qid, intent, extracted_keyword, intent_reason, intent IN ('KEYWORD', 'HYBRID') AS needs_keyword,
+  intent IN ('SEMANTIC', 'HYBRID') AS needs_semantic FROM ctx"""),
+        "scope_gate": with_ctx("x AS (SELECT 1)\nSELECT qid, gate_off AS skip_scope, round(confidence, 6) AS confidence FROM ctx"),
+    }
+
+
+def vector_oracles() -> dict[str, str]:
+    return {
+        "cosine_pairs": with_ctx(f"""x AS (SELECT 1)
+SELECT v.qid, e.vec_id AS ord, round({cos('v.qvec', 'e.embedding')}, 6) AS score FROM valid v, embeddings e
+WHERE {cos('v.qvec', 'e.embedding')} >= 0.1"""),
+        "knn_topk": with_ctx(f"{TOP50}\nSELECT qid, ord, round(score, 6) AS score, CAST(cand_rank AS INT) AS cand_rank FROM top50"),
+        "hydrate_candidates": with_ctx(f"""{TOP50}
+SELECT t.qid, CAST(t.cand_rank AS INT) AS cand_rank, v.key FROM top50 t JOIN verses_x v ON v.ord = t.ord"""),
+        "rerank_scores": with_ctx(f"""{TOP50}
+SELECT t.qid, t.ord, round(t.score, 6) AS score, round({rerank('t.score', 'v.text', 'c.search_query')}, 6) AS reranked_score
+FROM top50 t JOIN verses v ON v.ord = t.ord JOIN ctx c ON c.qid = t.qid"""),
+        "score_band": with_ctx(f"""{semres_ctes()},
+sb AS (SELECT qid, rank, CASE WHEN reranked_score <> 0 THEN reranked_score ELSE score END AS d FROM semres)
+SELECT qid, rank, round(d, 6) AS shown_score,
+  CASE WHEN d >= 0.5 THEN 'high' WHEN d >= 0.35 THEN 'mid' ELSE 'low' END AS band,
+  CAST(floor(d * 100 + 0.5) AS BIGINT) AS percent FROM sb"""),
+        "hybrid_anti": with_ctx(f"""{semantic_ctes()}
+SELECT s.qid, s.ord FROM sem s JOIN ctx c ON c.qid = s.qid
+WHERE s.reranked_score >= s.min_score AND NOT contains(s.text, c.search_keyword)"""),
+        "response_envelope": ENVELOPE,
+        "service_stats": SERVICE_STATS,
+        "vector_scan": VSUM,
+        "vector_upsert": """WITH u AS (
+  SELECT vec_id AS id, embedding, 0 AS batch FROM embeddings
+  UNION ALL SELECT vec_id, list_reverse(embedding), 1 FROM embeddings WHERE label < 3)
+SELECT id AS vec_id, batch, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FROM u) WHERE rn = 1""",
+        "vector_codec_roundtrip": """SELECT vec_id, CAST(4 * len(embedding) AS INT) AS n_bytes, CAST(len(embedding) AS INT) AS dim,
+  true AS same FROM embeddings""",
+        "vector_snapshot_roundtrip": VSUM,
+        "embed_corpus": EMBED,
+        "build_report": """SELECT count(*) AS n_passages, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes,
+  CAST(sum(length(text)) AS BIGINT) AS text_chars FROM documents""",
+    }
+
 ORACLE: dict[str, str] = {
     "semantic_search": semantic_search_sql(),
     "keyword_search": keyword_search_sql(),
     "hybrid_search": hybrid_search_sql(),
     "routed_search": routed_search_sql(),
 }
+ORACLE.update(corpus_oracles())
+ORACLE.update(querylog_oracles())
+ORACLE.update(vector_oracles())

@@ -35,3 +35,369 @@ QUERIES: dict[str, Query] = {
     "hybrid_search": hybrid_search,
     "routed_search": routed_search,
 }
+
+
+# ---------------------------------------------------------------------------
+# Corpus jobs
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions.text import query_tokens  # noqa: E402
+from .operators import classify as C  # noqa: E402
+from .operators.filters import keyword_filter, keyword_join, scope_matches, version_matches, with_version_rules  # noqa: E402,E501
+from .operators.knn import cosine_pairs as _cosine_pairs, knn_candidates  # noqa: E402
+from .operators.rerank import rerank_score, top_per_group  # noqa: E402
+from .plans import reader as R  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import corpus as CORPUS, embed as EMBED, tables as T, vectors as V  # noqa: E402
+from .sources.dictionaries import synthetic_dictionaries  # noqa: E402
+
+
+def _v(spark, sf_dir):
+    return fixtures.passages(spark, sf_dir)
+
+
+def corpus_flatten(spark, sf_dir):
+    path = CORPUS.write_conversation_corpus(spark, T.table(spark, sf_dir, "conversations"),
+                                            scratch_path(spark, "corpus-json"))
+    return CORPUS.read_corpus(spark, [path], ["DEF"]).select(
+        "ord", "version", "book_short", "book_name", "testament", "book_number", "chapter", "verse", "title",
+        "text", "reference", "key")
+
+
+def corpus_union(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    parts = [v.filter(F.col("version") == x) for x in ("EN", "FR", "DE", "ES")]
+    return R.corpus_union(parts).select("part", "ord", "key")
+
+
+def dedup_last(spark, sf_dir):
+    v = _v(spark, sf_dir).select("ord", "key", "version", "text")
+    dup = v.filter(F.col("ord") % 5 == 0).withColumn("ord", F.col("ord") + 1_000_000)
+    return R.dedup_last(v.unionByName(dup)).select("key", "ord", "version")
+
+
+def corpus_stats(spark, sf_dir):
+    return R.corpus_stats(_v(spark, sf_dir))
+
+
+def load_counts(spark, sf_dir):
+    return R.load_counts(_v(spark, sf_dir))
+
+
+def embedding_text(spark, sf_dir):
+    return R.passage_texts(_v(spark, sf_dir)).select("ord", "embedding_text")
+
+
+def verse_key(spark, sf_dir):
+    return R.passage_texts(_v(spark, sf_dir)).select("ord", "key", "reference")
+
+
+def book_info(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    return R.book_info(v, R.version_requests(v))
+
+
+def read_chapter(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    reqs = v.select(F.col("book_short").alias("req_book"), F.col("chapter").alias("req_chapter"),
+                    F.lower("version").alias("req_version")).distinct()
+    return R.read_chapter(v, reqs).select("req_book", "req_chapter", "req_version", "pos", "verse", "version",
+                                          "total_chapters")
+
+
+def chapter_neighbors(spark, sf_dir):
+    return R.chapter_neighbors(_v(spark, sf_dir))
+
+
+def code_crosswalk(spark, sf_dir):
+    codes = _v(spark, sf_dir).select(F.col("book_short").alias("code")).distinct()
+    return R.code_pairs(codes, synthetic_dictionaries(spark).crosswalk)
+
+
+def parallel_chapter(spark, sf_dir):
+    return R.parallel_chapters(_v(spark, sf_dir), synthetic_dictionaries(spark).crosswalk, "EN", "FR")
+
+
+def hits_in_context(spark, sf_dir):
+    inp = fixtures.search_inputs(spark, sf_dir)
+    res = S.semantic_search(inp)
+    par = R.parallel_chapters(inp.verses, inp.dicts.crosswalk, "EN", "FR")
+    return R.hits_in_context(res, par, inp.dicts.crosswalk)
+
+
+# ---------------------------------------------------------------------------
+# Keyword operators
+# ---------------------------------------------------------------------------
+
+KEYWORD_LITERAL = "the"
+
+
+def keyword_filter_q(spark, sf_dir):
+    return keyword_filter(_v(spark, sf_dir), KEYWORD_LITERAL).select("ord", "key")
+
+
+def _ctx(spark, sf_dir):
+    inp = fixtures.search_inputs(spark, sf_dir)
+    return inp, S.query_context(inp)
+
+
+def keyword_topk(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    kw = ctx.select("qid", F.col("search_keyword").alias("keyword"))
+    hits = keyword_join(inp.verses, kw).join(kw, "keyword")
+    return top_per_group(hits, "qid", [F.col("ord").asc()], 5).select("qid", "rank", "ord")
+
+
+def keyword_join_q(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    return keyword_join(inp.verses, ctx.select(F.col("search_keyword").alias("keyword")))
+
+
+def version_alias_filter(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    d = synthetic_dictionaries(spark)
+    filters = (d.version_alias.select(F.col("alias").alias("f"))
+               .unionByName(d.version_alias.select(F.col("key").alias("f")))
+               .unionByName(v.select(F.lower("version").alias("f")))
+               .distinct())
+    per_version = v.groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    rules = with_version_rules(filters, d.version_alias, "f")
+    j = rules.join(per_version, version_matches("version", "f"), "left")
+    return j.groupBy("f").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_match")) \
+        .withColumnRenamed("f", "filter")
+
+
+def scope_filter(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    scoped = ctx.filter(F.col("scope_type") != "NONE").select("qid", "scope_type", "scope_books", "scope_testament")
+    books = scoped.select("qid", F.explode(F.array_distinct(F.transform("scope_books", F.lower))).alias("code"))
+    by_book = (inp.verses.groupBy(F.lower("book_short").alias("code_l")).agg(F.count(F.lit(1)).alias("n"))
+               .join(books.select("qid", F.lower("code").alias("code_l")), "code_l")
+               .groupBy("qid").agg(F.sum("n").alias("n")))
+    by_test = (inp.verses.groupBy("testament").agg(F.count(F.lit(1)).alias("n"))
+               .join(scoped.filter(F.col("scope_type") == "TESTAMENT")
+                     .select("qid", F.col("scope_testament").alias("testament")), "testament")
+               .select("qid", "n"))
+    counts = by_book.unionByName(by_test)
+    return scoped.join(counts, "qid", "left").select(
+        "qid", "scope_type", F.coalesce("n", F.lit(0)).cast("long").alias("n_passages"))
+
+
+# ---------------------------------------------------------------------------
+# Query-log operators
+# ---------------------------------------------------------------------------
+
+def validate_queries(spark, sf_dir):
+    return C.validate_queries(T.queries(spark, sf_dir)).select("qid", "valid", "error")
+
+
+def query_tokens_q(spark, sf_dir):
+    q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid")
+    from .functions.text import java_trim
+    return q.select("qid", F.posexplode(query_tokens(java_trim("query"))).alias("pos", "token")) \
+        .select("qid", F.col("pos").cast("int").alias("pos"), "token")
+
+
+def keyword_extract(spark, sf_dir):
+    from .functions.text import java_trim
+    q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid")
+    d = synthetic_dictionaries(spark)
+    return q.select("qid", C.extract_keyword(java_trim("query"), d.stop_words).alias("keyword"))
+
+
+def reference_parse(spark, sf_dir):
+    q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid")
+    return C.parse_reference(q, synthetic_dictionaries(spark)).select(
+        "qid", "route", "ref_book", "ref_version", "ref_chapter", "ref_verse")
+
+
+def scope_split(spark, sf_dir):
+    from .functions.text import java_trim
+    q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid").withColumn("trimmed", java_trim("query"))
+    return C.split_scope(q).select("qid", "ko_scope", "ko_search", "en_scope", "en_search")
+
+
+def scope_resolve(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    return ctx.select("qid", "scope_type", F.array_join("scope_books", ",").alias("scope_books"),
+                      "scope_testament", "scope_desc", "cleaned_query", "search_query")
+
+
+def prototype_similarity(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    return ctx.select("qid", *[F.round(c, 6).alias(c) for c in ("kw_sim", "sem_sim", "ctx_sim", "noctx_sim")])
+
+
+def intent_classify(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    return ctx.select("qid", "intent", "extracted_keyword", "intent_reason", "needs_keyword", "needs_semantic")
+
+
+def scope_gate(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    th = inp.thresholds
+    off = (F.col("noctx_sim") > F.col("ctx_sim")) & (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)
+    return ctx.select("qid", off.alias("skip_scope"), F.round("confidence", 6).alias("confidence"))
+
+
+# ---------------------------------------------------------------------------
+# Vector operators
+# ---------------------------------------------------------------------------
+
+def _valid_qvecs(spark, sf_dir):
+    q = C.validate_queries(T.queries_with_vectors(spark, sf_dir)).filter("valid")
+    return q.select("qid", "qvec")
+
+
+def cosine_pairs(spark, sf_dir):
+    pairs = _cosine_pairs(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), min_score=0.1)
+    return pairs.select("qid", "ord", F.round("score", 6).alias("score"))
+
+
+def knn_topk(spark, sf_dir):
+    c = knn_candidates(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
+    return c.select("qid", "ord", F.round("score", 6).alias("score"), "cand_rank")
+
+
+def hydrate_candidates(spark, sf_dir):
+    c = knn_candidates(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
+    return c.join(_v(spark, sf_dir).select("ord", "key"), "ord").select("qid", "cand_rank", "key")
+
+
+def rerank_scores(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    c = knn_candidates(inp.vectors, ctx.select("qid", "qvec"), k=50, min_score=0.1)
+    j = c.join(inp.verses.select("ord", "text"), "ord").join(ctx.select("qid", "search_query"), "qid")
+    return j.select("qid", "ord", F.round("score", 6).alias("score"),
+                    F.round(rerank_score("score", "text", "search_query"), 6).alias("reranked_score"))
+
+
+def score_band(spark, sf_dir):
+    return R.with_score_band(semantic_search(spark, sf_dir))
+
+
+def hybrid_anti(spark, sf_dir):
+    inp, ctx = _ctx(spark, sf_dir)
+    cands = S.semantic_candidates(inp, ctx)
+    return cands.filter(~F.col("text").contains(F.col("search_keyword"))).select("qid", "ord")
+
+
+def response_envelope(spark, sf_dir):
+    inp = fixtures.search_inputs(spark, sf_dir)
+    return S.response_envelope(inp)
+
+
+def service_stats(spark, sf_dir):
+    """A5: one row of service statistics; every aggregate enters as a scalar subquery."""
+    v = _v(spark, sf_dir)
+    e = T.vectors(spark, sf_dir)
+    p = T.prototypes(spark, sf_dir)
+    seg = R.passage_texts(v.join(e.select("ord"), "ord"))
+    cols = [F.lit(50).alias("candidate_count"), F.lit(5).alias("result_count"), F.lit(0.3).alias("min_score"),
+            seg.agg(F.countDistinct("embedding_text")).scalar().alias("indexed_segments")]
+    for c in ("KEYWORD", "SEMANTIC", "CONTEXT", "NO_CONTEXT"):
+        cols.append(p.agg(F.count_if(F.col("class") == c)).scalar().alias(f"n_{c.lower()}_prototypes"))
+    stats = R.corpus_stats(v)
+    for c in stats.columns:
+        cols.append(stats.select(c).scalar().alias(c))
+    return spark.range(1).select(*cols)
+
+
+# ---------------------------------------------------------------------------
+# Vector store jobs
+# ---------------------------------------------------------------------------
+
+def vector_scan(spark, sf_dir):
+    return V.vector_summary(V.scan(T.table(spark, sf_dir, "embeddings")))
+
+
+def vector_upsert(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    new = e.filter(F.col("label") < 3).select("id", F.reverse("embedding").alias("embedding"), "label")
+    up = V.upsert(e, new)
+    return up.select(F.col("id").alias("vec_id"), "batch", F.round(F.col("embedding")[0].cast("double"), 6)
+                     .alias("first_value"))
+
+
+def vector_codec_roundtrip(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    enc = V.encode_vectors(e)
+    dec = V.decode_vectors(enc.select("vec_id", "blob", F.octet_length("blob").alias("n_bytes")))
+    return dec.join(e.withColumnRenamed("embedding", "orig"), "vec_id").select(
+        "vec_id", "n_bytes", F.size("embedding").alias("dim"), (F.col("embedding") == F.col("orig")).alias("same"))
+
+
+def vector_snapshot_roundtrip(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    uri = V.save_snapshot(e, scratch_path(spark, "snapshot"))
+    back = V.load_snapshot(spark, uri, "vec_id long, embedding array<float>")
+    return V.vector_summary(back)
+
+
+def vector_append(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings").select("embedding")
+    return V.append(scratch_path(spark, "store"), e).select("id", "text", "embedding")
+
+
+def index_bootstrap(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    src, df = V.load_or_build_index(spark, scratch_path(spark, "missing-store"), scratch_path(spark, "missing-snap"),
+                                    "doc_id long, embedding array<float>", lambda: EMBED.hash_embed(docs))
+    return df.withColumn("source", F.lit(src))
+
+
+def embed_corpus(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return EMBED.hash_cells(docs).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def build_report(spark, sf_dir):
+    return V.build_report(T.table(spark, sf_dir, "documents"))
+
+
+QUERIES.update({
+    "corpus_flatten": corpus_flatten,
+    "corpus_union": corpus_union,
+    "dedup_last": dedup_last,
+    "corpus_stats": corpus_stats,
+    "load_counts": load_counts,
+    "embedding_text": embedding_text,
+    "verse_key": verse_key,
+    "book_info": book_info,
+    "read_chapter": read_chapter,
+    "chapter_neighbors": chapter_neighbors,
+    "code_crosswalk": code_crosswalk,
+    "parallel_chapter": parallel_chapter,
+    "hits_in_context": hits_in_context,
+    "keyword_filter": keyword_filter_q,
+    "keyword_topk": keyword_topk,
+    "keyword_join": keyword_join_q,
+    "version_alias_filter": version_alias_filter,
+    "scope_filter": scope_filter,
+    "validate_queries": validate_queries,
+    "query_tokens": query_tokens_q,
+    "keyword_extract": keyword_extract,
+    "reference_parse": reference_parse,
+    "scope_split": scope_split,
+    "scope_resolve": scope_resolve,
+    "prototype_similarity": prototype_similarity,
+    "intent_classify": intent_classify,
+    "scope_gate": scope_gate,
+    "cosine_pairs": cosine_pairs,
+    "knn_topk": knn_topk,
+    "hydrate_candidates": hydrate_candidates,
+    "rerank_scores": rerank_scores,
+    "score_band": score_band,
+    "hybrid_anti": hybrid_anti,
+    "response_envelope": response_envelope,
+    "service_stats": service_stats,
+    "vector_scan": vector_scan,
+    "vector_upsert": vector_upsert,
+    "vector_codec_roundtrip": vector_codec_roundtrip,
+    "vector_snapshot_roundtrip": vector_snapshot_roundtrip,
+    "vector_append": vector_append,
+    "index_bootstrap": index_bootstrap,
+    "embed_corpus": embed_corpus,
+    "build_report": build_report,
+})

@@ -45,7 +45,7 @@ def with_version_rules(q: DataFrame, aliases: DataFrame, filter_col: str = "vers
     by_alias = (f.join(a, F.lower("alias") == F.lower("__f"))
                 .groupBy("__f").agg(F.collect_set("key").alias("alias_exact")))
     rules = f.join(by_key, "__f", "left").join(by_alias, "__f", "left")
-    return q.join(F.broadcast(rules) if False else rules, F.col(filter_col).eqNullSafe(F.col("__f")), "left").drop("__f")
+    return q.join(rules, F.col(filter_col).eqNullSafe(F.col("__f")), "left").drop("__f")
 
 
 def version_matches(version: str | Column = "version", filter_col: str | Column = "version_filter",
