@@ -14,19 +14,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.semantic_search(fixtures.search_inputs(spark, sf_dir))
+    return S.semantic_search(*fixtures.search_context(spark, sf_dir))
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.keyword_search(fixtures.search_inputs(spark, sf_dir))
+    return S.keyword_search(*fixtures.search_context(spark, sf_dir))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.hybrid_search(fixtures.search_inputs(spark, sf_dir))
+    return S.hybrid_search(*fixtures.search_context(spark, sf_dir))
 
 
 def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.routed_search(fixtures.search_inputs(spark, sf_dir))
+    return S.routed_search(*fixtures.search_context(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
@@ -120,8 +120,8 @@ def parallel_chapter(spark, sf_dir):
 
 
 def hits_in_context(spark, sf_dir):
-    inp = fixtures.search_inputs(spark, sf_dir)
-    res = S.semantic_search(inp)
+    inp, ctx = fixtures.search_context(spark, sf_dir)
+    res = S.semantic_search(inp, ctx)
     par = R.parallel_chapters(inp.verses, inp.dicts.crosswalk, "EN", "FR")
     return R.hits_in_context(res, par, inp.dicts.crosswalk)
 
@@ -138,8 +138,7 @@ def keyword_filter_q(spark, sf_dir):
 
 
 def _ctx(spark, sf_dir):
-    inp = fixtures.search_inputs(spark, sf_dir)
-    return inp, S.query_context(inp)
+    return fixtures.search_context(spark, sf_dir)
 
 
 def keyword_topk(spark, sf_dir):
@@ -284,8 +283,8 @@ def hybrid_anti(spark, sf_dir):
 
 
 def response_envelope(spark, sf_dir):
-    inp = fixtures.search_inputs(spark, sf_dir)
-    return S.response_envelope(inp)
+    inp, ctx = fixtures.search_context(spark, sf_dir)
+    return S.response_envelope(inp, ctx=ctx)
 
 
 def service_stats(spark, sf_dir):

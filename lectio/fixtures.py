@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.classify import Thresholds
-from .plans.search import SearchInputs
+from .plans.search import SearchInputs, query_context
 from .session import scratch_path
 from .sources import tables
 from .sources.dictionaries import synthetic_dictionaries
@@ -34,6 +34,19 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_BUILT[key])
 
 
+def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, DataFrame]:
+    """Search inputs plus the classified query log (validation, scope, intent, request
+    defaults), written once per session and folder and read back by every search, the
+    way the passage table is: a derived table in the shared folder, not a driver cache."""
+    inp = search_inputs(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "ctx")
+    if key not in _BUILT:
+        path = scratch_path(spark, "query-context")
+        query_context(inp).write.mode("overwrite").parquet(path)
+        _BUILT[key] = path
+    return inp, spark.read.parquet(_BUILT[key])
+
+
 def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     return SearchInputs(
         verses=passages(spark, sf_dir),

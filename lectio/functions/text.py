@@ -106,3 +106,31 @@ def percent0(x: Column) -> Column:
 def search_query(cleaned: str | Column, original: str | Column) -> Column:
     """Cleaned query when non-blank, else the original."""
     return F.when(not_blank(cleaned), col_(cleaned)).otherwise(col_(original))
+
+
+# ---------------------------------------------------------------------------
+# Literal helpers: one SQL expression per literal array instead of one call per element
+# ---------------------------------------------------------------------------
+
+def sql_literal(v) -> str:
+    """Spark SQL text for a Python scalar / list / dict (struct) literal."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        return f"CAST('{v!r}' AS DOUBLE)" if v != v or v in (float("inf"), float("-inf")) else f"{v!r}D"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in v.items()) + ")"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(sql_literal(x) for x in v) + ")"
+    raise TypeError(type(v))
+
+
+def lit_value(v) -> Column:
+    """A literal column built JVM-side from SQL text (a single py4j call)."""
+    return F.expr(sql_literal(v))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col_, java_split_ws, java_trim, not_blank, null_if_empty, percent0
+from ..functions.text import col_, java_split_ws, java_trim, lit_value, not_blank, null_if_empty, percent0
 from ..functions.vector import dot, norm, unit
 from ..sources.dictionaries import Dictionaries
 
@@ -85,16 +85,13 @@ def validate_queries(q: DataFrame, query_col: str = "query") -> DataFrame:
 
 def prototype_centroids(protos: DataFrame) -> DataFrame:
     """Mean of the *unit* prototype vectors per (set, class): ``avg_i cos(q, p_i)`` equals
-    ``q . centroid / |q|``, so one dot product per query replaces one per prototype."""
-    e = protos.select("set", "class", unit("embedding").alias("u"))
-    n = protos.groupBy("set", "class").agg(F.count(F.lit(1)).alias("n"))
-    cells = (e.select("set", "class", F.posexplode("u").alias("pos", "x"))
-             .groupBy("set", "class", "pos").agg(F.sum("x").alias("sx"))
-             .join(n, ["set", "class"])
-             .withColumn("x", F.col("sx") / F.col("n")))
-    return (cells.groupBy("set", "class")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("cells"))
-            .select("set", "class", F.transform("cells", lambda c: c["x"]).alias("centroid")))
+    ``q . centroid / |q|``, so one dot product per query replaces one per prototype.
+    One grouped aggregate (ML ``Summarizer``, partial aggregation before the shuffle)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    u = protos.select("set", "class", array_to_vector(unit("embedding")).alias("u"))
+    return (u.groupBy("set", "class").agg(Summarizer.mean(F.col("u")).alias("m"))
+            .select("set", "class", vector_to_array("m").alias("centroid")))
 
 
 MAX_CLASSES = 64
@@ -124,7 +121,7 @@ def with_class_similarity(q: DataFrame, centroids: DataFrame | dict, classes: di
         if not c:
             cols.append(F.lit(0.0).alias(out_col))
             continue
-        carr = F.array(*[F.lit(x) for x in c])
+        carr = lit_value([float(x) for x in c])
         sim = F.when((qn == 0) | F.col(vec_col).isNull() | (F.size(vec_col) != len(c)), F.lit(0.0)) \
             .otherwise(dot(vec_col, carr) / qn)
         cols.append(sim.alias(out_col))
@@ -145,7 +142,7 @@ def extract_keyword(t: str | Column, stop_words: list[str]) -> Column:
         g = java_trim(F.regexp_replace(java_trim(F.regexp_extract(t, p, 1)), "[\"'\\s]+$", ""))
         tries.append(F.when(t.rlike(p) & (F.length(g) >= 1) & (F.length(g) <= KEYWORD_MAX_CHARS), g))
     words = java_split_ws(t)
-    stops = F.array(*[F.lit(w) for w in stop_words])
+    stops = lit_value(list(stop_words))
     cand = F.filter(words, lambda w: (F.length(w) >= FALLBACK_MIN_CHARS) & ~F.array_contains(stops, F.lower(w)))
     fallback = F.when(F.size(words) <= FALLBACK_MAX_WORDS, F.try_element_at(cand, F.lit(1)))
     return F.coalesce(*tries, fallback)
@@ -219,10 +216,7 @@ def _entries(df: DataFrame, literal: dict | None, value_col: str) -> list[tuple]
 
 
 def _dict_array(rows: list[tuple]) -> Column:
-    def val(v):
-        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
-    return F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(k).alias("key"), val(v).alias("v"))
-                     for lang, k, v in rows])
+    return lit_value([{"lang": lang, "key": k, "v": v} for lang, k, v in rows])
 
 
 def _first_contained(phrase: Column, lang: Column, arr: Column) -> Column:

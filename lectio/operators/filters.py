@@ -16,7 +16,7 @@ from ..functions.text import col_, is_blank
 
 # Above this many distinct keywords the broadcast nested-loop ``contains`` join is
 # replaced by an Aho-Corasick scan (one pass over each text for all keywords).
-KEYWORD_BNLJ_LIMIT = 2_000
+KEYWORD_BNLJ_LIMIT = 32
 KEYWORD_BLOCK_BYTES = 64 << 20
 
 
@@ -104,7 +104,7 @@ def chapter_predicate_col(book_col: str = "req_book", chapter_col: str = "req_ch
 # J7 keyword x corpus
 # ---------------------------------------------------------------------------
 
-def _ac_kernel(bc, text_col: str, id_col: str):
+def _ac_kernel(bc, text_col: str, out_cols: list[str]):
     def run(batches):
         import ahocorasick
         kws = bc.value
@@ -113,43 +113,48 @@ def _ac_kernel(bc, text_col: str, id_col: str):
             auto.add_word(k, i)
         auto.make_automaton()
         for pdf in batches:
-            out_k, out_o = [], []
-            for o, t in zip(pdf[id_col].to_numpy(), pdf[text_col]):
+            rows, hit = [], []
+            for r, t in enumerate(pdf[text_col]):
                 if t is None:
                     continue
-                seen = {i for _, i in auto.iter(t)}
-                for i in seen:
-                    out_k.append(kws[i])
-                    out_o.append(o)
-            if out_k:
-                yield pd.DataFrame({"keyword": out_k, id_col: np.asarray(out_o, dtype=np.int64)})
+                for i in {i for _, i in auto.iter(t)}:
+                    rows.append(r)
+                    hit.append(kws[i])
+            if rows:
+                out = pdf.iloc[rows][out_cols].reset_index(drop=True)
+                out.insert(0, "keyword", hit)
+                yield out
     return run
 
 
 def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword",
-                 text_col: str = "text", id_col: str = "ord",
+                 text_col: str = "text", id_col: str = "ord", carry: list[str] | None = None,
                  bnlj_limit: int = KEYWORD_BNLJ_LIMIT) -> DataFrame:
-    """All ``(keyword, ord)`` with ``contains(text, keyword)``.
+    """Every ``(keyword, ord, *carry)`` with ``contains(text, keyword)``.
 
     The distinct keyword set is counted first. Up to ``bnlj_limit`` keywords it is
     broadcast into a nested-loop join whose condition is the built-in ``contains``
-    (codegen, no Python). Above it, keywords are split into blocks of bounded bytes and
-    each block is matched by an Aho-Corasick automaton per task: one pass over each text
-    for all keywords of the block, output only for real matches."""
+    (codegen, no Python; cost ~ texts x keywords). Above it, the keywords are split into
+    blocks of bounded bytes, each broadcast once, and an Aho-Corasick automaton per task
+    finds all keywords of a block in one pass over each text (cost ~ text length +
+    matches). Only ``carry`` columns travel with the hits; the text itself never does."""
+    carry = [c for c in (carry or []) if c != id_col]
     kw = keywords.select(F.col(kw_col).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
     stats = kw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("b")).first()
     n, nbytes = int(stats["n"]), int(stats["b"])
-    scan = corpus.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    scan = corpus.select(id_col, *carry, text_col).filter(F.col(text_col).isNotNull())
     if n <= bnlj_limit:
-        return scan.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword"))).select("keyword", id_col)
+        return scan.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword"))).select("keyword", id_col, *carry)
     blocks = max(1, math.ceil(nbytes / KEYWORD_BLOCK_BYTES))
     spark = corpus.sparkSession
+    fields = {f.name: f.dataType.simpleString() for f in scan.schema.fields}
+    schema = ", ".join(["keyword string"] + [f"`{c}` {fields[c]}" for c in [id_col, *carry]])
     parts = []
     for b in range(blocks):
         sub = kw if blocks == 1 else kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b)
         words = [r["keyword"] for r in sub.toLocalIterator()]
         bc = spark.sparkContext.broadcast(words)
-        parts.append(scan.mapInPandas(_ac_kernel(bc, text_col, id_col), f"keyword string, {id_col} long"))
+        parts.append(scan.mapInPandas(_ac_kernel(bc, text_col, [id_col, *carry]), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..operators.classify import (Thresholds, centroid_literals, classify_intent, detect_scope,
                                   prototype_centroids, validate_queries)
-from ..operators.filters import (KEYWORD_BNLJ_LIMIT, keyword_join, scope_matches, version_matches,
-                                 with_version_rules)
+from ..operators.filters import keyword_join, scope_matches, version_matches, with_version_rules
 from ..operators.knn import knn_candidates
 from ..operators.rerank import (CANDIDATE_COUNT, CANDIDATE_FLOOR, DEFAULT_MAX_RESULTS, DEFAULT_MIN_SCORE,
                                 TIE_DIGITS, rerank_score, top_per_group)
@@ -107,27 +106,24 @@ def semantic_results(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
 def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFrame:
     """First-k keyword hits per query in arrival order, after version and scope filters.
 
-    Queries sharing a filter signature (keyword, version rule, scope) share one cut; the
-    ``row_number <= kmax`` filter becomes a partial ``WindowGroupLimit`` that runs in the
-    join stage, so a keyword matching a third of the corpus still ships at most kmax
-    rows per map partition."""
+    Queries sharing a filter signature (keyword, version rule, scope) share one cut. The
+    text scan (J7) carries only the narrow filter columns; the ``row_number <= kmax`` cut
+    is planned as a partial ``WindowGroupLimit`` before its shuffle, so a keyword that
+    matches a third of the corpus still ships at most kmax rows per map partition; the
+    wide passage columns are joined back for the surviving rows only."""
     kmax = _max_k(ctx)
     sig = (ctx.select(*SIGNATURE, F.col(k_col).alias("k"))
            .groupBy(*SIGNATURE).agg(F.max("k").alias("sig_k"))
            .withColumn("sig_id", F.xxhash64(*SIGNATURE)))
-    n_sig = sig.count()
-    verses = inp.verses.select(*VERSE_COLUMNS)
-    if n_sig <= KEYWORD_BNLJ_LIMIT:
-        hits = verses.filter(F.col("text").isNotNull()).join(
-            F.broadcast(sig), F.col("text").contains(F.col("search_keyword")))
-    else:
-        pairs = keyword_join(verses, sig.select(F.col("search_keyword").alias("keyword")))
-        hits = pairs.join(verses, "ord").join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
+    narrow = ["ord", "version", "book_short", "testament"]
+    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow)
+    hits = pairs.join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
     hits = hits.filter(version_matches("version", "version_filter") & scope_matches())
-    hits = top_per_group(hits, "sig_id", [F.col("ord").asc()], kmax, "sig_rank") \
+    hits = top_per_group(hits.select("sig_id", "sig_k", "ord"), "sig_id", [F.col("ord").asc()], kmax, "sig_rank") \
         .filter(F.col("sig_rank") <= F.col("sig_k"))
-    per_q = ctx.select("qid", "intent", F.col(k_col).alias("qk"), F.xxhash64(*SIGNATURE).alias("sig_id"))
-    out = hits.drop("k").join(per_q, "sig_id").filter(F.col("sig_rank") <= F.col("qk")).withColumn("k", F.col("qk"))
+    per_q = ctx.select("qid", "intent", F.col(k_col).alias("k"), F.xxhash64(*SIGNATURE).alias("sig_id"))
+    out = hits.join(per_q, "sig_id").filter(F.col("sig_rank") <= F.col("k"))
+    out = out.join(inp.verses.select(*VERSE_COLUMNS), "ord")
     return (out.withColumn("rank", F.col("sig_rank")).withColumn("score", F.lit(1.0))
             .withColumn("reranked_score", F.lit(1.0)))
 
