@@ -400,3 +400,27 @@ QUERIES.update({
     "embed_corpus": embed_corpus,
     "build_report": build_report,
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming (rows-only checks; stream == batch is tested in tests/)
+# ---------------------------------------------------------------------------
+
+def query_log_stream(spark, sf_dir):
+    from .streaming.streams import classify_stream
+    schema = "conv_id long, turn long, role string, text string"
+    return classify_stream(spark, f"{sf_dir.rstrip('/')}/conversations*.parquet", schema,
+                           synthetic_dictionaries(spark))
+
+
+def search_stream(spark, sf_dir):
+    from .streaming.streams import search_stream as run
+    qs = T.queries(spark, sf_dir)
+    src = scratch_path(spark, "t2-queries")
+    qs.write.mode("overwrite").parquet(src)
+    inp = fixtures.search_inputs(spark, sf_dir)
+    return run(spark, f"{src}/*.parquet", "qid long, query string, max_results int, min_score double, version string",
+               inp, T.query_vectors(spark, sf_dir))
+
+
+QUERIES.update({"query_log_stream": query_log_stream, "search_stream": search_stream})
