@@ -515,10 +515,9 @@ req AS (SELECT DISTINCT book_short AS req_book, chapter AS req_chapter, lower(ve
 breq AS (SELECT DISTINCT req_book, req_version FROM req),
 {book_info_ctes('breq')},
 hits AS (
-  SELECT r.req_book, r.req_chapter, r.req_version, v.verse, v.version,
-    CAST(row_number() OVER (PARTITION BY r.req_book, r.req_chapter, r.req_version ORDER BY v.verse, v.ord) AS INT) AS pos
+  SELECT r.req_book, r.req_chapter, r.req_version, v.ord, v.verse, v.version
   FROM req r JOIN verses v ON lower(v.book_short) = lower(r.req_book) AND v.chapter = r.req_chapter AND {VOK})
-SELECT h.req_book, h.req_chapter, h.req_version, h.pos, h.verse, h.version,
+SELECT h.req_book, h.req_chapter, h.req_version, h.ord, h.verse, h.version,
   CAST(coalesce(b.total_chapters, 0) AS INT) AS total_chapters
 FROM hits h LEFT JOIN binfo b ON b.req_book = h.req_book AND b.req_version IS NOT DISTINCT FROM h.req_version""",
         "chapter_neighbors": f"""{v},

@@ -102,7 +102,7 @@ def read_chapter(spark, sf_dir):
     v = _v(spark, sf_dir)
     reqs = v.select(F.col("book_short").alias("req_book"), F.col("chapter").alias("req_chapter"),
                     F.lower("version").alias("req_version")).distinct()
-    return R.read_chapter(v, reqs).select("req_book", "req_chapter", "req_version", "pos", "verse", "version",
+    return R.read_chapter(v, reqs).select("req_book", "req_chapter", "req_version", "ord", "verse", "version",
                                           "total_chapters")
 
 

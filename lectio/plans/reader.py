@@ -6,7 +6,7 @@ verse, title, text, reference, key``) and run as grouped aggregates or equi-join
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..functions.text import displayed_score, embedding_text, score_band, score_percent
@@ -63,14 +63,14 @@ def book_info(verses: DataFrame, requests: DataFrame) -> DataFrame:
 
 def read_chapter(verses: DataFrame, requests: DataFrame) -> DataFrame:
     """The verses of each requested (req_book, req_chapter, req_version),
-    in verse order (``pos``), with totalChapters of the book under the same version rule."""
+    with totalChapters of the book under the same version rule. The reference returns the
+    list sorted by verse; here ``verse`` (then ``ord``) is the order key, so no window has
+    to hold a whole chapter."""
     hits = verses.join(requests, chapter_predicate_col())
-    w = Window.partitionBy("req_book", "req_chapter", "req_version").orderBy("verse", "ord")
     info = book_info(verses, requests.select("req_book", "req_version").distinct()) \
         .select("req_book", "req_version", "total_chapters")
-    return (hits.withColumn("pos", F.row_number().over(w).cast("int"))
-            .join(info, ["req_book", "req_version"], "left")
-            .select("req_book", "req_chapter", "req_version", "pos", "reference", "book_name", "book_short",
+    return (hits.join(info, ["req_book", "req_version"], "left")
+            .select("req_book", "req_chapter", "req_version", "ord", "reference", "book_name", "book_short",
                     "chapter", "verse", "title", "text", "version",
                     F.coalesce("total_chapters", F.lit(0)).cast("int").alias("total_chapters")))
 
@@ -144,10 +144,12 @@ def corpus_union(parts: list[DataFrame]) -> DataFrame:
 
 
 def dedup_last(df: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
-    """Last write wins per key (the map keeps the last row). The window partitions
-    by key, so its groups are as large as the copies of one key."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """Last write wins per key (the reference's map keeps the last row). A grouped
+    ``max_by`` rather than a window: each map task folds its copies of a key into one row
+    before the shuffle, so a key holding a third of all rows costs one row per task."""
+    others = [c for c in df.columns if c != key]
+    return (df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("__w"))
+            .select(key, *[F.col(f"__w.{c}").alias(c) for c in others]))
 
 
 def passage_texts(verses: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,11 +34,12 @@ def append(store_path: str, rows: DataFrame, text_col: str | None = None) -> Dat
 
 
 def upsert(existing: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """INSERT OR REPLACE by id: the row of the latest batch wins."""
-    u = existing.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
-    w = Window.partitionBy(id_col).orderBy(F.col("__batch").desc())
-    return u.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn") \
-        .withColumnRenamed("__batch", "batch")
+    """INSERT OR REPLACE by id: the row of the latest batch wins (grouped ``max_by``,
+    combined map-side, so a hot id never gathers its copies in one task)."""
+    u = existing.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
+    others = [c for c in u.columns if c != id_col]
+    return (u.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col("batch")).alias("__w"))
+            .select(id_col, *[F.col(f"__w.{c}").alias(c) for c in others]))
 
 
 # ---------------------------------------------------------------------------
