@@ -347,7 +347,8 @@ def index_bootstrap(spark, sf_dir):
 
 
 def embed_corpus(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    """S9 over the passage table (the reference embeds passages): ord is the doc_id."""
+    docs = _v(spark, sf_dir).select(F.col("ord").alias("doc_id"), "text")
     return EMBED.hash_cells(docs).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
