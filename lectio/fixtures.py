@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.classify import Thresholds
-from .plans.search import SearchInputs, query_context
+from .plans.search import SearchInputs, ord_block, query_context
 from .session import scratch_path
 from .sources import tables
 from .sources.dictionaries import synthetic_dictionaries
@@ -20,10 +20,13 @@ _BUILT: dict[tuple[str, str], str] = {}
 
 
 def build_passages(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Write the passage table (S1 output shape) and return its path."""
+    """Write the passage table (S1 output shape) and return its path. The table is
+    partitioned by ``ord_block`` (see ``plans.search.hydrate``) so that joins from a few
+    candidate ords prune whole blocks at run time."""
     path = path or scratch_path(spark, "verses")
-    (tables.verses(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord")
-     .write.mode("overwrite").parquet(path))
+    (tables.verses(spark, sf_dir).withColumn("ord_block", ord_block("ord"))
+     .repartitionByRange("ord").sortWithinPartitions("ord")
+     .write.mode("overwrite").partitionBy("ord_block").parquet(path))
     return path
 
 

@@ -62,6 +62,33 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
     return with_version_rules(q, inp.dicts.version_alias, "version_filter").persist()
 
 
+ORD_BLOCK_BITS = 10
+
+
+def ord_block(ord_col: str = "ord"):
+    """Partition key of the passage table: consecutive ords share a block."""
+    return F.shiftright(F.col(ord_col), ORD_BLOCK_BITS)
+
+
+def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
+    """Attach passage columns to a small table of ords.
+
+    The small side is written to the shared checkpoint folder first (a lineage cut that
+    also keeps the k-NN kernel from running twice). When the passage table is partitioned
+    by ``ord_block`` the join also matches on it, and Spark's dynamic partition pruning
+    reads only the blocks that hold a candidate, not the whole corpus."""
+    from ..session import scratch_path
+    spark = keys.sparkSession
+    path = scratch_path(spark, "keys")
+    keys.write.mode("overwrite").parquet(path)
+    small = spark.read.parquet(path)
+    want = [c for c in cols if c != "ord"]
+    if "ord_block" in verses.columns:
+        return (small.withColumn("ord_block", ord_block("ord"))
+                .join(verses.select("ord_block", "ord", *want), ["ord_block", "ord"]).drop("ord_block"))
+    return small.join(verses.select("ord", *want), "ord")
+
+
 def _result_projection(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in ("score", "reranked_score") else F.col(c)
                        for c in RESULT_COLUMNS])
@@ -86,7 +113,7 @@ def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor)
     small = ctx.select("qid", "intent", "search_query", "search_keyword", "k", "min_score", "version_filter",
                        "alias_lower", "alias_exact", "scope_type", "scope_books", "scope_testament")
-    j = (cands.join(inp.verses.select(*VERSE_COLUMNS), "ord")           # J1 (F7: unresolved dropped)
+    j = (hydrate(cands, inp.verses, VERSE_COLUMNS)                      # J1 (F7: unresolved dropped)
          .join(small, "qid")
          .filter(version_matches("version", "version_filter") & scope_matches()))
     return (j.withColumn("reranked_score", rerank_score("score", "text", "search_query"))
@@ -123,7 +150,7 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
         .filter(F.col("sig_rank") <= F.col("sig_k"))
     per_q = ctx.select("qid", "intent", F.col(k_col).alias("k"), F.xxhash64(*SIGNATURE).alias("sig_id"))
     out = hits.join(per_q, "sig_id").filter(F.col("sig_rank") <= F.col("k"))
-    out = out.join(inp.verses.select(*VERSE_COLUMNS), "ord")
+    out = hydrate(out, inp.verses, VERSE_COLUMNS)
     return (out.withColumn("rank", F.col("sig_rank")).withColumn("score", F.lit(1.0))
             .withColumn("reranked_score", F.lit(1.0)))
 
