@@ -55,7 +55,7 @@ def _topk_local(qidx: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int):
     return qidx[keep], ords[keep], scores[keep]
 
 
-def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str):
+def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, relevance: bool = False):
     def kernel(batches):
         qids, qunit = bc.value
         nq, dim = qunit.shape
@@ -73,6 +73,8 @@ def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str):
             chunk = max(1, min(nq, KERNEL_MEMORY // (8 * n)))
             for j0 in range(0, nq, chunk):
                 s = cu @ qunit[j0:j0 + chunk].T                    # (n, chunk)
+                if relevance:
+                    s = (1.0 + s) / 2.0
                 if k is not None and n > k:                         # prefilter, ties kept
                     kth = np.partition(np.round(s, SCORE_TIE_DIGITS), n - k, axis=0)[n - k]
                     mask = (np.round(s, SCORE_TIE_DIGITS) >= kth) & (s >= min_score)
@@ -109,9 +111,12 @@ def _query_block(queries: DataFrame, qid_col: str, vec_col: str):
 def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score: float,
                  id_col: str = "ord", vec_col: str = "embedding",
                  qid_col: str = "qid", qvec_col: str = "qvec",
-                 broadcast_budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
+                 broadcast_budget: int = DEFAULT_BROADCAST_BUDGET, score_mode: str = "cosine") -> DataFrame:
     """Kernel output ``(qid, ord, score)``: per corpus partition, the local top-k per
-    query (all pairs passing ``min_score`` when ``k`` is None)."""
+    query (all pairs passing ``min_score`` when ``k`` is None). ``score_mode='relevance'``
+    scores ``(1 + cos) / 2`` instead of the raw cosine (thresholds then mean that)."""
+    if score_mode not in ("cosine", "relevance"):
+        raise ValueError(score_mode)
     spark = corpus.sparkSession
     stats = queries.agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.max(F.size(qvec_col)), F.lit(0)).alias("d")).first()
@@ -123,7 +128,8 @@ def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score
         block = queries if n_blocks == 1 else queries.filter(
             F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == b)
         bc = spark.sparkContext.broadcast(_query_block(block, qid_col, qvec_col))
-        parts.append(scan.mapInPandas(_make_kernel(bc, k, min_score, id_col, vec_col), CAND_SCHEMA))
+        parts.append(scan.mapInPandas(_make_kernel(bc, k, min_score, id_col, vec_col, score_mode == "relevance"),
+                                      CAND_SCHEMA))
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)

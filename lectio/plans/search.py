@@ -43,6 +43,7 @@ class SearchInputs:
     candidate_count: int = CANDIDATE_COUNT
     candidate_floor: float = CANDIDATE_FLOOR
     prefilter: bool = False      # filter version/scope before the top-50 cut (not the reference order)
+    score_mode: str = "cosine"   # or "relevance": (1 + cos) / 2
 
 
 def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame:
@@ -110,7 +111,8 @@ def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     corpus = inp.vectors
     if inp.prefilter:
         raise NotImplementedError("prefilter mode needs per-query corpora; use the default order")
-    cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor)
+    cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor,
+                           score_mode=inp.score_mode)
     small = ctx.select("qid", "intent", "search_query", "search_keyword", "k", "min_score", "version_filter",
                        "alias_lower", "alias_exact", "scope_type", "scope_books", "scope_testament")
     j = (hydrate(cands, inp.verses, VERSE_COLUMNS)                      # J1 (F7: unresolved dropped)

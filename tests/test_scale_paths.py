@@ -53,3 +53,10 @@ def test_fewer_matches_than_k_and_threshold(spark):
     assert [(r["ord"], r["cand_rank"]) for r in got] == [(1, 1)]
     exact = knn_candidates(corpus, q, k=50, min_score=1.0).collect()   # threshold is inclusive
     assert [r["ord"] for r in exact] == [1]
+
+
+def test_relevance_score_mode(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0])], "ord long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, qvec array<float>")
+    got = {r["ord"]: r["score"] for r in knn_candidates(corpus, q, k=5, min_score=0.0, score_mode="relevance").collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.5}
