@@ -271,6 +271,24 @@ def keyword_ctes(ctx_filter: str = "true") -> str:
     WHERE ({ctx_filter}) AND {SCOPE_OK}) WHERE rank <= k)"""
 
 
+def semantic_prefilter_sql() -> str:
+    """Filters (scope; version rule trivially true for null filters) before the cut."""
+    return f"""WITH {context_ctes()},
+pc0 AS (
+  SELECT c.qid, v.ord, {cos('c.qvec', 'e.embedding')} AS score
+  FROM ctx c, embeddings e JOIN verses v ON v.ord = e.vec_id WHERE {SCOPE_OK}),
+pcand AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
+                 FROM pc0 WHERE score >= 0.1) WHERE cand_rank <= 50),
+psem AS (
+  SELECT t.qid, t.score, t.cand_rank, v.key, v.reference, v.book_name, v.book_short, v.chapter, v.verse,
+    v.title, v.text, v.version, c.k, c.min_score, {rerank('t.score', 'v.text', 'c.search_query')} AS reranked_score
+  FROM pcand t JOIN verses_x v ON v.ord = t.ord JOIN ctx c ON c.qid = t.qid)
+SELECT {RESULT_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(reranked_score, 12) DESC, cand_rank) AS rank
+  FROM psem WHERE reranked_score >= min_score) WHERE rank <= k"""
+
+
 def semantic_search_sql(ctx_filter: str = "true") -> str:
     return f"""WITH {context_ctes()},
 {semantic_ctes(ctx_filter)}
@@ -623,6 +641,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FR
 
 ORACLE: dict[str, str] = {
     "semantic_search": semantic_search_sql(),
+    "semantic_search_prefilter": semantic_prefilter_sql(),
     "keyword_search": keyword_search_sql(),
     "hybrid_search": hybrid_search_sql(),
     "routed_search": routed_search_sql(),

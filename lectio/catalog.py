@@ -17,6 +17,13 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.semantic_search(*fixtures.search_context(spark, sf_dir))
 
 
+def semantic_search_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with ``prefilter=True``: version and scope filters before the top-50 cut."""
+    import dataclasses
+    inp, ctx = fixtures.search_context(spark, sf_dir)
+    return S.semantic_search(dataclasses.replace(inp, prefilter=True), ctx)
+
+
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keyword_search(*fixtures.search_context(spark, sf_dir))
 
@@ -31,6 +38,7 @@ def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "semantic_search": semantic_search,
+    "semantic_search_prefilter": semantic_search_prefilter,
     "keyword_search": keyword_search,
     "hybrid_search": hybrid_search,
     "routed_search": routed_search,

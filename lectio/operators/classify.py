@@ -43,6 +43,11 @@ KOREAN_NT_PATTERN = "(?i)신약(?:성경|성서)?"
 ENGLISH_OT_PATTERN = "(?i)(?:old testament|OT)"
 ENGLISH_NT_PATTERN = "(?i)(?:new testament|NT)"
 MULTI_BOOK_SPLIT = "[,과와]|\\s+and\\s+|\\s*&\\s*"
+# scope_match="phrase": the whole phrase up to a word-bounded connective, and word-bounded
+# testament abbreviations (fixes the first-word capture and the 'nt'/'ot' inside names)
+ENGLISH_SCOPE_PHRASE = ("(?i)^(?:in|from)\\s+(?:the\\s+)?(.+?)\\s+(?:about|on|concerning|regarding)\\b\\s*(.+)$")
+ENGLISH_OT_PHRASE = "(?i)\\b(?:old testament|OT)\\b"
+ENGLISH_NT_PHRASE = "(?i)\\b(?:new testament|NT)\\b"
 TESTAMENT_LABELS = {("ko", 1): "구약 (Old Testament)", ("ko", 2): "신약 (New Testament)",
                     ("en", 1): "Old Testament", ("en", 2): "New Testament"}
 
@@ -189,12 +194,13 @@ def classify_intent(q: DataFrame, centroids: DataFrame | dict, stop_words: list[
 # C5 scope split, C6 / C7 scope resolve, C4 gate
 # ---------------------------------------------------------------------------
 
-def split_scope(q: DataFrame, text_col: str = "trimmed") -> DataFrame:
+def split_scope(q: DataFrame, text_col: str = "trimmed", scope_match: str = "reference") -> DataFrame:
     """Adds ko_scope/ko_search and en_scope/en_search (null when the pattern does
     not match the whole trimmed query)."""
     t = F.col(text_col)
     cols = []
-    for lang, p in (("ko", KOREAN_SCOPE_PATTERN), ("en", ENGLISH_SCOPE_PATTERN)):
+    en = ENGLISH_SCOPE_PHRASE if scope_match == "phrase" else ENGLISH_SCOPE_PATTERN
+    for lang, p in (("ko", KOREAN_SCOPE_PATTERN), ("en", en)):
         hit = t.rlike(p)
         cols += [F.when(hit, java_trim(F.regexp_extract(t, p, 1))).alias(f"{lang}_scope"),
                  F.when(hit, java_trim(F.regexp_extract(t, p, 2))).alias(f"{lang}_search")]
@@ -233,14 +239,16 @@ def dictionary_columns(dicts: Dictionaries) -> tuple[Column, Column]:
     return groups, names
 
 
-def resolve_scope(scope: Column, lang: Column, groups: Column, names: Column) -> Column:
+def resolve_scope(scope: Column, lang: Column, groups: Column, names: Column, scope_match: str = "reference") -> Column:
     """C6/C7 for one (scope phrase, language): in order testament, book group, several
     books (> 1 resolved part), one book. Returns a struct (scope_type, scope_books,
     scope_testament, scope_desc), or null when nothing matches. The fixed-size
     dictionaries are inlined, so this is a projection: no join, no shuffle."""
     is_ko = lang == "ko"
-    ot = F.when(is_ko, scope.rlike(KOREAN_OT_PATTERN)).otherwise(scope.rlike(ENGLISH_OT_PATTERN))
-    nt = F.when(is_ko, scope.rlike(KOREAN_NT_PATTERN)).otherwise(scope.rlike(ENGLISH_NT_PATTERN))
+    en_ot, en_nt = ((ENGLISH_OT_PHRASE, ENGLISH_NT_PHRASE) if scope_match == "phrase"
+                    else (ENGLISH_OT_PATTERN, ENGLISH_NT_PATTERN))
+    ot = F.when(is_ko, scope.rlike(KOREAN_OT_PATTERN)).otherwise(scope.rlike(en_ot))
+    nt = F.when(is_ko, scope.rlike(KOREAN_NT_PATTERN)).otherwise(scope.rlike(en_nt))
     g = _first_contained(scope, lang, groups)
     b = _first_contained(scope, lang, names)
     pieces = F.filter(F.transform(F.split(scope, MULTI_BOOK_SPLIT), lambda x: java_trim(x)), lambda x: F.length(x) > 0)
@@ -263,7 +271,7 @@ def resolve_scope(scope: Column, lang: Column, groups: Column, names: Column) ->
 
 
 def detect_scope(q: DataFrame, centroids: DataFrame | dict, dicts: Dictionaries, th: Thresholds = Thresholds(),
-                 query_col: str = "query", vec_col: str = "qvec") -> DataFrame:
+                 query_col: str = "query", vec_col: str = "qvec", scope_match: str = "reference") -> DataFrame:
     """Adds trimmed, ctx_sim, noctx_sim, scope_type (NONE when no scope),
     scope_books, scope_testament, scope_desc, confidence, cleaned_query, search_query.
     The Korean form is tried first, then the English one; all per-row projections."""
@@ -271,12 +279,12 @@ def detect_scope(q: DataFrame, centroids: DataFrame | dict, dicts: Dictionaries,
                               {"ctx_sim": "CONTEXT", "noctx_sim": "NO_CONTEXT"}, vec_col)
     gate_off = ((F.col("noctx_sim") > F.col("ctx_sim")) &
                 (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)) | ~not_blank(query_col)
-    q = split_scope(q)
+    q = split_scope(q, scope_match=scope_match)
     groups, names = dictionary_columns(dicts)
     q = q.select("*", groups.alias("__groups"), names.alias("__names"), gate_off.alias("__off"))
     g, n = F.col("__groups"), F.col("__names")
-    q = q.select("*", F.when(~F.col("__off"), resolve_scope(F.col("ko_scope"), F.lit("ko"), g, n)).alias("__ko"),
-                 F.when(~F.col("__off"), resolve_scope(F.col("en_scope"), F.lit("en"), g, n)).alias("__en"))
+    q = q.select("*", F.when(~F.col("__off"), resolve_scope(F.col("ko_scope"), F.lit("ko"), g, n, scope_match)).alias("__ko"),
+                 F.when(~F.col("__off"), resolve_scope(F.col("en_scope"), F.lit("en"), g, n, scope_match)).alias("__en"))
     q = q.select("*", F.coalesce(F.col("__ko"), F.col("__en")).alias("__r"),
                  F.when(F.col("__ko").isNotNull(), F.col("ko_search"))
                   .when(F.col("__en").isNotNull(), F.col("en_search")).alias("__part"))

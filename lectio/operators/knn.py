@@ -55,9 +55,30 @@ def _topk_local(qidx: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int):
     return qidx[keep], ords[keep], scores[keep]
 
 
+def _allowed(pdf: pd.DataFrame, rules: dict, j0: int, j1: int) -> np.ndarray:
+    """(n, j1-j0) mask of corpus rows each query may return (prefilter mode): version in
+    the query's allowed set and scope (NONE / testament / book list, ignoring case)."""
+    n = len(pdf)
+    ver = pdf["version"].to_numpy(dtype=object)
+    book = pdf["book_short"].fillna("").str.lower().to_numpy(dtype=object)
+    test = pdf["testament"].to_numpy()
+    out = np.zeros((n, j1 - j0), dtype=bool)
+    for j in range(j0, j1):
+        versions, stype, books, testament = rules["versions"][j], rules["type"][j], rules["books"][j], rules["testament"][j]
+        m = np.ones(n, dtype=bool) if versions is None else np.isin(ver, list(versions))
+        if stype == "TESTAMENT":
+            m &= test == testament
+        elif stype != "NONE":
+            m &= np.isin(book, [b.lower() for b in (books or [])])
+        out[:, j - j0] = m
+    return out
+
+
 def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, relevance: bool = False):
     def kernel(batches):
-        qids, qunit = bc.value
+        block = bc.value
+        qids, qunit = block[0], block[1]
+        rules = block[2] if len(block) > 2 else None
         nq, dim = qunit.shape
         acc_q, acc_o, acc_s = [], [], []
         pending = 0
@@ -68,6 +89,7 @@ def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, releva
             if cm.shape[0] == 0:
                 continue
             ords = pdf[id_col].to_numpy(dtype=np.int64)[ok]
+            attrs = pdf[ok] if rules is not None else None
             cu = _unit_rows(cm)
             n = cu.shape[0]
             chunk = max(1, min(nq, KERNEL_MEMORY // (8 * n)))
@@ -75,6 +97,8 @@ def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, releva
                 s = cu @ qunit[j0:j0 + chunk].T                    # (n, chunk)
                 if relevance:
                     s = (1.0 + s) / 2.0
+                if rules is not None:
+                    s = np.where(_allowed(attrs, rules, j0, j0 + s.shape[1]), s, -np.inf)
                 if k is not None and n > k:                         # prefilter, ties kept
                     kth = np.partition(np.round(s, SCORE_TIE_DIGITS), n - k, axis=0)[n - k]
                     mask = (np.round(s, SCORE_TIE_DIGITS) >= kth) & (s >= min_score)
@@ -97,24 +121,39 @@ def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, releva
     return kernel
 
 
-def _query_block(queries: DataFrame, qid_col: str, vec_col: str):
-    pdf = queries.select(F.col(qid_col).alias("qid"), F.col(vec_col).alias("v")).toPandas()
+RULE_COLS = ["allowed_versions", "scope_type", "scope_books", "scope_testament"]
+
+
+def _query_block(queries: DataFrame, qid_col: str, vec_col: str, with_rules: bool = False):
+    cols = [F.col(qid_col).alias("qid"), F.col(vec_col).alias("v")] + ([F.col(c) for c in RULE_COLS] if with_rules else [])
+    pdf = queries.select(*cols).toPandas()
     if len(pdf) == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+        empty = (np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
+        return empty + ({"versions": [], "type": [], "books": [], "testament": []},) if with_rules else empty
     dims = {len(v) for v in pdf["v"] if v is not None}
     dim = max(dims) if dims else 0
     qm, ok = _stack(pdf["v"], dim)
     qids = pdf["qid"].to_numpy(dtype=np.int64)[ok]
-    return qids, _unit_rows(qm)
+    if not with_rules:
+        return qids, _unit_rows(qm)
+    r = pdf[ok]
+    rules = {"versions": [None if v is None else list(v) for v in r["allowed_versions"]],
+             "type": list(r["scope_type"]), "books": [None if b is None else list(b) for b in r["scope_books"]],
+             "testament": list(r["scope_testament"])}
+    return qids, _unit_rows(qm), rules
 
 
 def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score: float,
                  id_col: str = "ord", vec_col: str = "embedding",
                  qid_col: str = "qid", qvec_col: str = "qvec",
-                 broadcast_budget: int = DEFAULT_BROADCAST_BUDGET, score_mode: str = "cosine") -> DataFrame:
+                 broadcast_budget: int = DEFAULT_BROADCAST_BUDGET, score_mode: str = "cosine",
+                 prefilter: bool = False) -> DataFrame:
     """Kernel output ``(qid, ord, score)``: per corpus partition, the local top-k per
     query (all pairs passing ``min_score`` when ``k`` is None). ``score_mode='relevance'``
-    scores ``(1 + cos) / 2`` instead of the raw cosine (thresholds then mean that)."""
+    scores ``(1 + cos) / 2`` instead of the raw cosine (thresholds then mean that).
+    ``prefilter=True`` applies each query's version and scope rules (``RULE_COLS`` on the
+    query side, ``version, book_short, testament`` on the corpus side) inside the kernel,
+    before the top-k cut."""
     if score_mode not in ("cosine", "relevance"):
         raise ValueError(score_mode)
     spark = corpus.sparkSession
@@ -122,12 +161,13 @@ def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score
                         F.coalesce(F.max(F.size(qvec_col)), F.lit(0)).alias("d")).first()
     nbytes = int(stats["n"]) * max(int(stats["d"]), 1) * 8
     n_blocks = max(1, math.ceil(nbytes / broadcast_budget))
-    scan = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
+    attrs = [F.col(c) for c in ("version", "book_short", "testament")] if prefilter else []
+    scan = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *attrs)
     parts = []
     for b in range(n_blocks):
         block = queries if n_blocks == 1 else queries.filter(
             F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == b)
-        bc = spark.sparkContext.broadcast(_query_block(block, qid_col, qvec_col))
+        bc = spark.sparkContext.broadcast(_query_block(block, qid_col, qvec_col, prefilter))
         parts.append(scan.mapInPandas(_make_kernel(bc, k, min_score, id_col, vec_col, score_mode == "relevance"),
                                       CAND_SCHEMA))
     cands = parts[0]

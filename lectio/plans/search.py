@@ -44,6 +44,7 @@ class SearchInputs:
     candidate_floor: float = CANDIDATE_FLOOR
     prefilter: bool = False      # filter version/scope before the top-50 cut (not the reference order)
     score_mode: str = "cosine"   # or "relevance": (1 + cos) / 2
+    scope_match: str = "reference"  # or "phrase": whole English scope phrase, word-bounded OT/NT
 
 
 def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
     branches and size checks; a lost block is recomputed from its lineage."""
     c = centroids if centroids is not None else centroid_literals(prototype_centroids(inp.prototypes))
     q = validate_queries(inp.queries).filter("valid")
-    q = detect_scope(q, c, inp.dicts, inp.thresholds)
+    q = detect_scope(q, c, inp.dicts, inp.thresholds, scope_match=inp.scope_match)
     q = classify_intent(q, c, inp.dicts.stop_words, inp.thresholds, text_col="search_query")
     q = (q.withColumn("k", F.coalesce(F.col("max_results"), F.lit(DEFAULT_MAX_RESULTS)).cast("int"))
          .withColumn("min_score", F.coalesce(F.col("min_score"), F.lit(DEFAULT_MIN_SCORE)).cast("double"))
@@ -107,12 +108,24 @@ def _max_k(ctx: DataFrame) -> int:
 def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     """Top-50 cosine candidates of each query in ``ctx``, hydrated (J1), filtered by
     version and scope *after* the cut (R2), re-ranked (R1) and floored at min_score."""
-    qside = ctx.select("qid", "qvec")
-    corpus = inp.vectors
     if inp.prefilter:
-        raise NotImplementedError("prefilter mode needs per-query corpora; use the default order")
+        # versions present in the corpus (a small distinct set) decide each query's F2 rule once
+        versions = inp.verses.select(F.col("version").alias("v")).distinct()
+        allowed = (ctx.select("qid", "version_filter", "alias_lower", "alias_exact")
+                   .join(versions, version_matches("v", "version_filter"))
+                   .groupBy("qid").agg(F.collect_set("v").alias("allowed_versions")))
+        qside = ctx.join(allowed, "qid", "left").select(
+            "qid", "qvec", F.coalesce("allowed_versions", F.array().cast("array<string>")).alias("allowed_versions"),
+            "scope_type", "scope_books", "scope_testament")
+        # the filter attributes must sit next to each vector: an attributed index carries
+        # them already; otherwise one equi-join on ord attaches them (unresolvable vectors
+        # have no attributes and cannot pass a filter)
+        corpus = inp.vectors if "version" in inp.vectors.columns else inp.vectors.select("ord", "embedding").join(
+            inp.verses.select("ord", "version", "book_short", "testament"), "ord")
+    else:
+        qside, corpus = ctx.select("qid", "qvec"), inp.vectors
     cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor,
-                           score_mode=inp.score_mode)
+                           score_mode=inp.score_mode, prefilter=inp.prefilter)
     small = ctx.select("qid", "intent", "search_query", "search_keyword", "k", "min_score", "version_filter",
                        "alias_lower", "alias_exact", "scope_type", "scope_books", "scope_testament")
     j = (hydrate(cands, inp.verses, VERSE_COLUMNS)                      # J1 (F7: unresolved dropped)

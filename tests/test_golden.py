@@ -92,3 +92,25 @@ def test_rerank(spark):
     df = spark.createDataFrame(RERANK, "score double, text string, q string, want double")
     for r in df.select(rerank_score("score", "text", "q").alias("got"), "want").collect():
         assert r["got"] == pytest.approx(r["want"], abs=1e-12)
+
+
+PHRASE_SCOPES = [
+    ("in Isaiah and Jeremiah about hope", "MULTIPLE_BOOKS", "Isa,Jer", None, "hope"),
+    ("in the new testament about love", "TESTAMENT", None, 2, "love"),
+    ("in Lamentations about grief", "SINGLE_BOOK", "Lam", None, "grief"),
+    ("from the gospels about mercy", "BOOK_GROUP", "Matt,Mark,Luke,John", None, "mercy"),
+    ("in Romans one faith", "NONE", None, None, "in Romans one faith"),
+    ("in 1 john about love", "SINGLE_BOOK", "1John", None, "love"),
+    ("사복음서에서 사랑이 나온 구절", "BOOK_GROUP", "마,막,눅,요", None, "사랑이 나온 구절"),
+]
+
+
+def test_scope_detection_phrase_mode(spark, dicts):
+    df = spark.createDataFrame([(i, q, [1.0, 0.0]) for i, (q, *_) in enumerate(PHRASE_SCOPES)],
+                               "qid int, query string, qvec array<double>")
+    out = C.detect_scope(df, {}, dicts, scope_match="phrase").select(
+        "qid", "scope_type", F.array_join("scope_books", ",").alias("b"), "scope_testament", "search_query")
+    got = {r["qid"]: r for r in out.collect()}
+    for i, (_, t, books, test, sq) in enumerate(PHRASE_SCOPES):
+        r = got[i]
+        assert (r["scope_type"], r["b"], r["scope_testament"], r["search_query"]) == (t, books, test, sq), PHRASE_SCOPES[i]
