@@ -12,6 +12,9 @@ exact and no global sort or single-partition window over passages is needed."""
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +51,18 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
                 strict: bool = False, multi_line: bool = True) -> DataFrame:
     """S1 (``strict=False``): version falls back to the path's default, testament and
     bookNumber to 0, text to ""; a book without chapters or a chapter without verses
-    contributes nothing. S2 (``strict=True``): no defaults, an absent text is "null"."""
+    contributes nothing. S2 (``strict=True``): no defaults, an absent text is "null".
+    A missing path is logged and skipped, as the reference warns and continues."""
     default_versions = default_versions or [None] * len(paths)
     out = None
     for i, (path, dv) in enumerate(zip(paths, default_versions)):
-        raw = (spark.read.schema(CORPUS_SCHEMA).option("multiLine", multi_line)
-               .option("recursiveFileLookup", "true").json(path)
-               .withColumn("__file", F.input_file_name()))
+        try:
+            raw = (spark.read.schema(CORPUS_SCHEMA).option("multiLine", multi_line)
+                   .option("recursiveFileLookup", "true").json(path)
+                   .withColumn("__file", F.input_file_name()))
+        except AnalysisException as e:
+            logging.getLogger(__name__).warning("corpus path %s skipped: %s", path, e)
+            continue
         files = raw.select("__file").distinct()
         ranks = files.withColumn("__file_rank", F.row_number().over(Window.orderBy("__file")) - 1)
         docs = raw.join(ranks, "__file")
@@ -77,6 +85,10 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
             book_no.cast("int").alias("book_number"), F.col("c.chapter").alias("chapter"),
             F.col("v.verse").alias("verse"), F.col("v.title").alias("title"), text.alias("text"))
         out = flat if out is None else out.unionByName(flat)
+    if out is None:
+        out = spark.createDataFrame([], "ord long, version string, book_short string, book_name string, "
+                                        "testament int, book_number int, chapter int, verse int, title string, "
+                                        "text string")
     return out.withColumn("reference", reference_label()).withColumn("key", verse_key())
 
 
