@@ -45,7 +45,9 @@ def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, Data
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "ctx")
     if key not in _BUILT:
         path = scratch_path(spark, "query-context")
-        query_context(inp).write.mode("overwrite").parquet(path)
+        ctx = query_context(inp)
+        ctx.write.mode("overwrite").parquet(path)
+        ctx.unpersist()
         _BUILT[key] = path
     return inp, spark.read.parquet(_BUILT[key])
 

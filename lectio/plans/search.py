@@ -28,6 +28,7 @@ RESULT_COLUMNS = ["qid", "rank", "key", "reference", "book_name", "book_short",
                   "title", "text", "version", "score", "reranked_score"]
 VERSE_COLUMNS = ["ord", "key", "reference", "book_name", "book_short", "testament", "chapter", "verse",
                  "title", "text", "version"]
+SIGNATURE_BROADCAST_ROWS = 200_000
 SIGNATURE = ["search_keyword", "version_filter", "alias_lower", "alias_exact",
              "scope_type", "scope_books", "scope_testament"]
 
@@ -159,7 +160,11 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
            .withColumn("sig_id", F.xxhash64(*SIGNATURE)))
     narrow = ["ord", "version", "book_short", "testament"]
     pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow)
-    hits = pairs.join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
+    # a keyword may match a third of the corpus: with a count-checked signature table the
+    # join is a broadcast (no shuffle of the hits at all); beyond it AQE splits skew
+    small_sig = sig.limit(SIGNATURE_BROADCAST_ROWS + 1).count() <= SIGNATURE_BROADCAST_ROWS
+    hits = pairs.join(F.broadcast(sig) if small_sig else sig,
+                      F.col("keyword") == F.col("search_keyword")).drop("keyword")
     hits = hits.filter(version_matches("version", "version_filter") & scope_matches())
     hits = top_per_group(hits.select("sig_id", "sig_k", "ord"), "sig_id", [F.col("ord").asc()], kmax, "sig_rank") \
         .filter(F.col("sig_rank") <= F.col("sig_k"))

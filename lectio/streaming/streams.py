@@ -65,8 +65,9 @@ def search_stream(spark: SparkSession, source_glob: str, schema: str, inputs: S.
     def answer(batch: DataFrame, epoch: int) -> None:
         inp = S.SearchInputs(inputs.verses, inputs.vectors, batch.join(query_vectors, "qid", "left"),
                              inputs.prototypes, inputs.dicts, inputs.thresholds)
-        res = S.routed_search(inp)
-        res.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        ctx = S.query_context(inp)
+        S.routed_search(inp, ctx).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        ctx.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source_glob)
     q = (stream.writeStream.foreachBatch(answer).option("checkpointLocation", ckpt)
