@@ -20,7 +20,7 @@ sys.path.insert(0, HERE)
 
 HEADLINE = ["semantic_search", "keyword_search", "hybrid_search", "routed_search", "response_envelope",
             "knn_topk", "cosine_pairs", "keyword_join", "parallel_chapter", "read_chapter", "embed_corpus",
-            "corpus_flatten", "dedup_last"]
+            "corpus_flatten", "dedup_last", "conversation_search"]
 
 
 def main() -> None:
@@ -53,12 +53,15 @@ def main() -> None:
         times[name] = round(run(name, sf_dir), 3)
 
     n_queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    n_conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").count()
     total = round(sum(times.values()), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times,
         "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "n_queries": n_queries,
         "routed_queries_per_sec": round(n_queries / times["routed_search"], 2) if times["routed_search"] else None,
+        "conversation_queries": n_conv,
+        "conversation_queries_per_sec": round(n_conv / times["conversation_search"], 2),
     }))
     spark.stop()
 

@@ -33,6 +33,9 @@ TRAIL_QUOTES = r"[\"' \t\n\x0B\f\r]+$"
 TH_FLOOR, TH_DIFF, TH_SCOPE = 0.0, 0.01, 0.01
 
 
+QV = "qv AS (SELECT q.qid, q.query, e.embedding AS qvec FROM queries q LEFT JOIN embeddings e ON e.vec_id = q.qid)"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -116,8 +119,9 @@ def extract_keyword(t: str) -> str:
     return "coalesce(" + ", ".join(tries + [fb]) + ")"
 
 
-def context_ctes() -> str:
-    """CTEs up to ``ctx``: one row per valid query with scope, intent and keyword."""
+def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None) -> str:
+    """CTEs up to ``ctx``: one row per valid query with scope, intent and keyword.
+    ``queries_cte`` / ``qv_cte`` replace the benchmark query log and its vectors."""
     ko1 = f"regexp_extract(trimmed, {q(KO_SCOPE)}, 1)"
     ko2 = f"regexp_extract(trimmed, {q(KO_SCOPE)}, 2)"
     en1 = f"regexp_extract(trimmed, {q(EN_SCOPE)}, 1)"
@@ -128,10 +132,10 @@ def context_ctes() -> str:
     is_sem = f"(sem_sim > {TH_FLOOR} AND -(kw_sim - sem_sim) > {TH_DIFF})"
     kwx = extract_keyword(t)
     return f"""{VERSES},
-{QUERIES},
+{queries_cte or QUERIES},
 {PROTOS},
 {_dict_ctes()},
-qv AS (SELECT q.qid, q.query, e.embedding AS qvec FROM queries q LEFT JOIN embeddings e ON e.vec_id = q.qid),
+{qv_cte or QV},
 valid AS (SELECT qid, query, qvec, {jtrim('query')} AS trimmed FROM qv WHERE {not_blank('query')}),
 sims AS (
   SELECT v.qid,
@@ -246,11 +250,11 @@ def rerank(score: str, text: str, query: str) -> str:
             f"CASE WHEN length(coalesce({text}, '')) > 300 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END))")
 
 
-def semantic_ctes(ctx_filter: str = "true", exclude_keyword: bool = False) -> str:
+def semantic_ctes(ctx_filter: str = "true", exclude_keyword: bool = False, vectors: str = "embeddings") -> str:
     excl = "AND NOT contains(v.text, c.search_keyword)" if exclude_keyword else ""
     return f"""cand0 AS (
   SELECT c.qid, e.vec_id AS ord, {cos('c.qvec', 'e.embedding')} AS score
-  FROM ctx c, embeddings e WHERE {ctx_filter}),
+  FROM ctx c, {vectors} e WHERE {ctx_filter}),
 cand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
                  FROM cand0 WHERE score >= 0.1) WHERE cand_rank <= 50),
@@ -303,9 +307,9 @@ def keyword_search_sql(ctx_filter: str = "true") -> str:
 SELECT {RESULT_COLS} FROM kwh"""
 
 
-def hybrid_body(ctx_filter: str = "true") -> str:
+def hybrid_body(ctx_filter: str = "true", vectors: str = "embeddings") -> str:
     return f"""{keyword_ctes(ctx_filter)},
-{semantic_ctes(ctx_filter, exclude_keyword=True)},
+{semantic_ctes(ctx_filter, exclude_keyword=True, vectors=vectors)},
 merged AS (
   SELECT qid, key, reference, book_name, book_short, chapter, verse, title, text, version, score, reranked_score, k,
     0 AS prio, 0.0::DOUBLE AS sk1, ord AS sk2 FROM kwh
@@ -323,14 +327,14 @@ def hybrid_search_sql() -> str:
 SELECT {RESULT_COLS} FROM hyb"""
 
 
-def routed_ctes() -> str:
+def routed_ctes(vectors: str = "embeddings") -> str:
     kw, sem, hy = "c.intent = 'KEYWORD'", "c.intent = 'SEMANTIC'", "c.intent = 'HYBRID'"
-    hyb = (hybrid_body(hy).replace('kwh AS', 'hkw AS').replace('FROM kwh', 'FROM hkw')
+    hyb = (hybrid_body(hy, vectors).replace('kwh AS', 'hkw AS').replace('FROM kwh', 'FROM hkw')
            .replace('sem AS (', 'hsem AS (').replace('FROM sem WHERE', 'FROM hsem WHERE')
            .replace('cand0 AS', 'hcand0 AS').replace('FROM cand0', 'FROM hcand0')
            .replace('cand AS (', 'hcand AS (').replace('FROM cand t', 'FROM hcand t'))
     return f"""{keyword_ctes(kw)},
-{semantic_ctes(sem)},
+{semantic_ctes(sem, vectors=vectors)},
 semr AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(reranked_score, 12) DESC, cand_rank) AS rank
@@ -639,6 +643,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FR
   CAST(sum(length(text)) AS BIGINT) AS text_chars FROM documents""",
     }
 
+
+def _hash_dense(src: str, id_expr: str, text_expr: str, name: str) -> str:
+    """CTEs ``{name}`` (vec_id, embedding FLOAT[64]) by the hash-embedder rule."""
+    return f"""{name}_tok AS (SELECT {id_expr} AS id, unnest(string_split_regex(lower({text_expr}), {q(WS + '+')})) AS tok
+  FROM {src}),
+{name}_c AS (
+  SELECT id,
+    CAST(((instr({HEX}, substr(md5(tok), 7, 1)) - 1) * 16 + (instr({HEX}, substr(md5(tok), 8, 1)) - 1)) % 64 AS INT) AS b,
+    CASE WHEN (instr({HEX}, substr(md5(tok), 9, 1)) - 1) % 2 = 0 THEN 1 ELSE -1 END AS s
+  FROM {name}_tok WHERE length(tok) > 0),
+{name}_cells AS (SELECT id, b, CAST(sum(s) AS DOUBLE) AS v FROM {name}_c GROUP BY id, b HAVING sum(s) <> 0),
+{name}_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {name}_cells GROUP BY id),
+{name}_w AS (SELECT c.id, c.b, CAST(CAST(c.v / n.n AS FLOAT) AS DOUBLE) AS w FROM {name}_cells c JOIN {name}_n n USING (id)),
+{name} AS (
+  SELECT id AS vec_id, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(
+      list_filter(cells, lambda c: c.b = i), lambda c: c.w)), 0.0)) AS embedding
+  FROM (SELECT id, list(struct_pack(b := b, w := w)) AS cells FROM {name}_w GROUP BY id))"""
+
+
+CONV_QUERIES = """queries AS (
+  SELECT conv_id * 10000 + turn AS qid, text AS query FROM conversations WHERE role = 'user')"""
+
+
+def conversation_search_sql() -> str:
+    qv = f"""{_hash_dense('queries', 'qid', 'query', 'qhv')},
+qv AS (SELECT q.qid, q.query, h.embedding AS qvec FROM queries q LEFT JOIN qhv h ON h.vec_id = q.qid)"""
+    ctx = context_ctes(CONV_QUERIES, qv)
+    return f"""WITH {ctx},
+{_hash_dense('documents', 'doc_id', 'text', 'hvec')},
+{routed_ctes('hvec')}
+SELECT * FROM routed"""
+
+
 ORACLE: dict[str, str] = {
     "semantic_search": semantic_search_sql(),
     "semantic_search_prefilter": semantic_prefilter_sql(),
@@ -649,3 +686,4 @@ ORACLE: dict[str, str] = {
 ORACLE.update(corpus_oracles())
 ORACLE.update(querylog_oracles())
 ORACLE.update(vector_oracles())
+ORACLE["conversation_search"] = conversation_search_sql()

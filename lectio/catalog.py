@@ -432,4 +432,12 @@ def search_stream(spark, sf_dir):
                inp, T.query_vectors(spark, sf_dir))
 
 
-QUERIES.update({"query_log_stream": query_log_stream, "search_stream": search_stream})
+def conversation_search(spark, sf_dir):
+    """E4 over every user turn of ``conversations`` with hash-embedded passages and
+    queries (S9 -> V2 end to end). Rows-only: the same operators are oracle-checked
+    above; this one exercises a larger query log."""
+    return S.routed_search(fixtures.conversation_inputs(spark, sf_dir))
+
+
+QUERIES.update({"query_log_stream": query_log_stream, "search_stream": search_stream,
+                "conversation_search": conversation_search})

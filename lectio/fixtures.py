@@ -9,6 +9,7 @@ instead of re-deriving it per query."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.classify import Thresholds
 from .plans.search import SearchInputs, ord_block, query_context
@@ -52,6 +53,34 @@ def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, Data
     return inp, spark.read.parquet(_BUILT[key])
 
 
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 index build: every passage embedded by the hash embedder, written once."""
+    from .sources.embed import hash_embed
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "hashvec")
+    if key not in _BUILT:
+        path = scratch_path(spark, "hash-vectors")
+        docs = passages(spark, sf_dir).select(F.col("ord").alias("doc_id"), "text")
+        hash_embed(docs).withColumnRenamed("doc_id", "ord").write.mode("overwrite").parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
+def conversation_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
+    """A larger query log: every user turn of ``conversations`` is a query, embedded with
+    the same hash embedder as the passages (vectors built by ``hashed_vectors``)."""
+    from .sources.embed import hash_embed
+    conv = (tables.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+            .select((F.col("conv_id") * 10000 + F.col("turn")).alias("qid"), F.col("text").alias("query"),
+                    F.lit(None).cast("int").alias("max_results"), F.lit(None).cast("double").alias("min_score"),
+                    F.lit(None).cast("string").alias("version")))
+    qvec = hash_embed(conv.select(F.col("qid").alias("doc_id"), F.col("query").alias("text"))) \
+        .select(F.col("doc_id").alias("qid"), F.col("embedding").alias("qvec"))
+    base = search_inputs(spark, sf_dir)
+    return SearchInputs(verses=base.verses, vectors=hashed_vectors(spark, sf_dir),
+                        queries=conv.join(qvec, "qid", "left"), prototypes=base.prototypes,
+                        dicts=base.dicts, thresholds=base.thresholds)
+
+
 def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     return SearchInputs(
         verses=passages(spark, sf_dir),

@@ -142,10 +142,21 @@ def extract_keyword(t: str | Column, stop_words: list[str]) -> Column:
     stripped of trailing quotes/space, has 1..20 chars; else for <= 3 words the first
     word of >= 2 chars that is not a stop word (C3); else null."""
     t = col_(t)
+    lt = F.lower(t)
+    # exact necessary conditions (literal markers every match must contain), checked with
+    # a cheap substring test before a pattern's backtracking regex runs
+    guards = [
+        t.contains('"') | t.contains("'"),
+        t.contains("라는"),
+        t.contains("나오는") | t.contains("나온") | t.contains("등장하는") | t.contains("언급된") | t.contains("포함된"),
+        t.contains("포함한") | t.contains("포함하는") | t.contains("담은") | t.contains("담고"),
+        lt.contains("containing") | lt.contains("with") | lt.contains("mention"),
+        lt.contains("the word") | lt.contains("the name") | lt.contains("the place"),
+    ]
     tries = []
-    for p in KEYWORD_PATTERNS:
+    for p, guard in zip(KEYWORD_PATTERNS, guards):
         g = java_trim(F.regexp_replace(java_trim(F.regexp_extract(t, p, 1)), "[\"'\\s]+$", ""))
-        tries.append(F.when(t.rlike(p) & (F.length(g) >= 1) & (F.length(g) <= KEYWORD_MAX_CHARS), g))
+        tries.append(F.when(guard, F.when(t.rlike(p) & (F.length(g) >= 1) & (F.length(g) <= KEYWORD_MAX_CHARS), g)))
     words = java_split_ws(t)
     stops = lit_value(list(stop_words))
     cand = F.filter(words, lambda w: (F.length(w) >= FALLBACK_MIN_CHARS) & ~F.array_contains(stops, F.lower(w)))
@@ -170,9 +181,10 @@ def classify_intent(q: DataFrame, centroids: DataFrame | dict, stop_words: list[
                  (~not_blank(text_col)).alias("__blank"),
                  ((F.size(java_split_ws(t)) == 1) & (F.length(t) <= SHORT_WORD_MAX_CHARS)).alias("__short"),
                  ((kw > th.keyword_floor) & (diff > th.intent_difference)).alias("__kw"),
-                 ((sem > th.semantic_floor) & (-diff > th.intent_difference)).alias("__sem"),
-                 extract_keyword(t, stop_words).alias("__kwx"))
+                 ((sem > th.semantic_floor) & (-diff > th.intent_difference)).alias("__sem"))
     blank, short, is_kw, is_sem = F.col("__blank"), F.col("__short"), F.col("__kw"), F.col("__sem")
+    # C2 runs only where the intent needs a keyword (KEYWORD or ambiguous), as in the reference
+    q = q.select("*", F.when(~blank & ~short & (is_kw | ~is_sem), extract_keyword(t, stop_words)).alias("__kwx"))
     intent = (F.when(blank, "SEMANTIC").when(short, "HYBRID").when(is_kw, "KEYWORD")
               .when(is_sem, "SEMANTIC").otherwise("HYBRID"))
     keyword = (F.when(blank, F.lit(None).cast("string")).when(short, t)

@@ -21,17 +21,29 @@ CANDIDATE_FLOOR = 0.1
 TIE_DIGITS = 12
 
 
-def matched_words(text: str | Column, query: str | Column) -> Column:
-    """Number of lower-cased query words longer than 2 chars found as substrings of the
-    lower-cased text (a repeated word counts each time)."""
-    lt = F.lower(F.coalesce(col_(text), F.lit("")))
-    return F.size(F.filter(query_tokens(query), lambda w: (F.length(w) > WORD_MIN_CHARS) & lt.contains(w)))
+def lower_text(text: str | Column) -> Column:
+    return F.lower(F.coalesce(col_(text), F.lit("")))
 
 
-def rerank_score(score: str | Column, text: str | Column, query: str | Column) -> Column:
+def matched_words(text: str | Column, query: str | Column, text_lower: str | None = None) -> Column:
+    """Number of lower-cased query words longer than 2 chars found as substrings of the
+    lower-cased text (a repeated word counts each time). Pass ``text_lower``, a column
+    already holding ``lower(text)``, so it is not recomputed for every word."""
+    lt = F.col(text_lower) if text_lower else lower_text(text)
+    words = query_tokens(query)
+    # bind lower(text) once per row (a one-element array fed to aggregate acts as a let):
+    # referenced directly inside the word lambda, the optimizer would inline it and
+    # lower-case the whole text again for every query word
+    return F.aggregate(F.array(lt), F.lit(0),
+                       lambda acc, x: acc + F.size(F.filter(words, lambda w: (F.length(w) > WORD_MIN_CHARS)
+                                                            & x.contains(w))))
+
+
+def rerank_score(score: str | Column, text: str | Column, query: str | Column,
+                 text_lower: str | None = None) -> Column:
     """``clamp01((score + min(0.2, 0.05 n)) * lenFactor)``; lenFactor is 0.95 above
     300 chars (the 0.9 branch of the reference is unreachable)."""
-    boost = F.least(F.lit(WORD_BOOST) * matched_words(text, query), F.lit(BOOST_CAP))
+    boost = F.least(F.lit(WORD_BOOST) * matched_words(text, query, text_lower), F.lit(BOOST_CAP))
     factor = F.when(F.length(F.coalesce(col_(text), F.lit(""))) > LONG_TEXT_CHARS, F.lit(LONG_TEXT_FACTOR)) \
         .otherwise(F.lit(1.0))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (col_(score) + boost) * factor))

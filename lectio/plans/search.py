@@ -21,7 +21,7 @@ from ..operators.classify import (Thresholds, centroid_literals, classify_intent
 from ..operators.filters import keyword_join, scope_matches, version_matches, with_version_rules
 from ..operators.knn import knn_candidates
 from ..operators.rerank import (CANDIDATE_COUNT, CANDIDATE_FLOOR, DEFAULT_MAX_RESULTS, DEFAULT_MIN_SCORE,
-                                TIE_DIGITS, rerank_score, top_per_group)
+                                TIE_DIGITS, lower_text, rerank_score, top_per_group)
 from ..sources.dictionaries import Dictionaries
 
 RESULT_COLUMNS = ["qid", "rank", "key", "reference", "book_name", "book_short", "chapter", "verse",
@@ -54,7 +54,13 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
     The result is persisted: it is small (one row per query) and read by several
     branches and size checks; a lost block is recomputed from its lineage."""
     c = centroids if centroids is not None else centroid_literals(prototype_centroids(inp.prototypes))
-    q = validate_queries(inp.queries).filter("valid")
+    q = inp.queries
+    # classification is CPU-heavy per row: a query log arriving in fewer partitions than
+    # the cluster has cores is spread first (a shuffle of the small query side only)
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    if q.rdd.getNumPartitions() < cores:
+        q = q.repartition(cores, "qid")
+    q = validate_queries(q).filter("valid")
     q = detect_scope(q, c, inp.dicts, inp.thresholds, scope_match=inp.scope_match)
     q = classify_intent(q, c, inp.dicts.stop_words, inp.thresholds, text_col="search_query")
     q = (q.withColumn("k", F.coalesce(F.col("max_results"), F.lit(DEFAULT_MAX_RESULTS)).cast("int"))
@@ -84,7 +90,9 @@ def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
     spark = keys.sparkSession
     path = scratch_path(spark, "keys")
     keys.write.mode("overwrite").parquet(path)
-    small = spark.read.parquet(path)
+    # few bytes but CPU-heavy downstream (re-rank): spread it over the cores, since a small
+    # Parquet table is read back as a single split
+    small = spark.read.parquet(path).repartition(spark.sparkContext.defaultParallelism, "ord")
     want = [c for c in cols if c != "ord"]
     if "ord_block" in verses.columns:
         return (small.withColumn("ord_block", ord_block("ord"))
@@ -132,8 +140,9 @@ def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     j = (hydrate(cands, inp.verses, VERSE_COLUMNS)                      # J1 (F7: unresolved dropped)
          .join(small, "qid")
          .filter(version_matches("version", "version_filter") & scope_matches()))
-    return (j.withColumn("reranked_score", rerank_score("score", "text", "search_query"))
-            .filter(F.col("reranked_score") >= F.col("min_score")))
+    return (j.withColumn("__lt", lower_text("text"))
+            .withColumn("reranked_score", rerank_score("score", "text", "search_query", "__lt"))
+            .drop("__lt").filter(F.col("reranked_score") >= F.col("min_score")))
 
 
 def semantic_results(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
