@@ -82,3 +82,16 @@ def test_blank_queries_become_error_rows(spark, ctx):
     errs = env.filter(~F.col("success")).collect()
     assert errs and all(r["error"] == "Query cannot be empty" and r["total_results"] == 0 and r["query"] is None
                         for r in errs)
+
+
+def test_routed_search_independent_of_shuffle_width(spark, ctx):
+    inp, c = ctx
+    rows = {}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            rows[width] = sorted(tuple(r) for r in S.routed_search(inp, c).select("qid", "rank", "key", "score").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert rows["1"] == rows["16"] and rows["1"]
