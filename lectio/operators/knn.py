@@ -1,7 +1,7 @@
 """V2 exact k-NN (and J2, the query x corpus similarity theta join) in block form.
 
-Plan shape: the corpus vector table is scanned once by ``mapInPandas``; every Arrow
-batch is multiplied by a broadcast block of unit query vectors (one BLAS call), and each
+Plan shape: the corpus vector table is scanned once by ``mapInArrow``; every Arrow
+batch (its flat float buffer reshaped, no per-row Python) is multiplied by a broadcast block of unit query vectors (one BLAS call), and each
 partition keeps only its local top-k per query. The shuffle that follows carries at most
 ``partitions * n_queries * k`` rows, independent of corpus size, and the final
 ``row_number() <= k`` is planned as a partial + final ``WindowGroupLimit``.
@@ -42,6 +42,25 @@ def _stack(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m, ok
 
 
+def _stack_arrow(col, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Same as ``_stack`` on an Arrow list column, without a Python loop over rows: the
+    flat value buffer is gathered by the list offsets into an (n, dim) matrix."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, dim)), np.zeros(0, dtype=bool)
+    offsets = col.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    valid = col.is_valid().to_numpy(zero_copy_only=False)
+    ok = valid & (lengths == dim)
+    values = col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    starts = offsets[:-1][ok] - offsets[0]
+    m = values[starts[:, None] + np.arange(dim)[None, :]] if len(starts) else np.zeros((0, dim))
+    return m, ok
+
+
 def _topk_local(qidx: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int):
     """Exact top-k per query by (round(score) desc, ord asc)."""
     if len(qidx) == 0:
@@ -75,21 +94,23 @@ def _allowed(pdf: pd.DataFrame, rules: dict, j0: int, j1: int) -> np.ndarray:
 
 
 def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, relevance: bool = False):
+    """Kernel over Arrow record batches (``mapInArrow``)."""
     def kernel(batches):
+        import pyarrow as pa
         block = bc.value
         qids, qunit = block[0], block[1]
         rules = block[2] if len(block) > 2 else None
         nq, dim = qunit.shape
         acc_q, acc_o, acc_s = [], [], []
         pending = 0
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
+        for rb in batches:
+            if rb.num_rows == 0 or nq == 0:
                 continue
-            cm, ok = _stack(pdf[vec_col], dim)
+            cm, ok = _stack_arrow(rb.column(rb.schema.get_field_index(vec_col)), dim)
             if cm.shape[0] == 0:
                 continue
-            ords = pdf[id_col].to_numpy(dtype=np.int64)[ok]
-            attrs = pdf[ok] if rules is not None else None
+            ords = rb.column(rb.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)[ok]
+            attrs = rb.to_pandas()[ok] if rules is not None else None
             cu = _unit_rows(cm)
             n = cu.shape[0]
             chunk = max(1, min(nq, KERNEL_MEMORY // (8 * n)))
@@ -117,7 +138,9 @@ def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, releva
             if k is not None:
                 q_, o_, s_ = _topk_local(q_, o_, s_, k)
             if len(q_):
-                yield pd.DataFrame({"qid": qids[q_], "ord": o_, "score": s_})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[q_], pa.int64()), pa.array(o_, pa.int64()), pa.array(s_, pa.float64())],
+                    names=["qid", "ord", "score"])
     return kernel
 
 
@@ -168,8 +191,8 @@ def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score
         block = queries if n_blocks == 1 else queries.filter(
             F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == b)
         bc = spark.sparkContext.broadcast(_query_block(block, qid_col, qvec_col, prefilter))
-        parts.append(scan.mapInPandas(_make_kernel(bc, k, min_score, id_col, vec_col, score_mode == "relevance"),
-                                      CAND_SCHEMA))
+        parts.append(scan.mapInArrow(_make_kernel(bc, k, min_score, id_col, vec_col, score_mode == "relevance"),
+                                     CAND_SCHEMA))
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
