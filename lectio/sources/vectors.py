@@ -5,8 +5,6 @@ bytes appear only at the import/export edge."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -43,37 +41,64 @@ def upsert(existing: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame
 
 
 # ---------------------------------------------------------------------------
-# S6 codec: float[] <-> little-endian float32 bytes (Arrow batches, NumPy per batch)
+# S6 codec: float[] <-> little-endian float32 bytes, whole Arrow batches at a time
 # ---------------------------------------------------------------------------
 
 def _encode(batches):
-    for pdf in batches:
-        pdf = pdf.copy()
-        pdf["blob"] = [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in pdf["embedding"]]
-        yield pdf.drop(columns=["embedding"])
+    """list<float> column -> binary column: the flat float32 buffer re-sliced by offsets x 4."""
+    import numpy as np
+    import pyarrow as pa
+    for rb in batches:
+        i = rb.schema.get_field_index("embedding")
+        col = rb.column(i)
+        offsets = col.offsets.to_numpy() - col.offsets[0].as_py()
+        flat = col.values.to_numpy(zero_copy_only=False).astype("<f4", copy=False).tobytes()
+        blob = pa.BinaryArray.from_buffers(pa.binary(), len(col),
+                                           [col.is_valid().buffers()[1] if col.null_count else None,
+                                            pa.py_buffer((offsets * 4).astype(np.int32).tobytes()),
+                                            pa.py_buffer(flat)], null_count=col.null_count)
+        yield pa.RecordBatch.from_arrays([c for j, c in enumerate(rb.columns) if j != i] + [blob],
+                                         names=[n for j, n in enumerate(rb.schema.names) if j != i] + ["blob"])
 
 
 def _decode(batches):
-    for pdf in batches:
-        pdf = pdf.copy()
-        # a ragged tail (length % 4 != 0) is dropped, as in the reference decoder
-        pdf["embedding"] = [None if b is None else np.frombuffer(bytes(b)[: len(b) // 4 * 4], dtype="<f4").tolist()
-                            for b in pdf["blob"]]
-        yield pdf.drop(columns=["blob"])
+    """binary column -> list<float>; a ragged tail (length % 4) is dropped per value, as
+    in the reference decoder. The data buffer is reinterpreted in place when every value
+    is whole; only ragged values need an index gather."""
+    import numpy as np
+    import pyarrow as pa
+    for rb in batches:
+        i = rb.schema.get_field_index("blob")
+        col = rb.column(i)
+        bufs = col.buffers()
+        off = np.frombuffer(bufs[1], dtype=np.int32)[col.offset: col.offset + len(col) + 1].astype(np.int64)
+        raw = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        diffs = np.diff(off)
+        if np.all(diffs % 4 == 0):
+            flat = raw[off[0]:off[-1]].view("<f4")
+        else:
+            keep = diffs // 4 * 4
+            idx = np.concatenate([np.arange(o, o + k) for o, k in zip(off[:-1], keep)]) if len(keep) else np.zeros(0, int)
+            flat = raw[idx].view("<f4")
+        list_off = np.concatenate([[0], np.cumsum(diffs // 4)]).astype(np.int32)
+        mask = pa.array(~col.is_valid().to_numpy(zero_copy_only=False)) if col.null_count else None
+        emb = pa.ListArray.from_arrays(pa.array(list_off, pa.int32()), pa.array(flat, pa.float32()), mask=mask)
+        yield pa.RecordBatch.from_arrays([c for j, c in enumerate(rb.columns) if j != i] + [emb],
+                                         names=[n for j, n in enumerate(rb.schema.names) if j != i] + ["embedding"])
 
 
 def encode_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     keep = [c for c in df.columns if c != vec_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != vec_col)
-    src = df.select(*keep, F.col(vec_col).alias("embedding"))
-    return src.mapInPandas(_encode, (schema + ", " if schema else "") + "blob binary")
+    src = df.select(*keep, F.col(vec_col).cast("array<float>").alias("embedding"))
+    return src.mapInArrow(_encode, (schema + ", " if schema else "") + "blob binary")
 
 
 def decode_vectors(df: DataFrame, blob_col: str = "blob") -> DataFrame:
     keep = [c for c in df.columns if c != blob_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != blob_col)
     src = df.select(*keep, F.col(blob_col).alias("blob"))
-    return src.mapInPandas(_decode, (schema + ", " if schema else "") + "embedding array<float>")
+    return src.mapInArrow(_decode, (schema + ", " if schema else "") + "embedding array<float>")
 
 
 # ---------------------------------------------------------------------------
@@ -119,7 +144,3 @@ def build_report(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_passages"),
                     F.sum(F.octet_length(text_col)).cast("long").alias("text_bytes"),
                     F.sum(F.length(text_col)).cast("long").alias("text_chars"))
-
-
-def _unused(pdf: pd.DataFrame) -> pd.DataFrame:  # keeps pandas imported for type checkers
-    return pdf
