@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col_, is_blank
+from ..functions.text import col_, is_blank, sql_literal
 
 # Above this many distinct keywords the broadcast nested-loop ``contains`` join is
 # replaced by an Aho-Corasick scan (one pass over each text for all keywords).
@@ -34,18 +34,34 @@ def keyword_filter(verses: DataFrame, keyword: str) -> DataFrame:
 # F2 version filter with aliases
 # ---------------------------------------------------------------------------
 
+MAX_ALIAS_ROWS = 10_000
+
+
 def with_version_rules(q: DataFrame, aliases: DataFrame, filter_col: str = "version") -> DataFrame:
-    """Attach, per distinct filter value, the versions it selects through the alias table:
+    """Attach, per row, the versions its filter selects through the alias table:
     ``alias_lower`` (alias set of UPPER(filter), compared ignoring case) and
-    ``alias_exact`` (exact-case versions whose alias set contains the filter)."""
-    f = q.select(F.col(filter_col).alias("__f")).filter(F.col("__f").isNotNull()).distinct()
-    a = F.broadcast(aliases)
-    by_key = (f.join(a, F.upper("__f") == F.col("key"))
-              .groupBy("__f").agg(F.collect_set(F.lower("alias")).alias("alias_lower")))
-    by_alias = (f.join(a, F.lower("alias") == F.lower("__f"))
-                .groupBy("__f").agg(F.collect_set("key").alias("alias_exact")))
-    rules = f.join(by_key, "__f", "left").join(by_alias, "__f", "left")
-    return q.join(rules, F.col(filter_col).eqNullSafe(F.col("__f")), "left").drop("__f")
+    ``alias_exact`` (exact-case versions whose alias set contains the filter).
+
+    The alias table is a fixed-size dictionary (row count checked), so it is inlined as
+    two literal maps and the rule is a per-row lookup: no join, no shuffle."""
+    rows = aliases.limit(MAX_ALIAS_ROWS + 1).collect()
+    if len(rows) > MAX_ALIAS_ROWS:
+        raise ValueError("version alias table too large to inline")
+    by_key: dict[str, set] = {}
+    by_alias: dict[str, set] = {}
+    for r in rows:
+        by_key.setdefault(r["key"], set()).add(r["alias"].lower())
+        by_alias.setdefault(r["alias"].lower(), set()).add(r["key"])
+
+    def map_lit(d: dict) -> Column:
+        if not d:
+            return F.expr("map()").cast("map<string,array<string>>")
+        body = ", ".join(f"{sql_literal(k)}, {sql_literal(sorted(v))}" for k, v in sorted(d.items()))
+        return F.expr(f"map({body})")
+    f = F.col(filter_col)
+    return q.select("*",
+                    F.try_element_at(map_lit(by_key), F.upper(f)).alias("alias_lower"),
+                    F.try_element_at(map_lit(by_alias), F.lower(f)).alias("alias_exact"))
 
 
 def version_matches(version: str | Column = "version", filter_col: str | Column = "version_filter",

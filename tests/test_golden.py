@@ -114,3 +114,22 @@ def test_scope_detection_phrase_mode(spark, dicts):
     for i, (_, t, books, test, sq) in enumerate(PHRASE_SCOPES):
         r = got[i]
         assert (r["scope_type"], r["b"], r["scope_testament"], r["search_query"]) == (t, books, test, sq), PHRASE_SCOPES[i]
+
+
+VERSION_RULES = [
+    ("krv", "KRV", True), ("krv", "개역개정", True), ("KRV", "ASV", False),
+    ("American Standard Version", "ASV", True), ("asv", "KRV", False),
+    ("개역한글", "KRV", True), ("개역한글", "개역개정", True), ("", "ASV", True), (None, "KRV", True),
+    ("ASV", "asv", True), ("english", "ASV", False),
+]
+
+
+def test_version_alias_rule(spark, dicts):
+    from lectio.operators.filters import version_matches, with_version_rules
+    df = spark.createDataFrame([(i, f, v) for i, (f, v, _) in enumerate(VERSION_RULES)],
+                               "i int, version_filter string, version string")
+    out = with_version_rules(df, dicts.version_alias, "version_filter").select(
+        "i", version_matches("version", "version_filter").alias("ok"))
+    got = {r["i"]: r["ok"] for r in out.collect()}
+    for i, (_, _, want) in enumerate(VERSION_RULES):
+        assert got[i] == want, VERSION_RULES[i]
