@@ -6,9 +6,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fixtures
+from .functions.text import java_trim, query_tokens
+from .operators import classify as C
+from .operators.filters import keyword_filter, keyword_join, version_matches, with_version_rules
+from .operators.knn import cosine_pairs as _cosine_pairs, knn_candidates
+from .operators.rerank import rerank_score, top_per_group
+from .plans import reader as R
 from .plans import search as S
+from .session import scratch_path
+from .sources import corpus as CORPUS, embed as EMBED, tables as T, vectors as V
+from .sources.dictionaries import synthetic_dictionaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,17 +58,7 @@ QUERIES: dict[str, Query] = {
 # ---------------------------------------------------------------------------
 # Corpus jobs
 # ---------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from .functions.text import query_tokens  # noqa: E402
-from .operators import classify as C  # noqa: E402
-from .operators.filters import keyword_filter, keyword_join, scope_matches, version_matches, with_version_rules  # noqa: E402,E501
-from .operators.knn import cosine_pairs as _cosine_pairs, knn_candidates  # noqa: E402
-from .operators.rerank import rerank_score, top_per_group  # noqa: E402
-from .plans import reader as R  # noqa: E402
-from .session import scratch_path  # noqa: E402
-from .sources import corpus as CORPUS, embed as EMBED, tables as T, vectors as V  # noqa: E402
-from .sources.dictionaries import synthetic_dictionaries  # noqa: E402
 
 
 def _v(spark, sf_dir):
@@ -201,13 +201,11 @@ def validate_queries(spark, sf_dir):
 
 def query_tokens_q(spark, sf_dir):
     q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid")
-    from .functions.text import java_trim
     return q.select("qid", F.posexplode(query_tokens(java_trim("query"))).alias("pos", "token")) \
         .select("qid", F.col("pos").cast("int").alias("pos"), "token")
 
 
 def keyword_extract(spark, sf_dir):
-    from .functions.text import java_trim
     q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid")
     d = synthetic_dictionaries(spark)
     return q.select("qid", C.extract_keyword(java_trim("query"), d.stop_words).alias("keyword"))
@@ -220,7 +218,6 @@ def reference_parse(spark, sf_dir):
 
 
 def scope_split(spark, sf_dir):
-    from .functions.text import java_trim
     q = C.validate_queries(T.queries(spark, sf_dir)).filter("valid").withColumn("trimmed", java_trim("query"))
     return C.split_scope(q).select("qid", "ko_scope", "ko_search", "en_scope", "en_search")
 
