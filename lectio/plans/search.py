@@ -259,3 +259,21 @@ def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx:
         F.coalesce("total_results", F.lit(0)).cast("int").alias("total_results"),
         "search_method", "extracted_keyword", "intent_reason", "detected_context_type", "detected_context",
         "context_books", "search_query", "result_keys")
+
+
+def nested_responses(envelope: DataFrame, results: DataFrame) -> DataFrame:
+    """E9 nested form: one row per query with ``results`` as an array of result structs
+    in rank order (each query's list is at most max_results long)."""
+    cols = [c for c in RESULT_COLUMNS if c != "qid"]
+    lists = (results.groupBy("qid")
+             .agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("results")))
+    return (envelope.join(lists, "qid", "left")
+            .withColumn("results", F.coalesce("results", F.array().cast(lists.schema["results"].dataType))))
+
+
+def write_responses(responses: DataFrame, uri: str, run_id: str, fmt: str = "json") -> str:
+    """S10 result sink: responses of one run under ``uri/run=<run_id>``; rewriting a run
+    replaces only that run's folder (dynamic partition overwrite)."""
+    (responses.withColumn("run", F.lit(run_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run").format(fmt).save(uri))
+    return uri

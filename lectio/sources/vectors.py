@@ -111,6 +111,19 @@ def save_snapshot(df: DataFrame, uri: str) -> str:
     return uri
 
 
+def snapshot_exists(spark: SparkSession, uri: str) -> bool:
+    """S7 exists: a snapshot is there when its folder holds at least one row."""
+    try:
+        return not spark.read.json(uri).isEmpty()
+    except AnalysisException:
+        return False
+
+
+def delete_snapshot(spark: SparkSession, uri: str, schema: str) -> None:
+    """S7 delete, as an overwrite with no rows (the same call on any file system)."""
+    spark.createDataFrame([], schema).write.mode("overwrite").json(uri)
+
+
 def load_snapshot(spark: SparkSession, uri: str, schema: str) -> DataFrame | None:
     """S7 load: None (logged, not thrown) when the snapshot is absent."""
     try:

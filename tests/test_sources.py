@@ -68,3 +68,31 @@ def test_hash_embedding_is_unit_or_zero(spark):
     assert abs(math.sqrt(sum(x * x for x in out[1])) - 1) < 1e-6
     assert all(x == 0 for x in out[2])
     assert sum(1 for x in out[3] if x != 0) == 1        # one token three times: one bucket
+
+
+def test_snapshot_exists_and_delete(spark):
+    e = T.table(spark, SF_SMALL, "embeddings").select("vec_id", "embedding")
+    uri = scratch_path(spark, "snap-del")
+    assert not V.snapshot_exists(spark, uri)
+    V.save_snapshot(e, uri)
+    assert V.snapshot_exists(spark, uri)
+    V.delete_snapshot(spark, uri, "vec_id long, embedding array<float>")
+    assert not V.snapshot_exists(spark, uri)
+
+
+def test_result_sink_nested_and_partitioned_by_run(spark):
+    from lectio import fixtures
+    from lectio.plans import search as S
+    inp, ctx = fixtures.search_context(spark, SF_SMALL)
+    res = S.routed_search(inp, ctx)
+    env = S.response_envelope(inp, res, ctx)
+    nested = S.nested_responses(env, res)
+    uri = scratch_path(spark, "responses")
+    S.write_responses(nested, uri, "r1")
+    S.write_responses(nested, uri, "r2")
+    back = spark.read.json(uri)
+    assert back.select("run").distinct().count() == 2
+    one = back.filter("run = 'r1'")
+    assert one.count() == env.count()
+    sizes = {r["qid"]: r["n"] for r in one.select("qid", F.size("results").alias("n")).collect()}
+    assert sizes == {r["qid"]: r["total_results"] for r in env.collect()}
