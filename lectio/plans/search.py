@@ -79,25 +79,31 @@ def ord_block(ord_col: str = "ord"):
     return F.shiftright(F.col(ord_col), ORD_BLOCK_BITS)
 
 
+MAX_PRUNED_BLOCKS = 100_000
+
+
 def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
     """Attach passage columns to a small table of ords.
 
     The small side is written to the shared checkpoint folder first (a lineage cut that
     also keeps the k-NN kernel from running twice). When the passage table is partitioned
-    by ``ord_block`` the join also matches on it, and Spark's dynamic partition pruning
-    reads only the blocks that hold a candidate, not the whole corpus."""
+    by ``ord_block``, the distinct blocks of the keys (at most the table's partition count,
+    checked) become a partition filter, so the scan lists and reads only the blocks that
+    hold a key, not the whole corpus."""
     from ..session import scratch_path
     spark = keys.sparkSession
     path = scratch_path(spark, "keys")
     keys.write.mode("overwrite").parquet(path)
-    # few bytes but CPU-heavy downstream (re-rank): spread it over the cores, since a small
-    # Parquet table is read back as a single split
-    small = spark.read.parquet(path).repartition(spark.sparkContext.defaultParallelism, "ord")
+    small = spark.read.parquet(path)
     want = [c for c in cols if c != "ord"]
-    if "ord_block" in verses.columns:
-        return (small.withColumn("ord_block", ord_block("ord"))
-                .join(verses.select("ord_block", "ord", *want), ["ord_block", "ord"]).drop("ord_block"))
-    return small.join(verses.select("ord", *want), "ord")
+    if "ord_block" not in verses.columns:
+        return small.join(verses.select("ord", *want), "ord")
+    small = small.withColumn("ord_block", ord_block("ord"))
+    blocks = [r[0] for r in small.select("ord_block").distinct().limit(MAX_PRUNED_BLOCKS + 1).collect()]
+    side = verses.select("ord_block", "ord", *want)
+    if len(blocks) <= MAX_PRUNED_BLOCKS:
+        side = side.filter(F.col("ord_block").isin(blocks))
+    return small.join(side, ["ord_block", "ord"]).drop("ord_block")
 
 
 def _result_projection(df: DataFrame) -> DataFrame:
