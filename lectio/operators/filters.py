@@ -143,7 +143,7 @@ def _ac_kernel(bc, text_col: str, out_cols: list[str]):
 
 def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword",
                  text_col: str = "text", id_col: str = "ord", carry: list[str] | None = None,
-                 bnlj_limit: int = KEYWORD_BNLJ_LIMIT) -> DataFrame:
+                 bnlj_limit: int = KEYWORD_BNLJ_LIMIT, stats: tuple[int, int] | None = None) -> DataFrame:
     """Every ``(keyword, ord, *carry)`` with ``contains(text, keyword)``.
 
     The distinct keyword set is counted first. Up to ``bnlj_limit`` keywords it is
@@ -154,8 +154,10 @@ def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword"
     matches). Only ``carry`` columns travel with the hits; the text itself never does."""
     carry = [c for c in (carry or []) if c != id_col]
     kw = keywords.select(F.col(kw_col).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
-    stats = kw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("b")).first()
-    n, nbytes = int(stats["n"]), int(stats["b"])
+    if stats is None:   # (distinct keywords, an upper bound of their bytes), unless the caller has them
+        row = kw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("b")).first()
+        stats = (int(row["n"]), int(row["b"]))
+    n, nbytes = stats
     scan = corpus.select(id_col, *carry, text_col).filter(F.col(text_col).isNotNull())
     if n <= bnlj_limit:
         return scan.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword"))).select("keyword", id_col, *carry)

@@ -111,11 +111,6 @@ def _result_projection(df: DataFrame) -> DataFrame:
                        for c in RESULT_COLUMNS])
 
 
-def _max_k(ctx: DataFrame) -> int:
-    row = ctx.agg(F.max("k").alias("m")).first()
-    return max(int(row["m"] or 0), 1)
-
-
 # ---------------------------------------------------------------------------
 # Semantic branch (V2 + J1 + R2)
 # ---------------------------------------------------------------------------
@@ -169,15 +164,20 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
     is planned as a partial ``WindowGroupLimit`` before its shuffle, so a keyword that
     matches a third of the corpus still ships at most kmax rows per map partition; the
     wide passage columns are joined back for the surviving rows only."""
-    kmax = _max_k(ctx)
     sig = (ctx.select(*SIGNATURE, F.col(k_col).alias("k"))
            .groupBy(*SIGNATURE).agg(F.max("k").alias("sig_k"))
            .withColumn("sig_id", F.xxhash64(*SIGNATURE)))
+    # one small aggregate answers every size question of this branch
+    st = sig.agg(F.count(F.lit(1)).alias("n_sig"), F.max("sig_k").alias("kmax"),
+                 F.count_distinct("search_keyword").alias("n_kw"),
+                 F.coalesce(F.sum(F.octet_length("search_keyword")), F.lit(0)).alias("kw_bytes")).first()
+    kmax = max(int(st["kmax"] or 0), 1)
     narrow = ["ord", "version", "book_short", "testament"]
-    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow)
+    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow,
+                         stats=(int(st["n_kw"]), int(st["kw_bytes"])))
     # a keyword may match a third of the corpus: with a count-checked signature table the
     # join is a broadcast (no shuffle of the hits at all); beyond it AQE splits skew
-    small_sig = sig.limit(SIGNATURE_BROADCAST_ROWS + 1).count() <= SIGNATURE_BROADCAST_ROWS
+    small_sig = int(st["n_sig"]) <= SIGNATURE_BROADCAST_ROWS
     hits = pairs.join(F.broadcast(sig) if small_sig else sig,
                       F.col("keyword") == F.col("search_keyword")).drop("keyword")
     hits = hits.filter(version_matches("version", "version_filter") & scope_matches())
