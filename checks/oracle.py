@@ -498,6 +498,8 @@ seg AS (SELECT concat('[', version, '] ', book_name, ' ', CAST(chapter AS VARCHA
         FROM verses v JOIN embeddings e ON e.vec_id = v.ord)
 SELECT 50 AS candidate_count, 5 AS result_count, 0.3::DOUBLE AS min_score,
   (SELECT count(DISTINCT t) FROM seg) AS indexed_segments,
+  (SELECT count(*) FROM embeddings) AS store_size,
+  (SELECT count(*) > 0 FROM embeddings) AS store_non_empty,
   (SELECT count(*) FILTER (WHERE class = 'KEYWORD') FROM protos) AS n_keyword_prototypes,
   (SELECT count(*) FILTER (WHERE class = 'SEMANTIC') FROM protos) AS n_semantic_prototypes,
   (SELECT count(*) FILTER (WHERE class = 'CONTEXT') FROM protos) AS n_context_prototypes,

@@ -299,7 +299,9 @@ def service_stats(spark, sf_dir):
     p = T.prototypes(spark, sf_dir)
     seg = R.passage_texts(v.join(e.select("ord"), "ord"))
     cols = [F.lit(50).alias("candidate_count"), F.lit(5).alias("result_count"), F.lit(0.3).alias("min_score"),
-            seg.agg(F.countDistinct("embedding_text")).scalar().alias("indexed_segments")]
+            seg.agg(F.countDistinct("embedding_text")).scalar().alias("indexed_segments"),
+            e.agg(F.count(F.lit(1))).scalar().alias("store_size"),                       # A4
+            e.agg(F.count(F.lit(1)) > 0).scalar().alias("store_non_empty")]
     for c in ("KEYWORD", "SEMANTIC", "CONTEXT", "NO_CONTEXT"):
         cols.append(p.agg(F.count_if(F.col("class") == c)).scalar().alias(f"n_{c.lower()}_prototypes"))
     stats = R.corpus_stats(v)
