@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import op09_chat
+from lectio.llm import op02_warc, op09_chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_transactions": op02_warc.op2_warc_transactions,
     "op9_chat_formatting": op09_chat.op9_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_transactions": op02_warc.ORACLE,
     "op9_chat_formatting": op09_chat.ORACLE,
 }
