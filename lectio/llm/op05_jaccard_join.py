@@ -43,10 +43,12 @@ from lectio.llm.words import U64, Tokens, mix, slices
 WORDS = 5
 PERCENT = 80
 #: Texts are taken in slices of this many bytes and documents (the latter fits in 11 bits).
-SLICE_BYTES, SLICE_DOCS = 4 << 20, 2000
+SLICE_BYTES, SLICE_DOCS = 2 << 20, 2000
 #: Signatures a block task sorts at once, and members a tile of step 3 holds.
 BLOCK_SIGNATURES, TILE = 1 << 20, 1024
 SKETCH_BITS = 1024
+#: Hash cells of document ids: the most rows that step 1's broadcast can have.
+CELLS = 1 << 18
 
 
 # ---- bands and allocation -----------------------------------------------------------------
@@ -363,7 +365,12 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     pairs = written(buckets.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    sets = written(docs.join(chosen, "doc_id").select("text", "node").mapInArrow(_sets, SETS).dropDuplicates(["node"]), "jaccard-sets")
+    # Texts that cannot be wanted leave before the shuffle: a broadcast of hash cells, of which
+    # there are at most CELLS, then the exact join.
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
+    chosen = written(chosen, "jaccard-chosen")
+    near = docs.join(F.broadcast(chosen.select(cell.alias("cell")).distinct()), cell == F.col("cell"), "left_semi")
+    sets = written(near.join(chosen, "doc_id").select("text", "node").mapInArrow(_sets, SETS).dropDuplicates(["node"]), "jaccard-sets")
 
     links = written(verify(pairs, sets), "jaccard-links")
     classes = components(links)
