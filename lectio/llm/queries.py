@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import op02_warc, op03_quality, op05_jaccard_join, op06_secrets, op07_mixing, op09_chat, op10_licenses
+from lectio.llm import op02_warc, op03_quality, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_transactions": op02_warc.op2_warc_transactions,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op05_jaccard_join.op5_jaccard_join,
     "op6_secret_scan": op06_secrets.op6_secret_scan,
     "op7_source_mixing": op07_mixing.op7_source_mixing,
+    "op8_lattice_scoring": op08_lattice.op8_lattice_scoring,
     "op9_chat_formatting": op09_chat.op9_chat_formatting,
     "op10_license_scan": op10_licenses.op10_license_scan,
 }
