@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import op02_warc, op03_quality, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
+from lectio.llm import op02_warc, op03_quality, op04_decontamination, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_transactions": op02_warc.op2_warc_transactions,
     "op3_quality_resampling": op03_quality.op3_quality_resampling,
+    "op4_benchmark_leaks": op04_decontamination.op4_benchmark_leaks,
     "op5_jaccard_join": op05_jaccard_join.op5_jaccard_join,
     "op6_secret_scan": op06_secrets.op6_secret_scan,
     "op7_source_mixing": op07_mixing.op7_source_mixing,
