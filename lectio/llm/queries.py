@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import op02_warc, op03_quality, op04_decontamination, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
+from lectio.llm import op01_near_vectors, op02_warc, op03_quality, op04_decontamination, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op01_near_vectors.op1_near_vectors,
     "op2_warc_transactions": op02_warc.op2_warc_transactions,
     "op3_quality_resampling": op03_quality.op3_quality_resampling,
     "op4_benchmark_leaks": op04_decontamination.op4_benchmark_leaks,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_near_vectors": op01_near_vectors.ORACLE,
     "op2_warc_transactions": op02_warc.ORACLE,
     "op9_chat_formatting": op09_chat.ORACLE,
 }
