@@ -31,8 +31,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectio.llm.components import written
 from lectio.llm.words import U64, WORD_SIGN_CLASS, Tokens, mix, slices, spread
@@ -172,24 +173,34 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return Model(counts, holders, docs)
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n_grams, log_weight, gumbel): gumbel is the sampling key, null without n-grams."""
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(model)  # fixed size: two float arrays of SIZE
+def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, log_weight: str) -> DataFrame:
+    """``rows`` and two columns, made inside the scan."""
+    held = rows.sparkSession.sparkContext.broadcast(model)  # fixed size: two float arrays of SIZE
 
-    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
+            for piece in slices(batch, text, SLICE_BYTES):
                 n = piece.num_rows
-                buckets, of = features(piece.column("text"))
-                held_n = np.bincount(of, minlength=n)
-                weight = np.where(held_n > 0, held.value.log_weight(buckets, of, n), -np.inf)
-                yield pa.record_batch([piece.column("id"), pa.array(held_n.astype(np.int64)), pa.array(weight)], ["id", "n_grams", "log_weight"])
+                buckets, of = features(piece.column(text))
+                count = np.bincount(of, minlength=n)
+                weight = np.where(count > 0, held.value.log_weight(buckets, of, n), -np.inf)
+                yield pa.record_batch([*piece.columns, pa.array(count.astype(np.int64)), pa.array(weight)], [*piece.schema.names, n_grams, log_weight])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(n_grams, T.LongType()), T.StructField(log_weight, T.DoubleType())])
+    return rows.mapInArrow(add, schema)
+
+
+def sampling_key(id_: Column, n_grams: Column, log_weight: Column) -> Column:
+    """The sharpened log weight plus a Gumbel variate of the id; null without n-grams."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), id_), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.when(n_grams > 0, log_weight * SHARPNESS - F.log(-F.log(u)))
 
+
+def score(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, n_grams, log_weight, gumbel): gumbel is the sampling key."""
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(weigh, "id long, n_grams long, log_weight double")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id"), 11).cast("double") + 0.5) / float(1 << 53)
-    return out.withColumn("gumbel", F.when(F.col("n_grams") > 0, F.col("log_weight") * SHARPNESS - F.log(-F.log(u))))
+    out = weigh(rows, model, "text", "n_grams", "log_weight").drop("text")
+    return out.withColumn("gumbel", sampling_key(F.col("id"), F.col("n_grams"), F.col("log_weight")))
 
 
 def gumbel_cut(scored: DataFrame, k: int) -> tuple[float, int]:
@@ -220,15 +231,32 @@ def gumbel_cut(scored: DataFrame, k: int) -> tuple[float, int]:
     return lo, tied["last"] if tied["last"] is not None else -1
 
 
-def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n_grams, log_weight, gumbel, kept) per row of ``documents``."""
+def _sampled(documents: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[Model, DataFrame, float, int]:
     model = fit(documents, labels, text, key)
     scored = written(score(documents, model, text, key), "quality")
     likely = F.col("log_weight") >= (math.log(0.5 / model.share[0]) if model.kinds else 0.0)
     k = scored.filter((F.col("n_grams") > 0) & likely).count()
-    cut, last = gumbel_cut(scored, k)
-    kept = F.coalesce((F.col("gumbel") > cut) | ((F.col("gumbel") == cut) & (F.col("id") <= last)), F.lit(False))
-    return scored.withColumn("kept", kept)
+    return model, scored, *gumbel_cut(scored, k)
+
+
+def _drawn(gumbel: Column, id_: Column, cut: float, last: int) -> Column:
+    return F.coalesce((gumbel > cut) | ((gumbel == cut) & (id_ <= last)), F.lit(False))
+
+
+def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, n_grams, log_weight, gumbel, kept) per row of ``documents``."""
+    _, scored, cut, last = _sampled(documents, labels, text, key)
+    return scored.withColumn("kept", _drawn(F.col("gumbel"), F.col("id"), cut, last))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` that are kept, with all their columns. Texts are weighed again in
+    the scan that filters them, which costs less than to shuffle them for a join."""
+    model, _, cut, last = _sampled(documents, labels, text, key)
+    n_grams, log_weight = (next(x for x in (name + "_" * i for i in range(1, 99)) if x not in documents.columns) for name in ("n_grams", "log_weight"))
+    rows = weigh(documents, model, text, n_grams, log_weight)
+    id_ = F.col(key).cast("long")
+    return rows.filter(_drawn(sampling_key(id_, F.col(n_grams), F.col(log_weight)), id_, cut, last)).select(*documents.columns)
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

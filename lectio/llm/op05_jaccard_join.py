@@ -49,6 +49,8 @@ BLOCK_SIGNATURES, TILE = 1 << 20, 1024
 SKETCH_BITS = 1024
 #: Hash cells of document ids: the most rows that step 1's broadcast can have.
 CELLS = 1 << 18
+#: Ids that may be broadcast: 16 MB in memory.
+FEW_IDS = 1 << 20
 
 
 # ---- bands and allocation -----------------------------------------------------------------
@@ -404,6 +406,25 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     return out.unionByName(nameless)
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` less all but the first (smallest doc_id) of each class of near copies. Rows
+    without id stay; of equal rows one stays. Ids that go are broadcast if they are few (their
+    number is checked), else joined."""
+    classes = written(jaccard_classes(documents), "jaccard-classes")
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    twice = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("gone"))
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+    id_ = F.col("doc_id").cast("long")
+    out = documents.join(sized(gone), id_ == F.col("gone"), "left_anti")
+    if not twice.isEmpty():
+        again = sized(twice)
+        out = out.join(again, id_ == F.col("gone"), "left_anti").unionByName(out.join(again, id_ == F.col("gone"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
 def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in _slices(batches):
         _, first, _ = shingle_sets(piece.column("text"))

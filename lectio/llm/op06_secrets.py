@@ -38,6 +38,8 @@ KINDS = BASE_KINDS + MORE_KINDS
 EXAMPLE_OWNERS = 3
 #: A live-looking value has so many distinct characters.
 LIVE_SIGNS = 8
+#: What stands in place of a live-looking secret.
+MARK = "<SECRET>"
 
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
 
@@ -119,19 +121,28 @@ def labelled(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(documents: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``documents`` with every live-looking span of ``spans`` (from :func:`scan_secrets`, one row
-    per key) replaced by ``<SECRET>``; overlapping spans are replaced as one."""
-    cut = spans.withColumn("_cut", F.filter("spans", lambda s: s["live"])).filter("size(_cut) > 0").select(F.col(key), "_cut").dropDuplicates([key])
-    joined = documents.join(cut, key, "left")
+def redact(documents: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
+    """``documents`` with every live-looking span replaced by ``MARK``; overlapping spans are
+    replaced as one. Only texts with a candidate are shuffled, to meet their spans."""
+    spans_, cut_, hash_ = (next(x for x in (name + "_" * i for i in range(1, 99)) if x not in documents.columns) for name in ("spans", "cut", "hash"))
+    rows = documents.withColumn(hash_, F.xxhash64(F.col(text)))
+    found = scan_secrets(rows, text, repo, owner, keep=(repo, hash_))
+    live = found.select(F.col(repo).alias(spans_), F.col(hash_).alias(cut_ + "h"), F.filter("spans", lambda s: s["live"]).alias(cut_)).filter(F.size(cut_) > 0).dropDuplicates([spans_, cut_ + "h"])
+    gate = F.coalesce(reduce(lambda a, b: a | b, (F.col(text).rlike(k[1]) for k in KINDS)), F.lit(False))
+    joined = rows.filter(gate).join(live, F.col(repo).eqNullSafe(F.col(spans_)) & (F.col(hash_) == F.col(cut_ + "h")), "left")
 
-    def step(s, x):
-        gap = F.when(x["start"] >= s["at"], F.concat(F.substr(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<SECRET>"))).otherwise(F.lit(""))
+    def step(s: Column, x: Column) -> Column:
+        before = F.substr(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+        gap = F.when(x["start"] >= s["at"], F.concat(before, F.lit(MARK))).otherwise(F.lit(""))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
 
-    done = F.aggregate("_cut", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"))))
-    return joined.withColumn("text", text).select(*documents.columns)
+    done = F.aggregate(cut_, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
+    clean = F.concat(done["out"], F.substr(F.col(text), (done["at"] + 1).cast("int")))
+    changed = joined.withColumn(text, F.when(F.col(cut_).isNull(), F.col(text)).otherwise(clean))
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(F.col(cut_).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(kind)))
+    return documents.filter(~gate).unionByName(changed.select(*documents.columns))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,18 @@ def mix_sources(documents: DataFrame, source: str = "source", text: str = "text"
     return out.select(F.col("key").alias(key), "size", "source", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), shards.alias("shards"))
 
 
+def mixed(documents: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``documents`` and size, source_size, target, taken and shards; a document that the mix
+    leaves out has taken 0 and no shards. Columns of these names are replaced."""
+    made = ["size", "source_size", "target", "taken", "shards"]
+    plan = mix_sources(documents, source, text, key)
+    plan = plan.select(F.col(key).alias("of_key"), F.col(source).alias("of_source"), *(F.col(c).alias("of_" + c) for c in made)).dropDuplicates(["of_key", "of_source", "of_size"])
+    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    same = F.col(key).eqNullSafe(F.col("of_key")) & F.col(source).cast("string").eqNullSafe(F.col("of_source")) & (size == F.col("of_size"))
+    kept = [c for c in documents.columns if c not in made]
+    return documents.join(plan, same).select(*kept, *(F.col("of_" + c).alias(c) for c in made))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents, whole texts."""
     rows = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
