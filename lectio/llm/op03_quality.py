@@ -80,8 +80,8 @@ def sample_labels(labels: DataFrame, bound: int = LABELLED) -> dict[int, np.ndar
     kinds = kinds.select("id", F.when(F.col("q") <= 0, 1).when(F.col("t") > 0, 2).when(F.col("q") > 0, 0).alias("kind")).filter("kind is not null")
     out = {}
     for kind in range(3):
-        rows = kinds.filter(F.col("kind") == kind).select("id").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(bound).toPandas()
-        out[kind] = np.sort(rows["id"].to_numpy(np.int64))
+        rows = kinds.filter(F.col("kind") == kind).select("id").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(bound).toArrow()
+        out[kind] = np.sort(rows.column("id").to_numpy())
     return out
 
 
@@ -158,18 +158,19 @@ def _ratio(target: np.ndarray, other: np.ndarray, told: np.ndarray) -> np.ndarra
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The models, from the labelled sample. The counts that reach the driver are of fixed size:
-    3 kinds x SIZE buckets at most."""
+    SIZE rows at most."""
     sample = sample_labels(labels)
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     wanted = rows.mapInArrow(_counter(sample), "kind long, bucket long, n long, df long")
-    table = wanted.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toPandas()
-    counts, holders, docs = [np.zeros(SIZE, np.int64) for _ in range(3)], [np.zeros(SIZE, np.int64) for _ in range(3)], [0, 0, 0]
+    only = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    table = wanted.groupBy("bucket").agg(*(only(k, c) for k in range(3) for c in ("n", "df"))).toArrow()
+    bucket = table.column("bucket").to_numpy()
+    real = bucket >= 0
+    docs = [int(table.column(f"n{k}").to_numpy()[~real].sum()) for k in range(3)]
+    counts, holders = ([np.zeros(SIZE, np.int64) for _ in range(3)] for _ in range(2))
     for k in range(3):
-        mine = table[table["kind"] == k]
-        docs[k] = int(mine.loc[mine["bucket"] < 0, "n"].sum())
-        mine = mine[mine["bucket"] >= 0]
-        counts[k][mine["bucket"].to_numpy(np.int64)] = mine["n"].to_numpy(np.int64)
-        holders[k][mine["bucket"].to_numpy(np.int64)] = mine["df"].to_numpy(np.int64)
+        counts[k][bucket[real]] = table.column(f"n{k}").to_numpy()[real]
+        holders[k][bucket[real]] = table.column(f"df{k}").to_numpy()[real]
     return Model(counts, holders, docs)
 
 
