@@ -178,9 +178,9 @@ def score_texts(documents: DataFrame, vocabulary: str = VOCABULARY, held: int =
 
     proto, pieces, prior, byte = read_vocabulary(vocabulary)
     # One count a piece: the vocabulary bounds what the driver gets.
-    found = words.filter("trained > 0").select("word", "trained").mapInArrow(_count_pieces(proto, len(pieces)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    found = words.filter("trained > 0").select("word", "trained").mapInArrow(_count_pieces(proto, len(pieces)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(pieces))
-    counts[found["piece"].to_numpy(np.int64)] = found["n"].to_numpy()
+    counts[found.column("piece").to_numpy()] = found.column("n").to_numpy()
     counts[prior == 0] = 0
     total = counts.sum() + PRIOR + ends + 1
     with np.errstate(divide="ignore"):
@@ -197,15 +197,13 @@ def score_texts(documents: DataFrame, vocabulary: str = VOCABULARY, held: int =
         if sum_words > held:
             break
         least = s["n"]
-    frequent = weighed.filter(F.col("n") >= least).select("hash", F.log10(F.col("trained") + 1.0).cast("double").alias("base"), (F.col("trained") > 0).alias("known"), "lattice").toPandas()
-    order = np.argsort(frequent["hash"].to_numpy(np.int64).view(np.uint64))
-    table = spark.sparkContext.broadcast((
-        frequent["hash"].to_numpy(np.int64).view(np.uint64)[order],
-        frequent["base"].to_numpy(np.float64)[order],
-        frequent["lattice"].to_numpy(np.float64)[order],
-        frequent["known"].to_numpy(bool)[order],
-    ))
+    frequent = weighed.filter(F.col("n") >= least).select("hash", F.log10(F.col("trained") + 1.0).cast("double").alias("base"), (F.col("trained") > 0).alias("known"), "lattice").toArrow()
+    columns = [frequent.column(c).to_numpy() for c in ("hash", "base", "lattice", "known")]
     del frequent
+    columns[0] = columns[0].view(np.uint64)
+    order = np.argsort(columns[0])
+    table = spark.sparkContext.broadcast(tuple(c[order] for c in columns))
+    del columns
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, base, lattice, known = table.value
