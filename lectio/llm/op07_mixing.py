@@ -100,10 +100,10 @@ def mix_sources(documents: DataFrame, source: str = "source", text: str = "text"
     # Blocks in permuted order: a pass takes all; the rest takes blocks until the quota is met.
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     plan = per_block.join(goal, per_block["source"].eqNullSafe(goal["source"])).select(per_block["source"], "block", "words", "source_size", "target")
-    plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int"))
+    plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
     plan = plan.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    plan = plan.withColumn("more", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0))
+    plan = plan.withColumn("more", F.when(F.col("rest") < 0.5, 0).when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0))
     plan = plan.withColumn("copies", F.when(F.col("source_size") > 0, F.col("passes") + (F.col("more") > 0).cast("int")).otherwise(0))
 
     # Every copy of a block is a unit. Leaves take units at their offsets in permuted order.
