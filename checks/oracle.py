@@ -407,7 +407,7 @@ r AS (
     CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS vpos
   FROM c),
 f AS (
-  SELECT (part << 40) + (cpos << 16) + vpos AS ord,
+  SELECT CAST(row_number() OVER (ORDER BY part, cpos, vpos) - 1 AS BIGINT) AS ord,
     CASE WHEN part = 2 THEN 'DEF' ELSE 'CONV' END AS version,
     concat('c', CAST(part AS VARCHAR)) AS book_short, concat('Conv ', CAST(part AS VARCHAR)) AS book_name,
     CAST(CASE WHEN part = 3 THEN 0 ELSE part % 2 + 1 END AS INT) AS testament,

@@ -152,8 +152,9 @@ def _ctx(spark, sf_dir):
 def keyword_topk(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
     kw = ctx.select("qid", F.col("search_keyword").alias("keyword"))
-    hits = keyword_join(inp.verses, kw).join(kw, "keyword")
-    return top_per_group(hits, "qid", [F.col("ord").asc()], 5).select("qid", "rank", "ord")
+    # queries with one keyword share its first hits: the cut comes before the join
+    hits = top_per_group(keyword_join(inp.verses, kw), "keyword", [F.col("ord").asc()], 5)
+    return hits.join(kw, "keyword").select("qid", "rank", "ord")
 
 
 def keyword_join_q(spark, sf_dir):

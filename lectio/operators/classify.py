@@ -325,7 +325,8 @@ REFERENCE_PATTERN = ("(?i)^((?:\\d\\s*)?[a-zA-Z\\x{3131}-\\x{318E}\\x{AC00}-\\x{
 
 def parse_reference(q: DataFrame, dicts: Dictionaries, query_col: str = "query") -> DataFrame:
     """``John 3:16``, ``시편 23편``, ``요한복음 3장 16절`` -> book code, version,
-    chapter, verse; ``route`` is READ when a known book parses, else SEARCH."""
+    chapter, verse; ``route`` is READ when a known book parses, else SEARCH. A number too
+    long for an int is no number: a chapter so long makes no reference."""
     t = java_trim(query_col)
     hit = t.rlike(REFERENCE_PATTERN)
     g = lambda i: F.regexp_extract(t, REFERENCE_PATTERN, i)
@@ -334,14 +335,14 @@ def parse_reference(q: DataFrame, dicts: Dictionaries, query_col: str = "query")
     name = java_trim(name)
     out = (q.withColumn("__hit", hit).withColumn("__name", F.when(hit, name))
            .withColumn("__name2", F.regexp_replace("__name", "\\s+", ""))
-           .withColumn("ref_chapter", F.when(hit, g(2).cast("int")))
-           .withColumn("ref_verse", F.when(hit, F.coalesce(null_if_empty(g(3)), null_if_empty(g(4))).cast("int"))))
-    rb = F.broadcast(dicts.ref_book)
+           .withColumn("ref_chapter", F.when(hit, g(2).try_cast("int")))
+           .withColumn("ref_verse", F.when(hit, F.coalesce(null_if_empty(g(3)), null_if_empty(g(4))).try_cast("int"))))
+    rb = dicts.ref_book
     a = rb.select(F.col("name").alias("__n1"), F.col("code").alias("__c1"), F.col("version").alias("__v1"))
     b = rb.select(F.col("name").alias("__n2"), F.col("code").alias("__c2"), F.col("version").alias("__v2"))
     out = out.join(a, F.col("__name") == F.col("__n1"), "left").join(b, F.col("__name2") == F.col("__n2"), "left")
-    code = F.coalesce("__c1", "__c2")
-    return (out.withColumn("ref_book", code).withColumn("ref_version", F.coalesce("__v1", "__v2"))
+    code = F.when(F.col("ref_chapter").isNotNull(), F.coalesce("__c1", "__c2"))
+    return (out.withColumn("ref_book", code).withColumn("ref_version", F.when(code.isNotNull(), F.coalesce("__v1", "__v2")))
             .withColumn("ref_chapter", F.when(code.isNotNull(), F.col("ref_chapter")))
             .withColumn("ref_verse", F.when(code.isNotNull(), F.col("ref_verse")))
             .withColumn("route", F.when(code.isNotNull(), "READ").otherwise("SEARCH"))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col_, is_blank, sql_literal
 
-# Above this many distinct keywords the broadcast nested-loop ``contains`` join is
-# replaced by an Aho-Corasick scan (one pass over each text for all keywords).
-KEYWORD_BNLJ_LIMIT = 32
-KEYWORD_BLOCK_BYTES = 64 << 20
+# Keywords of this many characters are found through one of their character n-grams.
+GRAM = 3
+# Bytes of keywords that are broadcast at once; beyond it, one scan per block of keywords.
+KEYWORD_BLOCK_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------------------
@@ -92,25 +92,18 @@ def scope_matches(book_short: str | Column = "book_short", testament: str | Colu
 # F5 chapter predicate
 # ---------------------------------------------------------------------------
 
-def chapter_predicate(book_short: str, chapter: int, version: str | None) -> Column:
-    """F5 (narrower than F2): code ignoring case, chapter equal, version blank/null,
-    equal ignoring case, or KRV requested and stored as the Korean label."""
-    v = F.col("version")
-    if version is None or version == "":
-        vok = F.lit(True)
-    else:
-        vok = F.lower(v) == version.lower()
-        if version.lower() == "krv":
-            vok = vok | (v == "개역개정")
-    return (F.lower("book_short") == book_short.lower()) & (F.col("chapter") == chapter) & vok
+def chapter_version(version: str | Column, wanted: Column) -> Column:
+    """F5's version rule: blank, equal ignoring case, or KRV asked for and stored under the
+    Korean label."""
+    v = col_(version)
+    return (wanted.isNull() | (wanted == "") | (F.lower(v) == F.lower(wanted))
+            | ((F.lower(wanted) == "krv") & (v == "개역개정")))
 
 
 def chapter_predicate_col(book_col: str = "req_book", chapter_col: str = "req_chapter",
                           version_col: str = "req_version") -> Column:
     """F5 with the request taken from columns (a table of reads)."""
-    v, rv = F.col("version"), F.col(version_col)
-    vok = (rv.isNull() | (rv == "") | (F.lower(v) == F.lower(rv))
-           | ((F.lower(rv) == "krv") & (v == "개역개정")))
+    vok = chapter_version("version", F.col(version_col))
     return (F.lower("book_short") == F.lower(book_col)) & (F.col("chapter") == F.col(chapter_col)) & vok
 
 
@@ -118,60 +111,32 @@ def chapter_predicate_col(book_col: str = "req_book", chapter_col: str = "req_ch
 # J7 keyword x corpus
 # ---------------------------------------------------------------------------
 
-def _ac_kernel(bc, text_col: str, out_cols: list[str]):
-    def run(batches):
-        import ahocorasick
-        kws = bc.value
-        auto = ahocorasick.Automaton()
-        for i, k in enumerate(kws):
-            auto.add_word(k, i)
-        auto.make_automaton()
-        for pdf in batches:
-            rows, hit = [], []
-            for r, t in enumerate(pdf[text_col]):
-                if t is None:
-                    continue
-                for i in {i for _, i in auto.iter(t)}:
-                    rows.append(r)
-                    hit.append(kws[i])
-            if rows:
-                out = pdf.iloc[rows][out_cols].reset_index(drop=True)
-                out.insert(0, "keyword", hit)
-                yield out
-    return run
-
-
 def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword",
                  text_col: str = "text", id_col: str = "ord", carry: list[str] | None = None,
-                 bnlj_limit: int = KEYWORD_BNLJ_LIMIT, stats: tuple[int, int] | None = None) -> DataFrame:
-    """Every ``(keyword, ord, *carry)`` with ``contains(text, keyword)``.
-
-    The distinct keyword set is counted first. Up to ``bnlj_limit`` keywords it is
-    broadcast into a nested-loop join whose condition is the built-in ``contains``
-    (codegen, no Python; cost ~ texts x keywords). Above it, the keywords are split into
-    blocks of bounded bytes, each broadcast once, and an Aho-Corasick automaton per task
-    finds all keywords of a block in one pass over each text (cost ~ text length +
-    matches). Only ``carry`` columns travel with the hits; the text itself never does."""
+                 stats: int | None = None, block_bytes: int = KEYWORD_BLOCK_BYTES) -> DataFrame:
+    """Every ``(keyword, ord, *carry)`` with ``contains(text, keyword)``, all in the JVM.
+
+    A text can contain a keyword only if it contains the keyword's first ``GRAM``
+    characters, so the distinct n-grams of each text meet the keywords in a broadcast
+    equality join and the hits are verified by the built-in ``contains``. Keywords shorter
+    than ``GRAM`` (the empty one is in every text) are compared directly. Keywords go out in
+    blocks of bounded bytes. Only ``carry`` columns travel with the hits."""
     carry = [c for c in (carry or []) if c != id_col]
     kw = keywords.select(F.col(kw_col).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
-    if stats is None:   # (distinct keywords, an upper bound of their bytes), unless the caller has them
-        row = kw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("b")).first()
-        stats = (int(row["n"]), int(row["b"]))
-    n, nbytes = stats
+    if stats is None:   # an upper bound of the distinct keywords' bytes, unless the caller has it
+        stats = int(kw.agg(F.coalesce(F.sum(F.octet_length("keyword") + 32), F.lit(0)).alias("b")).first()["b"])
+    blocks = max(1, math.ceil(stats / block_bytes))
     scan = corpus.select(id_col, *carry, text_col).filter(F.col(text_col).isNotNull())
-    if n <= bnlj_limit:
-        return scan.join(F.broadcast(kw), F.col(text_col).contains(F.col("keyword"))).select("keyword", id_col, *carry)
-    blocks = max(1, math.ceil(nbytes / KEYWORD_BLOCK_BYTES))
-    spark = corpus.sparkSession
-    fields = {f.name: f.dataType.simpleString() for f in scan.schema.fields}
-    schema = ", ".join(["keyword string"] + [f"`{c}` {fields[c]}" for c in [id_col, *carry]])
-    parts = []
+    grams = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    by_gram = scan.withColumn("__gram", F.explode(grams))
+    out = None
     for b in range(blocks):
-        sub = kw if blocks == 1 else kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b)
-        words = [r["keyword"] for r in sub.toLocalIterator()]
-        bc = spark.sparkContext.broadcast(words)
-        parts.append(scan.mapInPandas(_ac_kernel(bc, text_col, [id_col, *carry]), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = kw if blocks == 1 else kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b)
+        long = part.filter(F.length("keyword") >= GRAM).withColumn("__first", F.substring("keyword", 1, GRAM))
+        short = part.filter(F.length("keyword") < GRAM)
+        hit = F.col(text_col).contains(F.col("keyword"))
+        for found in (by_gram.join(F.broadcast(long), F.col("__gram") == F.col("__first")).filter(hit),
+                      scan.join(F.broadcast(short), hit)):
+            found = found.select("keyword", id_col, *carry)
+            out = found if out is None else out.unionByName(found)
     return out

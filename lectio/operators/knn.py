@@ -35,8 +35,10 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 def _stack(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Stack a Series of arrays into an (n, dim) matrix; rows of another width are
-    flagged (the store raises on them, we drop them from the candidates)."""
+    an error, as in the store; null and empty vectors are flagged and have no candidates."""
     ok = np.fromiter((v is not None and len(v) == dim for v in vectors), dtype=bool, count=len(vectors))
+    if any(v is not None and len(v) not in (0, dim) for v in vectors):
+        raise ValueError(f"query vectors of other widths than {dim}")
     rows = [np.asarray(v, dtype=np.float64) for v, good in zip(vectors, ok) if good]
     m = np.vstack(rows) if rows else np.zeros((0, dim))
     return m, ok
@@ -55,8 +57,10 @@ def _stack_arrow(col, dim: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(offsets)
     valid = col.is_valid().to_numpy(zero_copy_only=False)
     ok = valid & (lengths == dim)
+    if (valid & (lengths != dim) & (lengths > 0)).any():
+        raise ValueError(f"vectors of widths {sorted(set(lengths[valid].tolist()))} in a search of width {dim}")
     values = col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    starts = offsets[:-1][ok] - offsets[0]
+    starts = offsets[:-1][ok]
     m = values[starts[:, None] + np.arange(dim)[None, :]] if len(starts) else np.zeros((0, dim))
     return m, ok
 
@@ -182,7 +186,8 @@ def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score
     spark = corpus.sparkSession
     stats = queries.agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.max(F.size(qvec_col)), F.lit(0)).alias("d")).first()
-    nbytes = int(stats["n"]) * max(int(stats["d"]), 1) * 8
+    # A worker holds the block's vectors and up to 4 k pairs of 24 bytes for each query.
+    nbytes = int(stats["n"]) * (max(int(stats["d"]), 1) * 8 + 4 * (k or 0) * 24)
     n_blocks = max(1, math.ceil(nbytes / broadcast_budget))
     attrs = [F.col(c) for c in ("version", "book_short", "testament")] if prefilter else []
     scan = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *attrs)

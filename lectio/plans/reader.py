@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import displayed_score, embedding_text, score_band, score_percent
-from ..operators.filters import chapter_predicate_col
+from ..operators.filters import chapter_predicate_col, chapter_version
 
 
 # ---------------------------------------------------------------------------
@@ -106,9 +106,9 @@ def parallel_chapters(verses: DataFrame, crosswalk: DataFrame, version_a: str, v
     text there). totalChapters is the larger of the two books."""
     codes = verses.select(F.col("book_short").alias("code")).distinct()
     pairs = code_pairs(codes, crosswalk).select("code_a", "code_b").distinct()
-    a = (verses.filter(F.col("version") == version_a)
+    a = (verses.filter(chapter_version("version", F.lit(version_a)))
          .select(F.col("book_short").alias("code_a"), "chapter", "verse", F.col("text").alias("text_a")))
-    b = (verses.filter(F.col("version") == version_b)
+    b = (verses.filter(chapter_version("version", F.lit(version_b)))
          .select(F.col("book_short").alias("code_b"), "chapter", "verse", F.col("text").alias("text_b")))
     a = a.join(pairs, "code_a")
     b = b.join(pairs, "code_b")

@@ -28,7 +28,6 @@ RESULT_COLUMNS = ["qid", "rank", "key", "reference", "book_name", "book_short",
                   "title", "text", "version", "score", "reranked_score"]
 VERSE_COLUMNS = ["ord", "key", "reference", "book_name", "book_short", "testament", "chapter", "verse",
                  "title", "text", "version"]
-SIGNATURE_BROADCAST_ROWS = 200_000
 SIGNATURE = ["search_keyword", "version_filter", "alias_lower", "alias_exact",
              "scope_type", "scope_books", "scope_testament"]
 
@@ -71,15 +70,14 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
     return with_version_rules(q, inp.dicts.version_alias, "version_filter").persist()
 
 
-ORD_BLOCK_BITS = 10
+ORD_RUN_BITS = 10
+ORD_BLOCKS = 1024
 
 
 def ord_block(ord_col: str = "ord"):
-    """Partition key of the passage table: consecutive ords share a block."""
-    return F.shiftright(F.col(ord_col), ORD_BLOCK_BITS)
-
-
-MAX_PRUNED_BLOCKS = 100_000
+    """Partition key of the passage table: runs of consecutive ords share a block, and
+    there are ``ORD_BLOCKS`` blocks whatever the size of the corpus."""
+    return F.pmod(F.shiftright(F.col(ord_col), ORD_RUN_BITS), F.lit(ORD_BLOCKS)).cast("int")
 
 
 def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
@@ -87,8 +85,7 @@ def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
 
     The small side is written to the shared checkpoint folder first (a lineage cut that
     also keeps the k-NN kernel from running twice). When the passage table is partitioned
-    by ``ord_block``, the distinct blocks of the keys (at most the table's partition count,
-    checked) become a partition filter, so the scan lists and reads only the blocks that
+    by ``ord_block``, the distinct blocks of the keys (at most ``ORD_BLOCKS``) become a partition filter, so the scan lists and reads only the blocks that
     hold a key, not the whole corpus."""
     from ..session import scratch_path
     spark = keys.sparkSession
@@ -99,9 +96,9 @@ def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
     if "ord_block" not in verses.columns:
         return small.join(verses.select("ord", *want), "ord")
     small = small.withColumn("ord_block", ord_block("ord"))
-    blocks = [r[0] for r in small.select("ord_block").distinct().limit(MAX_PRUNED_BLOCKS + 1).collect()]
+    blocks = [r[0] for r in small.select("ord_block").distinct().collect()]
     side = verses.select("ord_block", "ord", *want)
-    if len(blocks) <= MAX_PRUNED_BLOCKS:
+    if len(blocks) < ORD_BLOCKS:
         side = side.filter(F.col("ord_block").isin(blocks))
     return small.join(side, ["ord_block", "ord"]).drop("ord_block")
 
@@ -166,24 +163,21 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
     wide passage columns are joined back for the surviving rows only."""
     sig = (ctx.select(*SIGNATURE, F.col(k_col).alias("k"))
            .groupBy(*SIGNATURE).agg(F.max("k").alias("sig_k"))
-           .withColumn("sig_id", F.xxhash64(*SIGNATURE)))
+           .withColumn("sig_id", F.struct(*SIGNATURE)))
     # one small aggregate answers every size question of this branch
-    st = sig.agg(F.count(F.lit(1)).alias("n_sig"), F.max("sig_k").alias("kmax"),
-                 F.count_distinct("search_keyword").alias("n_kw"),
-                 F.coalesce(F.sum(F.octet_length("search_keyword")), F.lit(0)).alias("kw_bytes")).first()
+    st = sig.agg(F.max("sig_k").alias("kmax"),
+                 F.coalesce(F.sum(F.octet_length("search_keyword") + 32), F.lit(0)).alias("kw_bytes")).first()
     kmax = max(int(st["kmax"] or 0), 1)
     narrow = ["ord", "version", "book_short", "testament"]
     pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow,
-                         stats=(int(st["n_kw"]), int(st["kw_bytes"])))
-    # a keyword may match a third of the corpus: with a count-checked signature table the
-    # join is a broadcast (no shuffle of the hits at all); beyond it AQE splits skew
-    small_sig = int(st["n_sig"]) <= SIGNATURE_BROADCAST_ROWS
-    hits = pairs.join(F.broadcast(sig) if small_sig else sig,
-                      F.col("keyword") == F.col("search_keyword")).drop("keyword")
+                         stats=int(st["kw_bytes"]))
+    # a keyword may match a third of the corpus: Spark broadcasts the signatures while
+    # they are small in bytes; beyond that AQE splits the skewed join
+    hits = pairs.join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
     hits = hits.filter(version_matches("version", "version_filter") & scope_matches())
     hits = top_per_group(hits.select("sig_id", "sig_k", "ord"), "sig_id", [F.col("ord").asc()], kmax, "sig_rank") \
         .filter(F.col("sig_rank") <= F.col("sig_k"))
-    per_q = ctx.select("qid", "intent", F.col(k_col).alias("k"), F.xxhash64(*SIGNATURE).alias("sig_id"))
+    per_q = ctx.select("qid", "intent", F.col(k_col).alias("k"), F.struct(*SIGNATURE).alias("sig_id"))
     out = hits.join(per_q, "sig_id").filter(F.col("sig_rank") <= F.col("k"))
     out = hydrate(out, inp.verses, VERSE_COLUMNS)
     return (out.withColumn("rank", F.col("sig_rank")).withColumn("score", F.lit(1.0))

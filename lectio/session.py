@@ -33,10 +33,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and scratch tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (tests on one
-    machine) creates a private folder and registers it as the checkpoint dir."""
+    machine, a local master) creates a private folder and registers it as the checkpoint dir."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lectio-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

@@ -6,9 +6,9 @@ verses: [{verse, text?, title?}]}]}]}``; a path may hold many such files (one do
 per file, ``multiLine``), so large corpora split into one file per book or per chapter
 and are parsed in parallel. The schema is explicit, never inferred.
 
-Arrival order ``ord`` packs (path index, file rank, book, chapter and verse positions)
-into one long; positions come from ``posexplode`` and are range-checked, so the order is
-exact and no global sort or single-partition window over passages is needed."""
+Arrival order ``ord`` counts passages from 0: a passage's position in its document plus the
+passages of all earlier files (by name, path after path). The counts of files are summed in
+two levels, so no width is fixed and no task or window sees all passages or all files."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import reference_label, verse_key
+from ..session import scratch_path
 
 VERSE_T = T.StructType([T.StructField("verse", T.IntegerType()), T.StructField("text", T.StringType()),
                         T.StructField("title", T.StringType())])
@@ -31,20 +32,20 @@ BOOK_T = T.StructType([T.StructField("bookName", T.StringType()), T.StructField(
 CORPUS_SCHEMA = T.StructType([T.StructField("version", T.StringType()),
                               T.StructField("books", T.ArrayType(BOOK_T))])
 
-# bit widths of the packed arrival order: path | file | book | chapter | verse
-_BITS = {"path": 5, "file": 18, "book": 12, "chapter": 12, "verse": 16}
-
-
-def pack_ord(path_idx, file_rank, book_pos, chapter_pos, verse_pos) -> F.Column:
-    parts = [("path", path_idx), ("file", file_rank), ("book", book_pos), ("chapter", chapter_pos),
-             ("verse", verse_pos)]
-    out = F.lit(0).cast("long")
-    guard = F.lit(False)
-    for name, c in parts:
-        c = F.col(c) if isinstance(c, str) else c
-        out = F.shiftleft(out, _BITS[name]) + c.cast("long")
-        guard = guard | (c >= (1 << _BITS[name]))
-    return F.when(guard, F.raise_error(F.lit("corpus position exceeds the arrival-order width"))).otherwise(out)
+def _bases(files: DataFrame) -> DataFrame:
+    """``(__file, __base)``: how many passages the files before each hold, in name order. The
+    files are range-partitioned and summed in two levels, so no task sees all of them."""
+    spark = files.sparkSession
+    path = scratch_path(spark, "corpus-files")
+    (files.repartitionByRange("__file").withColumn("__part", F.spark_partition_id())
+     .write.mode("overwrite").parquet(path))
+    files = spark.read.schema("__file string, __n long, __part int").parquet(path)
+    inside = Window.partitionBy("__part").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    parts = files.groupBy("__part").agg(F.sum("__n").alias("__sum"))
+    parts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    files = files.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    return files.join(parts, "__part").select("__file", (F.col("__start") + F.col("__in")).alias("__base"))
 
 
 def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[str] | None = None,
@@ -54,7 +55,7 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
     contributes nothing. S2 (``strict=True``): no defaults, an absent text is "null".
     A missing path is logged and skipped, as the reference warns and continues."""
     default_versions = default_versions or [None] * len(paths)
-    out = None
+    out, total = None, 0
     for i, (path, dv) in enumerate(zip(paths, default_versions)):
         try:
             raw = (spark.read.schema(CORPUS_SCHEMA).option("multiLine", multi_line)
@@ -63,12 +64,18 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
         except AnalysisException as e:
             logging.getLogger(__name__).warning("corpus path %s skipped: %s", path, e)
             continue
-        files = raw.select("__file").distinct()
-        ranks = files.withColumn("__file_rank", F.row_number().over(Window.orderBy("__file")) - 1)
-        docs = raw.join(ranks, "__file")
-        books = docs.select("version", "__file_rank", F.posexplode("books").alias("__bpos", "b"))
-        chapters = books.select("*", F.posexplode("b.chapters").alias("__cpos", "c"))
-        verses = chapters.select("*", F.posexplode("c.verses").alias("__vpos", "v"))
+        # a document's passages in order, numbered inside it; null lists hold nothing
+        flat = F.flatten(F.transform(F.filter("books", lambda b: b["chapters"].isNotNull()), lambda b: F.flatten(
+            F.transform(F.filter(b["chapters"], lambda c: c["verses"].isNotNull()),
+                        lambda c: F.transform(c["verses"], lambda v: F.struct(
+                            b["bookName"].alias("bookName"), b["bookShort"].alias("bookShort"),
+                            b["testament"].alias("testament"), b["bookNumber"].alias("bookNumber"),
+                            c["chapter"].alias("chapter"), v.alias("v")))))))
+        sized = raw.select("__file", "version", F.coalesce(flat, F.array()).alias("__all"))
+        bases = _bases(sized.groupBy("__file").agg(F.sum(F.size("__all").cast("long")).alias("__n")))
+        verses = (sized.join(bases, "__file")
+                  .select("version", "__base", F.posexplode("__all").alias("__pos", "b"))
+                  .select("version", "__base", "__pos", "b", F.col("b.v").alias("v")))
         if strict:
             version = F.col("version")
             testament, book_no = F.col("b.testament"), F.col("b.bookNumber")
@@ -79,11 +86,15 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
             book_no = F.coalesce(F.col("b.bookNumber"), F.lit(0))
             text = F.coalesce(F.col("v.text"), F.lit(""))
         flat = verses.select(
-            pack_ord(F.lit(i), "__file_rank", "__bpos", "__cpos", "__vpos").alias("ord"),
+            (F.col("__base") + F.col("__pos")).alias("__ord"),
             version.alias("version"), F.col("b.bookShort").alias("book_short"),
             F.col("b.bookName").alias("book_name"), testament.cast("int").alias("testament"),
-            book_no.cast("int").alias("book_number"), F.col("c.chapter").alias("chapter"),
+            book_no.cast("int").alias("book_number"), F.col("b.chapter").alias("chapter"),
             F.col("v.verse").alias("verse"), F.col("v.title").alias("title"), text.alias("text"))
+        # a later path begins where the paths before it end
+        flat = flat.withColumn("ord", (F.lit(total) + F.col("__ord")).cast("long")).drop("__ord")
+        if i + 1 < len(paths):
+            total += int(sized.agg(F.sum(F.size("__all").cast("long")).alias("n")).first()["n"] or 0)
         out = flat if out is None else out.unionByName(flat)
     if out is None:
         out = spark.createDataFrame([], "ord long, version string, book_short string, book_name string, "
@@ -92,9 +103,13 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
     return out.withColumn("reference", reference_label()).withColumn("key", verse_key())
 
 
+#: Conversations of one test document.
+CHAPTERS = 5000
+
+
 def write_conversation_corpus(spark: SparkSession, conversations: DataFrame, path: str) -> str:
     """Test corpus from ``conversations``: book = conv_id % 5, chapter = conv_id,
-    verse = turn, one document (file) per book. Book 2 has no version (takes the
+    verse = turn, one document (file) per book and range of ``CHAPTERS`` conversations. Book 2 has no version (takes the
     default), book 3 no testament, book 4 no bookNumber; turn 0 of conversation 0 has no
     text; an extra sixth document holds a book without chapters."""
     c = conversations.select(
@@ -106,13 +121,14 @@ def write_conversation_corpus(spark: SparkSession, conversations: DataFrame, pat
                                                           F.lit(None).cast("string").alias("title")))).alias("verses"))
                 .select((F.col("conv_id") % 5).cast("int").alias("part"),
                         F.struct(F.col("conv_id").cast("int").alias("chapter"), "verses").alias("ch")))
-    books = (chapters.groupBy("part")
+    books = (chapters.withColumn("range", F.floor(F.col("ch.chapter") / CHAPTERS))
+             .groupBy("part", "range")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("ch.chapter").alias("k"), F.col("ch").alias("ch"))))
                   .alias("chs"))
-             .select("part", F.transform("chs", lambda x: x["ch"]).alias("chapters")))
+             .select("part", "range", F.transform("chs", lambda x: x["ch"]).alias("chapters")))
     p = F.col("part")
     docs = books.select(
-        "part",
+        F.format_string("%d-%012d", "part", "range").alias("part"),
         F.when(p == 2, F.lit(None).cast("string")).otherwise(F.lit("CONV")).alias("version"),
         F.array(F.struct(F.concat(F.lit("Conv "), p.cast("string")).alias("bookName"),
                          F.concat(F.lit("c"), p.cast("string")).alias("bookShort"),
@@ -120,7 +136,7 @@ def write_conversation_corpus(spark: SparkSession, conversations: DataFrame, pat
                          F.when(p == 4, F.lit(None)).otherwise(p + 1).cast("int").alias("bookNumber"),
                          F.col("chapters").alias("chapters"))).alias("books"))
     empty = spark.range(1).select(
-        F.lit(5).alias("part"), F.lit("CONV").alias("version"),
+        F.lit("5-000000000000").alias("part"), F.lit("CONV").alias("version"),
         F.array(F.struct(F.lit("Empty").alias("bookName"), F.lit("e").alias("bookShort"),
                          F.lit(1).alias("testament"), F.lit(9).alias("bookNumber"),
                          F.lit(None).cast(T.ArrayType(CHAPTER_T)).alias("chapters"))).alias("books"))

@@ -5,6 +5,8 @@ bytes appear only at the import/export edge."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -31,13 +33,17 @@ def append(store_path: str, rows: DataFrame, text_col: str | None = None) -> Dat
     return rows.sparkSession.read.parquet(store_path)
 
 
-def upsert(existing: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """INSERT OR REPLACE by id: the row of the latest batch wins (grouped ``max_by``,
-    combined map-side, so a hot id never gathers its copies in one task)."""
-    u = existing.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
-    others = [c for c in u.columns if c != id_col]
-    return (u.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col("batch")).alias("__w"))
-            .select(id_col, *[F.col(f"__w.{c}").alias(c) for c in others]))
+def upsert(existing: DataFrame, new: DataFrame, id_col: str = "id", arrival: str | None = None) -> DataFrame:
+    """INSERT OR REPLACE by id. The store is only filtered against the ids of the (small)
+    batch; of batch rows with one id the last by ``arrival`` wins (a grouped ``max_by``,
+    combined map-side), or without that column the greatest row, so the result is defined."""
+    others = [c for c in existing.columns if c != id_col]
+    last = F.col(arrival) if arrival else F.struct(*others)
+    batch = (new.groupBy(id_col).agg(F.max_by(F.struct(*others), last).alias("__w"))
+             .select(id_col, *[F.col(f"__w.{c}").alias(c) for c in others]))
+    kept = existing.join(batch.select(id_col), id_col, "left_anti")
+    return (kept.withColumn("batch", F.lit(0)).unionByName(batch.withColumn("batch", F.lit(1)))
+            .select(id_col, *others, "batch"))
 
 
 # ---------------------------------------------------------------------------
@@ -51,11 +57,11 @@ def _encode(batches):
     for rb in batches:
         i = rb.schema.get_field_index("embedding")
         col = rb.column(i)
-        offsets = col.offsets.to_numpy() - col.offsets[0].as_py()
-        flat = col.values.to_numpy(zero_copy_only=False).astype("<f4", copy=False).tobytes()
+        offsets = col.offsets.to_numpy()
+        flat = col.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False).astype("<f4", copy=False).tobytes()
         blob = pa.BinaryArray.from_buffers(pa.binary(), len(col),
                                            [col.is_valid().buffers()[1] if col.null_count else None,
-                                            pa.py_buffer((offsets * 4).astype(np.int32).tobytes()),
+                                            pa.py_buffer(((offsets - offsets[0]) * 4).astype(np.int32).tobytes()),
                                             pa.py_buffer(flat)], null_count=col.null_count)
         yield pa.RecordBatch.from_arrays([c for j, c in enumerate(rb.columns) if j != i] + [blob],
                                          names=[n for j, n in enumerate(rb.schema.names) if j != i] + ["blob"])
@@ -105,6 +111,10 @@ def decode_vectors(df: DataFrame, blob_col: str = "blob") -> DataFrame:
 # S7 snapshots, S8 bootstrap, S11 build report
 # ---------------------------------------------------------------------------
 
+def _absent(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
+
+
 def save_snapshot(df: DataFrame, uri: str) -> str:
     """S7 save: JSON lines under ``uri`` (the URI scheme picks the file system)."""
     df.write.mode("overwrite").json(uri)
@@ -114,8 +124,10 @@ def save_snapshot(df: DataFrame, uri: str) -> str:
 def snapshot_exists(spark: SparkSession, uri: str) -> bool:
     """S7 exists: a snapshot is there when its folder holds at least one row."""
     try:
-        return not spark.read.json(uri).isEmpty()
-    except AnalysisException:
+        return not spark.read.text(uri).isEmpty()   # lines, so no schema is inferred
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
         return False
 
 
@@ -128,7 +140,10 @@ def load_snapshot(spark: SparkSession, uri: str, schema: str) -> DataFrame | Non
     """S7 load: None (logged, not thrown) when the snapshot is absent."""
     try:
         return spark.read.schema(schema).json(uri)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
+        logging.getLogger(__name__).warning("snapshot %s is absent", uri)
         return None
 
 
@@ -143,9 +158,14 @@ def load_or_build_index(spark: SparkSession, store_path: str | None, snapshot_ur
             df = reader(path)
             if not df.isEmpty():
                 return name, df
-        except AnalysisException:
-            continue
-    return "generated", build()
+        except AnalysisException as e:
+            if not _absent(e):
+                raise
+    made = build()
+    if not store_path:
+        return "generated", made
+    made.write.mode("overwrite").parquet(store_path)   # so the next start finds it
+    return "generated", spark.read.schema(schema).parquet(store_path)
 
 
 def vector_summary(df: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -23,10 +23,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import java_trim
 from ..operators import classify as C
+from ..operators.classify import centroid_literals, prototype_centroids
 from ..plans import search as S
 from ..session import scratch_path
 from ..sources.dictionaries import Dictionaries
 
+RESULT_SCHEMA = ("qid long, rank int, key string, reference string, book_name string, book_short string, "
+                 "chapter int, verse int, title string, text string, version string, score double, "
+                 "reranked_score double, search_method string")
+
 
 def classify_log(df: DataFrame, dicts: Dictionaries, text_col: str = "text") -> DataFrame:
     """T1 body (batch or stream): per-row keyword and scope of each logged query."""
@@ -61,21 +66,19 @@ def search_stream(spark: SparkSession, source_glob: str, schema: str, inputs: S.
     """Run T2: every micro-batch of ``(qid, query, max_results, min_score, version)``
     rows is answered by the routed search; returns all written results."""
     out, ckpt = scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ckpt")
+    centroids = centroid_literals(prototype_centroids(inputs.prototypes))   # once, not per batch
+    wrote: list[int] = []
 
     def answer(batch: DataFrame, epoch: int) -> None:
         inp = S.SearchInputs(inputs.verses, inputs.vectors, batch.join(query_vectors, "qid", "left"),
                              inputs.prototypes, inputs.dicts, inputs.thresholds)
-        ctx = S.query_context(inp)
+        ctx = S.query_context(inp, centroids)
         S.routed_search(inp, ctx).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         ctx.unpersist()
+        wrote.append(epoch)
 
     stream = spark.readStream.schema(schema).parquet(source_glob)
     q = (stream.writeStream.foreachBatch(answer).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out).drop("epoch")
-    except Exception:  # noqa: BLE001 - no batch produced output
-        return spark.createDataFrame([], S._result_projection(inputs.verses.limit(0).select(
-            F.lit(0).cast("long").alias("qid"), F.lit(0).alias("rank"), *[F.col(c) for c in S.VERSE_COLUMNS if c != "ord"],
-            F.lit(0.0).alias("score"), F.lit(0.0).alias("reranked_score"))).schema)
+    return spark.read.schema(RESULT_SCHEMA).parquet(out) if wrote else spark.createDataFrame([], RESULT_SCHEMA)

@@ -1,7 +1,7 @@
 """The paths taken beyond each size check must give the same rows as the primary ones:
-query blocks above the broadcast budget (k-NN), keyword sets above the nested-loop limit
-(Aho-Corasick), and degenerate vectors."""
+query blocks above the broadcast budget (k-NN), keyword blocks, and degenerate vectors."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -24,25 +24,41 @@ def test_knn_query_blocks_equal_single_block(spark):
     assert _set(one, cols) == _set(many, cols)
 
 
-def test_keyword_join_aho_corasick_equals_nested_loop(spark):
+def test_keyword_join_blocks_and_short_keywords(spark):
     v = fixtures.passages(spark, SF_SMALL)
     kws = (T.table(spark, SF_SMALL, "benchmark")
            .select(F.explode(F.split("text", " ")).alias("keyword")).filter(F.length("keyword") > 2).distinct())
-    bnlj = keyword_join(v, kws, carry=["version"], bnlj_limit=10**9)
-    ac = keyword_join(v, kws, carry=["version"], bnlj_limit=0)
+    one = keyword_join(v, kws, carry=["version"])
+    many = keyword_join(v, kws, carry=["version"], block_bytes=2000)
     cols = ["keyword", "ord", "version"]
-    assert _set(bnlj, cols) == _set(ac, cols)
-    assert bnlj.count() > 0
+    assert _set(one, cols) == _set(many, cols)
+    plain = v.join(F.broadcast(kws), F.col("text").contains(F.col("keyword")))
+    assert _set(one, cols) == _set(plain, cols) and one.count() > 0
+
+
+def test_keyword_join_equals_contains(spark):
+    """The empty keyword is in every text, null is in none, keywords overlap, signs and
+    line ends are literal."""
+    texts = ["abc", "xyz", "", None, "a\nb.c abab", "😀é😀x", "aaa"]
+    words = ["", "b", "ab", "abc", "aba", "bab", "a\nb", ".c", "....", "😀é😀", "é", "aaaa", None, "zz"]
+    v = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    kws = spark.createDataFrame([(w,) for w in words + words[:3]], "keyword string")
+    want = {(w, i) for w in words if w is not None for i, t in enumerate(texts) if t is not None and w in t}
+    for block in (1, 64, 1 << 20):
+        assert {tuple(r) for r in keyword_join(v, kws, block_bytes=block).collect()} == want
 
 
 def test_zero_and_mismatched_vectors(spark):
-    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [0.6, 0.8])],
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.6, 0.8])],
                                    "ord long, embedding array<float>")
     q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0])], "qid long, qvec array<float>")
     got = {(r["qid"], r["ord"]): r["score"] for r in knn_candidates(corpus, q, k=5, min_score=-1.0).collect()}
     assert got[(10, 1)] == 1.0 and abs(got[(10, 4)] - 0.6) < 1e-7
     assert got[(10, 2)] == 0.0                 # zero corpus vector scores 0
-    assert (10, 3) not in got                  # another width is never a candidate
+    assert (10, 3) not in got                  # no vector is never a candidate
+    wide = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0, 0.0])], "ord long, embedding array<float>")
+    with pytest.raises(Exception, match="widths"):   # another width is an error, as in the store
+        knn_candidates(wide, q, k=5, min_score=-1.0).collect()
     assert all(v == 0.0 for (qid, _), v in got.items() if qid == 11)   # zero query vector
 
 
@@ -60,3 +76,42 @@ def test_relevance_score_mode(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, qvec array<float>")
     got = {r["ord"]: r["score"] for r in knn_candidates(corpus, q, k=5, min_score=0.0, score_mode="relevance").collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 0.5}
+
+
+def test_sliced_arrow_columns():
+    """A slice of an Arrow list column keeps offsets into the whole child buffer."""
+    import numpy as np
+    import pyarrow as pa
+    from lectio.operators.knn import _stack_arrow
+    from lectio.sources.vectors import _decode, _encode
+    col = pa.array([[1.0, 0.0], [0.0, 1.0], [2.0, 2.0]], pa.list_(pa.float32()))
+    m, ok = _stack_arrow(col.slice(1), 2)
+    assert ok.all() and np.array_equal(m, [[0.0, 1.0], [2.0, 2.0]])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), col], names=["id", "embedding"]).slice(1)
+    back = next(_decode(iter([next(_encode(iter([batch])))])))
+    assert back.column("embedding").to_pylist() == [[0.0, 1.0], [2.0, 2.0]]
+
+
+def test_upsert_last_of_batch_wins(spark):
+    from lectio.sources.vectors import upsert
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, x int")
+    new = spark.createDataFrame([("b", 9, 0), ("b", 3, 1), ("c", 4, 2)], "id string, x int, at int")
+    got = {r["id"]: (r["x"], r["batch"]) for r in upsert(old, new, arrival="at").collect()}
+    assert got == {"a": (1, 0), "b": (3, 1), "c": (4, 1)}
+
+
+def test_long_number_is_no_reference(spark):
+    from lectio.operators.classify import parse_reference
+    from lectio.sources.dictionaries import reference_dictionaries
+    q = spark.createDataFrame([(1, "John 99999999999"), (2, "John 3:99999999999"), (3, "John 3:16")], "qid long, query string")
+    got = {r["qid"]: (r["route"], r["ref_chapter"], r["ref_verse"]) for r in parse_reference(q, reference_dictionaries(spark)).collect()}
+    assert got == {1: ("SEARCH", None, None), 2: ("READ", 3, None), 3: ("READ", 3, 16)}
+
+
+def test_parallel_chapters_korean_label(spark):
+    from lectio.plans.reader import parallel_chapters
+    v = spark.createDataFrame([("ASV", "Gen", 1, 1, "in the beginning"), ("개역개정", "창", 1, 1, "태초에")],
+                              "version string, book_short string, chapter int, verse int, text string")
+    cw = spark.createDataFrame([("Gen", "창")], "code_a string, code_b string")
+    row = parallel_chapters(v, cw, "ASV", "KRV").filter("verse = 1").first()
+    assert (row["text_a"], row["text_b"]) == ("in the beginning", "태초에")

@@ -54,9 +54,12 @@ def test_bootstrap_prefers_store_then_snapshot(spark):
     store, snap = scratch_path(spark, "store"), scratch_path(spark, "snap")
     built = lambda: EMBED.hash_embed(T.table(spark, SF_SMALL, "documents").select("doc_id", "text"))
     assert V.load_or_build_index(spark, store, snap, schema, built)[0] == "generated"
+    # the generated index is saved, so the next start finds it
+    src, df = V.load_or_build_index(spark, store, snap, schema, built)
+    assert src == "store" and df.count() == built().count()
     V.save_snapshot(e, snap)
-    assert V.load_or_build_index(spark, store, snap, schema, built)[0] == "snapshot"
-    e.write.parquet(store)
+    assert V.load_or_build_index(spark, scratch_path(spark, "store"), snap, schema, built)[0] == "snapshot"
+    e.write.mode("overwrite").parquet(store)
     src, df = V.load_or_build_index(spark, store, snap, schema, built)
     assert src == "store" and df.count() == e.count()
 
