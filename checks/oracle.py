@@ -74,7 +74,7 @@ verses_x AS (
   FROM verses)"""
 
 QUERIES = """queries AS (
-  SELECT item_id AS qid, CASE item_id % 8
+  SELECT item_id AS qid, CASE item_id % 16
     WHEN 0 THEN concat('"', w1, '" appears')
     WHEN 1 THEN concat('documents containing ', w2)
     WHEN 2 THEN concat('in src3 about ', w1, ' ', w2)
@@ -82,8 +82,15 @@ QUERIES = """queries AS (
     WHEN 4 THEN concat('from grpa on ', w2, ' ', w3)
     WHEN 5 THEN concat(w1, '라는 단어')
     WHEN 6 THEN concat(w1, ' ', w2, ' ', w3)
+    WHEN 8 THEN text
+    WHEN 9 THEN concat('in OT about ', w1, ' ', w2)
+    WHEN 10 THEN concat('in src1,src2 about ', w1)
+    WHEN 11 THEN concat('book', chr(CAST(97 + item_id % 20 AS INT)), ' 3:16')
+    WHEN 12 THEN concat('book', chr(CAST(97 + item_id % 20 AS INT)), ' 99999999999')
+    WHEN 13 THEN concat('src3에서 ', w1, ' ', w2)
+    WHEN 14 THEN concat('from src4 on ', text)
     ELSE '  ' END AS query
-  FROM (SELECT item_id, split_part(text,' ',1) AS w1, split_part(text,' ',2) AS w2, split_part(text,' ',3) AS w3
+  FROM (SELECT item_id, text, split_part(text,' ',1) AS w1, split_part(text,' ',2) AS w2, split_part(text,' ',3) AS w3
         FROM benchmark) b)"""
 
 PROTOS = """protos AS (
@@ -430,7 +437,7 @@ def reference_parse_sql() -> str:
     t = jtrim("query")
     name0 = jtrim(f"lower({jtrim(f'regexp_extract({t}, {q(REFERENCE_PATTERN)}, 1)')})")
     name1 = f"regexp_replace(regexp_replace({name0}, '^([0-9]){WS}*', '\\1 '), '{WS}+', ' ', 'g')"
-    rows = ", ".join(f"('src{i}', 'src{i}', 'EN')" for i in range(20))
+    rows = ", ".join(f"('{name}', 'src{i}', 'EN')" for i in range(20) for name in (f"src{i}", f"book{chr(97 + i)}"))
     return f"""WITH {QUERIES},
 ref_book(name, code, version) AS (VALUES {rows}),
 p AS (
@@ -441,12 +448,13 @@ p AS (
     regexp_extract({t}, {q(REFERENCE_PATTERN)}, 4) AS g4
   FROM queries WHERE {not_blank('query')}),
 j AS (
-  SELECT p.*, coalesce(a.code, b.code) AS code, coalesce(a.version, b.version) AS ver
+  SELECT p.*, CASE WHEN TRY_CAST(g2 AS INT) IS NOT NULL THEN coalesce(a.code, b.code) END AS code,
+    CASE WHEN TRY_CAST(g2 AS INT) IS NOT NULL THEN coalesce(a.version, b.version) END AS ver
   FROM p LEFT JOIN ref_book a ON p.hit AND a.name = p.nm
     LEFT JOIN ref_book b ON p.hit AND b.name = regexp_replace(p.nm, '{WS}+', '', 'g'))
 SELECT qid, CASE WHEN code IS NOT NULL THEN 'READ' ELSE 'SEARCH' END AS route, code AS ref_book, ver AS ref_version,
-  CASE WHEN code IS NOT NULL THEN CAST(g2 AS INT) END AS ref_chapter,
-  CASE WHEN code IS NOT NULL THEN CAST(coalesce(nullif(g3, ''), nullif(g4, '')) AS INT) END AS ref_verse
+  CASE WHEN code IS NOT NULL THEN TRY_CAST(g2 AS INT) END AS ref_chapter,
+  CASE WHEN code IS NOT NULL THEN TRY_CAST(coalesce(nullif(g3, ''), nullif(g4, '')) AS INT) END AS ref_verse
 FROM j"""
 
 
@@ -665,7 +673,7 @@ def _hash_dense(src: str, id_expr: str, text_expr: str, name: str) -> str:
 
 
 CONV_QUERIES = """queries AS (
-  SELECT conv_id * 10000 + turn AS qid, text AS query FROM conversations WHERE role = 'user')"""
+  SELECT conv_id * 4294967296 + turn AS qid, text AS query FROM conversations)"""
 
 
 def conversation_search_sql() -> str:

@@ -66,11 +66,11 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
-    """A larger query log: every user turn of ``conversations`` is a query, embedded with
+    """A larger query log: every turn of ``conversations`` is a query, embedded with
     the same hash embedder as the passages (vectors built by ``hashed_vectors``)."""
     from .sources.embed import hash_embed
-    conv = (tables.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-            .select((F.col("conv_id") * 10000 + F.col("turn")).alias("qid"), F.col("text").alias("query"),
+    conv = (tables.table(spark, sf_dir, "conversations")
+            .select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("qid"), F.col("text").alias("query"),
                     F.lit(None).cast("int").alias("max_results"), F.lit(None).cast("double").alias("min_score"),
                     F.lit(None).cast("string").alias("version")))
     qvec = hash_embed(conv.select(F.col("qid").alias("doc_id"), F.col("query").alias("text"))) \

@@ -149,7 +149,7 @@ SYN_BOOK_GROUPS = {
 }
 SYN_BOOK_NAMES = {f"src{i}": f"src{i}" for i in range(20)}
 SYN_CROSSWALK = {f"src{i}": f"src{i + 10}" for i in range(5)}
-SYN_READER_BOOKS = {f"src{i}": (f"src{i}", "EN") for i in range(20)}
+SYN_READER_BOOKS = {name: (f"src{i}", "EN") for i in range(20) for name in (f"src{i}", f"book{chr(97 + i)}")}
 
 
 @dataclass

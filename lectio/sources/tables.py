@@ -54,11 +54,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: qid, query, max_results, min_score, version (request fields; null means the
     service default)."""
     b = table(spark, sf_dir, "benchmark").select(
-        "item_id",
+        "item_id", "text",
         F.split_part("text", F.lit(" "), F.lit(1)).alias("w1"),
         F.split_part("text", F.lit(" "), F.lit(2)).alias("w2"),
         F.split_part("text", F.lit(" "), F.lit(3)).alias("w3"))
-    shape = F.col("item_id") % 8
+    shape = F.col("item_id") % 16
+    book = F.concat(F.lit("book"), F.char(F.lit(97) + F.col("item_id") % 20))
     q = (F.when(shape == 0, F.concat(F.lit('"'), "w1", F.lit('" appears')))
          .when(shape == 1, F.concat(F.lit("documents containing "), "w2"))
          .when(shape == 2, F.concat(F.lit("in src3 about "), "w1", F.lit(" "), "w2"))
@@ -66,6 +67,13 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(shape == 4, F.concat(F.lit("from grpa on "), "w2", F.lit(" "), "w3"))
          .when(shape == 5, F.concat("w1", F.lit("라는 단어")))
          .when(shape == 6, F.concat("w1", F.lit(" "), "w2", F.lit(" "), "w3"))
+         .when(shape == 8, F.col("text"))
+         .when(shape == 9, F.concat(F.lit("in OT about "), "w1", F.lit(" "), "w2"))
+         .when(shape == 10, F.concat(F.lit("in src1,src2 about "), "w1"))
+         .when(shape == 11, F.concat(book, F.lit(" 3:16")))
+         .when(shape == 12, F.concat(book, F.lit(" 99999999999")))
+         .when(shape == 13, F.concat(F.lit("src3에서 "), "w1", F.lit(" "), "w2"))
+         .when(shape == 14, F.concat(F.lit("from src4 on "), "text"))
          .otherwise(F.lit("  ")))
     return b.select(
         F.col("item_id").alias("qid"), q.alias("query"),
