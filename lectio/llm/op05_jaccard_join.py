@@ -15,10 +15,10 @@ Work on Spark:
    collapse to the hash of their set; a signature that repeats is sent once) and sent in packed
    blocks by signature range. A block task sorts its signatures and gives (signature, member,
    leader) rows for those with two sets or more.
-2. Members are verified exactly against their leaders, and the links give components.
+2. Members are compared with their leaders by a parity sketch that never overestimates how much
+   two sets differ; what it allows is verified exactly, and the links give components.
 3. A signature whose members still lie in several components has its members compared across
-   components, in tiles of bounded size, by a parity sketch that never overestimates the
-   difference; all that pass are verified exactly. Pairs inside a component need no check.
+   components, in tiles of bounded size, by their sketches; all that pass are verified exactly. Pairs inside a component need no check.
 
 So no pairs of a group of copies are emitted, and no link between different components is lost.
 
@@ -188,8 +188,8 @@ def sketches(shingles: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 # ---- Spark --------------------------------------------------------------------------------
-BLOCKS = "part long, kind int, one binary, two binary, three binary"
-MEMBERS = "kind int, one long, two long, three long"
+BLOCKS = "part long, kind int, one binary, two binary, three binary, four binary"
+MEMBERS = "kind int, one long, two long, three long, sketch binary"
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,8 @@ def _signature_blocks(limits: list[tuple[int, int]], plans: list[tuple[int, int,
             ids = piece.column("doc_id")
             known = np.array(ids.is_valid())
             doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows: list[tuple] = [(spread % parts, 0, doc.tobytes(), size.astype(np.int64).tobytes(), node.tobytes())] if known.all() else [(spread % parts, 0, doc[known].tobytes(), size[known].astype(np.int64).tobytes(), node[known].tobytes())]
+            drawn = np.frombuffer(b"".join(sketches(shingles, first)), np.uint8).reshape(-1, SKETCH_BITS // 8)
+            rows: list[tuple] = [(spread % parts, 0, doc[known].tobytes(), size[known].astype(np.int64).tobytes(), node[known].tobytes(), drawn[known].tobytes())]
             some = np.flatnonzero((size > 0) & known)
             some = some[np.unique(node[some], return_index=True)[1]]
             band = np.searchsorted(lows, size[some], side="right") - 1
@@ -230,14 +231,14 @@ def _signature_blocks(limits: list[tuple[int, int]], plans: list[tuple[int, int,
             if len(start) < len(sig):  # repeats inside the slice: sent once, the members told apart from it
                 run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sig))))
                 twin = np.bincount(run)[run] > 1
-                rows.append(((spread + 1) % parts, 2, sig[twin].tobytes(), who[twin].tobytes(), who[start][run][twin].tobytes()))
+                rows.append(((spread + 1) % parts, 2, sig[twin].tobytes(), who[twin].tobytes(), who[start][run][twin].tobytes(), b""))
                 sig, who = sig[fresh], who[fresh]
             part = (sig.astype(np.float64) * (parts / 2.0**56)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
             for a, b in zip(cuts, [*cuts[1:], len(part)]):
-                rows.append((int(part[a]), 1, sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes(), who[a:b].tobytes(), b""))
+                rows.append((int(part[a]), 1, sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes(), who[a:b].tobytes(), b"", b""))
             spread += 2
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["part", "kind", "one", "two", "three"])
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])], ["part", "kind", "one", "two", "three", "four"])
 
     return make
 
@@ -251,10 +252,12 @@ def _unpack_signatures(data: bytes) -> np.ndarray:
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document rows (kind 0: id, size, node) and bucket rows (kind 1: signature, member, leader)."""
-    def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, *columns: np.ndarray, drawn: bytes = b"") -> Iterator[pa.RecordBatch]:
         for at in range(0, len(columns[0]), 1 << 16):
             cut = [np.ascontiguousarray(c[at: at + (1 << 16)]).view(np.int64) for c in columns]
-            yield pa.record_batch([pa.array(np.full(len(cut[0]), kind, np.int32)), *map(pa.array, cut)], ["kind", "one", "two", "three"])
+            n, width = len(cut[0]), SKETCH_BITS // 8
+            last = [drawn[(at + k) * width: (at + k + 1) * width] for k in range(n)] if drawn else [None] * n
+            yield pa.record_batch([pa.array(np.full(n, kind, np.int32)), *map(pa.array, cut), pa.array(last, pa.binary())], ["kind", "one", "two", "three", "sketch"])
 
     signature, node = [], []
     for batch in batches:
@@ -265,7 +268,7 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signature.append(_unpack_signatures(one))
                 node.append(np.frombuffer(two, np.uint64))
             else:
-                yield from out(kind // 2, *(np.frombuffer(x, np.uint64) for x in (one, two, three)))
+                yield from out(kind // 2, *(np.frombuffer(x, np.uint64) for x in (one, two, three)), drawn=batch.column("four")[i].as_py())
     if not signature:
         return
     sig, who = np.concatenate(signature), np.concatenate(node)
@@ -287,17 +290,26 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(1, sig[several], who[several], np.repeat(who[start], held)[several])
 
 
-SETS = "node long, size long, shingles binary, sketch binary"
+SETS = "node long, size long, shingles binary"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in _slices(batches):
         shingles, first, node = shingle_sets(piece.column("text"))
         right = np.flatnonzero(node.view(np.int64) == piece.column("node").to_numpy(zero_copy_only=False))
-        drawn = sketches(shingles, first)
         for at in range(0, len(right), 256):
-            rows = [(int(node[i].view(np.int64)), int(first[i + 1] - first[i]), shingles[first[i]: first[i + 1]].tobytes(), drawn[i]) for i in right[at: at + 256]]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["node", "size", "shingles", "sketch"])
+            rows = [(int(node[i].view(np.int64)), int(first[i + 1] - first[i]), shingles[first[i]: first[i + 1]].tobytes()) for i in right[at: at + 256]]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary()])], ["node", "size", "shingles"])
+
+
+def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a link."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            total = batch.column("total").to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(1) <= total * (100 - PERCENT) // (100 + PERCENT)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,12 +322,28 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity, by exact intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shingles").alias("y"))
-    near = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow; no linked pair is lost."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    near = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+    both = pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "x", "y")
+    return both.mapInArrow(_possible, "a long, b long")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity, by exact intersection. The sets
+    are made again from one text of each node."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = written(nodes.select("node", "doc_id").join(wanted, "node"), "jaccard-chosen")
+    # Texts that cannot be wanted leave before the shuffle: a broadcast of hash cells, of which
+    # there are at most CELLS, then the exact join.
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
+    near = docs.join(F.broadcast(chosen.select(cell.alias("cell")).distinct()), cell == F.col("cell"), "left_semi")
+    sets = written(near.join(chosen, "doc_id").select("text", "node").mapInArrow(_sets, SETS).dropDuplicates(["node"]), "jaccard-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,21 +388,13 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
 
     blocks = docs.mapInArrow(_signature_blocks(limits, plans, parts), BLOCKS)
     rows = written(blocks.repartition(parts, "part").mapInArrow(_members, MEMBERS), "jaccard-members")
-    found = rows.filter("kind = 0").select(F.col("one").alias("doc_id"), F.col("two").alias("n"), F.col("three").alias("node"))
+    found = rows.filter("kind = 0").select(F.col("one").alias("doc_id"), F.col("two").alias("n"), F.col("three").alias("node"), "sketch")
     buckets = rows.filter("kind = 1").select(F.col("one").alias("sig"), F.col("two").alias("node"), F.col("three").alias("leader"))
+    nodes = written(found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-nodes")
 
-    # The sets of all nodes in a bucket, from one document each.
-    pairs = written(buckets.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    # Texts that cannot be wanted leave before the shuffle: a broadcast of hash cells, of which
-    # there are at most CELLS, then the exact join.
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
-    chosen = written(chosen, "jaccard-chosen")
-    near = docs.join(F.broadcast(chosen.select(cell.alias("cell")).distinct()), cell == F.col("cell"), "left_semi")
-    sets = written(near.join(chosen, "doc_id").select("text", "node").mapInArrow(_sets, SETS).dropDuplicates(["node"]), "jaccard-sets")
-
-    links = written(verify(pairs, sets), "jaccard-links")
+    pairs = buckets.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = written(possible(pairs, nodes), "jaccard-pairs")
+    links = written(verify(pairs, nodes, docs), "jaccard-links")
     classes = components(links)
     within = classes.select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     placed = buckets.select("sig", "node").join(within, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -384,7 +404,7 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
         placed.join(open_sigs.select("sig", F.ceil(F.col("held") / TILE).cast("int").alias("tiles")), "sig")
         .dropDuplicates(["sig", "node"])
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")))
-        .join(sets.select("node", "size", "sketch"), "node")
+        .join(nodes.select("node", F.col("n").alias("size"), "sketch"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("lo", F.least("mine", "other").cast("int"))
         .withColumn("hi", F.greatest("mine", "other").cast("int"))
@@ -395,7 +415,7 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     )
     more = written(tiled.mapInArrow(_across, "a long, b long").distinct(), "jaccard-across")
     if not more.isEmpty():
-        again = written(verify(more, sets), "jaccard-links")
+        again = written(verify(more, nodes, docs), "jaccard-links")
         classes = components(links.union(again))
 
     member = classes.select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
