@@ -39,6 +39,8 @@ GRAM, OVERLAP = 3, 0.6
 LEAST_WORDS = 8
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
+#: Bounds and scores that are held at once.
+CELLS = 1 << 20
 
 #: Words as in the index: signs between words don't count.
 _WORD_ONLY = np.where(WORD_SIGN_CLASS == 1, 1, 0).astype(np.uint8)
@@ -63,6 +65,13 @@ def grams(hashes: np.ndarray) -> np.ndarray:
     return mix(out, 8)
 
 
+def _expand(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, row numbers) of the runs ``first[r]:first[r + 1]`` of all rows, one after another."""
+    size = first[rows + 1] - first[rows]
+    of = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[rows][of], of
+
+
 class Index:
     """Postings by term, with item and block bounds."""
 
@@ -102,19 +111,29 @@ class Index:
         cuts = list(zip(tokens.first[keep].tolist(), (tokens.first[keep + 1] - answers).tolist(), tokens.first[keep + 1].tolist()))
         self.grams = [[grams(tokens.hash[a:b]) for a, b, _ in cuts], [grams(tokens.hash[b:c]) for _, b, c in cuts]]
 
-    def retrieve(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(items, shares of the threshold) at or above 1, for a passage's distinct terms."""
-        spans = [slice(self.block_first[t], self.block_first[t + 1]) for t in terms]
-        bound = np.bincount(np.concatenate([self.block[s] for s in spans]), weights=np.concatenate([self.block_max[s] for s in spans]), minlength=self.blocks)
-        open_block = bound >= 1 - 1e-9
-        if not open_block.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        item, weight = np.concatenate([self.item[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
-        inside = open_block[item // BLOCK]
-        score = np.bincount(item[inside], weights=weight[inside], minlength=len(self.ids))
-        hit = np.flatnonzero(score >= 1 - 1e-9)
-        return hit, score[hit]
+    def retrieve(self, window: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, share of the threshold) at or above 1 for windows 0..n-1, given their
+        distinct terms, ordered by window."""
+        at, of = _expand(self.block_first, term)
+        key = window[of] * self.blocks + self.block[at]
+        open_block = np.bincount(key, weights=self.block_max[at], minlength=n * self.blocks) >= 1 - 1e-9
+        live = open_block.reshape(n, self.blocks).any(1)
+        out: list[tuple] = []
+        step = max(1, CELLS // len(self.ids))
+        chosen = np.flatnonzero(live)
+        first = np.searchsorted(window, np.arange(n + 1))
+        for begin in range(0, len(chosen), step):
+            some = chosen[begin: begin + step]
+            pair, local = _expand(first, some)
+            at, of = _expand(self.first, term[pair])
+            item, here = self.item[at], local[of]
+            inside = open_block[some[here] * self.blocks + item // BLOCK]
+            score = np.bincount(here[inside] * len(self.ids) + item[inside], weights=self.weight[at[inside]], minlength=len(some) * len(self.ids))
+            hit = np.flatnonzero(score >= 1 - 1e-9)
+            out.append((some[hit // len(self.ids)], hit % len(self.ids), score[hit]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(text, item, BM25 score, question overlap, answer overlap, first word) of all leaks."""
@@ -134,14 +153,15 @@ class Index:
         window, term = pair >> 32, pair & 0xFFFFFFFF
         bound = np.bincount(window, weights=self.bound[term], minlength=int(base[-1] + last[-1] + 1) if len(count) else 0)
         starts = np.searchsorted(window, np.arange(len(bound) + 1))
-        for w in np.flatnonzero(bound >= 1 - 1e-9):
-            items, share = self.retrieve(term[starts[w]: starts[w + 1]])
-            if not len(items):
-                continue
-            text = int(np.searchsorted(base, w, side="right") - 1)
-            begin = (w - base[text]) * stride
-            here = grams(tokens.hash[tokens.first[text] + begin: min(tokens.first[text] + begin + 2 * stride, tokens.first[text + 1])])
-            for i, s in zip(items, share):
+        live = np.flatnonzero(bound >= 1 - 1e-9)
+        step = max(1, CELLS // self.blocks)
+        for at in range(0, len(live), step):
+            some = live[at: at + step]
+            pair, local = _expand(starts, some)
+            for w, i, s in zip(*self.retrieve(local, term[pair], len(some))):
+                text = int(np.searchsorted(base, some[w], side="right") - 1)
+                begin = (some[w] - base[text]) * stride
+                here = grams(tokens.hash[tokens.first[text] + begin: min(tokens.first[text] + begin + 2 * stride, tokens.first[text + 1])])
                 overlap = [float(np.isin(g[i], here).mean()) for g in self.grams]
                 if min(overlap) >= OVERLAP:
                     yield text, int(i), float(s * THRESHOLD * self.own[i]), overlap[0], overlap[1], int(begin)
