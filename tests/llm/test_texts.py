@@ -122,8 +122,8 @@ def test_wand_retrieves_all_above_threshold():
         score = np.zeros(50)
         for t in terms:
             score[index.item[index.first[t]: index.first[t + 1]]] += index.weight[index.first[t]: index.first[t + 1]]
-        items, share = index.retrieve(terms)
-        assert set(items.tolist()) == set(np.flatnonzero(score >= 1 - 1e-9).tolist()) and np.allclose(share, score[items])
+        windows, items, share = index.retrieve(np.zeros(len(terms), np.int64), terms, 1)
+        assert not windows.any() and set(items.tolist()) == set(np.flatnonzero(score >= 1 - 1e-9).tolist()) and np.allclose(share, score[items])
 
 
 def all_segmentations(lattice, text):
