@@ -27,9 +27,6 @@ WORD_CLASS[[32, *range(9, 14)]] = 0
 WORD_SIGN_CLASS = np.full(256, 2, np.uint8)
 WORD_SIGN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 WORD_SIGN_CLASS[[32, *range(9, 14)]] = 0
-#: Lower-case letters, digits and non-ASCII bytes; all else separates.
-ALNUM_CLASS = np.zeros(256, np.uint8)
-ALNUM_CLASS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
