@@ -470,7 +470,13 @@ top50 AS (
                  FROM c0 WHERE score >= 0.1) WHERE cand_rank <= 50)"""
 
 HEX = "'0123456789abcdef'"
-EMBED = f"""WITH toks AS (SELECT doc_id, unnest(string_split_regex(lower(text), {q(WS + '+')})) AS tok FROM documents),
+P1_TEXTS = """p1_texts AS (
+  SELECT ord AS doc_id, concat('[', version, '] ', book_name, ' ', CAST(chapter AS VARCHAR), ':', CAST(verse AS VARCHAR),
+    CASE WHEN length(title) > 0 THEN concat(' <', title, '>') ELSE '' END, ' ', coalesce(text, 'null')) AS text
+  FROM verses)"""
+EMBED = f"""WITH {VERSES},
+{P1_TEXTS},
+toks AS (SELECT doc_id, unnest(string_split_regex(lower(text), {q(WS + '+')})) AS tok FROM p1_texts),
 h AS (SELECT doc_id, md5(tok) AS h FROM toks WHERE length(tok) > 0),
 c AS (
   SELECT doc_id,
@@ -681,7 +687,8 @@ def conversation_search_sql() -> str:
 qv AS (SELECT q.qid, q.query, h.embedding AS qvec FROM queries q LEFT JOIN qhv h ON h.vec_id = q.qid)"""
     ctx = context_ctes(CONV_QUERIES, qv)
     return f"""WITH {ctx},
-{_hash_dense('documents', 'doc_id', 'text', 'hvec')},
+{P1_TEXTS},
+{_hash_dense('p1_texts', 'doc_id', 'text', 'hvec')},
 {routed_ctes('hvec')}
 SELECT * FROM routed"""
 

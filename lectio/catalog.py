@@ -300,7 +300,8 @@ def service_stats(spark, sf_dir):
     p = T.prototypes(spark, sf_dir)
     seg = R.passage_texts(v.join(e.select("ord"), "ord"))
     cols = [F.lit(50).alias("candidate_count"), F.lit(5).alias("result_count"), F.lit(0.3).alias("min_score"),
-            seg.agg(F.countDistinct("embedding_text")).scalar().alias("indexed_segments"),
+            # distinct by a 128-bit digest, so no text is shuffled
+            seg.agg(F.countDistinct(F.md5("embedding_text"))).scalar().alias("indexed_segments"),
             e.agg(F.count(F.lit(1))).scalar().alias("store_size"),                       # A4
             e.agg(F.count(F.lit(1)) > 0).scalar().alias("store_non_empty")]
     for c in ("KEYWORD", "SEMANTIC", "CONTEXT", "NO_CONTEXT"):
@@ -355,8 +356,8 @@ def index_bootstrap(spark, sf_dir):
 
 
 def embed_corpus(spark, sf_dir):
-    """S9 over the passage table (the reference embeds passages): ord is the doc_id."""
-    docs = _v(spark, sf_dir).select(F.col("ord").alias("doc_id"), "text")
+    """S9 over the passage table (the reference embeds P1 texts): ord is the doc_id."""
+    docs = R.passage_texts(_v(spark, sf_dir)).select(F.col("ord").alias("doc_id"), F.col("embedding_text").alias("text"))
     return EMBED.hash_cells(docs).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.classify import Thresholds
+from .plans.reader import passage_texts
 from .plans.search import SearchInputs, ord_block, query_context
 from .session import scratch_path
 from .sources import tables
@@ -54,12 +55,12 @@ def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, Data
 
 
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S9 index build: every passage embedded by the hash embedder, written once."""
+    """S9 index build: the P1 text of every passage embedded by the hash embedder, written once."""
     from .sources.embed import hash_embed
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "hashvec")
     if key not in _BUILT:
         path = scratch_path(spark, "hash-vectors")
-        docs = passages(spark, sf_dir).select(F.col("ord").alias("doc_id"), "text")
+        docs = passage_texts(passages(spark, sf_dir)).select(F.col("ord").alias("doc_id"), F.col("embedding_text").alias("text"))
         hash_embed(docs).withColumnRenamed("doc_id", "ord").write.mode("overwrite").parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
