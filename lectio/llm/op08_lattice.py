@@ -36,9 +36,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HELD = 1 << 20
 #: Pseudo-counts that the prior is worth.
 PRIOR = 32_000.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Words that a task combines before it sends them on.
-COMBINED = 400_000
+COMBINED = 250_000
 
 
 def read_vocabulary(path: str) -> tuple[bytes, list[str], np.ndarray, np.ndarray]:
