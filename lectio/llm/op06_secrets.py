@@ -158,3 +158,40 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["owners"] >= EXAMPLE_OWNERS)).cast("long").alias("n_examples"),
     )
+
+
+def _oracle() -> str:
+    """DuckDB text of the contract query: the same patterns, places by splitting, plain counts."""
+    names = ", ".join(f"'{k[0]}'" for k in KINDS)
+    found = " union all ".join(
+        "select row, doc_id, source, {k} as kind, regexp_extract_all(text, '{re}', 0) as w, regexp_extract_all(text, '{re}', {g}) as v, "
+        "string_split_regex(text, '{re}') as p from d where regexp_matches(text, '{re}')".format(k=k, re=pattern.replace("'", "''"), g=group)
+        for k, (_, pattern, group, _) in enumerate(KINDS)
+    )
+    least = " ".join(f"when {k} then {n}" for k, (_, _, _, n) in enumerate(KINDS))
+    counts = ",\n       ".join(f"count(*) filter (kind = {k}) as n_{name}" for k, (name, *_) in enumerate(BASE_KINDS))
+    said = "[{}][kind + 1] || ':' || begin_at || ':' || (begin_at + n)".format(names)
+    return f"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+m as ({found}),
+s as (
+  select row, doc_id, source, kind, v[i] as value, length(w[i]) as n,
+         cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) as bigint) as begin_at
+  from m, unnest(range(1, len(w) + 1)) as t(i) where length(v[i]) >= case kind {least} end),
+o as (select value, count(distinct source) + count(distinct case when source is null then 1 end) as owners from s group by value),
+j as (
+  select s.*, owners, owners < {EXAMPLE_OWNERS} and len(list_distinct(string_split(value, ''))) >= {LIVE_SIGNS} as live
+  from s join o using (value)),
+c as (
+  select row, {counts},
+       string_agg({said}, ',' order by begin_at, kind) filter (kind < {len(BASE_KINDS)}) as base,
+       string_agg({said}, ',' order by begin_at, kind) filter (kind < {len(BASE_KINDS)} or live) as spans,
+       count(*) filter (live) as n_live, count(*) filter (owners >= {EXAMPLE_OWNERS} and kind < {len(BASE_KINDS)}) as n_examples
+  from j group by row)
+select d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) as n_{k[0]}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_examples, 0) as n_examples
+from d left join c on c.row = d.row
+"""
+
+
+ORACLE = _oracle()
