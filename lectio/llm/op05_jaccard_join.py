@@ -455,3 +455,22 @@ def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents, whole texts."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with recursive t as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (
+  select distinct a, a as root from l
+  union
+  select l.b, r.root from r join l on l.a = r.a where r.root < l.b)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(k.root, t.doc_id) as component_id
+from t left join n on n.doc_id = t.doc_id left join (select a, min(root) as root from r group by a) k on k.a = t.doc_id
+"""

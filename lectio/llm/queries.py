@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_near_vectors": op01_near_vectors.ORACLE,
     "op2_warc_transactions": op02_warc.ORACLE,
+    "op5_jaccard_join": op05_jaccard_join.ORACLE,
     "op6_secret_scan": op06_secrets.ORACLE,
     "op9_chat_formatting": op09_chat.ORACLE,
 }
