@@ -5,6 +5,7 @@ import hashlib
 import re
 
 from lectio.llm import op06_secrets, op07_mixing, op10_licenses
+from llm_documents import documents  # noqa: F401
 
 AWKWARD = [
     None, "", "   ", "a", "é" * 30, "under the mit license " * 400, "x " * 5000 + "cc by nc",

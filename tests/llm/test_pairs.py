@@ -9,6 +9,7 @@ import pytest
 
 from lectio.llm import op01_near_vectors, op05_jaccard_join
 from lectio.llm.components import components
+from llm_documents import documents  # noqa: F401
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 

@@ -13,6 +13,7 @@ import pytest
 
 from lectio.llm import op02_warc, op03_quality, op04_decontamination, op08_lattice, op09_chat
 from lectio.llm.words import Tokens
+from llm_documents import documents  # noqa: F401
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 PAGES = "page_id long, url string, html string"
