@@ -53,7 +53,7 @@ def main() -> None:
         times[name] = round(run(name, sf_dir), 3)
 
     n_queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
-    n_conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").count()
+    n_conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
     total = round(sum(times.values()), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
