@@ -5,8 +5,9 @@ Sizes are words. Targets share 100% of all sizes by weight, stop at three times
 and what that leaves over is shared again by weight (water filling). A source is dealt, by a
 hash permutation of its documents, into ``BLOCKS`` blocks. Its quota is a number of whole passes
 over its blocks and, for the rest, its first blocks in permuted order; the block at the edge is
-cut at the last document that fits, and the undrawn documents of the nearest size fill what is
-left. A source of any size has as many blocks,
+cut at the last document that fits. What that leaves open is cut again, from the undrawn documents
+of all blocks that are no larger than what is left, until none fits; the document of the nearest
+size then goes in if that brings the source nearer. A source of any size has as many blocks,
 so the tables of blocks are small, and no window sees more than one block's documents.
 
 The shards are the leaves of a binary tree. Every node holds block quotas by source; its blocks
@@ -23,6 +24,8 @@ value; an empty table gives no rows; columns of the input keep their values."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +39,6 @@ BLOCKS = 256
 #: The tree's depth: 2 ** LEVELS shards.
 LEVELS = 5
 SEED = 7
-#: Documents that may fill what the cut at the edge block leaves open.
-FILLS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,6 +82,43 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     return quota.groupBy("source", F.col("node").alias("shard")).agg(F.count("*").alias("quota"))
 
 
+def fill_up(free: DataFrame, lack: DataFrame) -> DataFrame:
+    """(of, filled, of_size): the documents that fill ``lack`` (source, lack), out of ``free`` (of, block,
+    draw, key, size, words: equal rows as one). A round takes what fits in permuted order up to
+    the first document that doesn't; that one is larger than what is left, so it and its like are
+    out of the next round. Rounds end when nothing fits; then the nearest size may go over."""
+    slim = free.join(lack, F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    # Nothing above twice the lack can bring a source nearer.
+    slim = written(slim.filter("words < 2 * lack"), "mix-free")
+    before = Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("of", "block").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    fit = slim.filter("words <= lack")
+    rounds: list[DataFrame] = []
+    while True:
+        blocks = fit.groupBy("of", "block").agg(F.sum("words").alias("held"), F.first("lack").alias("open"))
+        blocks = blocks.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).filter(F.col("before") < F.col("open"))
+        blocks = blocks.select(F.col("of").alias("in_of"), F.col("block").alias("nr"), "before", (F.col("before") + F.col("held") <= F.col("open")).alias("whole"))
+        met = fit.join(blocks, F.col("of").eqNullSafe(F.col("in_of")) & (F.col("block") == F.col("nr")), "left").drop("in_of", "nr")
+        edge = met.filter("not whole").withColumn("picked", F.col("before") + F.sum("words").over(inside) <= F.col("lack"))
+        rest = met.filter("whole is null or whole").withColumn("picked", F.col("whole").isNotNull())
+        step = written(rest.unionByName(edge).drop("before", "whole"), "mix-fills")
+        picked = step.filter("picked")
+        if picked.isEmpty():
+            break
+        rounds.append(picked.select("of", "key", "size", "words"))
+        left = step.groupBy(F.col("of").alias("in_of")).agg((F.first("lack") - F.sum(F.when(F.col("picked"), F.col("words")).otherwise(0))).alias("left"))
+        fit = step.filter("not picked").join(left, F.col("of").eqNullSafe(F.col("in_of"))).filter(F.col("words") <= F.col("left"))
+        fit = fit.select("of", "block", "draw", "key", "size", "words", F.col("left").alias("lack"))
+    taken = reduce(DataFrame.unionByName, rounds, slim.limit(0).select("of", "key", "size", "words"))
+    sums = taken.groupBy(F.col("of").alias("in_of")).agg(F.sum("words").alias("got"))
+    left = slim.join(sums, F.col("of").eqNullSafe(F.col("in_of")), "left").withColumn("left", F.col("lack") - F.coalesce("got", F.lit(0))).drop("in_of")
+    done = taken.select(F.col("of").alias("in_of"), F.col("key").alias("nr"), F.col("size").alias("in_size"))
+    left = left.filter("words < 2 * left").join(done, F.col("of").eqNullSafe(F.col("in_of")) & F.col("key").eqNullSafe(F.col("nr")) & (F.col("size") == F.col("in_size")), "left_anti")
+    near = left.groupBy("of").agg(F.min(F.struct(F.abs(F.col("words") - F.col("left")).alias("off"), "key", "size")).alias("best"))
+    fills = taken.select("of", "key", "size").unionByName(near.select("of", "best.key", "best.size"))
+    return written(fills.select("of", F.col("key").alias("filled"), F.col("size").alias("of_size")), "mix-filled")
+
+
 def mix_sources(documents: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, source, source_size, target, taken, shards): one row per row of
     ``documents``; ``shards`` has a (shard, place) for each copy taken, where ascending ``place``
@@ -123,26 +161,17 @@ def mix_sources(documents: DataFrame, source: str = "source", text: str = "text"
     docs = slim.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nr")))
     # Only documents of the one edge block of a source need places within their block.
     edge = docs.filter("more = 1").drop("of", "nr")
-    inside = Window.partitionBy("source", "block").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("drawn", F.col("so_far") + F.col("size") <= F.col("rest")).drop("so_far")
+    inside = Window.partitionBy("source", "block").orderBy("draw", "key", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("drawn", F.col("before") + F.sum("size").over(inside) <= F.col("rest"))
     sure = docs.filter("more <> 1").drop("of", "nr").withColumn("drawn", F.col("more") == 2)
     out = written(sure.unionByName(edge), "mix-drawn")
 
-    # What the cut leaves open goes to the undrawn document of the nearest size, twice.
     lack = out.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("lack"))
-    lack = lack.filter("lack >= 1").withColumn("chosen", F.array().cast("array<struct<key:%s,size:bigint>>" % slim.schema["key"].dataType.simpleString()))
-    free = out.filter("not drawn and size > 0").select(F.col("source").alias("of"), "key", "size")
-    for _ in range(FILLS):
-        near = free.join(lack, F.col("of").eqNullSafe(F.col("source"))).filter((F.abs(F.col("size") - F.col("lack")) < F.col("lack")) & ~F.exists("chosen", lambda c: c["key"].eqNullSafe(F.col("key"))))
-        near = near.groupBy("of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "key", "size")).alias("best"))
-        lack = lack.join(near, F.col("of").eqNullSafe(F.col("source")), "left")
-        pick = F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array(F.struct(F.col("best.key").alias("key"), F.col("best.size").alias("size")))))
-        lack = lack.select("source", (F.col("lack") - F.coalesce("best.size", F.lit(0))).alias("lack"), pick.alias("chosen"))
-        lack = written(lack, "mix-fills")
-    fills = lack.select(F.col("source").alias("of"), F.explode("chosen").alias("c")).select("of", F.col("c.key").alias("filled"))
-    out = out.join(fills, F.col("source").eqNullSafe(F.col("of")) & F.col("key").eqNullSafe(F.col("filled")) & ~F.col("drawn"), "left")
-    filled = F.col("of").isNotNull() | F.col("filled").isNotNull()
+    lack = written(lack.filter("lack >= 1"), "mix-lack")
+    free = out.filter("not drawn and size > 0").groupBy(F.col("source").alias("of"), "block", "draw", "key", "size").agg((F.count("*") * F.col("size")).alias("words"))
+    fills = fill_up(free, lack)
+    out = out.join(fills, F.col("source").eqNullSafe(F.col("of")) & F.col("key").eqNullSafe(F.col("filled")) & (F.col("size") == F.col("of_size")) & ~F.col("drawn"), "left")
+    filled = F.col("of_size").isNotNull()
 
     copies = F.when(F.col("source_size") > 0, F.col("passes") + (F.col("drawn") | filled).cast("int")).otherwise(0)
     none = F.array().cast("array<struct<copy:int,shard:int>>")

@@ -107,6 +107,18 @@ def test_mixing_targets_and_words(spark, documents):
     assert sorted((r.doc_id, r.taken, r.shards) for r in rows) == sorted((r.doc_id, r.taken, r.shards) for r in again)
 
 
+def test_mixing_goes_on_past_a_long_document(spark, documents):
+    # A long document straddles the cut in some sources; no document that fits may stay undrawn.
+    texts = [("w " * (20 + (i * 7) % 60)).strip() for i in range(1800)] + ["w " * (4000 + 500 * (k % 12)) for k in range(36)]
+    sources = [f"s{i % 12:02}" for i in range(1836)]
+    rows = op07_mixing.mix_sources(documents(texts, sources).drop("size")).collect()
+    target, whole, taken = {r.source: r.target for r in rows}, {r.source: r.source_size for r in rows}, collections.Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+    undrawn = {s: [r.size for r in rows if r.source == s and len(r.shards) == int(target[s] / n + 1e-9)] for s, n in whole.items()}
+    assert all(n > target[s] - taken[s] for s in whole for n in undrawn[s]), {s: target[s] - taken[s] for s in whole}
+
+
 def test_mixing_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 7), (None, 13)], "source string, blocks int")
     rows = op07_mixing.split_tree(quotas, 3).collect()
