@@ -6,7 +6,8 @@ which combines equal pairs before the shuffle). A value that several owners hold
 copied example; one that few owners hold and that looks random is a live-looking credential.
 
 Base spans (``assign``, ``access``, ``hex``) are always reported. The method adds the spans of
-further kinds (provider tokens, JSON web tokens, private-key heads) whose value is live-looking.
+further kinds (provider tokens, JSON web tokens, private keys as whole PEM blocks) whose value is
+live-looking. A private key's value is its body as written, so ownership is counted by key.
 
 Defined cases: null text: empty, no spans; null owner: an owner of its own; null repository:
 counts as one repository; equal rows each keep their row, and count as one repository; an empty
@@ -31,7 +32,9 @@ BASE_KINDS = [
 MORE_KINDS = [
     ("provider", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-)[A-Za-z0-9_-]{16,}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("keyhead", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 0),
+    # Head, header lines, body (the value) and, if it is there, the END line. The body begins with 16
+    # signs of base64: a head that is only spoken of holds no key. Line ends may be escaped or quoted.
+    ("keyhead", r"""-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[\x20\x09-\x0D\\"',#*>|]*(?:[A-Za-z][A-Za-z-]*:[^\x0A\x0D\\]*[\x0A\x0D\\][\x20\x09-\x0D\\"',#*>|]*){0,8}(?:[nr][\x20\x09-\x0D\\"',#*>|]+){0,4}([A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x20\x09-\x0D\\"',#*>|]*)(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,32}PRIVATE KEY-----)?""", 1, 16),
 ]
 KINDS = BASE_KINDS + MORE_KINDS
 #: Held by so many owners, a value is an example.
