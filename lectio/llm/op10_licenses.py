@@ -14,8 +14,6 @@ columns pass through :func:`scan_licenses` only if asked for."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +35,9 @@ NAMES = [
     ("lgpl-2.1", "lgpl", "lgpl ?v?2 ?1"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("mit", "mit", "(?:mit|expat|mit x11)"),
-    ("isc", "isc", "isc"),
+    ("mit", " mit ", "(?:mit|mit x11)"),
+    ("mit", " expat ", "expat"),
+    ("isc", " isc ", "isc"),
     ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)"),
     ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
@@ -84,22 +83,183 @@ FORMS = [
 ]
 
 
+# Signatures written by hand: labels, keywords and patterns over words, as above. SPDX short
+# ids have the priority and certainty of the first form; the others' are on the scale of FORMS.
+SPDX_IDS = [
+    ("agpl-3", "agpl 3 0", "agpl 3 0(?: only| or later)?"),
+    ("gpl-3", "gpl 3 0", "gpl 3 0(?: only| or later)?"),
+    ("gpl-2", "gpl 2 0", "gpl 2 0(?: only| or later)?"),
+    ("gpl", "gpl 1 0", "gpl 1 0(?: only| or later)?"),
+    ("lgpl-3", "lgpl 3 0", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl 2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-2", "lgpl 2 0", "lgpl 2 0(?: only| or later)?"),
+    ("apache-2", "apache 2 0", "apache 2 0"),
+    ("apache-1.1", "apache 1 1", "apache 1 1"),
+    ("apache-1", "apache 1 0", "apache 1 0"),
+    ("mit", " mit ", "mit"),
+    ("mit-0", "mit 0", "mit 0"),
+    ("isc", " isc ", "isc"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("bsd-1", "bsd 1 clause", "bsd 1 clause"),
+    ("bsd-2", "bsd 2 clause", "bsd 2 clause(?: patent| views)?"),
+    ("bsd-3", "bsd 3 clause", "bsd 3 clause(?: clear| lbnl| attribution)?"),
+    ("bsd-4", "bsd 4 clause", "bsd 4 clause(?: uc)?"),
+    ("mpl-2", "mpl 2 0", "mpl 2 0(?: no copyleft exception)?"),
+    ("mpl-1.1", "mpl 1 1", "mpl 1 1"),
+    ("mpl-1", "mpl 1 0", "mpl 1 0"),
+    ("epl-2", "epl 2 0", "epl 2 0"),
+    ("epl-1", "epl 1 0", "epl 1 0"),
+    ("eupl-1.2", "eupl 1 2", "eupl 1 2"),
+    ("eupl-1.1", "eupl 1 1", "eupl 1 1"),
+    ("cddl-1", "cddl 1 0", "cddl 1 0"),
+    ("cddl-1.1", "cddl 1 1", "cddl 1 1"),
+    ("cpl-1", "cpl 1 0", "cpl 1 0"),
+    ("cc0", "cc0 1 0", "cc0 1 0"),
+    ("cc-by", "cc by", "cc by \\d \\d"),
+    ("cc-by-sa", "cc by sa", "cc by sa \\d \\d"),
+    ("cc-by-nd", "cc by nd", "cc by nd \\d \\d"),
+    ("cc-by-nc", "cc by nc", "cc by nc \\d \\d"),
+    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa \\d \\d"),
+    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd \\d \\d"),
+    ("unlicense", "unlicense", "unlicense"),
+    ("zlib", "zlib", "zlib(?: acknowledgement)?"),
+    ("boost-1", "bsl 1 0", "bsl 1 0"),
+    ("busl-1.1", "busl 1 1", "busl 1 1"),
+    ("artistic-2", "artistic 2 0", "artistic 2 0"),
+    ("artistic-1", "artistic 1 0", "artistic 1 0(?: perl| cl8)?"),
+    ("python-2", "python 2 0", "python 2 0(?: 1)?"),
+    ("python-2", "psf 2 0", "psf 2 0"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("ofl-1.1", "ofl 1 1", "ofl 1 1(?: rfn| no rfn)?"),
+    ("ms-pl", "ms pl", "ms pl"),
+    ("ms-rl", "ms rl", "ms rl"),
+    ("osl-3", "osl 3 0", "osl 3 0"),
+    ("afl-3", "afl 3 0", "afl 3 0"),
+    ("odbl", "odbl 1 0", "odbl 1 0"),
+    ("ncsa", "ncsa", "ncsa"),
+    ("x11", " x11 ", "x11"),
+    ("openssl", "openssl", "openssl"),
+    ("sspl-1", "sspl 1 0", "sspl 1 0"),
+    ("upl-1", "upl 1 0", "upl 1 0"),
+    ("ecl-2", "ecl 2 0", "ecl 2 0"),
+    ("vim", " vim ", "vim"),
+    ("ruby", " ruby ", "ruby"),
+    ("php-3.01", "php 3 01", "php 3 01"),
+]
+#: An id stands after the head of the line, or after other ids of an expression (their spans then
+#: don't lie in one another).
+_WORD = "[a-z0-9]{1,16} "
+_OTHER = f"(?:{_WORD}{f'(?:{_WORD})?' * 5}(?:and|or) )?"
+SPDX_BEFORE = " spdx license identifier " + _OTHER * 4
+
+UNVERSIONED = [
+    ("bsd", 2, 0.5, " bsd ", "bsd(?: style)? licen[cs]ed?"),
+    ("bsd", 2, 0.5, "berkeley software", "berkeley software distribution licen[cs]e"),
+    ("bsd", 4, 0.8, " bsd ", "under (?:the )?(?:terms of )?(?:the |a )?bsd(?: style)? licen[cs]e"),
+    ("lgpl", 2, 0.5, "lgpl", "lgpl"),
+    ("lgpl", 3, 0.6, "lesser general", "(?:gnu )?lesser general public licen[cs]e"),
+    ("lgpl", 3, 0.6, "library general", "(?:gnu )?library general public licen[cs]e"),
+    ("gpl", 1, 0.5, "gpl", "(?:gnu )?gpl"),
+    ("agpl", 2, 0.5, "agpl", "agpl"),
+    ("agpl", 3, 0.6, "affero general", "(?:gnu )?affero general public licen[cs]e"),
+    ("apache", 1, 0.5, "apache", "apache(?: software)? licen[cs]ed?"),
+    ("mpl", 1, 0.5, "mozilla public", "mozilla public licen[cs]e"),
+    ("epl", 1, 0.5, "eclipse public", "eclipse public licen[cs]e"),
+    ("eupl", 1, 0.5, "european union public", "european union public licen[cs]e"),
+    ("cddl", 1, 0.5, "common development and", "common development and distribution licen[cs]e"),
+    ("cpl", 1, 0.5, "common public", "common public licen[cs]e"),
+    ("boost", 1, 0.5, "boost software", "boost software licen[cs]e"),
+    ("artistic", 1, 0.5, "artistic", "(?:the |perl )?artistic licen[cs]e"),
+    ("ofl", 1, 0.5, "open font", "(?:sil )?open font licen[cs]e"),
+    ("osl", 1, 0.5, "open software", "open software licen[cs]e"),
+    ("mit", 2, 0.6, " expat ", "expat licen[cs]e"),
+    ("cc0", 2, 0.6, "no rights reserved", "no rights reserved"),
+    ("public-domain", 2, 0.6, "public domain", "(?:released|dedicated|placed|is|are) (?:in|into|to|in to) the public domain"),
+]
+
+VERSIONED = [
+    ("apache-2", 3, 0.7, "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    ("apache-1.1", 3, 0.7, "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?1 1"),
+    ("gpl-3", 3, 0.7, "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
+    ("gpl-2", 3, 0.7, "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
+    ("lgpl-3", 3, 0.7, "lgpl", "(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2.1", 3, 0.7, "lgpl", "(?:gnu )?lgpl(?: version| v)? ?2 1"),
+    ("agpl-3", 3, 0.7, "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
+    ("eupl-1.2", 3, 0.7, "european union public", "european union public licen[cs]e(?: version| v)? ?1 2"),
+    ("cddl-1", 3, 0.7, "common development and", "common development and distribution licen[cs]e(?: cddl)?(?: version| v)? ?1(?: 0)?"),
+    ("boost-1", 3, 0.7, "boost software", "boost software licen[cs]e(?: version| v)? ?1(?: 0)?"),
+    ("artistic-2", 3, 0.7, "artistic", "artistic licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    ("ofl-1.1", 3, 0.7, "open font", "(?:sil )?open font licen[cs]e(?: version| v)? ?1 1"),
+    ("osl-3", 3, 0.7, "open software", "open software licen[cs]e(?: version| v)? ?3(?: 0)?"),
+]
+
+BODIES = [
+    ("mit", 5, 0.95, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 3, 0.8, "permission is hereby granted", "permission is hereby granted(?: free of charge)?"),
+    ("mit", 4, 0.85, "the above copyright notice and this permission notice", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("boost-1", 6, 0.95, "obtaining a copy of the software and accompanying", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl-1.1", 6, 0.95, "obtaining a copy of the font", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", 5, 0.95, "permission to use copy modify and", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?: provided that)?"),
+    ("postgresql", 6, 0.95, "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", 3, 0.8, "redistribution and use in source and binary", "redistribution and use in source and binary forms(?: of \\S+)? with or without modification are permitted(?: provided that the following conditions are met)?"),
+    ("bsd", 2, 0.7, "redistribution and use in source and binary", "redistribution and use in source and binary forms"),
+    ("bsd-2", 3, 0.75, "redistributions in binary form must", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", 5, 0.9, "endorse or promote products", "(?:neither the names? of (?:\\S+ ){1,24}nor the names of (?:its|their|the|any) (?:\\S+ ){0,4}contributors may be used|the names? of (?:\\S+ ){1,24}may not be used) to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", 5, 0.9, "all advertising materials mentioning features", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2", 5, 0.95, "you may not use this file except in compliance", "you may not use this file except in compliance with the license(?: you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0)?"),
+    ("apache-2", 5, 0.95, "apache org licenses license 2 0", "www apache org licenses license 2 0"),
+    ("apache-2", 4, 0.9, "terms and conditions for use reproduction", "terms and conditions for use reproduction and distribution"),
+    ("apache-1.1", 5, 0.9, "developed by the apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("gpl", 4, 0.85, "you can redistribute it and or modify", "(?:is free software )?you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-3", 5, 0.95, "copyleft license for software and other kinds", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", 5, 0.95, "the licenses for most software are designed", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-2", 5, 0.9, "either version 2 of the license", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", 5, 0.9, "either version 3 of the license", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl", 5, 0.85, "terms of the gnu lesser general", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-2.1", 6, 0.9, "either version 2 1 of the license", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", 6, 0.9, "either version 3 of the license", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2", 6, 0.9, "either version 2 of the license", "gnu (?:lesser|library) general public license as published by the free software foundation either version 2 of the license"),
+    ("agpl-3", 6, 0.9, "either version 3 of the license", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", 6, 0.95, "ensure cooperation with the community", "specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("mpl-2", 6, 0.95, "subject to the terms of the mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", 6, 0.9, "contents of this file are subject to the mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2", 6, 0.9, "eclipse public license", "made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("epl-1", 6, 0.9, "eclipse public license", "made available under the terms of the eclipse public license v1 0"),
+    ("cddl-1", 5, 0.9, "common development and distribution", "subject to the terms of the common development and distribution license"),
+    ("unlicense", 6, 0.95, "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("zlib", 5, 0.95, "the origin of this software must not", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("wtfpl", 5, 0.95, "do what the fuck you want to", "do what the fuck you want to public license"),
+    ("cc0", 5, 0.9, "waived all copyright and related", "waived all copyright and related or neighboring rights"),
+    ("artistic-2", 5, 0.9, "the terms under which a given", "the terms under which a given free software package may be copied modified and or redistributed"),
+    ("ms-pl", 5, 0.9, "this license governs use of the accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("python-2", 5, 0.9, "between the python software foundation", "this license agreement is between the python software foundation"),
+]
+
+
+def by_hand() -> list[tuple[str, int, float, str, str]]:
+    """(label, priority, certainty, keyword, pattern) of the signatures written by hand."""
+    out = [(label, 6, 1.0, keyword, f"(?<= ){x}(?= )(?<={SPDX_BEFORE}{x})") for label, keyword, x in SPDX_IDS]
+    return out + [(label, p, c, keyword, f"(?<= )(?:{x})(?= )") for label, p, c, keyword, x in UNVERSIONED + VERSIONED + BODIES]
+
+
 def rules() -> list[tuple[str, int, float, str, str]]:
-    """(label, priority, certainty, keyword, pattern): every name in every form. Patterns begin
-    after a space and end before one; a name that says "license" itself needs no more."""
+    """(label, priority, certainty, keyword, pattern): every name in every form, then the signatures
+    written by hand. Patterns begin after a space and end before one; a name that says "license"
+    itself needs no more."""
     out = []
     for label, keyword, name in NAMES:
         for priority, certainty, form in FORMS:
             if "public license" in name and "licen" in form and priority in (3,):
                 form = "{}"
             out.append((label, priority, certainty, keyword, f"(?<= ){form.format('(?:' + name + ')')}(?= )"))
-    return out
+    return out + by_hand()
 
 
 #: All that is no word: ASCII but letters and digits.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: One look at the text decides whether any rule can match.
-GATE = "|".join(sorted({re.escape(k) for _, k, _ in NAMES}))
+#: The head of SPDX lines, which all texts with an SPDX id hold.
+SPDX_HEAD = " spdx license identifier "
 
 
 def plain(text: Column) -> Column:
@@ -136,12 +296,15 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = documents.select(*keep, plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_words"))
     words = F.col("_words")
     span = "array<struct<label:string,priority:int,certainty:double,rule:int,first:bigint,n:bigint>>"
-    table = F.array(*(
-        F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("certainty"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(i).alias("rule"))
-        for i, (a, p, c, k, x) in enumerate(rules())
-    ))
+    held: dict[str, list] = {}
+    for i, (a, p, c, k, x) in enumerate(rules()):
+        rule = F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("certainty"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(i).alias("rule"))
+        held.setdefault(SPDX_HEAD if SPDX_BEFORE in x else k, []).append(rule)
+    # Each keyword is looked for once, whatever the number of its rules; those of the SPDX ids only
+    # in texts with an SPDX line.
+    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in held.items()))
     hits = F.flatten(F.transform(
-        F.filter(table, lambda r: F.contains(words, r["keyword"])),
+        F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["keyword"])), lambda r: F.filter(r["rules"], lambda x: F.contains(words, x["keyword"])))),
         lambda r: F.transform(places(words, r["pattern"]), lambda s: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["certainty"].alias("certainty"), r["rule"].alias("rule"), s["first"].alias("first"), s["n"].alias("n"))),
     ))
 
@@ -150,8 +313,7 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
         higher = (a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & ((a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["rule"] < b["rule"]))))
         return inside & higher
 
-    gate = words.rlike(GATE)
-    rows = rows.withColumn("_hits", F.when(gate, hits).otherwise(F.array().cast(span)))
+    rows = rows.withColumn("_hits", hits.cast(span))
     rows = rows.withColumn("found", F.filter("_hits", lambda b: ~F.exists("_hits", lambda a: outranks(a, b))))
     base = F.concat(*(
         F.when(F.contains(words, F.lit(f" {phrase} ")), F.transform(

@@ -46,6 +46,33 @@ def test_license_containment(spark, documents):
     assert [(f.label, f.first) for f in rows[0].found] == [("gpl-3", 0)]
 
 
+def test_license_signatures_by_hand(spark, documents):
+    spdx = {"MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "EUPL-1.2": "eupl-1.2", "BSL-1.0": "boost-1", "OFL-1.1": "ofl-1.1", "OSL-3.0": "osl-3", "MS-PL": "ms-pl", "GPL-2.0-or-later": "gpl-2", "LGPL-2.1-only": "lgpl-2.1", "BSD-3-Clause": "bsd-3", "MIT": "mit"}
+    want = {f"// SPDX-License-Identifier: {x}\nint a;": y for x, y in spdx.items()} | {
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+        "SPDX-License-Identifier: EPL-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0": "epl-2,gpl-2",
+        "Licensed under the BSD license.": "bsd",
+        "This library is under the GNU Lesser General Public License.": "lgpl",
+        "It is distributed under the LGPL.": "lgpl",
+        "See the Apache License for more": "apache",
+        "Apache License, Version 2.0, January 2004": "apache-2",
+        "GPL v3, LGPL 2.1": "gpl-3,lgpl-2.1",
+        "Permission is hereby granted, free of charge, to any person": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "the mpl 2 0 and bsl 1 0 are only named": "",
+    }
+    rows = {r.doc_id: r.labels for r in op10_licenses.scan_licenses(documents(list(want))).collect()}
+    assert {x: ",".join(rows[i]) for i, x in enumerate(want)} == want
+
+
+def test_license_rules_hold_their_keywords(spark):
+    # A keyword is a piece of each match: the words of a pattern's fixed part.
+    for label, _, _, keyword, pattern in op10_licenses.by_hand():
+        assert re.search(re.escape(keyword.strip()).replace("\\ ", ".{0,40}"), pattern), (label, keyword)
+
+
 def test_secret_spans(spark, documents, tmp_path):
     documents(AWKWARD).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op06_secrets.op6_secret_scan(spark, str(tmp_path)).collect()}
