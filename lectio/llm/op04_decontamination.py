@@ -7,13 +7,14 @@ longest item, half overlapping, so that an item lies whole in one) is a query. T
 passage is the sum of its terms' greatest weights; if that reaches 1, bounds are taken for each
 block of items from the block maxima; only postings of blocks that reach 1 are summed. All items
 at or above 1 are retrieved, with no cut to a number. A retrieved item counts as a leak if the
-passage holds enough of both the question's and the answer's word n-grams.
+passage holds enough of both the question's and the answer's word n-grams. An item of fewer than
+``LEAST_WORDS`` words is a leak if the passage holds its whole word sequence. In scripts that
+write no spaces between words each character counts as a word.
 
 The index is built on the driver in shards of at most ``SHARD_WORDS`` words, each broadcast (a
 fixed bound); a benchmark of more shards takes one pass over the texts for each.
 
-Defined cases: null text: no passages; items with fewer than ``LEAST_WORDS`` words are no
-evidence and are not indexed; equal items are leaks of their own each; null ids stay null; equal
+Defined cases: null text: no passages; items without words are no evidence; equal items are leaks of their own each; null ids stay null; equal
 rows each count; no items: no leaks; an empty table gives no rows; columns of the input keep
 their values."""
 
@@ -36,6 +37,7 @@ K1, B, THRESHOLD = 1.2, 0.75, 0.6
 BLOCK = 16
 #: Word n-grams, and the share of the question's and of the answer's that a leak holds.
 GRAM, OVERLAP = 3, 0.6
+#: Items of fewer words must be held word for word.
 LEAST_WORDS = 8
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
@@ -45,15 +47,26 @@ CELLS = 1 << 20
 #: Words as in the index: signs between words don't count.
 _WORD_ONLY = np.where(WORD_SIGN_CLASS == 1, 1, 0).astype(np.uint8)
 
+#: Characters of scripts that write no spaces between words (with the marks that may follow), and their signs.
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]\p{M}*"
+_WIDE_SIGNS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
+
 
 def words_of(texts: pa.Array) -> Tokens:
-    """Words in lower case (of all scripts), without the signs between them."""
-    return Tokens(pc.utf8_lower(texts.cast(pa.string())), _WORD_ONLY)
+    """Words in lower case (of all scripts), without the signs between them; characters of scripts
+    without spaces are words of their own."""
+    low = pc.utf8_lower(texts.cast(pa.large_string()))
+    # Texts without such a character, which are most, are not rewritten.
+    held = pc.fill_null(pc.match_substring_regex(low, f"{_UNSPACED}|{_WIDE_SIGNS}"), False)
+    if pc.any(held).as_py():
+        split = pc.replace_substring_regex(pc.replace_substring_regex(low, _WIDE_SIGNS, " "), f"({_UNSPACED})", r" \1 ")
+        low = pc.if_else(held, split, low)
+    return Tokens(low, _WORD_ONLY)
 
 
 def last_sentence(text: str) -> str:
     """The last sentence or line, which answers the rest."""
-    return next((x for x in reversed(re.split(r"(?<=[.!?])\s+|\n+", text.strip())) if x.strip()), "")
+    return next((x for x in reversed(re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n+", text.strip())) if x.strip()), "")
 
 
 def grams(hashes: np.ndarray) -> np.ndarray:
@@ -65,6 +78,12 @@ def grams(hashes: np.ndarray) -> np.ndarray:
     return mix(out, 8)
 
 
+def holds(words: np.ndarray, sequence: np.ndarray) -> bool:
+    """Whether ``sequence`` stands in ``words`` without a gap."""
+    n = len(words) - len(sequence) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[k: k + n] == w for k, w in enumerate(sequence)]).any())
+
+
 def _expand(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, row numbers) of the runs ``first[r]:first[r + 1]`` of all rows, one after another."""
     size = first[rows + 1] - first[rows]
@@ -78,7 +97,7 @@ class Index:
     def __init__(self, ids: list, texts: list[str]):
         tokens = words_of(pa.array(texts, pa.string()))
         length = np.diff(tokens.first)
-        keep = np.flatnonzero(length >= LEAST_WORDS)
+        keep = np.flatnonzero(length > 0)
         self.ids = [ids[i] for i in keep]
         self.longest = int(length[keep].max()) if len(keep) else 1
         item = np.full(len(texts), -1)
@@ -108,7 +127,9 @@ class Index:
         answers = np.diff(words_of(pa.array([last_sentence(texts[i]) for i in keep], pa.string())).first)
         whole = length[keep]
         answers = np.where((answers >= GRAM) & (whole - answers >= GRAM), answers, np.maximum(GRAM, whole // 4))
+        answers = np.minimum(answers, whole)
         cuts = list(zip(tokens.first[keep].tolist(), (tokens.first[keep + 1] - answers).tolist(), tokens.first[keep + 1].tolist()))
+        self.short = {i: tokens.hash[a:c] for i, (a, _, c) in enumerate(cuts) if c - a < LEAST_WORDS}
         self.grams = [[grams(tokens.hash[a:b]) for a, b, _ in cuts], [grams(tokens.hash[b:c]) for _, b, c in cuts]]
 
     def retrieve(self, window: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,8 +182,12 @@ class Index:
             for w, i, s in zip(*self.retrieve(local, term[pair], len(some))):
                 text = int(np.searchsorted(base, some[w], side="right") - 1)
                 begin = (some[w] - base[text]) * stride
-                here = grams(tokens.hash[tokens.first[text] + begin: min(tokens.first[text] + begin + 2 * stride, tokens.first[text + 1])])
-                overlap = [float(np.isin(g[i], here).mean()) for g in self.grams]
+                here = tokens.hash[tokens.first[text] + begin: min(tokens.first[text] + begin + 2 * stride, tokens.first[text + 1])]
+                if i in self.short:
+                    overlap = [float(holds(here, self.short[i]))] * 2
+                else:
+                    here = grams(here)
+                    overlap = [float(np.isin(g[i], here).mean()) for g in self.grams]
                 if min(overlap) >= OVERLAP:
                     yield text, int(i), float(s * THRESHOLD * self.own[i]), overlap[0], overlap[1], int(begin)
 

@@ -114,6 +114,18 @@ def test_leaks_equal_brute_force(spark, documents):
     assert op04_decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and op04_decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces_leak(spark, documents):
+    items = ["What is two plus two? Four.", "Paris", "法国的首都是哪里？巴黎。", "日本の首都はどこですか。東京です。それは関東地方にあります。", "?!"]
+    texts = [
+        "a b c what is TWO, plus two? four. d e f", "two plus two is four, what", "in paris, once", "parisian streets",
+        "问：法国的首都是哪里？巴黎。答", "法国的首都不是巴黎，哪里？", "これは日本の首都はどこですか。東京です。それは関東地方にあります。など", "日本の夏", None, "?!",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in op04_decontamination.find_leaks(documents(texts), bench).collect()}
+    assert got == {(0, 0), (2, 1), (4, 2), (6, 3)}
+    assert {x.doc_id for x in op04_decontamination.without_leaks(documents(texts), bench).collect()} == {1, 3, 5, 7, 8, 9}
+
+
 def test_wand_retrieves_all_above_threshold():
     r = random.Random(8)
     words = [f"w{i}" for i in range(120)]
