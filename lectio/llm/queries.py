@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import op01_near_vectors, op02_warc, op03_quality, op04_decontamination, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses
+from lectio.llm import op01_near_vectors, op02_warc, op03_quality, op04_decontamination, op05_jaccard_join, op06_secrets, op07_mixing, op08_lattice, op09_chat, op10_licenses, op11_link_filter, op12_codes, op13_spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op01_near_vectors.op1_near_vectors,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_scoring": op08_lattice.op8_lattice_scoring,
     "op9_chat_formatting": op09_chat.op9_chat_formatting,
     "op10_license_scan": op10_licenses.op10_license_scan,
+    "op11_link_filter": op11_link_filter.op11_link_filter,
+    "op12_vector_codes": op12_codes.op12_vector_codes,
+    "op13_spelling_variants": op13_spelling.op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -27,4 +30,7 @@ ORACLE: dict[str, str] = {
     "op5_jaccard_join": op05_jaccard_join.ORACLE,
     "op6_secret_scan": op06_secrets.ORACLE,
     "op9_chat_formatting": op09_chat.ORACLE,
+    "op11_link_filter": op11_link_filter.ORACLE,
+    "op12_vector_codes": op12_codes.ORACLE,
+    "op13_spelling_variants": op13_spelling.ORACLE,
 }
