@@ -126,9 +126,10 @@ def extract_keyword(t: str) -> str:
     return "coalesce(" + ", ".join(tries + [fb]) + ")"
 
 
-def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None) -> str:
+def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None, sv_cte: str | None = None) -> str:
     """CTEs up to ``ctx``: one row per valid query with scope, intent and keyword.
-    ``queries_cte`` / ``qv_cte`` replace the benchmark query log and its vectors."""
+    ``queries_cte`` / ``qv_cte`` replace the benchmark query log and its vectors, ``sv_cte`` the
+    vectors of the cleaned queries (else the query's own stands in)."""
     ko1 = f"regexp_extract(trimmed, {q(KO_SCOPE)}, 1)"
     ko2 = f"regexp_extract(trimmed, {q(KO_SCOPE)}, 2)"
     en1 = f"regexp_extract(trimmed, {q(EN_SCOPE)}, 1)"
@@ -146,13 +147,11 @@ def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None) -> s
 valid AS (SELECT qid, query, qvec, {jtrim('query')} AS trimmed FROM qv WHERE {not_blank('query')}),
 sims AS (
   SELECT v.qid,
-    coalesce(avg({cos('v.qvec', 'p.embedding')}) FILTER (WHERE p.class = 'KEYWORD'), 0) AS kw_sim,
-    coalesce(avg({cos('v.qvec', 'p.embedding')}) FILTER (WHERE p.class = 'SEMANTIC'), 0) AS sem_sim,
     coalesce(avg({cos('v.qvec', 'p.embedding')}) FILTER (WHERE p.class = 'CONTEXT'), 0) AS ctx_sim,
     coalesce(avg({cos('v.qvec', 'p.embedding')}) FILTER (WHERE p.class = 'NO_CONTEXT'), 0) AS noctx_sim
   FROM valid v, protos p GROUP BY v.qid),
 sc0 AS (
-  SELECT v.*, s.kw_sim, s.sem_sim, s.ctx_sim, s.noctx_sim,
+  SELECT v.*, s.ctx_sim, s.noctx_sim,
     (s.noctx_sim > s.ctx_sim AND -(s.ctx_sim - s.noctx_sim) > {TH_SCOPE}) AS gate_off,
     CASE WHEN regexp_matches(trimmed, {q(KO_SCOPE)}) THEN {jtrim(ko1)} END AS ko_scope,
     CASE WHEN regexp_matches(trimmed, {q(KO_SCOPE)}) THEN {jtrim(ko2)} END AS ko_search,
@@ -179,7 +178,14 @@ sc1 AS (
   FROM sc0 s LEFT JOIN best b USING (qid)),
 sc2 AS (
   SELECT *, CASE WHEN {not_blank('cleaned_query')} THEN cleaned_query ELSE trimmed END AS search_query FROM sc1),
-sc3 AS (SELECT *, {jtrim('search_query')} AS st FROM sc2),
+{sv_cte or 'sv AS (SELECT qid, qvec AS svec FROM sc2)'},
+intent_sims AS (
+  SELECT v.qid,
+    coalesce(avg({cos('v.svec', 'p.embedding')}) FILTER (WHERE p.class = 'KEYWORD'), 0) AS kw_sim,
+    coalesce(avg({cos('v.svec', 'p.embedding')}) FILTER (WHERE p.class = 'SEMANTIC'), 0) AS sem_sim
+  FROM sv v, protos p GROUP BY v.qid),
+sc3 AS (SELECT s.*, sv.svec, i.kw_sim, i.sem_sim, {jtrim('search_query')} AS st
+        FROM sc2 s JOIN sv ON sv.qid = s.qid JOIN intent_sims i ON i.qid = s.qid),
 ctx0 AS (
   SELECT *,
     CASE WHEN NOT {not_blank('search_query')} THEN 'SEMANTIC' WHEN {short} THEN 'HYBRID'
@@ -260,7 +266,7 @@ def rerank(score: str, text: str, query: str) -> str:
 def semantic_ctes(ctx_filter: str = "true", exclude_keyword: bool = False, vectors: str = "embeddings") -> str:
     excl = "AND NOT contains(v.text, c.search_keyword)" if exclude_keyword else ""
     return f"""cand0 AS (
-  SELECT c.qid, e.vec_id AS ord, {cos('c.qvec', 'e.embedding')} AS score
+  SELECT c.qid, e.vec_id AS ord, {cos('c.svec', 'e.embedding')} AS score
   FROM ctx c, {vectors} e WHERE {ctx_filter}),
 cand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
@@ -286,7 +292,7 @@ def semantic_prefilter_sql() -> str:
     """Filters (scope; version rule trivially true for null filters) before the cut."""
     return f"""WITH {context_ctes()},
 pc0 AS (
-  SELECT c.qid, v.ord, {cos('c.qvec', 'e.embedding')} AS score
+  SELECT c.qid, v.ord, {cos('c.svec', 'e.embedding')} AS score
   FROM ctx c, embeddings e JOIN verses v ON v.ord = e.vec_id WHERE {SCOPE_OK}),
 pcand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
@@ -651,6 +657,9 @@ WHERE s.reranked_score >= s.min_score AND NOT contains(s.text, c.search_keyword)
   UNION ALL SELECT vec_id, list_reverse(embedding), 1 FROM embeddings WHERE label < 3)
 SELECT id AS vec_id, batch, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FROM u) WHERE rn = 1""",
+        "vector_append": """SELECT '' AS text, CAST(len(embedding) AS INT) AS dim,
+  round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm,
+  (SELECT 2 * count(*) FROM embeddings) AS n_ids FROM embeddings, range(2)""",
         "vector_codec_roundtrip": """SELECT vec_id, CAST(4 * len(embedding) AS INT) AS n_bytes, CAST(len(embedding) AS INT) AS dim,
   true AS same FROM embeddings""",
         "vector_snapshot_roundtrip": VSUM,
@@ -685,7 +694,9 @@ CONV_QUERIES = """queries AS (
 def conversation_search_sql() -> str:
     qv = f"""{_hash_dense('queries', 'qid', 'query', 'qhv')},
 qv AS (SELECT q.qid, q.query, h.embedding AS qvec FROM queries q LEFT JOIN qhv h ON h.vec_id = q.qid)"""
-    ctx = context_ctes(CONV_QUERIES, qv)
+    sv = f"""{_hash_dense('sc2', 'qid', 'search_query', 'shv')},
+sv AS (SELECT s.qid, h.embedding AS svec FROM sc2 s LEFT JOIN shv h ON h.vec_id = s.qid)"""
+    ctx = context_ctes(CONV_QUERIES, qv, sv)
     return f"""WITH {ctx},
 {P1_TEXTS},
 {_hash_dense('p1_texts', 'doc_id', 'text', 'hvec')},
@@ -704,3 +715,8 @@ ORACLE.update(corpus_oracles())
 ORACLE.update(querylog_oracles())
 ORACLE.update(vector_oracles())
 ORACLE["conversation_search"] = conversation_search_sql()
+ORACLE["search_stream"] = ORACLE["routed_search"]
+ORACLE["index_bootstrap"] = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_hash_dense('texts', 'doc_id', 'text', 'hv')}
+SELECT r.run, r.source, d.doc_id, 64 AS dim, CAST(coalesce(len(list_filter(h.embedding, lambda x: x <> 0)), 0) AS INT) AS n_cells
+FROM documents d LEFT JOIN hv h ON h.vec_id = d.doc_id, (VALUES (0, 'generated'), (1, 'store'), (2, 'snapshot')) r(run, source)"""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions.text import java_trim, query_tokens
+from .functions.vector import norm as vector_norm
 from .operators import classify as C
-from .operators.filters import keyword_filter, keyword_join, version_matches, with_version_rules
+from .operators.filters import keyword_filter, keyword_join, scope_matches, version_matches, with_version_rules
+from .operators.hydrate import hydrate
 from .operators.knn import cosine_pairs as _cosine_pairs, knn_candidates
 from .operators.rerank import rerank_score, top_per_group
 from .plans import reader as R
@@ -19,6 +21,7 @@ from .plans import search as S
 from .session import scratch_path
 from .sources import corpus as CORPUS, embed as EMBED, tables as T, vectors as V
 from .sources.dictionaries import synthetic_dictionaries
+from .sources.manifest import BucketStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,13 +156,13 @@ def keyword_topk(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
     kw = ctx.select("qid", F.col("search_keyword").alias("keyword"))
     # queries with one keyword share its first hits: the cut comes before the join
-    hits = top_per_group(keyword_join(inp.verses, kw), "keyword", [F.col("ord").asc()], 5)
+    hits = top_per_group(keyword_join(inp.verses, kw, index=inp.grams), "keyword", [F.col("ord").asc()], 5)
     return hits.join(kw, "keyword").select("qid", "rank", "ord")
 
 
 def keyword_join_q(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
-    return keyword_join(inp.verses, ctx.select(F.col("search_keyword").alias("keyword")))
+    return keyword_join(inp.verses, ctx.select(F.col("search_keyword").alias("keyword")), index=inp.grams)
 
 
 def version_alias_filter(spark, sf_dir):
@@ -179,17 +182,10 @@ def version_alias_filter(spark, sf_dir):
 def scope_filter(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
     scoped = ctx.filter(F.col("scope_type") != "NONE").select("qid", "scope_type", "scope_books", "scope_testament")
-    books = scoped.select("qid", F.explode(F.array_distinct(F.transform("scope_books", F.lower))).alias("code"))
-    by_book = (inp.verses.groupBy(F.lower("book_short").alias("code_l")).agg(F.count(F.lit(1)).alias("n"))
-               .join(books.select("qid", F.lower("code").alias("code_l")), "code_l")
-               .groupBy("qid").agg(F.sum("n").alias("n")))
-    by_test = (inp.verses.groupBy("testament").agg(F.count(F.lit(1)).alias("n"))
-               .join(scoped.filter(F.col("scope_type") == "TESTAMENT")
-                     .select("qid", F.col("scope_testament").alias("testament")), "testament")
-               .select("qid", "n"))
-    counts = by_book.unionByName(by_test)
-    return scoped.join(counts, "qid", "left").select(
-        "qid", "scope_type", F.coalesce("n", F.lit(0)).cast("long").alias("n_passages"))
+    # passages are counted by what the rule reads before they meet the queries
+    books = inp.verses.groupBy("book_short", "testament").agg(F.count(F.lit(1)).alias("n"))
+    met = scoped.join(books, scope_matches(), "left")
+    return met.groupBy("qid", "scope_type").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_passages"))
 
 
 # ---------------------------------------------------------------------------
@@ -241,9 +237,7 @@ def intent_classify(spark, sf_dir):
 
 def scope_gate(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
-    th = inp.thresholds
-    off = (F.col("noctx_sim") > F.col("ctx_sim")) & (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)
-    return ctx.select("qid", off.alias("skip_scope"), F.round("confidence", 6).alias("confidence"))
+    return ctx.select("qid", C.scope_skipped(inp.thresholds).alias("skip_scope"), F.round("confidence", 6).alias("confidence"))
 
 
 # ---------------------------------------------------------------------------
@@ -256,24 +250,24 @@ def _valid_qvecs(spark, sf_dir):
 
 
 def cosine_pairs(spark, sf_dir):
-    pairs = _cosine_pairs(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), min_score=0.1)
+    pairs = _cosine_pairs(fixtures.vector_index(spark, sf_dir), _valid_qvecs(spark, sf_dir), min_score=0.1)
     return pairs.select("qid", "ord", F.round("score", 6).alias("score"))
 
 
 def knn_topk(spark, sf_dir):
-    c = knn_candidates(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
+    c = knn_candidates(fixtures.vector_index(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
     return c.select("qid", "ord", F.round("score", 6).alias("score"), "cand_rank")
 
 
 def hydrate_candidates(spark, sf_dir):
-    c = knn_candidates(T.vectors(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
-    return c.join(_v(spark, sf_dir).select("ord", "key"), "ord").select("qid", "cand_rank", "key")
+    c = knn_candidates(fixtures.vector_index(spark, sf_dir), _valid_qvecs(spark, sf_dir), k=50, min_score=0.1)
+    return hydrate(c, _v(spark, sf_dir), ["key"]).select("qid", "cand_rank", "key")
 
 
 def rerank_scores(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
-    c = knn_candidates(inp.vectors, ctx.select("qid", "qvec"), k=50, min_score=0.1)
-    j = c.join(inp.verses.select("ord", "text"), "ord").join(ctx.select("qid", "search_query"), "qid")
+    c = knn_candidates(inp.index, ctx.select("qid", F.col("search_vec").alias("qvec")), k=50, min_score=0.1)
+    j = hydrate(c, inp.verses, ["text"]).join(ctx.select("qid", "search_query"), "qid")
     return j.select("qid", "ord", F.round("score", 6).alias("score"),
                     F.round(rerank_score("score", "text", "search_query"), 6).alias("reranked_score"))
 
@@ -285,7 +279,7 @@ def score_band(spark, sf_dir):
 def hybrid_anti(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
     cands = S.semantic_candidates(inp, ctx)
-    return cands.filter(~F.col("text").contains(F.col("search_keyword"))).select("qid", "ord")
+    return S.not_keyword_hits(cands).select("qid", "ord")
 
 
 def response_envelope(spark, sf_dir):
@@ -321,11 +315,13 @@ def vector_scan(spark, sf_dir):
 
 
 def vector_upsert(spark, sf_dir):
+    """S5 written: a store of all vectors, a batch that replaces some, and what a reader then sees."""
     e = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    new = e.filter(F.col("label") < 3).select("id", F.reverse("embedding").alias("embedding"), "label")
-    up = V.upsert(e, new)
-    return up.select(F.col("id").alias("vec_id"), "batch", F.round(F.col("embedding")[0].cast("double"), 6)
-                     .alias("first_value"))
+    store = BucketStore(spark, scratch_path(spark, "store"), "id long, embedding array<float>, label int, batch int")
+    store.append(e.withColumn("batch", F.lit(0)))
+    store.upsert(e.filter(F.col("label") < 3).select("id", F.reverse("embedding").alias("embedding"), "label", F.lit(1).alias("batch")))
+    return store.read().select(F.col("id").alias("vec_id"), "batch", F.round(F.col("embedding")[0].cast("double"), 6)
+                               .alias("first_value"))
 
 
 def vector_codec_roundtrip(spark, sf_dir):
@@ -344,15 +340,28 @@ def vector_snapshot_roundtrip(spark, sf_dir):
 
 
 def vector_append(spark, sf_dir):
+    """Two appends of all vectors; the ids are random, so what is shown is that they are distinct."""
     e = T.table(spark, sf_dir, "embeddings").select("embedding")
-    return V.append(scratch_path(spark, "store"), e).select("id", "text", "embedding")
+    store = BucketStore(spark, scratch_path(spark, "store"), V.STORE_SCHEMA)
+    for _ in range(2):
+        V.append(store, e)
+    rows = store.read()
+    ids = rows.agg(F.countDistinct("id")).scalar()
+    return rows.select("text", F.size("embedding").alias("dim"), F.round(vector_norm("embedding"), 6).alias("norm"), ids.alias("n_ids"))
 
 
 def index_bootstrap(spark, sf_dir):
+    """S8, all three branches: nothing there (generated and saved), the store of that run, and a
+    snapshot without a store."""
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
-    src, df = V.load_or_build_index(spark, scratch_path(spark, "missing-store"), scratch_path(spark, "missing-snap"),
-                                    "doc_id long, embedding array<float>", lambda: EMBED.hash_embed(docs))
-    return df.withColumn("source", F.lit(src))
+    schema = "doc_id long, embedding array<float>"
+    store, snapshot = scratch_path(spark, "boot-store"), scratch_path(spark, "boot-snapshot")
+    runs = [V.load_or_build_index(spark, store, snapshot, schema, lambda: EMBED.hash_embed(docs)) for _ in range(2)]
+    V.save_snapshot(runs[0][1], snapshot)
+    runs.append(V.load_or_build_index(spark, scratch_path(spark, "no-store"), snapshot, schema, lambda: EMBED.hash_embed(docs)))
+    parts = [df.select(F.lit(i).alias("run"), F.lit(source).alias("source"), "doc_id", F.size("embedding").alias("dim"),
+                       F.size(F.filter("embedding", lambda x: x != 0)).alias("n_cells")) for i, (source, df) in enumerate(runs)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def embed_corpus(spark, sf_dir):
@@ -424,19 +433,17 @@ def query_log_stream(spark, sf_dir):
 
 
 def search_stream(spark, sf_dir):
-    from .streaming.streams import search_stream as run
-    qs = T.queries(spark, sf_dir)
+    """T2 over many micro-batches: the query log as several files, one file a batch."""
+    from .streaming.streams import QUERY_SCHEMA, search_stream as run
     src = scratch_path(spark, "t2-queries")
-    qs.write.mode("overwrite").parquet(src)
+    T.queries(spark, sf_dir).repartition(3, "qid").write.mode("overwrite").parquet(src)
     inp = fixtures.search_inputs(spark, sf_dir)
-    return run(spark, f"{src}/*.parquet", "qid long, query string, max_results int, min_score double, version string",
-               inp, T.query_vectors(spark, sf_dir))
+    return run(spark, f"{src}/*.parquet", QUERY_SCHEMA, inp, T.query_vectors(spark, sf_dir), files_per_batch=1)
 
 
 def conversation_search(spark, sf_dir):
-    """E4 over every user turn of ``conversations`` with hash-embedded passages and
-    queries (S9 -> V2 end to end). Rows-only: the same operators are oracle-checked
-    above; this one exercises a larger query log."""
+    """E4 over every turn of ``conversations`` with hash-embedded passages and queries (S9 -> V2
+    end to end); intent and search use the vector of the cleaned query."""
     return S.routed_search(fixtures.conversation_inputs(spark, sf_dir))
 
 

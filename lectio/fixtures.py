@@ -8,35 +8,55 @@ instead of re-deriving it per query."""
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.classify import Thresholds
 from .plans.reader import passage_texts
-from .plans.search import SearchInputs, ord_block, query_context
+from .plans.search import SearchInputs, query_context
 from .session import scratch_path
 from .sources import tables
+from .sources.embed import embed_distinct, hash_embed, with_hash_vector
+from .sources.grams import GramIndex, read_gram_index, write_gram_index
+from .sources.vectors import read_index, write_index
 from .sources.dictionaries import synthetic_dictionaries
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str, str], str] = {}
 
 
 def build_passages(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Write the passage table (S1 output shape) and return its path. The table is
-    partitioned by ``ord_block`` (see ``plans.search.hydrate``) so that joins from a few
-    candidate ords prune whole blocks at run time."""
+    """Write the passage table (S1 output shape), range-partitioned and sorted by ``ord`` (see
+    ``operators.hydrate``), and return its path."""
     path = path or scratch_path(spark, "verses")
-    (tables.verses(spark, sf_dir).withColumn("ord_block", ord_block("ord"))
-     .repartitionByRange("ord").sortWithinPartitions("ord")
-     .write.mode("overwrite").partitionBy("ord_block").parquet(path))
+    tables.verses(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(path)
     return path
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """The path of a derived table, written once per session and source folder."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _BUILT:
-        _BUILT[key] = build_passages(spark, sf_dir)
-    return spark.read.parquet(_BUILT[key])
+        path = scratch_path(spark, name)
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_once(spark, sf_dir, "verses", lambda path: build_passages(spark, sf_dir, path)))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied vectors as an index (blocks of unit vectors, laid out by version)."""
+    def build(path: str) -> None:
+        write_index(tables.vectors(spark, sf_dir), passages(spark, sf_dir), path)
+    return read_index(spark, _once(spark, sf_dir, "vector-index", build))
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    return read_gram_index(spark, _once(spark, sf_dir, "grams", lambda path: write_gram_index(passages(spark, sf_dir), path)))
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, DataFrame]:
@@ -44,42 +64,33 @@ def search_context(spark: SparkSession, sf_dir: str) -> tuple[SearchInputs, Data
     defaults), written once per session and folder and read back by every search, the
     way the passage table is: a derived table in the shared folder, not a driver cache."""
     inp = search_inputs(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "ctx")
-    if key not in _BUILT:
-        path = scratch_path(spark, "query-context")
+
+    def build(path: str) -> None:
         ctx = query_context(inp)
         ctx.write.mode("overwrite").parquet(path)
         ctx.unpersist()
-        _BUILT[key] = path
-    return inp, spark.read.parquet(_BUILT[key])
+    return inp, spark.read.parquet(_once(spark, sf_dir, "query-context", build))
 
 
-def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9 index build: the P1 text of every passage embedded by the hash embedder, written once."""
-    from .sources.embed import hash_embed
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "hashvec")
-    if key not in _BUILT:
-        path = scratch_path(spark, "hash-vectors")
+    def build(path: str) -> None:
         docs = passage_texts(passages(spark, sf_dir)).select(F.col("ord").alias("doc_id"), F.col("embedding_text").alias("text"))
-        hash_embed(docs).withColumnRenamed("doc_id", "ord").write.mode("overwrite").parquet(path)
-        _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+        write_index(hash_embed(docs).withColumnRenamed("doc_id", "ord"), passages(spark, sf_dir), path)
+    return read_index(spark, _once(spark, sf_dir, "hash-index", build))
 
 
 def conversation_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
-    """A larger query log: every turn of ``conversations`` is a query, embedded with
-    the same hash embedder as the passages (vectors built by ``hashed_vectors``)."""
-    from .sources.embed import hash_embed
+    """A larger query log: every turn of ``conversations`` is a query, embedded with the same hash
+    embedder as the passages, each distinct text once; cleaned queries are embedded in turn."""
     conv = (tables.table(spark, sf_dir, "conversations")
             .select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("qid"), F.col("text").alias("query"),
                     F.lit(None).cast("int").alias("max_results"), F.lit(None).cast("double").alias("min_score"),
                     F.lit(None).cast("string").alias("version")))
-    qvec = hash_embed(conv.select(F.col("qid").alias("doc_id"), F.col("query").alias("text"))) \
-        .select(F.col("doc_id").alias("qid"), F.col("embedding").alias("qvec"))
+    qvec = embed_distinct(conv.select(F.col("qid").alias("doc_id"), F.col("query").alias("text")), hash_embed)
+    qvec = qvec.select(F.col("doc_id").alias("qid"), F.col("embedding").alias("qvec"))
     base = search_inputs(spark, sf_dir)
-    return SearchInputs(verses=base.verses, vectors=hashed_vectors(spark, sf_dir),
-                        queries=conv.join(qvec, "qid", "left"), prototypes=base.prototypes,
-                        dicts=base.dicts, thresholds=base.thresholds)
+    return dataclasses.replace(base, index=hashed_index(spark, sf_dir), queries=conv.join(qvec, "qid", "left"), embed=with_hash_vector)
 
 
 def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
@@ -90,4 +101,6 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
         prototypes=tables.prototypes(spark, sf_dir),
         dicts=synthetic_dictionaries(spark),
         thresholds=Thresholds.fixture(),
+        index=vector_index(spark, sf_dir),
+        grams=gram_index(spark, sf_dir),
     )

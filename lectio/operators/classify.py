@@ -282,6 +282,11 @@ def resolve_scope(scope: Column, lang: Column, groups: Column, names: Column, sc
     return F.when(scope.isNotNull() & stype.isNotNull(), res)
 
 
+def scope_skipped(th: Thresholds = Thresholds()) -> Column:
+    """C4: no scope is looked for when the query is clearly nearer to the prototypes without one."""
+    return (F.col("noctx_sim") > F.col("ctx_sim")) & (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)
+
+
 def detect_scope(q: DataFrame, centroids: DataFrame | dict, dicts: Dictionaries, th: Thresholds = Thresholds(),
                  query_col: str = "query", vec_col: str = "qvec", scope_match: str = "reference") -> DataFrame:
     """Adds trimmed, ctx_sim, noctx_sim, scope_type (NONE when no scope),
@@ -289,8 +294,7 @@ def detect_scope(q: DataFrame, centroids: DataFrame | dict, dicts: Dictionaries,
     The Korean form is tried first, then the English one; all per-row projections."""
     q = with_class_similarity(q.withColumn("trimmed", java_trim(query_col)), centroids,
                               {"ctx_sim": "CONTEXT", "noctx_sim": "NO_CONTEXT"}, vec_col)
-    gate_off = ((F.col("noctx_sim") > F.col("ctx_sim")) &
-                (-(F.col("ctx_sim") - F.col("noctx_sim")) > th.scope_difference)) | ~not_blank(query_col)
+    gate_off = scope_skipped(th) | ~not_blank(query_col)
     q = split_scope(q, scope_match=scope_match)
     groups, names = dictionary_columns(dicts)
     q = q.select("*", groups.alias("__groups"), names.alias("__names"), gate_off.alias("__off"))

@@ -5,17 +5,12 @@ travel with each candidate row; no per-row lookups against the driver."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, is_blank, sql_literal
-
-# Keywords of this many characters are found through one of their character n-grams.
-GRAM = 3
-# Bytes of keywords that are broadcast at once; beyond it, one scan per block of keywords.
-KEYWORD_BLOCK_BYTES = 8 << 20
+from ..sources.grams import GramIndex, candidates, write_gram_index
+from .hydrate import hydrate
 
 
 # ---------------------------------------------------------------------------
@@ -111,32 +106,16 @@ def chapter_predicate_col(book_col: str = "req_book", chapter_col: str = "req_ch
 # J7 keyword x corpus
 # ---------------------------------------------------------------------------
 
-def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword",
-                 text_col: str = "text", id_col: str = "ord", carry: list[str] | None = None,
-                 stats: int | None = None, block_bytes: int = KEYWORD_BLOCK_BYTES) -> DataFrame:
+def keyword_join(corpus: DataFrame, keywords: DataFrame, kw_col: str = "keyword", text_col: str = "text",
+                 id_col: str = "ord", carry: list[str] | None = None, index: GramIndex | None = None) -> DataFrame:
     """Every ``(keyword, ord, *carry)`` with ``contains(text, keyword)``, all in the JVM.
 
-    A text can contain a keyword only if it contains the keyword's first ``GRAM``
-    characters, so the distinct n-grams of each text meet the keywords in a broadcast
-    equality join and the hits are verified by the built-in ``contains``. Keywords shorter
-    than ``GRAM`` (the empty one is in every text) are compared directly. Keywords go out in
-    blocks of bounded bytes. Only ``carry`` columns travel with the hits."""
+    Each keyword is looked up in the persisted gram index by its rarest gram; a text is read only
+    if it holds that gram, and the built-in ``contains`` verifies it. The corpus is neither scanned
+    nor split into grams by a search, and there is no limit on the keywords' bytes. Without an
+    ``index``, one is built and written first. Only ``carry`` columns travel with the hits."""
     carry = [c for c in (carry or []) if c != id_col]
-    kw = keywords.select(F.col(kw_col).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
-    if stats is None:   # an upper bound of the distinct keywords' bytes, unless the caller has it
-        stats = int(kw.agg(F.coalesce(F.sum(F.octet_length("keyword") + 32), F.lit(0)).alias("b")).first()["b"])
-    blocks = max(1, math.ceil(stats / block_bytes))
-    scan = corpus.select(id_col, *carry, text_col).filter(F.col(text_col).isNotNull())
-    grams = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    by_gram = scan.withColumn("__gram", F.explode(grams))
-    out = None
-    for b in range(blocks):
-        part = kw if blocks == 1 else kw.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b)
-        long = part.filter(F.length("keyword") >= GRAM).withColumn("__first", F.substring("keyword", 1, GRAM))
-        short = part.filter(F.length("keyword") < GRAM)
-        hit = F.col(text_col).contains(F.col("keyword"))
-        for found in (by_gram.join(F.broadcast(long), F.col("__gram") == F.col("__first")).filter(hit),
-                      scan.join(F.broadcast(short), hit)):
-            found = found.select("keyword", id_col, *carry)
-            out = found if out is None else out.unionByName(found)
-    return out
+    index = index or write_gram_index(corpus, id_col=id_col, text_col=text_col)
+    found = candidates(index, keywords.select(F.col(kw_col).alias("keyword"))).withColumnRenamed("ord", id_col)
+    met = hydrate(found, corpus, [*carry, text_col], id_col)
+    return met.filter(F.col("exact") | F.col(text_col).contains(F.col("keyword"))).select("keyword", id_col, *carry)

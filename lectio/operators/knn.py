@@ -1,224 +1,229 @@
-"""V2 exact k-NN (and J2, the query x corpus similarity theta join) in block form.
+"""V2 exact k-NN (and J2, the query x corpus similarity theta join) over a grid of blocks.
 
-Plan shape: the corpus vector table is scanned once by ``mapInArrow``; every Arrow
-batch (its flat float buffer reshaped, no per-row Python) is multiplied by a broadcast block of unit query vectors (one BLAS call), and each
-partition keeps only its local top-k per query. The shuffle that follows carries at most
-``partitions * n_queries * k`` rows, independent of corpus size, and the final
-``row_number() <= k`` is planned as a partial + final ``WindowGroupLimit``.
+Vectors of both sides are packed into numbered blocks of at most ``BLOCK_ROWS`` unit vectors.
+A corpus block and a query block make a tile: one matrix product in a task, whose top-k per
+query is all that leaves it. Blocks are dealt to the rows and columns of a grid, and an equality
+join on the cell (i, j) lets every corpus block meet every query block once; a query side of
+proven small bytes is broadcast, and the corpus then isn't shuffled at all. No vector passes
+through Python on the driver and neither side has a size limit.
 
-The query block is size-checked before it is broadcast. Above the budget, the queries are
-hash-split into blocks that each fit, and the corpus is scanned once per block (the scans
-are independent stages of one job), so no block ever exceeds the budget."""
+A task merges the tiles of a query block as they come and ships its top-k per query; these
+meet in a tree: first by (query, branch of tasks), then by query, each level a partial and a final
+``WindowGroupLimit``. So no task reads the candidates of all tasks for one query at once.
+
+Widths are part of the join: vectors of different widths never meet. A vector index is a corpus
+packed and written once (``sources.vectors.write_index``); a plain table is packed on the fly."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BUDGET = 256 << 20     # bytes of query vectors shipped per block
-KERNEL_MEMORY = 64 << 20                 # bytes of one batch x query-chunk score matrix
-SCORE_TIE_DIGITS = 12                    # order by round(score, 12) desc, then ord asc
-
-CAND_SCHEMA = "qid long, ord long, score double"
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        u = np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
-    return u
-
-
-def _stack(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stack a Series of arrays into an (n, dim) matrix; rows of another width are
-    an error, as in the store; null and empty vectors are flagged and have no candidates."""
-    ok = np.fromiter((v is not None and len(v) == dim for v in vectors), dtype=bool, count=len(vectors))
-    if any(v is not None and len(v) not in (0, dim) for v in vectors):
-        raise ValueError(f"query vectors of other widths than {dim}")
-    rows = [np.asarray(v, dtype=np.float64) for v, good in zip(vectors, ok) if good]
-    m = np.vstack(rows) if rows else np.zeros((0, dim))
-    return m, ok
-
-
-def _stack_arrow(col, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Same as ``_stack`` on an Arrow list column, without a Python loop over rows: the
-    flat value buffer is gathered by the list offsets into an (n, dim) matrix."""
-    import pyarrow as pa
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    n = len(col)
-    if n == 0:
-        return np.zeros((0, dim)), np.zeros(0, dtype=bool)
-    offsets = col.offsets.to_numpy()
-    lengths = np.diff(offsets)
-    valid = col.is_valid().to_numpy(zero_copy_only=False)
-    ok = valid & (lengths == dim)
-    if (valid & (lengths != dim) & (lengths > 0)).any():
-        raise ValueError(f"vectors of widths {sorted(set(lengths[valid].tolist()))} in a search of width {dim}")
-    values = col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    starts = offsets[:-1][ok]
-    m = values[starts[:, None] + np.arange(dim)[None, :]] if len(starts) else np.zeros((0, dim))
-    return m, ok
-
-
-def _topk_local(qidx: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int):
+from ..functions.vector import unit
+from ..session import scratch_path
+
+BLOCK_ROWS = 2048                # vectors of a block
+CELL_BYTES = 32 << 20            # bytes of one side's blocks in a grid cell
+BROADCAST_BYTES = 32 << 20       # bytes of query blocks that are broadcast; beyond it, the grid
+STATE_BYTES = 64 << 20           # bytes of top-k rows that a task holds before it ships them
+SCORE_BYTES = 32 << 20           # bytes of one product of a tile
+FAN = 64                         # corpus blocks whose candidates meet in a branch of the merge tree
+SCORE_TIE_DIGITS = 12            # order by round(score, 12) desc, then ord asc
+
+CAND_SCHEMA = "qid long, ord long, score double, branch int"
+RULE_COLS = ["scope_type", "scope_books", "scope_testament"]
+ATTRIBUTES = ["book_short", "testament"]
+
+
+def pack(rows: DataFrame, id_col: str, vec_col: str, by: list[str] | None = None, carry: list[str] | None = None,
+         block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Numbered blocks of unit vectors: ``(*by, width, block, n, ids, units, *carry)``; ``units``
+    holds the vectors one after the other, each ``carry`` column becomes an array. Rows without
+    a vector (null or empty) are left out. A block's rows are neighbours in their input
+    partition, so blocks never grow with the data and one shuffle makes them."""
+    by, carry = by or [], carry or []
+    at = F.monotonically_increasing_id()
+    named = rows.select(*by, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *carry)
+    named = named.filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull()).withColumn("at", at)
+    whole = named.select(*by, F.size("v").alias("width"), (F.col("at") / block_rows).cast("long").alias("block"),
+                         F.struct("id", unit("v").alias("unit"), *carry).alias("r"))
+    return (whole.groupBy(*by, "width", "block").agg(F.collect_list("r").alias("rows"))
+            .select(*by, "width", "block", F.size("rows").alias("n"), F.col("rows.id").alias("ids"),
+                    F.flatten(F.col("rows.unit")).alias("units"), *(F.col(f"rows.{c}").alias(c) for c in carry)))
+
+
+def is_packed(corpus: DataFrame) -> bool:
+    return {"width", "block", "ids", "units"} <= set(corpus.columns)
+
+
+def _topk(qidx: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int):
     """Exact top-k per query by (round(score) desc, ord asc)."""
-    if len(qidx) == 0:
-        return qidx, ords, scores
-    key = np.round(scores, SCORE_TIE_DIGITS)
-    order = np.lexsort((ords, -key, qidx))
+    order = np.lexsort((ords, -np.round(scores, SCORE_TIE_DIGITS), qidx))
     qs = qidx[order]
-    starts = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1]
+    starts = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1] if len(qs) else np.zeros(0, np.int64)
     rank = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
     keep = order[rank < k]
     return qidx[keep], ords[keep], scores[keep]
 
 
-def _allowed(pdf: pd.DataFrame, rules: dict, j0: int, j1: int) -> np.ndarray:
-    """(n, j1-j0) mask of corpus rows each query may return (prefilter mode): version in
-    the query's allowed set and scope (NONE / testament / book list, ignoring case)."""
-    n = len(pdf)
-    ver = pdf["version"].to_numpy(dtype=object)
-    book = pdf["book_short"].fillna("").str.lower().to_numpy(dtype=object)
-    test = pdf["testament"].to_numpy()
-    out = np.zeros((n, j1 - j0), dtype=bool)
-    for j in range(j0, j1):
-        versions, stype, books, testament = rules["versions"][j], rules["type"][j], rules["books"][j], rules["testament"][j]
-        m = np.ones(n, dtype=bool) if versions is None else np.isin(ver, list(versions))
-        if stype == "TESTAMENT":
-            m &= test == testament
-        elif stype != "NONE":
-            m &= np.isin(book, [b.lower() for b in (books or [])])
-        out[:, j - j0] = m
+def _in_scope(books: list, testaments: list, rules: list) -> np.ndarray:
+    """(corpus row, query) mask of F3: NONE passes, a testament or a list of books must match."""
+    book = np.array([(b or "").lower() for b in books], object)
+    side = np.array([-1 if t is None else t for t in testaments])
+    out = np.ones((len(book), len(rules)), bool)
+    for j, (kind, wanted, testament) in enumerate(rules):
+        if kind == "TESTAMENT":
+            out[:, j] = side == testament
+        elif kind != "NONE":
+            out[:, j] = np.isin(book, [w.lower() for w in wanted or []])
     return out
 
 
-def _make_kernel(bc, k: int, min_score: float, id_col: str, vec_col: str, relevance: bool = False):
-    """Kernel over Arrow record batches (``mapInArrow``)."""
+def _doubles(column, row: int) -> np.ndarray:
+    """One row of a list<double> column, without a Python object for each number."""
+    at = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+    return column.values.slice(at[0], at[1] - at[0]).to_numpy(zero_copy_only=False)
+
+
+def _tile_kernel(k: int | None, min_score: float, relevance: bool, scoped: bool):
+    """Tiles to candidates. The state holds each query block's best rows, of bounded bytes."""
     def kernel(batches):
         import pyarrow as pa
-        block = bc.value
-        qids, qunit = block[0], block[1]
-        rules = block[2] if len(block) > 2 else None
-        nq, dim = qunit.shape
-        acc_q, acc_o, acc_s = [], [], []
-        pending = 0
-        for rb in batches:
-            if rb.num_rows == 0 or nq == 0:
-                continue
-            cm, ok = _stack_arrow(rb.column(rb.schema.get_field_index(vec_col)), dim)
-            if cm.shape[0] == 0:
-                continue
-            ords = rb.column(rb.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)[ok]
-            attrs = rb.to_pandas()[ok] if rules is not None else None
-            cu = _unit_rows(cm)
-            n = cu.shape[0]
-            chunk = max(1, min(nq, KERNEL_MEMORY // (8 * n)))
-            for j0 in range(0, nq, chunk):
-                s = cu @ qunit[j0:j0 + chunk].T                    # (n, chunk)
-                if relevance:
-                    s = (1.0 + s) / 2.0
-                if rules is not None:
-                    s = np.where(_allowed(attrs, rules, j0, j0 + s.shape[1]), s, -np.inf)
-                if k is not None and n > k:                         # prefilter, ties kept
-                    kth = np.partition(np.round(s, SCORE_TIE_DIGITS), n - k, axis=0)[n - k]
-                    mask = (np.round(s, SCORE_TIE_DIGITS) >= kth) & (s >= min_score)
-                else:
-                    mask = s >= min_score
-                r, c = np.nonzero(mask)
-                acc_q.append(c.astype(np.int64) + j0)
-                acc_o.append(ords[r])
-                acc_s.append(s[r, c])
-                pending += len(r)
-            if k is not None and pending > 4 * k * nq:              # keep the partition state bounded
-                q_, o_, s_ = _topk_local(np.concatenate(acc_q), np.concatenate(acc_o), np.concatenate(acc_s), k)
-                acc_q, acc_o, acc_s, pending = [q_], [o_], [s_], len(q_)
-        if acc_q:
-            q_, o_, s_ = np.concatenate(acc_q), np.concatenate(acc_o), np.concatenate(acc_s)
-            if k is not None:
-                q_, o_, s_ = _topk_local(q_, o_, s_, k)
-            if len(q_):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[q_], pa.int64()), pa.array(o_, pa.int64()), pa.array(s_, pa.float64())],
-                    names=["qid", "ord", "score"])
+        state: dict[int, tuple] = {}
+        held = 0
+
+        def ship():
+            nonlocal held
+            for qids, found, branch in state.values():
+                q, o, s = (np.concatenate(x) for x in zip(*found))
+                if k is not None:
+                    q, o, s = _topk(q, o, s, k)
+                for at in range(0, len(q), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.record_batch([pa.array(qids[q[part]]), pa.array(o[part]), pa.array(s[part]),
+                                           pa.array(np.full(len(q[part]), branch, np.int32))], ["qid", "ord", "score", "branch"])
+            state.clear()
+            held = 0
+
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                width, key = col["width"][row].as_py(), col["q_block"][row].as_py()
+                ids, qids = _doubles(col["ids"], row), _doubles(col["q_ids"], row)
+                corpus = _doubles(col["units"], row).reshape(-1, width)
+                queries = _doubles(col["q_units"], row).reshape(-1, width)
+                rules = list(zip(*(col["q_" + c][row].as_py() for c in RULE_COLS))) if scoped else None
+                step = max(1, SCORE_BYTES // (8 * max(1, len(ids))))
+                found = []
+                for j in range(0, len(qids), step):
+                    score = corpus @ queries[j:j + step].T
+                    if relevance:
+                        score = (1.0 + score) / 2.0
+                    if scoped:
+                        score = np.where(_in_scope(col["book_short"][row].as_py(), col["testament"][row].as_py(), rules[j:j + step]), score, -np.inf)
+                    mask = score >= min_score
+                    if k is not None and len(ids) > k:      # ties of the k-th are kept
+                        rounded = np.round(score, SCORE_TIE_DIGITS)
+                        mask &= rounded >= np.partition(rounded, len(ids) - k, axis=0)[len(ids) - k]
+                    r, c = np.nonzero(mask)
+                    found.append((c.astype(np.int64) + j, ids[r], score[r, c]))
+                q, o, s = (np.concatenate(x) for x in zip(*found))
+                if not len(q):
+                    continue
+                if (width, key) not in state:
+                    state[width, key] = (qids, [], col["branch"][row].as_py())
+                kept = state[width, key][1]
+                kept.append((q, o, s))
+                held += 24 * len(q)
+                if k is not None and sum(len(x[0]) for x in kept) > 4 * k * len(qids):
+                    before = sum(len(x[0]) for x in kept)
+                    best = _topk(*(np.concatenate(x) for x in zip(*kept)), k)
+                    kept[:] = [best]
+                    held -= 24 * (before - len(best[0]))
+                if held > STATE_BYTES or k is None:
+                    yield from ship()
+        yield from ship()
     return kernel
 
 
-RULE_COLS = ["allowed_versions", "scope_type", "scope_books", "scope_testament"]
-
-
-def _query_block(queries: DataFrame, qid_col: str, vec_col: str, with_rules: bool = False):
-    cols = [F.col(qid_col).alias("qid"), F.col(vec_col).alias("v")] + ([F.col(c) for c in RULE_COLS] if with_rules else [])
-    pdf = queries.select(*cols).toPandas()
-    if len(pdf) == 0:
-        empty = (np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
-        return empty + ({"versions": [], "type": [], "books": [], "testament": []},) if with_rules else empty
-    dims = {len(v) for v in pdf["v"] if v is not None}
-    dim = max(dims) if dims else 0
-    qm, ok = _stack(pdf["v"], dim)
-    qids = pdf["qid"].to_numpy(dtype=np.int64)[ok]
-    if not with_rules:
-        return qids, _unit_rows(qm)
-    r = pdf[ok]
-    rules = {"versions": [None if v is None else list(v) for v in r["allowed_versions"]],
-             "type": list(r["scope_type"]), "books": [None if b is None else list(b) for b in r["scope_books"]],
-             "testament": list(r["scope_testament"])}
-    return qids, _unit_rows(qm), rules
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def tiles(corpus: DataFrame, queries: DataFrame, by: list[str], broadcast_bytes: int = BROADCAST_BYTES,
+          cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, int]:
+    """Every corpus block beside every query block of its width (and ``by`` columns), and the
+    number of corpus blocks. Both are packed and written; only their sizes reach the driver."""
+    keys = [*by, "width"]
+    size = F.coalesce(F.sum(F.col("n") * F.col("width") * 8), F.lit(0)).alias("bytes")
+    wanted = queries.agg(size).first()["bytes"]
+    stored = corpus.agg(size, F.count(F.lit(1)).alias("blocks")).first()
+    other = queries.select(*keys, *(F.col(c).alias(f"q_{c}") for c in queries.columns if c not in (*keys, "n")))
+    corpus = corpus.withColumn("branch", F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(stored["blocks"] / FAN)))).cast("int"))
+    if wanted <= broadcast_bytes:
+        return corpus.join(F.broadcast(other), keys), stored["blocks"]
+    down, across = (max(1, math.ceil(x / cell_bytes)) for x in (stored["bytes"], wanted))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = corpus.withColumn("i", place("block", down)).withColumn("j", every(across))
+    right = other.withColumn("j", place("q_block", across)).withColumn("i", every(down))
+    return left.join(right, [*keys, "i", "j"]), stored["blocks"]
 
 
 def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score: float,
                  id_col: str = "ord", vec_col: str = "embedding",
-                 qid_col: str = "qid", qvec_col: str = "qvec",
-                 broadcast_budget: int = DEFAULT_BROADCAST_BUDGET, score_mode: str = "cosine",
-                 prefilter: bool = False) -> DataFrame:
-    """Kernel output ``(qid, ord, score)``: per corpus partition, the local top-k per
-    query (all pairs passing ``min_score`` when ``k`` is None). ``score_mode='relevance'``
-    scores ``(1 + cos) / 2`` instead of the raw cosine (thresholds then mean that).
-    ``prefilter=True`` applies each query's version and scope rules (``RULE_COLS`` on the
-    query side, ``version, book_short, testament`` on the corpus side) inside the kernel,
-    before the top-k cut."""
+                 qid_col: str = "qid", qvec_col: str = "qvec", score_mode: str = "cosine",
+                 prefilter: bool = False, block_rows: int = BLOCK_ROWS,
+                 broadcast_bytes: int = BROADCAST_BYTES, cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, int]:
+    """``(qid, ord, score, branch)`` of every tile: each task's top-k per query (all pairs that
+    pass ``min_score`` when ``k`` is None), and the number of corpus blocks.
+    ``score_mode='relevance'`` scores ``(1 + cos) / 2`` instead of the raw cosine (thresholds then
+    mean that). ``prefilter=True`` takes an ``allowed_version`` row per query and version and the
+    scope rules (``RULE_COLS``) on the query side, ``version`` and ``ATTRIBUTES`` on the corpus
+    side: blocks are of one version each and meet only the queries that allow it, the scope is
+    masked in the kernel, both before the top-k cut."""
     if score_mode not in ("cosine", "relevance"):
         raise ValueError(score_mode)
-    spark = corpus.sparkSession
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.coalesce(F.max(F.size(qvec_col)), F.lit(0)).alias("d")).first()
-    # A worker holds the block's vectors and up to 4 k pairs of 24 bytes for each query.
-    nbytes = int(stats["n"]) * (max(int(stats["d"]), 1) * 8 + 4 * (k or 0) * 24)
-    n_blocks = max(1, math.ceil(nbytes / broadcast_budget))
-    attrs = [F.col(c) for c in ("version", "book_short", "testament")] if prefilter else []
-    scan = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *attrs)
-    parts = []
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == b)
-        bc = spark.sparkContext.broadcast(_query_block(block, qid_col, qvec_col, prefilter))
-        parts.append(scan.mapInArrow(_make_kernel(bc, k, min_score, id_col, vec_col, score_mode == "relevance"),
-                                     CAND_SCHEMA))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return cands
+    by = ["version"] if prefilter else []
+    if not is_packed(corpus):
+        corpus = _written(pack(corpus, id_col, vec_col, by, ATTRIBUTES if prefilter else [], block_rows), "corpus-blocks")
+    corpus = corpus.select(*by, "width", "block", "n", "ids", "units", *(ATTRIBUTES if prefilter else []))
+    if prefilter:
+        queries = queries.withColumnRenamed("allowed_version", "version")
+    asked = _written(pack(queries, qid_col, qvec_col, by, RULE_COLS if prefilter else [], block_rows), "query-blocks")
+    if prefilter:   # versions that nobody asks for aren't read: folders of the index are pruned
+        corpus = corpus.filter(F.col("version").isin([r[0] for r in asked.select("version").distinct().collect()]))
+    met, blocks = tiles(corpus, asked, by, broadcast_bytes, cell_bytes)
+    keep = ["width", "ids", "units", "branch", "q_block", "q_ids", "q_units"]
+    if prefilter:
+        # A block number is unique within a version only, and so is the state of a query block.
+        met = met.withColumn("q_block", F.xxhash64("version", "q_block"))
+        keep += ATTRIBUTES + [f"q_{c}" for c in RULE_COLS]
+    return met.select(*keep).mapInArrow(_tile_kernel(k, min_score, score_mode == "relevance", prefilter), CAND_SCHEMA), blocks
 
 
 def knn_candidates(corpus: DataFrame, queries: DataFrame, k: int = 50, min_score: float = 0.1,
-                   id_col: str = "ord", **kw) -> DataFrame:
+                   id_col: str = "ord", fan: int = FAN, **kw) -> DataFrame:
     """Exact cosine top-k per query over the whole corpus.
 
     Returns ``(qid, ord, score, cand_rank)`` with ``cand_rank`` in 1..k, ordered by
     ``round(score, 12) desc, ord asc``; only ``score >= min_score`` survives."""
-    cands = scored_pairs(corpus, queries, k, min_score, id_col=id_col, **kw)
-    w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_TIE_DIGITS).desc(), F.col("ord").asc())
-    out = cands.withColumn("cand_rank", F.row_number().over(w).cast("int")).filter(F.col("cand_rank") <= k)
+    found, blocks = scored_pairs(corpus, queries, k, min_score, id_col=id_col, **kw)
+    order = [F.round("score", SCORE_TIE_DIGITS).desc(), F.col("ord").asc()]
+    levels = [["qid", "branch"]] if blocks > fan else []
+    for key in [*levels, ["qid"]]:
+        found = found.withColumn("cand_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("int"))
+        found = found.filter(F.col("cand_rank") <= k)
+    out = found.select("qid", "ord", "score", "cand_rank")
     return out if id_col == "ord" else out.withColumnRenamed("ord", id_col)
 
 
 def cosine_pairs(corpus: DataFrame, queries: DataFrame, min_score: float = 0.1, **kw) -> DataFrame:
-    """Every (query, vector) pair with cosine >= min_score (no top-k cut).
-
-    Same block kernel without the cut: each partition emits only the pairs that pass
-    the theta condition, never the full product, and nothing is shuffled."""
-    return scored_pairs(corpus, queries, None, min_score, **kw)
+    """Every (query, vector) pair with cosine >= min_score (no top-k cut): the same tiles
+    without the cut; only the pairs that pass the theta condition leave a tile."""
+    return scored_pairs(corpus, queries, None, min_score, **kw)[0].select("qid", "ord", "score")

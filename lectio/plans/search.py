@@ -10,19 +10,22 @@ final per-query top-k; keyword hits are cut per filter signature by a partial
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..operators.classify import (Thresholds, centroid_literals, classify_intent, detect_scope,
                                   prototype_centroids, validate_queries)
 from ..operators.filters import keyword_join, scope_matches, version_matches, with_version_rules
+from ..operators.hydrate import hydrate
 from ..operators.knn import knn_candidates
 from ..operators.rerank import (CANDIDATE_COUNT, CANDIDATE_FLOOR, DEFAULT_MAX_RESULTS, DEFAULT_MIN_SCORE,
                                 TIE_DIGITS, lower_text, rerank_score, top_per_group)
 from ..sources.dictionaries import Dictionaries
+from ..sources.grams import GramIndex
 
 RESULT_COLUMNS = ["qid", "rank", "key", "reference", "book_name", "book_short", "chapter", "verse",
                   "title", "text", "version", "score", "reranked_score"]
@@ -45,6 +48,11 @@ class SearchInputs:
     prefilter: bool = False      # filter version/scope before the top-50 cut (not the reference order)
     score_mode: str = "cosine"   # or "relevance": (1 + cos) / 2
     scope_match: str = "reference"  # or "phrase": whole English scope phrase, word-bounded OT/NT
+    index: DataFrame | None = None  # the vectors packed by ``sources.vectors.write_index``
+    grams: GramIndex | None = None  # the passages' gram index; without it a search builds one
+    # adds the vector of a text column: (frame, text column, new column) -> frame. With it the
+    # cleaned query has a vector of its own; without it the query's vector stands in.
+    embed: Callable[[DataFrame, str, str], DataFrame] | None = None
 
 
 def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame:
@@ -61,7 +69,10 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
         q = q.repartition(cores, "qid")
     q = validate_queries(q).filter("valid")
     q = detect_scope(q, c, inp.dicts, inp.thresholds, scope_match=inp.scope_match)
-    q = classify_intent(q, c, inp.dicts.stop_words, inp.thresholds, text_col="search_query")
+    # scope is judged on the query's vector; intent and search use that of the cleaned query
+    q = inp.embed(q, "search_query", "search_vec") if inp.embed else q.withColumn("search_vec", F.col("qvec"))
+    q = classify_intent(q, c, inp.dicts.stop_words, inp.thresholds, text_col="search_query", vec_col="search_vec")
+    q = q.drop("error").withColumn("error", F.when(F.col("needs_semantic"), width_error(inp)))
     q = (q.withColumn("k", F.coalesce(F.col("max_results"), F.lit(DEFAULT_MAX_RESULTS)).cast("int"))
          .withColumn("min_score", F.coalesce(F.col("min_score"), F.lit(DEFAULT_MIN_SCORE)).cast("double"))
          .withColumn("version_filter", F.col("version"))
@@ -70,37 +81,19 @@ def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame
     return with_version_rules(q, inp.dicts.version_alias, "version_filter").persist()
 
 
-ORD_RUN_BITS = 10
-ORD_BLOCKS = 1024
+ERROR_WIDTH = "Vectors must have the same length"
 
 
-def ord_block(ord_col: str = "ord"):
-    """Partition key of the passage table: runs of consecutive ords share a block, and
-    there are ``ORD_BLOCKS`` blocks whatever the size of the corpus."""
-    return F.pmod(F.shiftright(F.col(ord_col), ORD_RUN_BITS), F.lit(ORD_BLOCKS)).cast("int")
-
-
-def hydrate(keys: DataFrame, verses: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach passage columns to a small table of ords.
-
-    The small side is written to the shared checkpoint folder first (a lineage cut that
-    also keeps the k-NN kernel from running twice). When the passage table is partitioned
-    by ``ord_block``, the distinct blocks of the keys (at most ``ORD_BLOCKS``) become a partition filter, so the scan lists and reads only the blocks that
-    hold a key, not the whole corpus."""
-    from ..session import scratch_path
-    spark = keys.sparkSession
-    path = scratch_path(spark, "keys")
-    keys.write.mode("overwrite").parquet(path)
-    small = spark.read.parquet(path)
-    want = [c for c in cols if c != "ord"]
-    if "ord_block" not in verses.columns:
-        return small.join(verses.select("ord", *want), "ord")
-    small = small.withColumn("ord_block", ord_block("ord"))
-    blocks = [r[0] for r in small.select("ord_block").distinct().collect()]
-    side = verses.select("ord_block", "ord", *want)
-    if len(blocks) < ORD_BLOCKS:
-        side = side.filter(F.col("ord_block").isin(blocks))
-    return small.join(side, ["ord_block", "ord"]).drop("ord_block")
+def width_error(inp: SearchInputs, vec_col: str = "search_vec") -> Column:
+    """The error of a query whose vector can't be compared with the store's, else null: that query
+    fails alone. The store's least and greatest width are one small aggregate."""
+    width = F.col("width") if inp.index is not None else F.size("embedding")
+    stored = (inp.index if inp.index is not None else inp.vectors.filter("embedding is not null and size(embedding) > 0"))
+    ends = stored.agg(F.min(width).alias("lo"), F.max(width).alias("hi")).first()
+    own = F.size(vec_col)
+    if ends["lo"] is None:
+        return F.lit(None).cast("string")
+    return F.when(F.col(vec_col).isNotNull() & (own > 0) & ((own != ends["lo"]) | (own != ends["hi"])), F.lit(ERROR_WIDTH))
 
 
 def _result_projection(df: DataFrame) -> DataFrame:
@@ -115,22 +108,19 @@ def _result_projection(df: DataFrame) -> DataFrame:
 def semantic_candidates(inp: SearchInputs, ctx: DataFrame) -> DataFrame:
     """Top-50 cosine candidates of each query in ``ctx``, hydrated (J1), filtered by
     version and scope *after* the cut (R2), re-ranked (R1) and floored at min_score."""
+    ctx = ctx.filter(F.col("error").isNull())
+    corpus = inp.index if inp.index is not None else inp.vectors
+    qside = ctx.select("qid", F.col("search_vec").alias("qvec"))
     if inp.prefilter:
-        # versions present in the corpus (a small distinct set) decide each query's F2 rule once
-        versions = inp.verses.select(F.col("version").alias("v")).distinct()
-        allowed = (ctx.select("qid", "version_filter", "alias_lower", "alias_exact")
-                   .join(versions, version_matches("v", "version_filter"))
-                   .groupBy("qid").agg(F.collect_set("v").alias("allowed_versions")))
-        qside = ctx.join(allowed, "qid", "left").select(
-            "qid", "qvec", F.coalesce("allowed_versions", F.array().cast("array<string>")).alias("allowed_versions"),
-            "scope_type", "scope_books", "scope_testament")
-        # the filter attributes must sit next to each vector: an attributed index carries
-        # them already; otherwise one equi-join on ord attaches them (unresolvable vectors
-        # have no attributes and cannot pass a filter)
-        corpus = inp.vectors if "version" in inp.vectors.columns else inp.vectors.select("ord", "embedding").join(
-            inp.verses.select("ord", "version", "book_short", "testament"), "ord")
-    else:
-        qside, corpus = ctx.select("qid", "qvec"), inp.vectors
+        # each query goes to the versions that it allows (those of the corpus, a small set) and
+        # meets only their blocks; attributes sit next to the vectors of an index
+        versions = inp.verses.select(F.col("version").alias("allowed_version")).distinct()
+        qside = (ctx.select("qid", F.col("search_vec").alias("qvec"), "version_filter", "alias_lower", "alias_exact",
+                            "scope_type", "scope_books", "scope_testament")
+                 .join(versions, version_matches("allowed_version", "version_filter"))
+                 .drop("version_filter", "alias_lower", "alias_exact"))
+        if inp.index is None and "version" not in inp.vectors.columns:
+            corpus = inp.vectors.join(inp.verses.select("ord", "version", "book_short", "testament"), "ord")
     cands = knn_candidates(corpus, qside, k=inp.candidate_count, min_score=inp.candidate_floor,
                            score_mode=inp.score_mode, prefilter=inp.prefilter)
     small = ctx.select("qid", "intent", "search_query", "search_keyword", "k", "min_score", "version_filter",
@@ -161,16 +151,13 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
     is planned as a partial ``WindowGroupLimit`` before its shuffle, so a keyword that
     matches a third of the corpus still ships at most kmax rows per map partition; the
     wide passage columns are joined back for the surviving rows only."""
+    ctx = ctx.filter(F.col("error").isNull())
     sig = (ctx.select(*SIGNATURE, F.col(k_col).alias("k"))
            .groupBy(*SIGNATURE).agg(F.max("k").alias("sig_k"))
            .withColumn("sig_id", F.struct(*SIGNATURE)))
-    # one small aggregate answers every size question of this branch
-    st = sig.agg(F.max("sig_k").alias("kmax"),
-                 F.coalesce(F.sum(F.octet_length("search_keyword") + 32), F.lit(0)).alias("kw_bytes")).first()
-    kmax = max(int(st["kmax"] or 0), 1)
+    kmax = max(int(sig.agg(F.max("sig_k").alias("kmax")).first()["kmax"] or 0), 1)
     narrow = ["ord", "version", "book_short", "testament"]
-    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow,
-                         stats=int(st["kw_bytes"]))
+    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow, index=inp.grams)
     # a keyword may match a third of the corpus: Spark broadcasts the signatures while
     # they are small in bytes; beyond that AQE splits the skewed join
     hits = pairs.join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
@@ -200,12 +187,17 @@ def semantic_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFram
     return _result_projection(semantic_results(inp, ctx))
 
 
+def not_keyword_hits(cands: DataFrame) -> DataFrame:
+    """Semantic candidates that the keyword branch does not already give."""
+    return cands.filter(~F.col("text").contains(F.col("search_keyword")))
+
+
 def _hybrid_merge(kw: DataFrame, sem: DataFrame) -> DataFrame:
     """Keyword rows first (arrival order), then re-ranked semantic rows that are
     not keyword hits (J4), into the slots left by max_results."""
     kw = kw.select("qid", "ord", *[c for c in VERSE_COLUMNS if c != "ord"], "score", "reranked_score", "k",
                    F.lit(0).alias("prio"), F.lit(0.0).alias("sk1"), F.col("ord").alias("sk2"))
-    sem = sem.filter(~F.col("text").contains(F.col("search_keyword"))).select(
+    sem = not_keyword_hits(sem).select(
         "qid", "ord", *[c for c in VERSE_COLUMNS if c != "ord"], "score", "reranked_score", "k",
         F.lit(1).alias("prio"), (-F.round("reranked_score", TIE_DIGITS)).alias("sk1"),
         F.col("cand_rank").cast("long").alias("sk2"))
@@ -236,7 +228,8 @@ def routed_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFrame:
 
 
 def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx: DataFrame | None = None) -> DataFrame:
-    """One row per input query (invalid ones included) with the response fields;
+    """One row per input query with the response fields. Invalid queries and ones that
+    fail alone (a vector of another width) are rows without success, beside the others' answers;
     results are summarised as ``total_results`` and ``result_keys`` (keys in rank order)."""
     ctx = ctx if ctx is not None else query_context(inp)
     results = results if results is not None else routed_search(inp, ctx)
@@ -245,17 +238,18 @@ def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx:
                 F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("__r"))
            .select("qid", "total_results", F.array_join(F.transform("__r", lambda r: r["key"]), ",").alias("result_keys")))
     has_ctx = F.col("scope_type") != "NONE"
-    info = ctx.select(
+    failed = ctx.filter(F.col("error").isNotNull()).select("qid", F.col("error").alias("failure"))
+    info = ctx.filter(F.col("error").isNull()).select(
         "qid", F.col("intent").alias("search_method"), "extracted_keyword", "intent_reason",
         F.when(has_ctx, F.col("scope_type")).alias("detected_context_type"),
         F.when(has_ctx, F.col("scope_desc")).alias("detected_context"),
         F.when(has_ctx, F.array_join("scope_books", ",")).alias("context_books"),
         "search_query")
     v = validate_queries(inp.queries.select("qid", "query"))
-    out = v.join(info, "qid", "left").join(agg, "qid", "left")
+    out = v.join(info, "qid", "left").join(agg, "qid", "left").join(failed, "qid", "left")
     return out.select(
         "qid", F.when(F.col("valid"), F.col("query")).alias("query"),
-        F.col("valid").alias("success"), "error",
+        (F.col("valid") & F.col("failure").isNull()).alias("success"), F.coalesce("error", "failure").alias("error"),
         F.coalesce("total_results", F.lit(0)).cast("int").alias("total_results"),
         "search_method", "extracted_keyword", "intent_reason", "detected_context_type", "detected_context",
         "context_books", "search_query", "result_keys")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.vector import norm
+from ..operators.knn import ATTRIBUTES, pack
+from .manifest import BucketStore
 
 STORE_SCHEMA = "id string, text string, metadata string, embedding array<float>"
 
@@ -22,27 +24,31 @@ def scan(store: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return store.select(id_col, "embedding")
 
 
-def append(store_path: str, rows: DataFrame, text_col: str | None = None) -> DataFrame:
+def append(store: BucketStore, rows: DataFrame, text_col: str | None = None) -> None:
     """Append embeddings with fresh UUID ids; a row without a segment stores text ''.
-    One Spark write is one commit, like the reference's one-transaction batch insert."""
-    out = rows.select(F.expr("uuid()").alias("id"),
-                      (F.coalesce(F.col(text_col), F.lit("")) if text_col else F.lit("")).alias("text"),
-                      F.lit(None).cast("string").alias("metadata"),
-                      F.col("embedding").cast("array<float>").alias("embedding"))
-    out.write.mode("append").parquet(store_path)
-    return rows.sparkSession.read.parquet(store_path)
+    One call is one commit, like the reference's one-transaction batch insert."""
+    store.append(rows.select(F.expr("uuid()").alias("id"),
+                             (F.coalesce(F.col(text_col), F.lit("")) if text_col else F.lit("")).alias("text"),
+                             F.lit(None).cast("string").alias("metadata"),
+                             F.col("embedding").cast("array<float>").alias("embedding")))
+
+
+def last_of_batch(batch: DataFrame, id_col: str = "id", arrival: str | None = None) -> DataFrame:
+    """Of rows with one id the last by ``arrival`` (a grouped ``max_by``, combined map-side), or
+    without that column the greatest row, so the result is defined."""
+    others = [c for c in batch.columns if c != id_col]
+    last = F.col(arrival) if arrival else F.struct(*others)
+    return (batch.groupBy(id_col).agg(F.max_by(F.struct(*others), last).alias("__w"))
+            .select(id_col, *[F.col(f"__w.{c}").alias(c) for c in others]))
 
 
 def upsert(existing: DataFrame, new: DataFrame, id_col: str = "id", arrival: str | None = None) -> DataFrame:
-    """INSERT OR REPLACE by id. The store is only filtered against the ids of the (small)
-    batch; of batch rows with one id the last by ``arrival`` wins (a grouped ``max_by``,
-    combined map-side), or without that column the greatest row, so the result is defined."""
+    """S5 over tables: INSERT OR REPLACE by id, as a frame. The store is only filtered against the
+    ids of the (small) batch. ``BucketStore.upsert`` is the written form."""
     others = [c for c in existing.columns if c != id_col]
-    last = F.col(arrival) if arrival else F.struct(*others)
-    batch = (new.groupBy(id_col).agg(F.max_by(F.struct(*others), last).alias("__w"))
-             .select(id_col, *[F.col(f"__w.{c}").alias(c) for c in others]))
+    batch = last_of_batch(new, id_col, arrival)
     kept = existing.join(batch.select(id_col), id_col, "left_anti")
-    return (kept.withColumn("batch", F.lit(0)).unionByName(batch.withColumn("batch", F.lit(1)))
+    return (kept.withColumn("batch", F.lit(0)).unionByName(batch.select(id_col, *others).withColumn("batch", F.lit(1)))
             .select(id_col, *others, "batch"))
 
 
@@ -107,6 +113,28 @@ def decode_vectors(df: DataFrame, blob_col: str = "blob") -> DataFrame:
     return src.mapInArrow(_decode, (schema + ", " if schema else "") + "embedding array<float>")
 
 
+# ---------------------------------------------------------------------------
+# The vector index: unit vectors in blocks, laid out by version
+# ---------------------------------------------------------------------------
+
+INDEX_SCHEMA = ("width int, block long, n int, ids array<long>, units array<double>, book_short array<string>, "
+                "testament array<int>, version string")
+
+
+def write_index(vectors: DataFrame, passages: DataFrame, path: str) -> str:
+    """Vectors are scaled to length one and packed into blocks once, next to the attributes that
+    searches filter by; folders by version, so a search for some versions reads no others.
+    Vectors without a passage have a null version."""
+    attributes = passages.select("ord", "version", "book_short", "testament")
+    blocks = pack(vectors.select("ord", "embedding").join(attributes, "ord", "left"), "ord", "embedding", ["version"], ATTRIBUTES)
+    blocks.write.mode("overwrite").partitionBy("version").parquet(path)
+    return path
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # S7 snapshots, S8 bootstrap, S11 build report
 # ---------------------------------------------------------------------------

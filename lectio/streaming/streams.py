@@ -10,14 +10,16 @@ cross-request state. So:
 * T2 ``search_stream``: ``foreachBatch`` runs the routed search (E4) on each
   micro-batch of queries. Top-k is per query, so no state crosses batches; Spark rejects
   a ``row_number`` window directly on a streaming frame, which ``foreachBatch`` avoids.
-  Each batch writes to its own ``epoch=<id>`` folder with overwrite, so a replayed batch
-  after a failure replaces its own output (idempotent sink).
+  Each batch commits its rows to an ``EpochSink``: an epoch that runs again after a failure
+  replaces its first output, and a batch that dies half-way leaves nothing that is read.
 
 Both use checkpoints under the shared checkpoint folder and ``trigger(availableNow=True)``
 so a run processes what is there and stops."""
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from ..operators.classify import centroid_literals, prototype_centroids
 from ..plans import search as S
 from ..session import scratch_path
 from ..sources.dictionaries import Dictionaries
+from ..sources.manifest import EpochSink
 
 RESULT_SCHEMA = ("qid long, rank int, key string, reference string, book_name string, book_short string, "
                  "chapter int, verse int, title string, text string, version string, score double, "
@@ -61,24 +64,28 @@ def classify_stream(spark: SparkSession, source_glob: str, schema: str, dicts: D
     return spark.read.parquet(out)
 
 
+QUERY_SCHEMA = "qid long, query string, max_results int, min_score double, version string"
+
+
 def search_stream(spark: SparkSession, source_glob: str, schema: str, inputs: S.SearchInputs,
-                  query_vectors: DataFrame) -> DataFrame:
+                  query_vectors: DataFrame, files_per_batch: int | None = None, sink: EpochSink | None = None,
+                  checkpoint: str | None = None) -> DataFrame:
     """Run T2: every micro-batch of ``(qid, query, max_results, min_score, version)``
-    rows is answered by the routed search; returns all written results."""
-    out, ckpt = scratch_path(spark, "t2-out"), scratch_path(spark, "t2-ckpt")
+    rows is answered by the routed search; returns all committed results."""
+    sink = sink or EpochSink(spark, scratch_path(spark, "t2-out"), RESULT_SCHEMA)
     centroids = centroid_literals(prototype_centroids(inputs.prototypes))   # once, not per batch
-    wrote: list[int] = []
 
     def answer(batch: DataFrame, epoch: int) -> None:
-        inp = S.SearchInputs(inputs.verses, inputs.vectors, batch.join(query_vectors, "qid", "left"),
-                             inputs.prototypes, inputs.dicts, inputs.thresholds)
+        inp = dataclasses.replace(inputs, queries=batch.join(query_vectors, "qid", "left"))
         ctx = S.query_context(inp, centroids)
-        S.routed_search(inp, ctx).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        sink.write(S.routed_search(inp, ctx), epoch)
         ctx.unpersist()
-        wrote.append(epoch)
 
-    stream = spark.readStream.schema(schema).parquet(source_glob)
-    q = (stream.writeStream.foreachBatch(answer).option("checkpointLocation", ckpt)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.parquet(source_glob).writeStream.foreachBatch(answer)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "t2-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(RESULT_SCHEMA).parquet(out) if wrote else spark.createDataFrame([], RESULT_SCHEMA)
+    return sink.read()
