@@ -19,15 +19,19 @@ NEAR = 1024        # ranges closer than this are one
 
 
 def key_ranges(keys: DataFrame, id_col: str = "ord", ranges: int = RANGES) -> list[tuple[int, int]]:
-    """At most ``ranges`` ranges that hold every key: the span of the keys is cut into equal cells,
-    and each cell that has keys gives its least and greatest one. Only those reach the driver."""
-    ends = keys.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    if ends["lo"] is None:
-        return []
-    wide = (ends["hi"] - ends["lo"]) // ranges + 1
-    cells = keys.groupBy(((F.col(id_col) - ends["lo"]) / F.lit(wide)).cast("long").alias("cell")).agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
+    """At most ``ranges`` ranges that hold every key; only those reach the driver. A few runs of
+    ``NEAR`` ords with keys are taken as they are; more than that are summed up by equal cells of
+    the keys' span, each with its least and greatest key."""
+    def cut(cell: Column) -> DataFrame:
+        return keys.groupBy(cell.cast("long").alias("cell")).agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
+
+    rows = cut(F.floor(F.col(id_col) / NEAR)).limit(ranges + 1).collect()
+    if len(rows) > ranges:
+        ends = keys.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
+        wide = (ends["hi"] - ends["lo"]) // ranges + 1
+        rows = cut((F.col(id_col) - ends["lo"]) / F.lit(wide)).collect()
     out: list[tuple[int, int]] = []
-    for r in sorted(cells.collect(), key=lambda r: r["lo"]):
+    for r in sorted((r for r in rows if r["lo"] is not None), key=lambda r: r["lo"]):
         if out and r["lo"] - out[-1][1] <= NEAR:
             out[-1] = (out[-1][0], r["hi"])
         else:

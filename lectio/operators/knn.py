@@ -155,23 +155,21 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def tiles(corpus: DataFrame, queries: DataFrame, by: list[str], broadcast_bytes: int = BROADCAST_BYTES,
+def tiles(corpus: DataFrame, queries: DataFrame, by: list[str], wanted: int, broadcast_bytes: int = BROADCAST_BYTES,
           cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, int]:
-    """Every corpus block beside every query block of its width (and ``by`` columns), and the
-    number of corpus blocks. Both are packed and written; only their sizes reach the driver."""
+    """Every corpus block beside every query block of its width (and ``by`` columns), and the number
+    of corpus blocks. ``wanted`` bounds the bytes of the query blocks; only sizes reach the driver."""
     keys = [*by, "width"]
-    size = F.coalesce(F.sum(F.col("n") * F.col("width") * 8), F.lit(0)).alias("bytes")
-    wanted = queries.agg(size).first()["bytes"]
-    stored = corpus.agg(size, F.count(F.lit(1)).alias("blocks")).first()
-    other = queries.select(*keys, *(F.col(c).alias(f"q_{c}") for c in queries.columns if c not in (*keys, "n")))
+    stored = corpus.agg(F.coalesce(F.sum(F.col("n") * F.col("width") * 8), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("blocks")).first()
+    named = lambda q: q.select(*keys, *(F.col(c).alias(f"q_{c}") for c in q.columns if c not in (*keys, "n")))
     corpus = corpus.withColumn("branch", F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(stored["blocks"] / FAN)))).cast("int"))
     if wanted <= broadcast_bytes:
-        return corpus.join(F.broadcast(other), keys), stored["blocks"]
+        return corpus.join(F.broadcast(named(queries)), keys), stored["blocks"]
     down, across = (max(1, math.ceil(x / cell_bytes)) for x in (stored["bytes"], wanted))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = corpus.withColumn("i", place("block", down)).withColumn("j", every(across))
-    right = other.withColumn("j", place("q_block", across)).withColumn("i", every(down))
+    right = named(_written(queries, "query-blocks")).withColumn("j", place("q_block", across)).withColumn("i", every(down))
     return left.join(right, [*keys, "i", "j"]), stored["blocks"]
 
 
@@ -195,10 +193,12 @@ def scored_pairs(corpus: DataFrame, queries: DataFrame, k: int | None, min_score
     corpus = corpus.select(*by, "width", "block", "n", "ids", "units", *(ATTRIBUTES if prefilter else []))
     if prefilter:
         queries = queries.withColumnRenamed("allowed_version", "version")
-    asked = _written(pack(queries, qid_col, qvec_col, by, RULE_COLS if prefilter else [], block_rows), "query-blocks")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(qvec_col)), F.lit(0)).alias("width"),
+                       *([F.collect_set("version").alias("versions")] if prefilter else [])).first()
     if prefilter:   # versions that nobody asks for aren't read: folders of the index are pruned
-        corpus = corpus.filter(F.col("version").isin([r[0] for r in asked.select("version").distinct().collect()]))
-    met, blocks = tiles(corpus, asked, by, broadcast_bytes, cell_bytes)
+        corpus = corpus.filter(F.col("version").isin(size["versions"]))
+    asked = pack(queries, qid_col, qvec_col, by, RULE_COLS if prefilter else [], block_rows)
+    met, blocks = tiles(corpus, asked, by, size["n"] * (max(size["width"], 0) * 8 + 64), broadcast_bytes, cell_bytes)
     keep = ["width", "ids", "units", "branch", "q_block", "q_ids", "q_units"]
     if prefilter:
         # A block number is unique within a version only, and so is the state of a query block.

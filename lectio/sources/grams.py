@@ -1,23 +1,30 @@
 """J7's persisted index: character n-grams of the passages with the places that hold them.
 
-``postings(gram, run, ords, bucket)``: the passages of one run of ``RUN`` consecutive ords that
-contain a gram of up to ``GRAM`` characters (the empty gram is in every text), so no list grows
-beyond ``RUN`` however common the gram. ``counts(gram, n)``: in how many passages a gram is. Both
-are laid out by a hash of the gram; a lookup reads the folders of the grams it wants only."""
+``postings(gram, ords, bucket)``: which of a run of at most ``RUN`` passages contain a gram of up
+to ``GRAM`` characters (the empty gram is in every text). A run is what a task reads together, so no
+list grows beyond it however common the gram, and lists are whole before anything is shuffled.
+``counts(gram, n, bucket)``: in how many passages a gram is. Both are laid out by a hash of the
+gram; a lookup reads the folders of the grams it wants only."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-GRAM = 3          # characters of the longest gram
-RUN_BITS = 12     # consecutive ords of a list
-BUCKETS = 64      # folders of a table
+GRAM = 3                  # characters of the longest gram
+RUN = 4096                # passages of a list
+RUN_CHARS = 1 << 20       # characters that a task splits at once
+BUCKETS = 64              # folders of a table
 TEXTS_PER_FILE = 1 << 18
+BITS = 21                 # of a code point, plus one so that zero is none
+
+POSTINGS = "gram string, ords array<long>, bucket int"
+COUNTS = "gram string, n long, bucket int"
 
 
 @dataclass
@@ -35,45 +42,91 @@ def windows(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1))
 
 
-def grams(text: Column) -> Column:
-    """All distinct grams of 0 to ``GRAM`` characters."""
-    cut = lambda k: F.transform(F.array_distinct(windows(text)), lambda w: F.substring(w, 1, k))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *(cut(k) for k in range(1, GRAM + 1))))
+def _packed(codes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The up to ``GRAM`` characters from each place on as one number; ``last`` marks texts' ends."""
+    one = codes.astype(np.int64) + 1
+    out, going = one.copy(), ~last
+    for k in range(1, GRAM):
+        out <<= BITS
+        out[:-k][going[:-k]] |= one[k:][going[:-k]]
+        going[:-k] &= ~last[k:]
+    return out
+
+
+def _spelled(packed: np.ndarray) -> list[str]:
+    parts = [(packed >> (BITS * k)) & ((1 << BITS) - 1) for k in range(GRAM - 1, -1, -1)]
+    return ["".join(chr(c - 1) for c in row if c) for row in zip(*(p.tolist() for p in parts))]
+
+
+def _lists(ords: list[int], texts: list[str]):
+    """(gram, ords) of a run of texts as an Arrow batch."""
+    import pyarrow as pa
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    ids = np.asarray(ords, np.int64)
+    ends = np.cumsum(sizes)
+    met = []      # (window, text) pairs, distinct within a piece
+    for at in range(0, int(ends[-1]) if len(ends) else 0, RUN_CHARS):
+        # A piece of the joined texts, and the characters after it that its last windows reach.
+        lo, hi = at, min(at + RUN_CHARS, int(ends[-1]))
+        first, final = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(ends, hi - 1, side="right"))
+        begin = int(ends[first] - sizes[first])
+        joined = "".join(texts[first:final + 1])[lo - begin:hi - begin + GRAM - 1]
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        place = lo + np.arange(len(codes))
+        text = np.searchsorted(ends, place, side="right")
+        last = place + 1 == ends[text]
+        windows = _packed(codes, last)[:hi - lo]
+        known, number = np.unique(windows, return_inverse=True)
+        pairs = np.unique(number * len(texts) + text[:hi - lo])
+        met.append((known[pairs // len(texts)], pairs % len(texts)))
+    window = np.concatenate([m[0] for m in met]) if met else np.zeros(0, np.int64)
+    text = np.concatenate([m[1] for m in met]) if met else np.zeros(0, np.int64)
+    # Shorter grams are the beginnings of the windows; the empty one (0) is in every text.
+    cuts = [np.zeros(len(texts), np.int64)] + [window >> (BITS * k) << (BITS * k) for k in range(GRAM)]
+    known, number = np.unique(np.concatenate(cuts), return_inverse=True)
+    pairs = np.unique(number * len(texts) + np.concatenate([np.arange(len(texts)), *[text] * GRAM]))
+    gram = pairs // len(texts)
+    offsets = np.searchsorted(gram, np.arange(len(known) + 1)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[pairs % len(texts)]))
+    return pa.record_batch([pa.array(_spelled(known), pa.string()), lists], ["gram", "ords"])
+
+
+def _split(batches):
+    for batch in batches:
+        ords, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and end - at < RUN and (end == at or chars + len(texts[end]) <= RUN_CHARS):
+                chars += len(texts[end])
+                end += 1
+            yield _lists(ords[at:end], texts[at:end])
+            at = end
 
 
 def write_gram_index(passages: DataFrame, path: str | None = None, id_col: str = "ord", text_col: str = "text") -> GramIndex:
-    """Builds and writes the index. A task sees its passages in order, so the lists of a run are
-    nearly whole before the shuffle."""
+    """Builds and writes the index: one pass over the texts, one shuffle of the lists."""
     spark = passages.sparkSession
     path = path or scratch_path(spark, "grams")
-    texts = passages.select(F.col(id_col).alias("ord"), F.col(text_col).alias("text")).filter("text is not null and ord is not null")
-    one = texts.select("ord", F.explode(grams(F.col("text"))).alias("gram"))
-    lists = one.groupBy("gram", F.shiftright("ord", RUN_BITS).alias("run")).agg(F.sort_array(F.collect_set("ord")).alias("ords"))
-    # A bucket's runs are dealt to more files as the corpus grows.
-    spread = F.pmod("run", F.lit(max(1, texts.count() // TEXTS_PER_FILE)))
-    (lists.withColumn("bucket", bucket()).repartition("bucket", spread).sortWithinPartitions("bucket", "gram", "run")
+    texts = passages.select(F.col(id_col).cast("long").alias("ord"), F.col(text_col).alias("text")).filter("text is not null and ord is not null")
+    lists = texts.mapInArrow(_split, "gram string, ords array<long>").withColumn("bucket", bucket())
+    # A bucket's lists are dealt to more files as the corpus grows.
+    spread = F.pmod(F.xxhash64(F.get("ords", F.lit(0))), F.lit(max(1, texts.count() // TEXTS_PER_FILE)))
+    (lists.repartition("bucket", spread).sortWithinPartitions("bucket", "gram")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    postings = _read(spark, f"{path}/postings", "gram string, run long, ords array<long>, bucket int")
-    (postings.groupBy("bucket", "gram").agg(F.sum(F.size("ords")).cast("long").alias("n"))
+    (_read(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "gram").agg(F.sum(F.size("ords")).cast("long").alias("n"))
      .repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts"))
     return read_gram_index(spark, path)
 
 
 def read_gram_index(spark: SparkSession, path: str) -> GramIndex:
-    return GramIndex(_read(spark, f"{path}/postings", "gram string, run long, ords array<long>, bucket int"),
-                     _read(spark, f"{path}/counts", "gram string, n long, bucket int"))
+    return GramIndex(_read(spark, f"{path}/postings", POSTINGS), _read(spark, f"{path}/counts", COUNTS))
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def pruned(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of an index table whose folders hold a wanted gram (at most ``BUCKETS`` numbers
-    reach the driver, as a partition filter)."""
-    return table.filter(F.col("bucket").isin([r[0] for r in wanted.select(bucket()).distinct().collect()]))
-
-
 def candidates(index: GramIndex, keywords: DataFrame) -> DataFrame:
     """(keyword, ord, exact): the passages that hold each keyword's rarest gram; for a keyword of
     at most ``GRAM`` characters that gram is the keyword and the hits are ``exact``."""
@@ -84,8 +137,10 @@ def candidates(index: GramIndex, keywords: DataFrame) -> DataFrame:
     path = scratch_path(kw.sparkSession, "keyword-grams")
     kw.write.parquet(path)
     kw = kw.sparkSession.read.schema("keyword string, gram string").parquet(path)
-    known = kw.join(pruned(index.counts, kw).select("gram", "n"), "gram", "left")
+    # The folders that hold a wanted gram: at most BUCKETS numbers, as a partition filter.
+    folders = F.col("bucket").isin([r[0] for r in kw.select(bucket()).distinct().collect()])
+    known = kw.join(index.counts.filter(folders).select("gram", "n"), "gram", "left")
     rarest = known.groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
     rarest = rarest.filter("r.n > 0").select("keyword", F.col("r.gram").alias("gram"))
-    found = rarest.join(pruned(index.postings, kw).select("gram", "ords"), "gram")
+    found = rarest.join(index.postings.filter(folders).select("gram", "ords"), "gram")
     return found.select("keyword", F.explode("ords").alias("ord"), (F.char_length("keyword") <= GRAM).alias("exact"))

@@ -1,5 +1,7 @@
 """Properties of the vector kernel, the codec and the searches."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def test_scores_in_unit_interval(spark, ctx):
 
 def test_empty_query_table(spark, ctx):
     inp, _ = ctx
-    empty = S.SearchInputs(inp.verses, inp.vectors, inp.queries.limit(0), inp.prototypes, inp.dicts, inp.thresholds)
+    empty = dataclasses.replace(inp, queries=inp.queries.limit(0))
     assert S.semantic_search(empty).count() == 0
     assert S.response_envelope(empty).count() == 0
 
@@ -84,6 +86,55 @@ def test_blank_queries_become_error_rows(spark, ctx):
                         for r in errs)
 
 
+def test_vector_of_another_width_fails_alone(spark, ctx):
+    """One bad query is an error row; the others are answered as if it weren't there."""
+    inp, c = ctx
+    bad = c.filter(F.col("needs_semantic")).agg(F.min("qid")).first()[0]
+    wide = dataclasses.replace(inp, queries=inp.queries.withColumn("qvec", F.when(F.col("qid") == bad, F.array_repeat(F.lit(0.5).cast("float"), 7)).otherwise(F.col("qvec"))))
+    mixed = S.query_context(wide)
+    failed = mixed.filter("error is not null").collect()
+    assert [(r["qid"], r["error"]) for r in failed] == [(bad, S.ERROR_WIDTH)]
+    got = {r["qid"]: r for r in S.response_envelope(wide, ctx=mixed).collect()}
+    want = {r["qid"]: r for r in S.response_envelope(inp, ctx=c).collect()}
+    assert (got[bad]["success"], got[bad]["error"], got[bad]["total_results"]) == (False, S.ERROR_WIDTH, 0)
+    assert {q: r for q, r in got.items() if q != bad} == {q: r for q, r in want.items() if q != bad}
+
+
+def test_cleaned_query_has_its_own_vector(spark, ctx):
+    """Scope is judged on the whole query, intent and search on what is left of it."""
+    from lectio.sources.embed import hash_embed, with_hash_vector
+    inp, _ = ctx
+    q = spark.createDataFrame([(1, "in src3 about love and mercy"), (2, "love and mercy")], "qid long, query string")
+    rows = q.select("qid", "query", F.lit(None).cast("int").alias("max_results"), F.lit(None).cast("double").alias("min_score"), F.lit(None).cast("string").alias("version"))
+    qvec = hash_embed(q.select("qid", "query"), "qid", "query").withColumnRenamed("embedding", "qvec")
+    open_gate = dataclasses.replace(inp.thresholds, scope_difference=9.0)
+    made = S.query_context(dataclasses.replace(inp, queries=rows.join(qvec, "qid"), embed=with_hash_vector, thresholds=open_gate))
+    got = {r["qid"]: r for r in made.collect()}
+    assert got[1]["search_query"] == "love and mercy" and got[1]["search_vec"] == got[2]["search_vec"] == got[2]["qvec"] != got[1]["qvec"]
+
+
+@pytest.mark.parametrize("dim", [7, 64, 384])
+def test_hash_embedding_of_any_width(spark, dim):
+    import hashlib
+    import re
+    from lectio.sources.embed import embed_distinct, hash_embed
+    texts = ["A b  c a", None, "", " x\ty\n x É", "A b  c a", "w " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in hash_embed(docs, dim=dim).collect()}
+    for i, text in enumerate(texts):
+        v = np.zeros(dim)
+        for w in filter(None, re.split(r"\s+", (text or "").lower())):
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:8], 16) % dim] += 1 if int(h[8], 16) % 2 == 0 else -1
+        assert np.allclose(got[i], v / (np.linalg.norm(v) or 1), atol=1e-6)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frame):
+        seen.add(frame.count())
+        return hash_embed(frame, dim=dim)
+    assert {r[0]: r[1] for r in embed_distinct(docs, counted).collect()} == got and seen.value == 4
+
+
 def test_routed_search_independent_of_shuffle_width(spark, ctx):
     inp, c = ctx
     rows = {}

@@ -99,3 +99,45 @@ def test_result_sink_nested_and_partitioned_by_run(spark):
     assert one.count() == env.count()
     sizes = {r["qid"]: r["n"] for r in one.select("qid", F.size("results").alias("n")).collect()}
     assert sizes == {r["qid"]: r["total_results"] for r in env.collect()}
+
+
+def test_store_shows_whole_writes_only(spark):
+    """An upsert rewrites the buckets it touches; a write that dies before its commit is not seen."""
+    from lectio.sources.manifest import BucketStore
+    store = BucketStore(spark, scratch_path(spark, "bucket-store"), "id long, x int", buckets=8)
+    assert store.read().count() == 0
+    store.append(spark.range(100).select("id", F.lit(0).alias("x")))
+    before = dict.fromkeys(range(100), 0)
+    assert {r.id: r.x for r in store.read().collect()} == before
+    batch = spark.createDataFrame([(3, 1, 0), (3, 7, 1), (200, 5, 2)], "id long, x int, at int")
+    store.write_data(batch.select("id", "x"))          # killed here: folders without a manifest
+    assert {r.id: r.x for r in store.read().collect()} == before
+    _, old = store._state()
+    store.upsert(batch, arrival="at")
+    _, new = store._state()
+    touched = {r[0] for r in batch.select(store.bucket()).distinct().collect()}
+    assert {p for p in old if p[0] not in touched} == {p for p in new if p[0] not in touched}
+    assert {r.id: r.x for r in store.read().collect()} == before | {3: 7, 200: 5}
+    store.upsert(batch.limit(0).select("id", "x"))
+    store.append(spark.createDataFrame([(300, 1)], "id long, x int"))
+    assert store.read().count() == 102
+
+
+def test_store_of_repeated_appends(spark):
+    from lectio.sources.manifest import BucketStore
+    store = BucketStore(spark, scratch_path(spark, "bucket-store"), V.STORE_SCHEMA, buckets=4)
+    e = T.table(spark, SF_SMALL, "embeddings").select("embedding")
+    for _ in range(2):
+        V.append(store, e)
+    assert store.read().select("id").distinct().count() == 2 * e.count()
+
+
+def test_epoch_that_runs_again_replaces_its_rows(spark):
+    from lectio.sources.manifest import EpochSink
+    sink = EpochSink(spark, scratch_path(spark, "epochs"), "a long, b string")
+    assert sink.read().count() == 0
+    rows = spark.createDataFrame([("x", 1), ("y", 2)], "b string, a long")
+    sink.write(rows, 0)
+    sink.write(rows.filter("a = 1"), 1)
+    sink.write(rows.filter("a = 2"), 0)
+    assert sorted(tuple(r) for r in sink.read().collect()) == [(1, "x"), (2, "y")] and sink.read().columns == ["a", "b"]

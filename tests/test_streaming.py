@@ -22,3 +22,18 @@ def test_search_stream_equals_batch(spark):
     stream = E.queries()["search_stream"](spark, SF_SMALL)
     batch = E.queries()["routed_search"](spark, SF_SMALL)
     assert _rows(stream) == _rows(batch)
+
+
+def test_replayed_epochs_change_nothing(spark, monkeypatch):
+    """Every micro-batch (one file each) is committed twice, as after a failure between the sink
+    and the stream's own checkpoint."""
+    from lectio.sources.manifest import EpochSink
+    write, epochs = EpochSink.write, []
+
+    def twice(self, rows, epoch):
+        write(self, rows, epoch)
+        write(self, rows, epoch)
+        epochs.append(epoch)
+    monkeypatch.setattr(EpochSink, "write", twice)
+    stream = E.queries()["search_stream"](spark, SF_SMALL)
+    assert len(epochs) >= 2 and _rows(stream) == _rows(E.queries()["routed_search"](spark, SF_SMALL))
