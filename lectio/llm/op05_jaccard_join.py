@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectio.llm.components import components, written
 from lectio.llm.words import U64, Tokens, mix, slices
@@ -372,6 +373,14 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = docs.filter("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
+    return _classes(documents).select("doc_id", "n_shingles", "component_id").unionByName(nameless)
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, node (the hash of the set, 0 if it is empty) and comp (the
+    smallest node of its class, null if it is empty) of each row with an id."""
     spark: SparkSession = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -421,28 +430,56 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     member = classes.select(F.col("vertex").alias("node"), F.col("component").alias("comp"))
     placed_docs = found.join(member, "node", "left").select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
     smallest = placed_docs.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    out = placed_docs.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
-    nameless = docs.filter("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(nameless)
+    return placed_docs.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), "node", "comp")
+
+
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``frame`` has them."""
+    taken = {c.lower() for c in frame.columns}
+    return [next(x for x in (name + "_" * i for i in range(99)) if x not in taken) for name in names]
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` less all but the first (smallest doc_id) of each class of near copies. Rows
-    without id stay; of equal rows one stays. Ids that go are broadcast if they are few (their
-    number is checked), else joined."""
-    classes = written(jaccard_classes(documents), "jaccard-classes")
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    twice = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("gone"))
+    """``documents`` less all but one of each class of near copies: a text with the smallest
+    doc_id stays. Rows without id, and texts without words, stay; of equal rows one stays. Where
+    different texts share an id, each is judged by its own class. Ids that go are broadcast if
+    they are few (their number is checked), else joined."""
+    classes = written(_classes(documents), "jaccard-classes")
+    id_ = F.col("doc_id").cast("long")
+    gone_, twice_, node_, text_ = unused(documents, "gone", "twice", "set_hash", "first_text")
+    sets = classes.filter("n_shingles > 0").select("doc_id", "node", "comp").distinct()
+    # A class is named by its smallest set, as one id can be in several; one set of its smallest id stays.
+    kept = sets.groupBy(F.col("comp").alias("of")).agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    gone = sets.join(kept, F.col("comp") == F.col("of")).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("node") != F.col("first.node")))
+    gone = written(gone.select(F.col("doc_id").alias(gone_), F.col("node").alias(node_)), "jaccard-gone")
+    twice = written(classes.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias(twice_)), "jaccard-twice")
 
     def sized(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+        return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+    once = gone.join(sized(twice), F.col(gone_) == F.col(twice_), "left_anti").select(gone_)
+    out = documents.join(sized(once), id_ == F.col(gone_), "left_anti")
+    if twice.isEmpty():
+        return out
+    again = sized(twice)
+    shared = documents.join(again, id_ == F.col(twice_), "left_semi")
+    schema = StructType([*documents.schema.fields, StructField(node_, LongType())])
+    shared = shared.mapInArrow(_with_node(node_), schema)
+    shared = shared.join(gone.withColumnRenamed(node_, node_ + "_of"), (id_ == F.col(gone_)) & (F.col(node_) == F.col(node_ + "_of")), "left_anti")
+    # Equal rows, and texts of one set: the smallest text stays. Texts without words differ by themselves.
+    first = shared.filter(F.col(node_) != 0).groupBy(id_.alias(twice_), F.col(node_).alias(gone_)).agg(F.min("text").alias(text_))
+    full = shared.join(first, (id_ == F.col(twice_)) & (F.col(node_) == F.col(gone_)) & (F.col("text") == F.col(text_))).select(*shared.columns)
+    shared = full.unionByName(shared.filter(F.col(node_) == 0)).dropDuplicates(["doc_id", "text"]).drop(node_)
+    return out.join(again, id_ == F.col(twice_), "left_anti").unionByName(shared)
+
+
+def _with_node(name: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _slices(batches):
+            _, _, node = shingle_sets(piece.column("text").cast(pa.string()))
+            yield pa.record_batch([*piece.columns, pa.array(node.view(np.int64))], [*piece.schema.names, name])
 
-    id_ = F.col("doc_id").cast("long")
-    out = documents.join(sized(gone), id_ == F.col("gone"), "left_anti")
-    if not twice.isEmpty():
-        again = sized(twice)
-        out = out.join(again, id_ == F.col("gone"), "left_anti").unionByName(out.join(again, id_ == F.col("gone"), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    return run
 
 
 def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

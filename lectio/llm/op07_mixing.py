@@ -20,7 +20,9 @@ All randomness is a hash of ids and a seed: reruns agree.
 
 Defined cases: null text: size 0; null source: a source of its own, after all others; sources of
 size 0: target 0, nothing taken; equal rows each keep their row and are drawn alike; null ids hash as any
-value; an empty table gives no rows; columns of the input keep their values."""
+value; an empty table gives no rows; columns of the input keep their values, but for those that
+``mixed`` makes itself (size, source_size, target, taken, shards), which replace input columns of
+their names."""
 
 from __future__ import annotations
 
@@ -188,12 +190,13 @@ def mixed(documents: DataFrame, source: str = "source", text: str = "text", key:
     """``documents`` and size, source_size, target, taken and shards; a document that the mix
     leaves out has taken 0 and no shards. Columns of these names are replaced."""
     made = ["size", "source_size", "target", "taken", "shards"]
+    of = next(p for p in ("of_" + "_" * i for i in range(99)) if not any(c.lower().startswith(p) for c in documents.columns))
     plan = mix_sources(documents, source, text, key)
-    plan = plan.select(F.col(key).alias("of_key"), F.col(source).alias("of_source"), *(F.col(c).alias("of_" + c) for c in made)).dropDuplicates(["of_key", "of_source", "of_size"])
+    plan = plan.select(F.col(key).alias(of + "key"), F.col(source).alias(of + "source"), *(F.col(c).alias(of + c) for c in made)).dropDuplicates([of + "key", of + "source", of + "size"])
     size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    same = F.col(key).eqNullSafe(F.col("of_key")) & F.col(source).cast("string").eqNullSafe(F.col("of_source")) & (size == F.col("of_size"))
+    same = F.col(key).eqNullSafe(F.col(of + "key")) & F.col(source).cast("string").eqNullSafe(F.col(of + "source")) & (size == F.col(of + "size"))
     kept = [c for c in documents.columns if c not in made]
-    return documents.join(plan, same).select(*kept, *(F.col("of_" + c).alias(c) for c in made))
+    return documents.join(plan, same).select(*kept, *(F.col(of + c).alias(c) for c in made))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

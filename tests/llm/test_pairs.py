@@ -91,6 +91,18 @@ def test_pigeonhole_signatures():
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (len(a), len(b), both)
 
 
+def test_one_of_each_judges_texts_that_share_an_id(spark, documents):
+    a, b, near = "a b c d e f g h", "q w e r t y u i", " ".join(f"w{i}" for i in range(60))
+    rows = [(5, a), (5, b), (2, b), (5, b), (7, near), (7, near + " x"), (7, near + " x"), (9, near + " x"), (4, None), (4, ""), (4, None), (None, a), (None, a), (3, a.upper()), (3, a.upper() + " ")]
+    docs = documents([t for _, t in rows], ids=[i for i, _ in rows]).selectExpr("*", "1 as gone", "2 as twice", "'y' as set_hash", "3 as first_text", "4 as of")
+    out = op05_jaccard_join.one_of_each(docs)
+    got = sorted(((r.doc_id or -1), r.text or "") for r in out.collect())
+    assert out.columns == docs.columns
+    # b stays with id 2, a with id 3 (its smaller text), of the near texts one of id 7, all without words or id
+    assert got[:2] == [(-1, a)] * 2 and got[2:7] == [(2, b), (3, a.upper()), (4, ""), (4, ""), got[6]]
+    assert got[6] in [(7, near), (7, near + " x")] and len(got) == 7
+
+
 def test_one_of_each(spark, documents):
     texts = ["a b c d e f g"] * 3 + [None, None, "q w e r t y u", "  "]
     out = op05_jaccard_join.one_of_each(documents(texts, ids=[5, 2, 2, 7, None, 9, 1]))

@@ -126,6 +126,12 @@ def test_short_items_and_scripts_without_spaces_leak(spark, documents):
     assert {x.doc_id for x in op04_decontamination.without_leaks(documents(texts), bench).collect()} == {1, 3, 5, 7, 8, 9}
 
 
+def test_signs_beyond_ascii_separate_words(spark, documents):
+    bench = spark.createDataFrame([(0, "Who wrote Hamlet? Shakespeare.")], "item_id long, text string")
+    texts = ["x \u201cWho wrote Hamlet? Shakespeare.\u201d y", "who\u00a0wrote\u2014Hamlet\u2026Shakespeare\u2019", "whowrote hamlet shakespeare", "\u00abwho wrote\u00bb hamlet\u2003shakespeare\u20ac"]
+    assert {x.doc_id for x in op04_decontamination.find_leaks(documents(texts), bench).collect()} == {0, 1, 3}
+
+
 def test_wand_retrieves_all_above_threshold():
     r = random.Random(8)
     words = [f"w{i}" for i in range(120)]
@@ -219,3 +225,51 @@ def test_pipeline(spark, documents):
     ids = [r.doc_id for r in rows.select("doc_id").collect()]
     assert len(set(ids)) == len(ids) and 100 < len(ids) < docs.count()
     assert {n for n, _ in corpus_pipeline.STAGES} == {"quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "mixing sources to target weights"}
+
+
+def test_pipeline_over_awkward_rows(spark, documents, tmp_path):
+    """Null, empty and repeated rows, ids of several texts and clashing columns, stage by stage."""
+    import re
+
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    real = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{source}/documents.parquet").collect()]
+    rows = real + [(10_000, None, "src1"), (10_001, "", None), (10_001, "", None), (None, real[3][1], "src2"), (10_002, "password = 'abcdefgh12345678XYZ' and more words here", "src1")]
+    rows += [real[3], (real[3][0], real[4][1] + " other", "src9"), (10_003, real[3][1], "src1"), (10_004, "word " * 30_000, "src0")]
+    docs = documents([t for _, t, _ in rows], sources=[s for *_, s in rows], ids=[i for i, *_ in rows])
+    docs = docs.selectExpr("*", "'x' as gone", "'x' as of_key", "'x' as shards", "'x' as gumbel", "'x' as log_weight", "'x' as n_grams", "'x' as set_hash")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{source}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+    kept, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, kept, str(tmp_path)), "awkward")
+        before, after = [(r.doc_id, r.text) for r in kept.collect()], [(r.doc_id, r.text) for r in out.collect()]
+        if name.startswith("n-gram"):
+            sets = {}
+            for i, t in before:
+                w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+                sets[i, t] = frozenset(tuple(w[k: k + 5]) for k in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+            near = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+            named = sorted({r for r in before if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+            root = {r: r for r in named}
+            for k, x in enumerate(named):     # the classes, each named by its smallest id
+                for y in named[:k]:
+                    if near(sets[x], sets[y]) and root[x] != root[y]:
+                        low, high = sorted((root[x], root[y]), key=lambda r: r[0])
+                        root = {r: low if top == high else top for r, top in root.items()}
+            stay = [r for r in after if r[0] is not None]
+            assert all(r[0] == root[r][0] for r in stay) and {root[r] for r in stay if sets[r]} == {root[r] for r in named if sets[r]}
+            assert sum(bool(sets[r]) for r in stay) == len({root[r] for r in named if sets[r]})
+            assert {r for r in stay if not sets[r]} == {r for r in named if not sets[r]}
+        elif name.startswith("secret"):
+            assert len(after) == len(before) and not any("abcdefgh12345678XYZ" in (t or "") for _, t in after)
+        elif name.startswith("mixing"):
+            assert sorted(map(str, after)) == sorted(map(str, before))
+            assert all(0 <= r.taken <= 3 * r.size and len(r.shards) * r.size == r.taken for r in out.collect() if r.size)
+        else:
+            assert set(after) <= set(before)
+        assert out.columns[: len(kept.columns)] == kept.columns or name.startswith("mixing")
+        seen[name], kept = len(after), out
+    assert seen["mixing sources to target weights"] > 50
