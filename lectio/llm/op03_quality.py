@@ -125,6 +125,13 @@ class Model:
         self.share = {k: documents[k] / total for k in (0, *self.kinds)}
         self.ratio = {k: np.concatenate([_ratio(counts[0][f], counts[k][f], _told(holders[0][f], holders[k][f], documents[0], documents[k])) for f in FAMILIES]).astype(np.float32) for k in self.kinds}
 
+    @classmethod
+    def of(cls, parts: dict) -> Model:
+        """From the plain parts that are broadcast: a worker unpickles no class of this package."""
+        model = cls.__new__(cls)
+        model.__dict__.update(parts)
+        return model
+
     def log_weight(self, buckets: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """log p(text | target) - log p(text | raw) of n texts."""
         if not self.kinds:
@@ -176,7 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, log_weight: str) -> DataFrame:
     """``rows`` and two columns, made inside the scan."""
-    held = rows.sparkSession.sparkContext.broadcast(model)  # fixed size: two float arrays of SIZE
+    held = rows.sparkSession.sparkContext.broadcast(model.__dict__)  # fixed size: two float arrays of SIZE
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +191,7 @@ def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, log_weight: st
                 n = piece.num_rows
                 buckets, of = features(piece.column(text))
                 count = np.bincount(of, minlength=n)
-                weight = np.where(count > 0, held.value.log_weight(buckets, of, n), -np.inf)
+                weight = np.where(count > 0, Model.of(held.value).log_weight(buckets, of, n), -np.inf)
                 yield pa.record_batch([*piece.columns, pa.array(count.astype(np.int64)), pa.array(weight)], [*piece.schema.names, n_grams, log_weight])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(n_grams, T.LongType()), T.StructField(log_weight, T.DoubleType())])

@@ -47,6 +47,8 @@ CELLS = 1 << 20
 #: Words as in the index: signs between words don't count.
 _WORD_ONLY = np.where(WORD_SIGN_CLASS == 1, 1, 0).astype(np.uint8)
 
+#: Signs and spaces beyond ASCII: Latin-1 signs, general punctuation, currency, arrows to dingbats.
+_SIGNS = r"[\x{A0}-\x{A9}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}\x{BF}\x{D7}\x{F7}\x{1680}\x{2000}-\x{206F}\x{20A0}-\x{20CF}\x{2190}-\x{27BF}\x{2E00}-\x{2E5D}\x{FEFF}]"
 #: Characters of scripts that write no spaces between words (with the marks that may follow), and their signs.
 _UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]\p{M}*"
 _WIDE_SIGNS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
@@ -57,9 +59,9 @@ def words_of(texts: pa.Array) -> Tokens:
     without spaces are words of their own."""
     low = pc.utf8_lower(texts.cast(pa.large_string()))
     # Texts without such a character, which are most, are not rewritten.
-    held = pc.fill_null(pc.match_substring_regex(low, f"{_UNSPACED}|{_WIDE_SIGNS}"), False)
+    held = pc.fill_null(pc.match_substring_regex(low, f"{_UNSPACED}|{_WIDE_SIGNS}|{_SIGNS}"), False)
     if pc.any(held).as_py():
-        split = pc.replace_substring_regex(pc.replace_substring_regex(low, _WIDE_SIGNS, " "), f"({_UNSPACED})", r" \1 ")
+        split = pc.replace_substring_regex(pc.replace_substring_regex(low, f"{_WIDE_SIGNS}|{_SIGNS}", " "), f"({_UNSPACED})", r" \1 ")
         low = pc.if_else(held, split, low)
     return Tokens(low, _WORD_ONLY)
 
@@ -132,6 +134,13 @@ class Index:
         self.short = {i: tokens.hash[a:c] for i, (a, _, c) in enumerate(cuts) if c - a < LEAST_WORDS}
         self.grams = [[grams(tokens.hash[a:b]) for a, b, _ in cuts], [grams(tokens.hash[b:c]) for _, b, c in cuts]]
 
+    @classmethod
+    def of(cls, parts: dict) -> Index:
+        """From the plain parts that are broadcast: a worker unpickles no class of this package."""
+        index = cls.__new__(cls)
+        index.__dict__.update(parts)
+        return index
+
     def retrieve(self, window: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, share of the threshold) at or above 1 for windows 0..n-1, given their
         distinct terms, ordered by window."""
@@ -195,7 +204,8 @@ class Index:
 def shards(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Index]:
     """Indexes over the items, in shards of at most ``SHARD_WORDS`` words (a longer item alone)."""
     rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    rows = rows.withColumn("words", F.size(F.split("text", " "))).orderBy(F.col("id").asc_nulls_first(), "text")
+    # Characters bound the words of any script.
+    rows = rows.withColumn("words", F.char_length("text") / 2 + 1).orderBy(F.col("id").asc_nulls_first(), "text")
     ids: list = []
     texts: list[str] = []
     size = 0
@@ -219,10 +229,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", k
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], LEAKS)
     for index in shards(benchmark):
-        held = spark.sparkContext.broadcast(index)
+        held = spark.sparkContext.broadcast(index.__dict__)
 
         def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            index = Index.of(held.value)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             for batch in batches:
                 for piece in slices(batch, "text", SLICE_BYTES):
@@ -242,12 +252,13 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     spark: SparkSession = documents.sparkSession
     out = documents
     for index in shards(benchmark):
-        held = spark.sparkContext.broadcast(index)
+        held = spark.sparkContext.broadcast(index.__dict__)
 
         def clean(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index.of(held.value)
             for batch in batches:
                 for piece in slices(batch, text, SLICE_BYTES):
-                    leaked = {t for t, *_ in held.value.search(piece.column(text).cast(pa.string()))}
+                    leaked = {t for t, *_ in index.search(piece.column(text).cast(pa.string()))}
                     yield piece.filter(pa.array([i not in leaked for i in range(piece.num_rows)], pa.bool_())) if leaked else piece
 
         out = out.mapInArrow(clean, out.schema)
