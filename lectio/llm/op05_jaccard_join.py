@@ -47,7 +47,10 @@ PERCENT = 80
 SLICE_BYTES, SLICE_DOCS = 2 << 20, 2000
 #: Signatures a block task sorts at once, and members a tile of step 3 holds.
 BLOCK_SIGNATURES, TILE = 1 << 20, 1024
-SKETCH_BITS = 1024
+#: Bits of the smallest and the largest sketch; between them a set has as many bits as shingles, or up to twice.
+SKETCH_LEAST, SKETCH_MOST = 1024, 1 << 17
+#: Pairs of one node that are verified together.
+STAR = 256
 #: Hash cells of document ids: the most rows that step 1's broadcast can have.
 CELLS = 1 << 18
 #: Ids that may be broadcast: 16 MB in memory.
@@ -179,15 +182,41 @@ def signatures(shingles: np.ndarray, first: np.ndarray, rows: np.ndarray, band:
     return np.concatenate(out), rows[np.concatenate(owner)]
 
 
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """The bits of a set's sketch: a power of two, so that a wider one folds to a narrower."""
+    exponent = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    return np.clip(np.left_shift(np.int64(1), exponent), SKETCH_LEAST, SKETCH_MOST)
+
+
 def sketches(shingles: np.ndarray, first: np.ndarray) -> list[bytes]:
     """Parity bits: those of two sets differ in no more places than the sets do."""
     out = []
-    for a, b in zip(first[:-1], first[1:]):
-        parity = np.bincount((shingles[a:b] % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    for a, b, bits in zip(first[:-1], first[1:], sketch_bits(np.diff(first)).tolist()):
+        parity = np.bincount((shingles[a:b] % U64(bits)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(parity.astype(np.uint8)).tobytes())
     return out
 
 
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would have been drawn at a narrower width."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many places the sketches of each pair differ, at the narrower one's width."""
+    out = np.zeros(len(x), np.int64)
+    widths = np.array([(len(a), len(b)) for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    for wide in np.unique(widths, axis=0).tolist():
+        rows = np.flatnonzero((widths == wide).all(axis=1))
+        a, b = (np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(len(rows), -1) for side in (x, y))
+        words = min(a.shape[1], b.shape[1])
+        out[rows] = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(1)
+    return out
+
+
 # ---- Spark --------------------------------------------------------------------------------
 BLOCKS = "part long, kind int, one binary, two binary, three binary, four binary"
 MEMBERS = "kind int, one long, two long, three long, sketch binary"
@@ -212,8 +241,8 @@ def _signature_blocks(limits: list[tuple[int, int]], plans: list[tuple[int, int,
             ids = piece.column("doc_id")
             known = np.array(ids.is_valid())
             doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            drawn = np.frombuffer(b"".join(sketches(shingles, first)), np.uint8).reshape(-1, SKETCH_BITS // 8)
-            rows: list[tuple] = [(spread % parts, 0, doc[known].tobytes(), size[known].astype(np.int64).tobytes(), node[known].tobytes(), drawn[known].tobytes())]
+            drawn = b"".join(sketch for sketch, there in zip(sketches(shingles, first), known) if there)
+            rows: list[tuple] = [(spread % parts, 0, doc[known].tobytes(), size[known].astype(np.int64).tobytes(), node[known].tobytes(), drawn)]
             some = np.flatnonzero((size > 0) & known)
             some = some[np.unique(node[some], return_index=True)[1]]
             band = np.searchsorted(lows, size[some], side="right") - 1
@@ -254,10 +283,11 @@ def _unpack_signatures(data: bytes) -> np.ndarray:
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document rows (kind 0: id, size, node) and bucket rows (kind 1: signature, member, leader)."""
     def out(kind: int, *columns: np.ndarray, drawn: bytes = b"") -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate([[0], np.cumsum(sketch_bits(columns[1].view(np.int64)) // 8)]).tolist() if drawn else []
         for at in range(0, len(columns[0]), 1 << 16):
             cut = [np.ascontiguousarray(c[at: at + (1 << 16)]).view(np.int64) for c in columns]
-            n, width = len(cut[0]), SKETCH_BITS // 8
-            last = [drawn[(at + k) * width: (at + k + 1) * width] for k in range(n)] if drawn else [None] * n
+            n = len(cut[0])
+            last = [drawn[ends[at + k]: ends[at + k + 1]] for k in range(n)] if drawn else [None] * n
             yield pa.record_batch([pa.array(np.full(n, kind, np.int32)), *map(pa.array, cut), pa.array(last, pa.binary())], ["kind", "one", "two", "three", "sketch"])
 
     signature, node = [], []
@@ -291,36 +321,53 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(1, sig[several], who[several], np.repeat(who[start], held)[several])
 
 
-SETS = "node long, size long, shingles binary"
+SETS = "cell long, salt int, own int, node long, shingles binary"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node's set for every cell that it is compared in."""
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])], ["cell", "salt", "own", "node", "shingles"])
+
     for piece in _slices(batches):
         shingles, first, node = shingle_sets(piece.column("text"))
-        right = np.flatnonzero(node.view(np.int64) == piece.column("node").to_numpy(zero_copy_only=False))
-        for at in range(0, len(right), 256):
-            rows = [(int(node[i].view(np.int64)), int(first[i + 1] - first[i]), shingles[first[i]: first[i + 1]].tobytes()) for i in right[at: at + 256]]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary()])], ["node", "size", "shingles"])
+        rows, held = [], 0
+        for i in np.flatnonzero(node.view(np.int64) == piece.column("node").to_numpy(zero_copy_only=False)).tolist():
+            data = shingles[first[i]: first[i + 1]].tobytes()
+            for c in piece.column("cells")[i].as_py():
+                rows.append((c["cell"], c["salt"], c["own"], int(node[i].view(np.int64)), data))
+                held += len(data) + 64
+                if held > SLICE_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
 
 
 def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sketches allow a link."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
             total = batch.column("total").to_numpy()
-            keep = np.bitwise_count(x ^ y).sum(1) <= total * (100 - PERCENT) // (100 + PERCENT)
+            keep = apart(batch.column("x").to_pylist(), batch.column("y").to_pylist()) <= total * (100 - PERCENT) // (100 + PERCENT)
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a cell come together, its own set first; the others are compared with it."""
+    hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for cell, first, node, data in zip(*(batch.column(c) for c in ("cell", "own", "node", "shingles"))):
+            mine = np.frombuffer(data.as_buffer(), np.uint64)
+            if first.as_py():
+                hub, own = cell.as_py(), mine.copy()
+            elif cell.as_py() == hub:
+                both = len(np.intersect1d(own, mine, assume_unique=True))
+                if 100 * both >= PERCENT * (len(own) + len(mine) - both):
+                    a.append(min(hub, node.as_py()))
+                    b.append(max(hub, node.as_py()))
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -333,18 +380,26 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity, by exact intersection. The sets
-    are made again from one text of each node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = written(nodes.select("node", "doc_id").join(wanted, "node"), "jaccard-chosen")
+    """The pairs (a, b) of nodes whose sets reach the similarity, by exact intersection. Each pair is
+    decided in the cell of its end with more pairs, where that end's set is kept while the others
+    pass by, so each set is made once and sent once for each of its pairs. A cell of many pairs is
+    cut into parts of ``STAR``, each with a copy of its own set."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    side = lambda c: ends.select(F.col("node").alias(c), F.col("degree").alias("degree_" + c))
+    major = F.col("degree_a") >= F.col("degree_b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select(F.when(major, F.col("a")).otherwise(F.col("b")).alias("cell"), F.when(major, F.col("b")).otherwise(F.col("a")).alias("node"))
+    met = written(met, "jaccard-cells")
+    held = met.groupBy("cell").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    others = met.join(held, "cell").select("node", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(0).alias("own"))
+    own = held.select(F.col("cell").alias("node"), "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(1).alias("own"))
+    cells = others.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("cell", "salt", "own")).alias("cells"))
+    chosen = written(nodes.select("node", "doc_id").join(cells, "node"), "jaccard-chosen")
     # Texts that cannot be wanted leave before the shuffle: a broadcast of hash cells, of which
     # there are at most CELLS, then the exact join.
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
-    near = docs.join(F.broadcast(chosen.select(cell.alias("cell")).distinct()), cell == F.col("cell"), "left_semi")
-    sets = written(near.join(chosen, "doc_id").select("text", "node").mapInArrow(_sets, SETS).dropDuplicates(["node"]), "jaccard-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    near = docs.join(F.broadcast(chosen.select(cell.alias("of")).distinct()), cell == F.col("of"), "left_semi")
+    sets = near.join(chosen, "doc_id").select("text", "node", "cells").mapInArrow(_sets, SETS)
+    return sets.repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("own"), "node").mapInArrow(_verified, "a long, b long")
 
 
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,17 +408,18 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             nodes, comps, sizes, drawn, mine = (batch.column(c)[i].values for c in ("nodes", "comps", "sizes", "drawn", "mine"))
             nodes, comps, sizes, mine = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (nodes, comps, sizes, mine))
-            bits = np.frombuffer(b"".join(drawn.to_pylist()), np.uint64).reshape(len(nodes), -1)
+            drawn = drawn.to_pylist()
             a, b = [], []
             for j in range(len(nodes)):
                 if mine[j] == 2:  # of the tile's second side only
                     continue
                 other = (comps != comps[j]) & ((nodes > nodes[j]) | (mine == 2))
+                low, high = np.minimum(sizes, sizes[j]), np.maximum(sizes, sizes[j])
+                other &= 100 * low >= PERCENT * high
                 other = np.flatnonzero(other & (mine != 1) if mine[j] == 1 else other)
                 if len(other):
-                    apart = np.bitwise_count(bits[other] ^ bits[j]).sum(1)
-                    low, high = np.minimum(sizes[other], sizes[j]), np.maximum(sizes[other], sizes[j])
-                    hit = other[(apart <= (low + high) * (100 - PERCENT) // (100 + PERCENT)) & (100 * low >= PERCENT * high)]
+                    off = apart([drawn[k] for k in other], [drawn[j]] * len(other))
+                    hit = other[off <= (low + high)[other] * (100 - PERCENT) // (100 + PERCENT)]
                     a += [nodes[j]] * len(hit)
                     b += nodes[hit].tolist()
             if a:

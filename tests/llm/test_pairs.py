@@ -91,6 +91,18 @@ def test_pigeonhole_signatures():
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (len(a), len(b), both)
 
 
+def test_sketches_never_overestimate():
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 200, 256, 257, 600, 3000):
+        whole = rng.integers(0, 1 << 53, 2 * size, dtype=np.int64).astype(np.uint64)
+        a = np.unique(whole[:size])
+        for cut in (0, size // 9, size // 2, size):
+            b = np.unique(np.concatenate([a[cut:], whole[size: size + cut // 2 + 1]]))
+            drawn = op05_jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            off = int(op05_jaccard_join.apart(drawn[:1], drawn[1:])[0])
+            assert off <= len(np.setxor1d(a, b)) and (cut < size or size < 200 or off > (len(a) + len(b)) / 9)
+
+
 def test_one_of_each_judges_texts_that_share_an_id(spark, documents):
     a, b, near = "a b c d e f g h", "q w e r t y u i", " ".join(f"w{i}" for i in range(60))
     rows = [(5, a), (5, b), (2, b), (5, b), (7, near), (7, near + " x"), (7, near + " x"), (9, near + " x"), (4, None), (4, ""), (4, None), (None, a), (None, a), (3, a.upper()), (3, a.upper() + " ")]
