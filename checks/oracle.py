@@ -715,6 +715,12 @@ ORACLE.update(corpus_oracles())
 ORACLE.update(querylog_oracles())
 ORACLE.update(vector_oracles())
 ORACLE["conversation_search"] = conversation_search_sql()
+ORACLE["text_key_map"] = f"""WITH {VERSES},
+{P1_TEXTS},
+loaded AS (
+  SELECT t.text, v.key, v.ord FROM p1_texts t JOIN verses_x v ON v.ord = t.doc_id
+  UNION ALL SELECT t.text, v.key || '#2', v.ord + 1000000 FROM p1_texts t JOIN verses_x v ON v.ord = t.doc_id WHERE v.ord % 5 = 0)
+SELECT sha256(text) AS digest, key, ord FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord DESC) AS rn FROM loaded) WHERE rn = 1"""
 ORACLE["search_stream"] = ORACLE["routed_search"]
 ORACLE["index_bootstrap"] = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_hash_dense('texts', 'doc_id', 'text', 'hv')}

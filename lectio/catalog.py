@@ -88,6 +88,13 @@ def dedup_last(spark, sf_dir):
     return R.dedup_last(v.unionByName(dup)).select("key", "ord", "version")
 
 
+def text_key_map(spark, sf_dir):
+    """U3 by embedding text, with every fifth passage loaded again under another key."""
+    v = _v(spark, sf_dir)
+    again = v.filter(F.col("ord") % 5 == 0).withColumn("ord", F.col("ord") + 1_000_000).withColumn("key", F.concat("key", F.lit("#2")))
+    return R.text_key_map(v.unionByName(again))
+
+
 def corpus_stats(spark, sf_dir):
     return R.corpus_stats(_v(spark, sf_dir))
 
@@ -378,6 +385,7 @@ QUERIES.update({
     "corpus_flatten": corpus_flatten,
     "corpus_union": corpus_union,
     "dedup_last": dedup_last,
+    "text_key_map": text_key_map,
     "corpus_stats": corpus_stats,
     "load_counts": load_counts,
     "embedding_text": embedding_text,

@@ -162,3 +162,12 @@ def with_score_band(results: DataFrame) -> DataFrame:
     d = displayed_score()
     return results.select("qid", "rank", F.round(d, 6).alias("shown_score"), score_band(d).alias("band"),
                           score_percent(d).alias("percent"))
+
+
+def text_key_map(passages: DataFrame) -> DataFrame:
+    """U3, text form: ``(digest, key, ord)``, the passage that a stored segment's embedding text
+    resolves to; of equal texts the last one loaded wins. Texts are named by their SHA-256, so none
+    is shuffled, and the grouped ``max_by`` is combined map-side."""
+    rows = passage_texts(passages).select(F.sha2("embedding_text", 256).alias("digest"), "key", "ord")
+    last = rows.groupBy("digest").agg(F.max_by(F.struct("key", "ord"), "ord").alias("last"))
+    return last.select("digest", "last.key", "last.ord")
