@@ -409,6 +409,13 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, comps, sizes, drawn, mine = (batch.column(c)[i].values for c in ("nodes", "comps", "sizes", "drawn", "mine"))
             nodes, comps, sizes, mine = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (nodes, comps, sizes, mine))
             drawn = drawn.to_pylist()
+            words = np.array([len(d) // 8 for d in drawn], np.int64)
+            place = np.zeros(len(drawn), np.int64)  # of each member among those of its width
+            tables = {}
+            for w in np.unique(words).tolist():
+                rows = np.flatnonzero(words == w)
+                place[rows] = np.arange(len(rows))
+                tables[w] = np.frombuffer(b"".join(drawn[k] for k in rows), np.uint64).reshape(len(rows), w)
             a, b = [], []
             for j in range(len(nodes)):
                 if mine[j] == 2:  # of the tile's second side only
@@ -418,7 +425,10 @@ def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other &= 100 * low >= PERCENT * high
                 other = np.flatnonzero(other & (mine != 1) if mine[j] == 1 else other)
                 if len(other):
-                    off = apart([drawn[k] for k in other], [drawn[j]] * len(other))
+                    off, mine_j = np.zeros(len(other), np.int64), tables[int(words[j])][place[j]]
+                    for w in np.unique(words[other]).tolist():
+                        those, least = words[other] == w, min(w, int(words[j]))
+                        off[those] = np.bitwise_count(folded(tables[w][place[other[those]]], least) ^ folded(mine_j, least)).sum(1)
                     hit = other[off <= (low + high)[other] * (100 - PERCENT) // (100 + PERCENT)]
                     a += [nodes[j]] * len(hit)
                     b += nodes[hit].tolist()
