@@ -90,8 +90,13 @@ QUERIES = """queries AS (
     WHEN 13 THEN concat('src3에서 ', w1, ' ', w2)
     WHEN 14 THEN concat('from src4 on ', text)
     ELSE '  ' END AS query
-  FROM (SELECT item_id, text, split_part(text,' ',1) AS w1, split_part(text,' ',2) AS w2, split_part(text,' ',3) AS w3
-        FROM benchmark) b)"""
+  FROM (SELECT item_id, text, list_max(list_transform(ws, lambda w: {'n': length(w), 'w': w})).w AS w1, list_min(ws) AS w2, list_max(ws) AS w3
+        FROM (SELECT item_id, text, string_split(text, ' ') AS ws FROM benchmark)) b)"""
+
+#: Request fields of the benchmark's queries and of a log without any: k, min_score, version filter.
+REQUEST = ("CAST(CASE WHEN qid % 5 = 2 THEN 3 ELSE 5 END AS INT) AS k, CAST(CASE WHEN qid % 11 = 4 THEN 0.15 ELSE 0.3 END AS DOUBLE) AS min_score, "
+           "CASE qid % 7 WHEN 3 THEN 'english' WHEN 5 THEN 'fr' WHEN 6 THEN 'Latin' END AS vfilter")
+NO_REQUEST = "5 AS k, 0.3 AS min_score, CAST(NULL AS VARCHAR) AS vfilter"
 
 PROTOS = """protos AS (
   SELECT CASE WHEN vec_id % 10 = 0 THEN 'intent' ELSE 'scope' END AS "set",
@@ -126,7 +131,7 @@ def extract_keyword(t: str) -> str:
     return "coalesce(" + ", ".join(tries + [fb]) + ")"
 
 
-def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None, sv_cte: str | None = None) -> str:
+def context_ctes(queries_cte: str | None = None, qv_cte: str | None = None, sv_cte: str | None = None, request: str = REQUEST) -> str:
     """CTEs up to ``ctx``: one row per valid query with scope, intent and keyword.
     ``queries_cte`` / ``qv_cte`` replace the benchmark query log and its vectors, ``sv_cte`` the
     vectors of the cleaned queries (else the query's own stands in)."""
@@ -201,7 +206,7 @@ ctx0 AS (
   FROM sc3),
 ctx AS (
   SELECT *, CASE WHEN NOT {not_blank('extracted_keyword')} THEN search_query ELSE extracted_keyword END AS search_keyword,
-    5 AS k, 0.3 AS min_score
+    {request}
   FROM ctx0)"""
 
 
@@ -252,6 +257,9 @@ resolved AS (
 
 SCOPE_OK = ("(CASE c.scope_type WHEN 'NONE' THEN true WHEN 'TESTAMENT' THEN coalesce(c.scope_testament = v.testament, false) "
             "ELSE coalesce(list_contains(list_transform(c.scope_books, lambda x: lower(x)), lower(v.book_short)), false) END)")
+ALIASES = "CASE {} WHEN 'EN' THEN ['en', 'english', 'eng'] WHEN 'FR' THEN ['fr', 'french'] WHEN 'DE' THEN ['de'] WHEN 'ES' THEN ['es'] ELSE [] END"
+VERSION_OK = (f"(c.vfilter IS NULL OR lower(c.vfilter) = lower(v.version) OR list_contains({ALIASES.format('upper(c.vfilter)')}, lower(v.version)) "
+              f"OR list_contains({ALIASES.format('v.version')}, lower(c.vfilter)))")
 RESULT_COLS = ("qid, CAST(rank AS INT) AS rank, key, reference, book_name, book_short, chapter, verse, title, text, "
                "version, round(score, 6) AS score, round(reranked_score, 6) AS reranked_score")
 
@@ -275,7 +283,7 @@ sem AS (
   SELECT t.qid, t.ord, t.score, t.cand_rank, v.key, v.reference, v.book_name, v.book_short, v.chapter, v.verse,
     v.title, v.text, v.version, c.k, c.min_score, {rerank('t.score', 'v.text', 'c.search_query')} AS reranked_score
   FROM cand t JOIN verses_x v ON v.ord = t.ord JOIN ctx c ON c.qid = t.qid
-  WHERE {SCOPE_OK} {excl})"""
+  WHERE {SCOPE_OK} AND {VERSION_OK} {excl})"""
 
 
 def keyword_ctes(ctx_filter: str = "true") -> str:
@@ -285,15 +293,15 @@ def keyword_ctes(ctx_filter: str = "true") -> str:
       1.0::DOUBLE AS score, 1.0::DOUBLE AS reranked_score, c.k,
       row_number() OVER (PARTITION BY c.qid ORDER BY v.ord) AS rank
     FROM ctx c JOIN verses_x v ON v.text IS NOT NULL AND contains(v.text, c.search_keyword)
-    WHERE ({ctx_filter}) AND {SCOPE_OK}) WHERE rank <= k)"""
+    WHERE ({ctx_filter}) AND {SCOPE_OK} AND {VERSION_OK}) WHERE rank <= k)"""
 
 
 def semantic_prefilter_sql() -> str:
-    """Filters (scope; version rule trivially true for null filters) before the cut."""
+    """Scope and version filters before the cut."""
     return f"""WITH {context_ctes()},
 pc0 AS (
   SELECT c.qid, v.ord, {cos('c.svec', 'e.embedding')} AS score
-  FROM ctx c, embeddings e JOIN verses v ON v.ord = e.vec_id WHERE {SCOPE_OK}),
+  FROM ctx c, embeddings e JOIN verses v ON v.ord = e.vec_id WHERE {SCOPE_OK} AND {VERSION_OK}),
 pcand AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ord) AS cand_rank
                  FROM pc0 WHERE score >= 0.1) WHERE cand_rank <= 50),
@@ -696,7 +704,7 @@ def conversation_search_sql() -> str:
 qv AS (SELECT q.qid, q.query, h.embedding AS qvec FROM queries q LEFT JOIN qhv h ON h.vec_id = q.qid)"""
     sv = f"""{_hash_dense('sc2', 'qid', 'search_query', 'shv')},
 sv AS (SELECT s.qid, h.embedding AS svec FROM sc2 s LEFT JOIN shv h ON h.vec_id = s.qid)"""
-    ctx = context_ctes(CONV_QUERIES, qv, sv)
+    ctx = context_ctes(CONV_QUERIES, qv, sv, NO_REQUEST)
     return f"""WITH {ctx},
 {P1_TEXTS},
 {_hash_dense('p1_texts', 'doc_id', 'text', 'hvec')},
@@ -726,3 +734,45 @@ ORACLE["index_bootstrap"] = f"""WITH texts AS (SELECT doc_id, coalesce(text, '')
 {_hash_dense('texts', 'doc_id', 'text', 'hv')}
 SELECT r.run, r.source, d.doc_id, 64 AS dim, CAST(coalesce(len(list_filter(h.embedding, lambda x: x <> 0)), 0) AS INT) AS n_cells
 FROM documents d LEFT JOIN hv h ON h.vec_id = d.doc_id, (VALUES (0, 'generated'), (1, 'store'), (2, 'snapshot')) r(run, source)"""
+ORACLE["corpus_flatten_split"] = ORACLE["corpus_flatten"]
+ORACLE["corpus_strict"] = """WITH c AS (
+  SELECT conv_id, turn, CASE WHEN conv_id = 0 AND turn = 0 THEN 'null' ELSE coalesce(text, 'null') END AS text, conv_id % 5 AS part FROM conversations)
+SELECT CAST(row_number() OVER (ORDER BY part, conv_id, turn) - 1 AS BIGINT) AS ord, CASE WHEN part <> 2 THEN 'CONV' END AS version,
+  'c' || part AS book_short, CAST(CASE WHEN part <> 3 THEN part % 2 + 1 END AS INT) AS testament,
+  CAST(CASE WHEN part <> 4 THEN part + 1 END AS INT) AS book_number, CAST(conv_id AS INT) AS chapter, CAST(turn AS INT) AS verse, text
+FROM c"""
+ORACLE["response_results"] = f"""WITH {context_ctes()},
+{routed_ctes()},
+n AS (SELECT qid, count(*) AS n FROM routed GROUP BY qid),
+books AS (SELECT qid, CASE WHEN scope_type <> 'NONE' THEN unnest(scope_books) END AS book, unnest(range(len(scope_books))) AS pos FROM ctx WHERE scope_type <> 'NONE')
+SELECT q.qid, {not_blank('q.query')} AS success, CAST(coalesce(n.n, 0) AS INT) AS n_results, 'result' AS part, CAST(r.rank - 1 AS INT) AS pos,
+  r.key AS item, r.reranked_score, r.search_method
+FROM queries q LEFT JOIN n USING (qid) LEFT JOIN routed r USING (qid)
+UNION ALL
+SELECT b.qid, true, CAST(coalesce(n.n, 0) AS INT), 'context book', CAST(b.pos AS INT), b.book, NULL, NULL FROM books b LEFT JOIN n USING (qid)"""
+_CHAPTER_REQUESTS = f"""req AS (
+  SELECT DISTINCT book_short AS req_book, chapter AS req_chapter, lower(version) AS req_version FROM verses
+  UNION SELECT DISTINCT book_short, chapter + 1, lower(version) FROM verses
+  UNION SELECT DISTINCT upper(book_short), chapter, NULL FROM verses
+  UNION SELECT DISTINCT 'no ' || book_short, chapter, version FROM verses)"""
+ORACLE["chapter_response"] = f"""WITH {VERSES},
+{_CHAPTER_REQUESTS},
+hits AS (SELECT r.*, v.ord, v.verse, v.version, v.book_short, v.book_name, v.text FROM req r JOIN verses v
+         ON lower(v.book_short) = lower(r.req_book) AND v.chapter = r.req_chapter AND {VOK}),
+info AS (SELECT r.req_book, r.req_chapter, r.req_version, max(v.chapter) AS total FROM req r JOIN verses v
+         ON lower(v.book_short) = lower(r.req_book) AND {VOK} GROUP BY ALL),
+heads AS (SELECT req_book, req_chapter, req_version, arg_min(book_name, (verse, ord)) AS book_name, arg_min(version, (verse, ord)) AS version, count(*) AS n_verses
+          FROM hits GROUP BY ALL)
+SELECT r.req_book, r.req_chapter, r.req_version, h.n_verses IS NOT NULL AS found, CASE WHEN h.n_verses IS NULL THEN 'Not found' END AS error,
+  h.book_name, h.version, CAST(CASE WHEN h.n_verses IS NOT NULL THEN i.total END AS INT) AS total_chapters, coalesce(h.n_verses, 0) AS n_verses,
+  CAST(row_number() OVER (PARTITION BY r.req_book, r.req_chapter, r.req_version ORDER BY x.verse, x.ord) - 1 AS INT) AS position, x.verse, x.ord
+FROM req r LEFT JOIN heads h ON h.req_book = r.req_book AND h.req_chapter = r.req_chapter AND h.req_version IS NOT DISTINCT FROM r.req_version
+  LEFT JOIN info i ON i.req_book = r.req_book AND i.req_chapter = r.req_chapter AND i.req_version IS NOT DISTINCT FROM r.req_version
+  LEFT JOIN hits x ON x.req_book = r.req_book AND x.req_chapter = r.req_chapter AND x.req_version IS NOT DISTINCT FROM r.req_version"""
+ORACLE["book_info_response"] = f"""WITH {VERSES},
+req AS (SELECT DISTINCT book_short AS req_book, lower(version) AS req_version FROM verses
+        UNION SELECT DISTINCT 'no ' || book_short, version FROM verses UNION SELECT DISTINCT book_short, 'Latin' FROM verses),
+{book_info_ctes('req')}
+SELECT r.req_book, r.req_version, b.book_short IS NOT NULL AS found, CASE WHEN b.book_short IS NULL THEN 'Not found' END AS error,
+  b.book_name, b.book_short, b.version, b.total_chapters
+FROM req r LEFT JOIN binfo b ON b.req_book = r.req_book AND b.req_version IS NOT DISTINCT FROM r.req_version"""

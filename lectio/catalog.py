@@ -76,6 +76,23 @@ def corpus_flatten(spark, sf_dir):
         "text", "reference", "key")
 
 
+def corpus_flatten_split(spark, sf_dir):
+    """S1 by byte ranges: the files of ``corpus_flatten``, each parsed by as many tasks as it has ranges."""
+    path = CORPUS.write_conversation_corpus(spark, T.table(spark, sf_dir, "conversations"),
+                                            scratch_path(spark, "corpus-json"))
+    return CORPUS.read_corpus(spark, [path], ["DEF"], split=True).select(
+        "ord", "version", "book_short", "book_name", "testament", "book_number", "chapter", "verse", "title",
+        "text", "reference", "key")
+
+
+def corpus_strict(spark, sf_dir):
+    """The same files without defaults."""
+    path = CORPUS.write_conversation_corpus(spark, T.table(spark, sf_dir, "conversations"),
+                                            scratch_path(spark, "corpus-json"))
+    return CORPUS.read_corpus(spark, [path], ["DEF"], strict=True).select(
+        "ord", "version", "book_short", "testament", "book_number", "chapter", "verse", "text")
+
+
 def corpus_union(spark, sf_dir):
     v = _v(spark, sf_dir)
     parts = [v.filter(F.col("version") == x) for x in ("EN", "FR", "DE", "ES")]
@@ -124,6 +141,27 @@ def read_chapter(spark, sf_dir):
                                           "total_chapters")
 
 
+def chapter_response(spark, sf_dir):
+    """E5 / W4 with not-found rows: each chapter, the one after it, each chapter without a version, and unknown books."""
+    v = _v(spark, sf_dir)
+
+    def ask(book, chapter, version):
+        return v.select(book.alias("req_book"), chapter.cast("int").alias("req_chapter"), version.cast("string").alias("req_version"))
+    book, chapter = F.col("book_short"), F.col("chapter")
+    reqs = (ask(book, chapter, F.lower("version")).unionByName(ask(book, chapter + 1, F.lower("version")))
+            .unionByName(ask(F.upper(book), chapter, F.lit(None))).unionByName(ask(F.concat(F.lit("no "), book), chapter, F.col("version"))))
+    return R.chapter_responses(v, reqs)
+
+
+def book_info_response(spark, sf_dir):
+    """E6 with not-found rows: each book in each version, unknown books and an unknown version."""
+    v = _v(spark, sf_dir)
+    reqs = (v.select(F.col("book_short").alias("req_book"), F.lower("version").alias("req_version"))
+            .unionByName(v.select(F.concat(F.lit("no "), F.col("book_short")).alias("req_book"), F.col("version").alias("req_version")))
+            .unionByName(v.select(F.col("book_short").alias("req_book"), F.lit("Latin").alias("req_version"))))
+    return R.book_info_responses(v, reqs)
+
+
 def chapter_neighbors(spark, sf_dir):
     return R.chapter_neighbors(_v(spark, sf_dir))
 
@@ -294,6 +332,25 @@ def response_envelope(spark, sf_dir):
     return S.response_envelope(inp, ctx=ctx)
 
 
+def response_results(spark, sf_dir):
+    """Nested responses written by the result sink and read back; their results and context
+    books are unfolded, one row each (a query without results has one)."""
+    inp, ctx = fixtures.search_context(spark, sf_dir)
+    hits = S.routed_search(inp, ctx)
+    path = scratch_path(spark, "routed")
+    hits.write.parquet(path)
+    hits = spark.read.schema(hits.schema).parquet(path)
+    nested = S.nested_responses(S.response_envelope(inp, hits, ctx, nested=True), hits)
+    uri = S.write_responses(nested, scratch_path(spark, "responses"), "0", fmt="parquet")
+    back = spark.read.parquet(uri)
+    results = back.select("qid", "success", F.size("results").alias("n_results"), "search_method", F.posexplode_outer("results").alias("pos", "r"))
+    books = back.select("qid", "success", F.size("results").alias("n_results"), F.posexplode("context_books").alias("pos", "item"))
+    return results.select("qid", "success", "n_results", F.lit("result").alias("part"), "pos", F.col("r.key").alias("item"), "r.reranked_score",
+                          F.when(F.col("r").isNotNull(), F.col("search_method")).alias("search_method")).unionByName(
+        books.select("qid", "success", "n_results", F.lit("context book").alias("part"), "pos", "item",
+                     F.lit(None).cast("double").alias("reranked_score"), F.lit(None).cast("string").alias("search_method")))
+
+
 def service_stats(spark, sf_dir):
     """A5: one row of service statistics; every aggregate enters as a scalar subquery."""
     v = _v(spark, sf_dir)
@@ -383,6 +440,8 @@ def build_report(spark, sf_dir):
 
 QUERIES.update({
     "corpus_flatten": corpus_flatten,
+    "corpus_flatten_split": corpus_flatten_split,
+    "corpus_strict": corpus_strict,
     "corpus_union": corpus_union,
     "dedup_last": dedup_last,
     "text_key_map": text_key_map,
@@ -392,6 +451,8 @@ QUERIES.update({
     "verse_key": verse_key,
     "book_info": book_info,
     "read_chapter": read_chapter,
+    "chapter_response": chapter_response,
+    "book_info_response": book_info_response,
     "chapter_neighbors": chapter_neighbors,
     "code_crosswalk": code_crosswalk,
     "parallel_chapter": parallel_chapter,
@@ -417,6 +478,7 @@ QUERIES.update({
     "score_band": score_band,
     "hybrid_anti": hybrid_anti,
     "response_envelope": response_envelope,
+    "response_results": response_results,
     "service_stats": service_stats,
     "vector_scan": vector_scan,
     "vector_upsert": vector_upsert,

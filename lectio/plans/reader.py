@@ -68,13 +68,50 @@ def read_chapter(verses: DataFrame, requests: DataFrame) -> DataFrame:
     to hold a whole chapter."""
     hits = verses.join(requests, chapter_predicate_col())
     info = book_info(verses, requests.select("req_book", "req_version").distinct()) \
-        .select("req_book", "req_version", "total_chapters")
-    return (hits.join(info, ["req_book", "req_version"], "left")
+        .select(F.col("req_book").alias("__book"), F.col("req_version").alias("__version"), "total_chapters")
+    return (hits.join(info, F.col("req_book").eqNullSafe(F.col("__book")) & F.col("req_version").eqNullSafe(F.col("__version")), "left")
             .select("req_book", "req_chapter", "req_version", "ord", "reference", "book_name", "book_short",
                     "chapter", "verse", "title", "text", "version",
                     F.coalesce("total_chapters", F.lit(0)).cast("int").alias("total_chapters")))
 
 
+NOT_FOUND = "Not found"
+
+
+def chapter_responses(verses: DataFrame, requests: DataFrame) -> DataFrame:
+    """E5 as answers: per distinct request ``found``, ``error``, the book's name and the version of
+    its first verse, ``total_chapters`` and ``n_verses``, with a row per verse: its ``position`` (W4,
+    from 0 by verse, then ord), ``verse`` and ``ord``. A request that nothing meets is one row with
+    ``error``, beside the answers of the others. The verses of one request are one window; a
+    chapter's rows are narrow there (no text)."""
+    asked = ["req_book", "req_chapter", "req_version"]
+    requests = requests.select(*asked).distinct()
+    hits = read_chapter(verses, requests).select(*asked, "ord", "verse", "book_name", "version", "total_chapters")
+    one = Window.partitionBy(*asked)
+    place = F.row_number().over(one.orderBy("verse", "ord")) - 1
+    hits = hits.select(*asked, "ord", "verse", "total_chapters", place.cast("int").alias("position"), F.count(F.lit(1)).over(one).alias("n"),
+                       F.min_by(F.struct("book_name", "version"), F.struct("verse", "ord")).over(one).alias("head"))
+    hits = hits.toDF(*(f"__{c}" for c in hits.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in asked]
+    found = F.col("__ord").isNotNull()
+    return requests.join(hits, same, "left").select(
+        *asked, found.alias("found"), F.when(~found, F.lit(NOT_FOUND)).alias("error"), F.col("__head.book_name").alias("book_name"),
+        F.col("__head.version").alias("version"), F.col("__total_chapters").alias("total_chapters"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_verses"), F.coalesce("__position", F.lit(0)).alias("position"),
+        F.col("__verse").alias("verse"), F.col("__ord").alias("ord"))
+
+
+def book_info_responses(verses: DataFrame, requests: DataFrame) -> DataFrame:
+    """E6 as answers: a request for an unknown book, or one without the version, is an error row."""
+    requests = requests.select("req_book", "req_version").distinct()
+    info = book_info(verses, requests)
+    info = info.withColumnsRenamed({"req_book": "__book", "req_version": "__version"})
+    found = F.col("book_short").isNotNull()
+    return (requests.join(info, F.col("req_book").eqNullSafe(F.col("__book")) & F.col("req_version").eqNullSafe(F.col("__version")), "left")
+            .select("req_book", "req_version", found.alias("found"), F.when(~found, F.lit(NOT_FOUND)).alias("error"),
+                    "book_name", "book_short", "version", "total_chapters"))
+
+
 def chapter_neighbors(verses: DataFrame) -> DataFrame:
     """Previous / next chapter per (version, book), clamped to existing chapters."""
     ch = verses.select("version", "book_short", "chapter").distinct()

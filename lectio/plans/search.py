@@ -227,10 +227,12 @@ def routed_search(inp: SearchInputs, ctx: DataFrame | None = None) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx: DataFrame | None = None) -> DataFrame:
+def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx: DataFrame | None = None,
+                      nested: bool = False) -> DataFrame:
     """One row per input query with the response fields. Invalid queries and ones that
     fail alone (a vector of another width) are rows without success, beside the others' answers;
-    results are summarised as ``total_results`` and ``result_keys`` (keys in rank order)."""
+    results are summarised as ``total_results`` and ``result_keys`` (keys in rank order). ``nested``: ``context_books`` is an
+    array, else a comma-joined string."""
     ctx = ctx if ctx is not None else query_context(inp)
     results = results if results is not None else routed_search(inp, ctx)
     agg = (results.groupBy("qid")
@@ -243,8 +245,7 @@ def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx:
         "qid", F.col("intent").alias("search_method"), "extracted_keyword", "intent_reason",
         F.when(has_ctx, F.col("scope_type")).alias("detected_context_type"),
         F.when(has_ctx, F.col("scope_desc")).alias("detected_context"),
-        F.when(has_ctx, F.array_join("scope_books", ",")).alias("context_books"),
-        "search_query")
+        F.when(has_ctx, F.col("scope_books")).alias("__books"), "search_query")
     v = validate_queries(inp.queries.select("qid", "query"))
     out = v.join(info, "qid", "left").join(agg, "qid", "left").join(failed, "qid", "left")
     return out.select(
@@ -252,7 +253,7 @@ def response_envelope(inp: SearchInputs, results: DataFrame | None = None, ctx:
         (F.col("valid") & F.col("failure").isNull()).alias("success"), F.coalesce("error", "failure").alias("error"),
         F.coalesce("total_results", F.lit(0)).cast("int").alias("total_results"),
         "search_method", "extracted_keyword", "intent_reason", "detected_context_type", "detected_context",
-        "context_books", "search_query", "result_keys")
+        F.col("__books").alias("context_books") if nested else F.array_join("__books", ",").alias("context_books"), "search_query", "result_keys")
 
 
 def nested_responses(envelope: DataFrame, results: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import reference_label, verse_key
 from ..session import scratch_path
+from .jsonscan import split_verses
 
 VERSE_T = T.StructType([T.StructField("verse", T.IntegerType()), T.StructField("text", T.StringType()),
                         T.StructField("title", T.StringType())])
@@ -48,34 +49,39 @@ def _bases(files: DataFrame) -> DataFrame:
     return files.join(parts, "__part").select("__file", (F.col("__start") + F.col("__in")).alias("__base"))
 
 
+def _whole_files(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, DataFrame]:
+    """``(verses, counts)`` as of ``split_verses``, by Spark's JSON reader: a file is one task."""
+    raw = (spark.read.schema(CORPUS_SCHEMA).option("multiLine", multi_line)
+           .option("recursiveFileLookup", "true").json(path).withColumn("file", F.input_file_name()))
+    # a document's passages in order, numbered inside it; null lists hold nothing
+    flat = F.flatten(F.transform(F.filter("books", lambda b: b["chapters"].isNotNull()), lambda b: F.flatten(
+        F.transform(F.filter(b["chapters"], lambda c: c["verses"].isNotNull()),
+                    lambda c: F.transform(c["verses"], lambda v: F.struct(
+                        b["bookName"].alias("bookName"), b["bookShort"].alias("bookShort"),
+                        b["testament"].alias("testament"), b["bookNumber"].alias("bookNumber"),
+                        c["chapter"].alias("chapter"), v.alias("v")))))))
+    sized = raw.select("file", "version", F.coalesce(flat, F.array()).alias("all"))
+    verses = sized.select("file", "version", F.posexplode("all").alias("pos", "b")).withColumn("v", F.col("b.v"))
+    return verses, sized.groupBy("file").agg(F.sum(F.size("all").cast("long")).alias("n"))
+
+
 def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[str] | None = None,
-                strict: bool = False, multi_line: bool = True) -> DataFrame:
+                strict: bool = False, multi_line: bool = True, split: bool = False) -> DataFrame:
     """S1 (``strict=False``): version falls back to the path's default, testament and
     bookNumber to 0, text to ""; a book without chapters or a chapter without verses
     contributes nothing. S2 (``strict=True``): no defaults, an absent text is "null".
-    A missing path is logged and skipped, as the reference warns and continues."""
+    A missing path is logged and skipped, as the reference warns and continues.
+    ``split``: files are parsed by byte ranges (:mod:`.jsonscan`), for documents too large for a task."""
     default_versions = default_versions or [None] * len(paths)
     out, total = None, 0
     for i, (path, dv) in enumerate(zip(paths, default_versions)):
         try:
-            raw = (spark.read.schema(CORPUS_SCHEMA).option("multiLine", multi_line)
-                   .option("recursiveFileLookup", "true").json(path)
-                   .withColumn("__file", F.input_file_name()))
+            verses, counts = split_verses(spark, path) if split else _whole_files(spark, path, multi_line)
         except AnalysisException as e:
             logging.getLogger(__name__).warning("corpus path %s skipped: %s", path, e)
             continue
-        # a document's passages in order, numbered inside it; null lists hold nothing
-        flat = F.flatten(F.transform(F.filter("books", lambda b: b["chapters"].isNotNull()), lambda b: F.flatten(
-            F.transform(F.filter(b["chapters"], lambda c: c["verses"].isNotNull()),
-                        lambda c: F.transform(c["verses"], lambda v: F.struct(
-                            b["bookName"].alias("bookName"), b["bookShort"].alias("bookShort"),
-                            b["testament"].alias("testament"), b["bookNumber"].alias("bookNumber"),
-                            c["chapter"].alias("chapter"), v.alias("v")))))))
-        sized = raw.select("__file", "version", F.coalesce(flat, F.array()).alias("__all"))
-        bases = _bases(sized.groupBy("__file").agg(F.sum(F.size("__all").cast("long")).alias("__n")))
-        verses = (sized.join(bases, "__file")
-                  .select("version", "__base", F.posexplode("__all").alias("__pos", "b"))
-                  .select("version", "__base", "__pos", "b", F.col("b.v").alias("v")))
+        verses = (verses.join(_bases(counts.select(F.col("file").alias("__file"), F.col("n").alias("__n"))), F.col("file") == F.col("__file"))
+                  .withColumnRenamed("pos", "__pos"))
         if strict:
             version = F.col("version")
             testament, book_no = F.col("b.testament"), F.col("b.bookNumber")
@@ -94,7 +100,7 @@ def read_corpus(spark: SparkSession, paths: list[str], default_versions: list[st
         # a later path begins where the paths before it end
         flat = flat.withColumn("ord", (F.lit(total) + F.col("__ord")).cast("long")).drop("__ord")
         if i + 1 < len(paths):
-            total += int(sized.agg(F.sum(F.size("__all").cast("long")).alias("n")).first()["n"] or 0)
+            total += int(counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
         out = flat if out is None else out.unionByName(flat)
     if out is None:
         out = spark.createDataFrame([], "ord long, version string, book_short string, book_name string, "

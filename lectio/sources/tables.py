@@ -53,11 +53,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: qid, query, max_results, min_score, version (request fields; null means the
     service default)."""
+    # three words of the whole text: the longest, the first and the last in code-point order
+    words = F.split("text", " ")
     b = table(spark, sf_dir, "benchmark").select(
         "item_id", "text",
-        F.split_part("text", F.lit(" "), F.lit(1)).alias("w1"),
-        F.split_part("text", F.lit(" "), F.lit(2)).alias("w2"),
-        F.split_part("text", F.lit(" "), F.lit(3)).alias("w3"))
+        F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"].alias("w1"),
+        F.array_min(words).alias("w2"), F.array_max(words).alias("w3"))
     shape = F.col("item_id") % 16
     book = F.concat(F.lit("book"), F.char(F.lit(97) + F.col("item_id") % 20))
     q = (F.when(shape == 0, F.concat(F.lit('"'), "w1", F.lit('" appears')))
@@ -77,9 +78,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit("  ")))
     return b.select(
         F.col("item_id").alias("qid"), q.alias("query"),
-        F.lit(None).cast("int").alias("max_results"),
-        F.lit(None).cast("double").alias("min_score"),
-        F.lit(None).cast("string").alias("version"))
+        F.when(F.col("item_id") % 5 == 2, F.lit(3)).cast("int").alias("max_results"),
+        F.when(F.col("item_id") % 11 == 4, F.lit(0.15)).cast("double").alias("min_score"),
+        # an alias, a version in the other case and a version that no passage has
+        F.when(F.col("item_id") % 7 == 3, F.lit("english")).when(F.col("item_id") % 7 == 5, F.lit("fr"))
+         .when(F.col("item_id") % 7 == 6, F.lit("Latin")).cast("string").alias("version"))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,49 @@ def test_epoch_that_runs_again_replaces_its_rows(spark):
     sink.write(rows.filter("a = 1"), 1)
     sink.write(rows.filter("a = 2"), 0)
     assert sorted(tuple(r) for r in sink.read().collect()) == [(1, "x"), (2, "y")] and sink.read().columns == ["a", "b"]
+
+
+AWKWARD_TEXTS = ['plain', '', None, 'a {brace} and }}{{ [list], "quoted"', 'ends in a backslash \\', '\\" {', '{"verse": 9}',
+                 'é\U0001F600 { \t\n }', ',', ']', '"verses":[', '\\\\{\\\\', '{' * 40 + '"' * 7 + '}' * 3]
+
+
+def _large_document(n_books):
+    texts = lambda b, c: [{"verse": i + 1, "text": t, "title": None if i % 2 else f"t{{{b}.{c}}}"} for i, t in enumerate(AWKWARD_TEXTS)]
+    books = [{"bookName": f"B {{{b}}}", "bookShort": f"b{b}", "chapters": [{"chapter": c, "verses": texts(b, c)} for c in range(3)]
+              + [{"chapter": 9}, {"verses": [{"verse": 1}, {}], "chapter": 10}], "testament": b % 2, "tags": [1, "x]"], "bookNumber": b}
+             for b in range(n_books)]
+    return {"books": [*books, {"bookName": "Empty", "bookShort": "E", "chapters": []}, {"bookName": "No", "chapters": None}], "version": "V,{1}"}
+
+
+def test_ingest_by_byte_ranges_equals_whole_files(spark):
+    import os
+    base = scratch_path(spark, "corpus-split")
+    folder = base[len("file:"):] if base.startswith("file:") else base
+    os.makedirs(folder)
+    for name, indent, n in (("a", None, 6), ("b", 2, 4), ("c", 1, 0)):
+        with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
+            json.dump(_large_document(n), f, ensure_ascii=name == "b", indent=indent)
+    whole = [tuple(r) for r in CORPUS.read_corpus(spark, [base, base], ["X", "Y"]).orderBy("ord").collect()]
+    ords = [r.ord for r in CORPUS.read_corpus(spark, [base, base], ["X", "Y"]).select("ord").orderBy("ord").collect()]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("511", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = CORPUS.read_corpus(spark, [base, base], ["X", "Y"], split=True)
+            assert [tuple(r) for r in got.orderBy("ord").collect()] == whole, size
+            if size == "511":
+                assert spark.read.text(f"{base}/a.json").rdd.getNumPartitions() > 30
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(whole) == 2 * 10 * (3 * len(AWKWARD_TEXTS) + 2) and ords == list(range(len(whole)))
+
+
+def test_ingest_by_byte_ranges_refuses_other_objects(spark):
+    import pytest
+    for extra in ({"meta": {"a": 1}}, {"notes": [{"a": 1}]}):
+        base = scratch_path(spark, "corpus-other")
+        _write(base, {**extra, **DOC})
+        with pytest.raises(Exception, match="split=False"):
+            CORPUS.read_corpus(spark, [base], split=True).count()
