@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectio.llm.components import written
+from lectio.llm.running import running
 
 # Kinds in order, pattern, number of the group that holds the value, and the
 # fewest characters of it. Hex and access runs are maximal, so their bounds stand in the pattern.
@@ -34,7 +35,7 @@ MORE_KINDS = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     # Head, header lines, body (the value) and, if it is there, the END line. The body begins with 16
     # signs of base64: a head that is only spoken of holds no key. Line ends may be escaped or quoted.
-    ("keyhead", r"""-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[\x20\x09-\x0D\\"',#*>|]*(?:[A-Za-z][A-Za-z-]*:[^\x0A\x0D\\]*[\x0A\x0D\\][\x20\x09-\x0D\\"',#*>|]*){0,8}(?:[nr][\x20\x09-\x0D\\"',#*>|]+){0,4}([A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x20\x09-\x0D\\"',#*>|]*)(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]{0,32}PRIVATE KEY-----)?""", 1, 16),
+    ("keyhead", r"""-----BEGIN [A-Z0-9 ]{0,200}PRIVATE KEY-----[\x20\x09-\x0D\\"',#*>|]*(?:[A-Za-z][A-Za-z-]*:[^\x0A\x0D\\]*[\x0A\x0D\\][\x20\x09-\x0D\\"',#*>|]*){0,200}(?:[nr][\x20\x09-\x0D\\"',#*>|]+){0,4}([A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x20\x09-\x0D\\"',#*>|]*)(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z0-9 ]{0,200}PRIVATE KEY-----)?""", 1, 16),
 ]
 KINDS = BASE_KINDS + MORE_KINDS
 #: Held by so many owners, a value is an example.
@@ -55,20 +56,14 @@ def spans_of(text: Column, kind: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("whole"), values.alias("value"))
-    state = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.char_length(x["gap"]) + F.char_length(x["whole"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(
-                (s["at"] + F.char_length(x["gap"])).alias("start"),
-                (s["at"] + F.char_length(x["gap"]) + F.char_length(x["whole"])).alias("end"),
-                F.lit(kind).alias("kind"),
-                x["value"].alias("value"),
-            ))).alias("out"),
-        ),
-    )
-    kept = F.filter(state["out"], lambda s: F.char_length(s["value"]) >= least) if least else state["out"]
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(x["gap"])
+        end = start + F.char_length(x["whole"])
+        return end, F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+
+    spans = running(parts, F.lit(0).cast("bigint"), SPAN[len("array<"):-1], step)
+    kept = F.filter(spans, lambda s: F.char_length(s["value"]) >= least) if least else spans
     return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(SPAN))
 
 
@@ -134,13 +129,12 @@ def redact(documents: DataFrame, text: str = "text", repo: str = "doc_id", owner
     gate = F.coalesce(reduce(lambda a, b: a | b, (F.col(text).rlike(k[1]) for k in KINDS)), F.lit(False))
     joined = rows.filter(gate).join(live, F.col(repo).eqNullSafe(F.col(spans_)) & (F.col(hash_) == F.col(cut_ + "h")), "left")
 
-    def step(s: Column, x: Column) -> Column:
-        before = F.substr(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        gap = F.when(x["start"] >= s["at"], F.concat(before, F.lit(MARK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        before = F.substr(F.col(text), (at + 1).cast("int"), (x["start"] - at).cast("int"))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.concat(before, F.lit(MARK))).otherwise(F.lit(""))
 
-    done = F.aggregate(cut_, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
-    clean = F.concat(done["out"], F.substr(F.col(text), (done["at"] + 1).cast("int")))
+    done = F.array_join(running(F.col(cut_), F.lit(0).cast("bigint"), "string", step), "")
+    clean = F.concat(done, F.substr(F.col(text), (F.array_max(F.transform(cut_, lambda x: x["end"])) + 1).cast("int")))
     changed = joined.withColumn(text, F.when(F.col(cut_).isNull(), F.col(text)).otherwise(clean))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectio.llm.running import running
+
 # Base phrases and labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -147,11 +149,10 @@ SPDX_IDS = [
     ("ruby", " ruby ", "ruby"),
     ("php-3.01", "php 3 01", "php 3 01"),
 ]
-#: An id stands after the head of the line, or after other ids of an expression (their spans then
-#: don't lie in one another).
-_WORD = "[a-z0-9]{1,16} "
-_OTHER = f"(?:{_WORD}{f'(?:{_WORD})?' * 5}(?:and|or) )?"
-SPDX_BEFORE = " spdx license identifier " + _OTHER * 4
+#: An operand of an SPDX expression begins after this sign, which no word holds.
+OPERAND = "\x01"
+#: What stands before the last operand: any number of operands of up to twelve words, each with its connective.
+SPDX_CHAIN = "^(?:(?:(?!(?:and|or) )[^ ]+ ){1,12}+(?:and|or) )*+"
 
 UNVERSIONED = [
     ("bsd", 2, 0.5, " bsd ", "bsd(?: style)? licen[cs]ed?"),
@@ -239,7 +240,7 @@ BODIES = [
 
 def by_hand() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, certainty, keyword, pattern) of the signatures written by hand."""
-    out = [(label, 6, 1.0, keyword, f"(?<= ){x}(?= )(?<={SPDX_BEFORE}{x})") for label, keyword, x in SPDX_IDS]
+    out = [(label, 6, 1.0, keyword, f"(?<={OPERAND}){x}(?= )") for label, keyword, x in SPDX_IDS]
     return out + [(label, p, c, keyword, f"(?<= )(?:{x})(?= )") for label, p, c, keyword, x in UNVERSIONED + VERSIONED + BODIES]
 
 
@@ -277,16 +278,20 @@ def places(words: Column, pattern: Column) -> Column:
     pieces = F.split(words, pattern, -1)
     found = F.regexp_extract_all(words, pattern, F.lit(0))
     # Spaces up to a match, less the one before the text, number its first word.
-    empty = F.array().cast("array<struct<first:bigint,n:bigint>>")
-    state = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(spaces(p).alias("gap"), (spaces(m) + 1).alias("n"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["n"] - 1).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"] - 1).alias("first"), x["n"].alias("n")))).alias("out"),
-        ),
-    )
-    return state["out"]
+    parts = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(spaces(p).alias("gap"), (spaces(m) + 1).alias("n")))
+    return running(parts, F.lit(0).cast("bigint"), "struct<first:bigint,n:bigint>", lambda at, x: (
+        at + x["gap"] + x["n"] - 1, F.struct((at + x["gap"] - 1).alias("first"), x["n"].alias("n"))))
+
+
+def operands(words: Column) -> Column:
+    """``words`` with ``OPERAND`` before every operand of every SPDX expression."""
+    pieces = F.split(words, SPDX_HEAD, -1)
+
+    def marked(piece: Column, i: Column) -> Column:
+        chain = F.regexp_extract(piece, SPDX_CHAIN, 0)
+        rest = F.substr(piece, F.char_length(chain) + 1)
+        return F.when(i == 0, piece).otherwise(F.concat(F.lit(OPERAND), F.regexp_replace(chain, "(?<= )(and|or) ", f"$1 {OPERAND}"), rest))
+    return F.when(F.contains(words, F.lit(SPDX_HEAD)), F.array_join(F.transform(pieces, marked), SPDX_HEAD)).otherwise(words)
 
 
 def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -294,18 +299,19 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     overlap); found (array of label, priority, certainty, first, n: the rules' spans that nothing
     suppresses); labels; score (the certainty of the surest span, 0 to 1)."""
     rows = documents.select(*keep, plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_words"))
+    rows = rows.withColumn("_operands", operands(F.col("_words")))
     words = F.col("_words")
     span = "array<struct<label:string,priority:int,certainty:double,rule:int,first:bigint,n:bigint>>"
     held: dict[str, list] = {}
     for i, (a, p, c, k, x) in enumerate(rules()):
-        rule = F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("certainty"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(i).alias("rule"))
-        held.setdefault(SPDX_HEAD if SPDX_BEFORE in x else k, []).append(rule)
+        rule = F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("certainty"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(i).alias("rule"), F.lit(OPERAND in x).alias("spdx"))
+        held.setdefault(SPDX_HEAD if OPERAND in x else k, []).append(rule)
     # Each keyword is looked for once, whatever the number of its rules; those of the SPDX ids only
     # in texts with an SPDX line.
     table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in held.items()))
     hits = F.flatten(F.transform(
         F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["keyword"])), lambda r: F.filter(r["rules"], lambda x: F.contains(words, x["keyword"])))),
-        lambda r: F.transform(places(words, r["pattern"]), lambda s: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["certainty"].alias("certainty"), r["rule"].alias("rule"), s["first"].alias("first"), s["n"].alias("n"))),
+        lambda r: F.transform(places(F.when(r["spdx"], F.col("_operands")).otherwise(words), r["pattern"]), lambda s: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["certainty"].alias("certainty"), r["rule"].alias("rule"), s["first"].alias("first"), s["n"].alias("n"))),
     ))
 
     def outranks(a: Column, b: Column) -> Column:
@@ -313,8 +319,20 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
         higher = (a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & ((a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["rule"] < b["rule"]))))
         return inside & higher
 
+    # A span stands after all that hold it: by first word, then length and rank. What outranks it is
+    # then among the kept spans that reach its first word, few at any place.
+    in_order = F.array_sort(F.transform("_hits", lambda x: F.struct(
+        x["first"].alias("first"), (-x["n"]).alias("less"), (-x["priority"]).alias("low"), x["rule"].alias("rule"), x.alias("x"))))
+
+    def step(open_: Column, item: Column) -> tuple[Column, Column]:
+        x = item["x"]
+        kept = ~F.exists(open_, lambda a: outranks(a, x))
+        near = F.filter(open_, lambda a: a["first"] + a["n"] > x["first"])
+        return F.when(kept, F.concat(near, F.array(x))).otherwise(open_), F.when(kept, x)
+
     rows = rows.withColumn("_hits", hits.cast(span))
-    rows = rows.withColumn("found", F.filter("_hits", lambda b: ~F.exists("_hits", lambda a: outranks(a, b))))
+    swept = running(in_order, F.array().cast(span), span[len("array<"):-1], step)
+    rows = rows.withColumn("found", F.when(F.size("_hits") > 1, F.filter(swept, lambda x: x.isNotNull())).otherwise(F.col("_hits")))
     base = F.concat(*(
         F.when(F.contains(words, F.lit(f" {phrase} ")), F.transform(
             # A look-ahead leaves the words to later matches, so places may overlap.
@@ -326,7 +344,7 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = rows.withColumn("labels", F.array_sort(F.array_distinct(F.concat(F.transform("base", lambda b: b["label"]), F.transform("found", lambda b: b["label"])))))
     sure = F.coalesce(F.array_max(F.transform("found", lambda b: b["certainty"])), F.lit(0.0))
     rows = rows.withColumn("score", F.greatest(sure, F.when(F.size("base") > 0, F.lit(0.6)).otherwise(F.lit(0.0))))
-    return rows.drop("_words", "_hits")
+    return rows.drop("_words", "_operands", "_hits")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ def test_license_signatures_by_hand(spark, documents):
     want = {f"// SPDX-License-Identifier: {x}\nint a;": y for x, y in spdx.items()} | {
         "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
         "SPDX-License-Identifier: EPL-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0": "epl-2,gpl-2",
+        "SPDX-License-Identifier: " + " OR ".join(["GPL-2.0-only WITH Classpath-exception-2.0"] * 30 + ["MIT", "EPL-2.0 AND ISC"]): "epl-2,gpl-2,isc,mit",
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: (LGPL-2.1-only)": "lgpl-2.1,mit",
         "Licensed under the BSD license.": "bsd",
         "This library is under the GNU Lesser General Public License.": "lgpl",
         "It is distributed under the LGPL.": "lgpl",
@@ -67,6 +69,39 @@ def test_license_signatures_by_hand(spark, documents):
     assert {x: ",".join(rows[i]) for i, x in enumerate(want)} == want
 
 
+def test_license_spans_as_by_all_pairs(spark, documents):
+    texts = ["licensed under the gnu general public license version 2 or the gnu lesser general public license version 2 1 and the mit license " * n for n in (1, 3, 300)]
+    texts += ["SPDX-License-Identifier: MIT " * 200, "apache apache license apache license version 2 0 cc by nc cc by cc by nc sa 4 0 " * 50]
+    got = {r.doc_id: r for r in op10_licenses.scan_licenses(documents(texts)).collect()}
+    for i, text in enumerate(texts):
+        words = " " + " ".join(re.findall("[a-z0-9]+", text.lower())) + " "
+        marked = words.replace(" spdx license identifier ", " spdx license identifier " + op10_licenses.OPERAND)
+        hits = set()
+        for rule, (label, priority, _, keyword, pattern) in enumerate(op10_licenses.rules()):
+            spdx = op10_licenses.OPERAND in pattern
+            if keyword in words and (not spdx or "spdx" in words):
+                for m in re.finditer(pattern, marked if spdx else words):
+                    hits.add((words[: m.start()].count(" ") - 1 if not spdx else marked[: m.start()].count(" ") - 1, m[0].count(" ") + 1, priority, rule, label))
+        by_place = collections.defaultdict(list)
+        for h in hits:
+            for w in range(h[0], h[0] + h[1]):
+                by_place[w].append(h)
+        holds = lambda a, b: a[0] <= b[0] and a[0] + a[1] >= b[0] + b[1] and (a[2], a[1], -a[3]) > (b[2], b[1], -b[3])
+        want = sorted((h[0], h[1], h[4]) for h in hits if not any(holds(a, h) for a in by_place[h[0]]))
+        assert sorted((f.first, f.n, f.label) for f in got[i].found) == want and want, i
+
+
+def test_long_texts_of_many_spans(spark, documents):
+    import time
+    begin = time.time()
+    text = " ".join(f"{i:016x}" for i in range(40000))
+    spans = op06_secrets.scan_secrets(documents([text])).collect()[0].spans
+    assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 16) for i in range(40000)]
+    found = op10_licenses.scan_licenses(documents(["see the mit license or gpl 3 here " * 10000])).collect()[0].found
+    assert len(found) == 20000 and [f.first for f in found[:4]] == [2, 5, 10, 13]
+    assert time.time() - begin < 120
+
+
 def test_license_rules_hold_their_keywords(spark):
     # A keyword is a piece of each match: the words of a pattern's fixed part.
     for label, _, _, keyword, pattern in op10_licenses.by_hand():
@@ -184,3 +219,11 @@ def test_empty_tables(documents):
     assert op10_licenses.scan_licenses(empty).count() == 0
     assert op06_secrets.scan_secrets(empty).count() == 0
     assert op07_mixing.mix_sources(empty.drop("size")).count() == 0
+
+
+def test_private_key_with_many_header_lines(spark, documents):
+    import random
+    body = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=640))
+    heads = [f"-----BEGIN {'VERY ' * n}LONG PRIVATE KEY-----\n" + "".join(f"X-Head: {i}\n" for i in range(k)) + f"\n{body}{n}\n-----END PRIVATE KEY-----" for n, k in ((0, 9), (30, 190))]
+    out = op06_secrets.redact(documents([f"a {h} b" for h in heads], ["p", "q"])).collect()
+    assert [r.text for r in out] == ["a <SECRET> b"] * 2
