@@ -2,19 +2,20 @@
 
 A document's weight is the ratio of its probability under the target model to that under the raw
 model: a mixture, over documents, of the target and of the kinds of text that labels reject. Each
-model is a multinomial over hashed n-grams of two families (words and signs; beginnings of words,
-which generalise over inflected and compounded forms) and repeats of a token, fitted on a bounded
-labelled sample. Buckets whose rates don't differ beyond chance and by a telling factor share one
-ratio, so the noise of rare n-grams and the sample's mix of languages don't add up over long
-texts.
-
-The documents kept are a Gumbel top-k sample of all documents: the sharpened log weight plus a
-Gumbel variate of the document's id. k is the number of documents that are likelier target
-than not. So a clear document is kept, a clear reject goes, and doubtful ones are drawn, likelier
-ones first. The k-th key is found by counting keys in ever finer bins, exactly;
-ties at the cut fall by document id, then draw equal rows alike.
-
-Bounds: at most ``LABELLED`` labels of each kind (those of the smallest hash) fit the models, in
+part is a multinomial over hashed n-grams of three families (words and signs; beginnings of words,
+which generalise over inflected and compounded forms; pairs of neighbouring tokens) and repeats of
+a token, fitted on a bounded labelled sample. The mixture's shares are fitted on the raw text: all
+documents, by expectation and maximisation. Buckets whose rates don't differ beyond chance and by
+a telling factor share one ratio, so the noise of rare n-grams and the sample's mix of languages
+don't add up over long texts.
+
+The documents kept are a Gumbel top-k sample of all documents: the log weight plus a Gumbel variate
+of the document's id. k is the number of documents that are likelier target than not. So a clear
+document is kept, a clear reject goes, and doubtful ones are drawn, likelier ones first. The k-th
+key is found by counting keys in ever finer bins, exactly; ties at the cut fall by document id,
+then draw equal rows alike.
+
+Bounds: at most ``LABELLED`` labels of each kind (those of the smallest hash) fit the parts, in
 2 ** ``BITS`` buckets of each family; both are fixed sizes that do not grow with the data.
 Everything else covers all documents.
 
@@ -47,19 +48,22 @@ CHANCE, PSEUDO = 3.0, 0.5
 #: The least factor, as a log, between rates that tell: below it lie the differences that a
 #: sample's mix of languages and subjects makes.
 TELLING = 1.0
-#: Weights enter the sampling keys to this power: clear documents come before doubtful ones.
-SHARPNESS = 16.0
-#: The bucket of tokens equal to the token before, between those of the two families.
+#: The bucket of tokens equal to the token before, after those of the single tokens.
 REPEAT = 1 << BITS
-SIZE = (2 << BITS) + 1
-FAMILIES = (slice(0, REPEAT + 1), slice(REPEAT + 1, SIZE))
+#: Where the beginnings of words and the pairs of neighbouring tokens start.
+EDGES, PAIRS = REPEAT + 1, REPEAT + 1 + (1 << BITS)
+SIZE = PAIRS + (1 << BITS)
+FAMILIES = (slice(0, EDGES), slice(EDGES, PAIRS), slice(PAIRS, SIZE))
+#: Rounds that fit the mixture's shares; no share falls below the least.
+ROUNDS, LEAST_SHARE = 8, 1e-6
 SLICE_BYTES = 2 << 20
 SEED = 11
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of all n-grams: words and signs in the first 2 ** BITS buckets,
-    repeats of a token in the next one, beginnings of words after it."""
+    repeats of a token in the next one, then beginnings of words, then pairs of neighbouring
+    tokens, which no repeat counts among."""
     tokens = Tokens(texts, WORD_SIGN_CLASS)
     of = spread(tokens.first)
     words = (tokens.hash >> U64(64 - BITS)).astype(np.int64)
@@ -68,9 +72,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(EDGE_BYTES):
             edge = edge * U64(257) + tokens.data[tokens.start[long] + k].astype(np.uint64)
-    edges = (mix(edge, 21) >> U64(64 - BITS)).astype(np.int64) + REPEAT + 1
-    again = np.flatnonzero((words[1:] == words[:-1]) & (of[1:] == of[:-1])) + 1
-    return np.concatenate([words, edges, np.full(len(again), REPEAT)]), np.concatenate([of, of[long], of[again]])
+    edges = (mix(edge, 21) >> U64(64 - BITS)).astype(np.int64) + EDGES
+    beside = of[1:] == of[:-1]
+    same = words[1:] == words[:-1]
+    again = np.flatnonzero(beside & same) + 1
+    next_ = np.flatnonzero(beside & ~same) + 1
+    with np.errstate(over="ignore"):
+        pair = mix(tokens.hash[next_ - 1] * U64(257) + tokens.hash[next_], 22)
+    pairs = (pair >> U64(64 - BITS)).astype(np.int64) + PAIRS
+    return np.concatenate([words, edges, np.full(len(again), REPEAT), pairs]), np.concatenate([of, of[long], of[again], of[next_]])
 
 
 def sample_labels(labels: DataFrame, bound: int = LABELLED) -> dict[int, np.ndarray]:
@@ -117,7 +127,8 @@ def _counter(sample: dict[int, np.ndarray]):
 
 
 class Model:
-    """Log ratios of the target to each rejected kind by bucket, and the kinds' shares."""
+    """Log ratios of the target to each rejected kind by bucket, and the kinds' shares of the raw
+    text: at first those of the labels."""
 
     def __init__(self, counts: list[np.ndarray], holders: list[np.ndarray], documents: list[int]):
         self.kinds = [k for k in (1, 2) if documents[k]] if documents[0] else []
@@ -132,15 +143,29 @@ class Model:
         model.__dict__.update(parts)
         return model
 
-    def log_weight(self, buckets: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """log p(text | target) - log p(text | raw) of n texts."""
+    def deltas(self, buckets: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Row per text: log p(text | target) - log p(text | kind) of each kind."""
+        return np.stack([np.bincount(of, weights=self.ratio[k][buckets], minlength=n) for k in self.kinds], 1) if self.kinds else np.zeros((n, 0))
+
+    def log_weight(self, deltas: Column) -> Column:
+        """log p(text | target) - log p(text | raw), from the texts' deltas."""
         if not self.kinds:
-            return np.zeros(n)
-        against = [np.full(n, math.log(self.share[0]))]
-        for k in self.kinds:
-            delta = np.bincount(of, weights=self.ratio[k][buckets], minlength=n)
-            against.append(math.log(self.share[k]) - delta)
-        return -np.logaddexp.reduce(against, axis=0)
+            return F.lit(0.0)
+        terms = [F.lit(math.log(self.share[0])), *(F.lit(math.log(self.share[k])) - deltas[i] for i, k in enumerate(self.kinds))]
+        most = F.greatest(*terms)
+        return -(most + F.log(sum((F.exp(t - most) for t in terms), F.lit(0.0))))
+
+    def fit_shares(self, scored: DataFrame, rounds: int = ROUNDS) -> None:
+        """The kinds' shares of the raw text: each round takes the mean, over all texts with n-grams,
+        of the chance that a text is of the kind."""
+        for _ in range(rounds if self.kinds else 0):
+            weight = self.log_weight(F.col("deltas"))
+            of_kind = [F.avg(F.exp(weight + math.log(self.share[k]) - F.col("deltas")[i])) for i, k in enumerate(self.kinds)]
+            found = scored.filter("n_grams > 0").agg(F.avg(F.exp(weight + math.log(self.share[0]))), *of_kind).first()
+            if found[0] is None:
+                return
+            # Rounded, so that the order of sums doesn't show in a rerun.
+            self.share = {k: max(LEAST_SHARE, round(x, 9)) for k, x in zip((0, *self.kinds), found)}
 
 
 def _told(target: np.ndarray, other: np.ndarray, nt: int, no: int) -> np.ndarray:
@@ -181,7 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return Model(counts, holders, docs)
 
 
-def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, log_weight: str) -> DataFrame:
+def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, deltas: str) -> DataFrame:
     """``rows`` and two columns, made inside the scan."""
     held = rows.sparkSession.sparkContext.broadcast(model.__dict__)  # fixed size: two float arrays of SIZE
 
@@ -190,24 +215,27 @@ def weigh(rows: DataFrame, model: Model, text: str, n_grams: str, log_weight: st
             for piece in slices(batch, text, SLICE_BYTES):
                 n = piece.num_rows
                 buckets, of = features(piece.column(text))
-                count = np.bincount(of, minlength=n)
-                weight = np.where(count > 0, Model.of(held.value).log_weight(buckets, of, n), -np.inf)
-                yield pa.record_batch([*piece.columns, pa.array(count.astype(np.int64)), pa.array(weight)], [*piece.schema.names, n_grams, log_weight])
+                found = Model.of(held.value).deltas(buckets, of, n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+                yield pa.record_batch([*piece.columns, pa.array(np.bincount(of, minlength=n).astype(np.int64)), lists], [*piece.schema.names, n_grams, deltas])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(n_grams, T.LongType()), T.StructField(log_weight, T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(n_grams, T.LongType()), T.StructField(deltas, T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(add, schema)
 
 
 def sampling_key(id_: Column, n_grams: Column, log_weight: Column) -> Column:
-    """The sharpened log weight plus a Gumbel variate of the id; null without n-grams."""
+    """The log weight plus a Gumbel variate of the id; null without n-grams."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), id_), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.when(n_grams > 0, log_weight * SHARPNESS - F.log(-F.log(u)))
+    return F.when(n_grams > 0, log_weight - F.log(-F.log(u)))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n_grams, log_weight, gumbel): gumbel is the sampling key."""
+    """(id, n_grams, log_weight, gumbel): gumbel is the sampling key. Fits the model's shares."""
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    out = weigh(rows, model, "text", "n_grams", "log_weight").drop("text")
+    out = written(weigh(rows, model, "text", "n_grams", "deltas").drop("text"), "quality")
+    model.fit_shares(out)
+    weight = F.when(F.col("n_grams") > 0, model.log_weight(F.col("deltas"))).otherwise(F.lit(-math.inf))
+    out = out.select("id", "n_grams", weight.alias("log_weight"))
     return out.withColumn("gumbel", sampling_key(F.col("id"), F.col("n_grams"), F.col("log_weight")))
 
 
@@ -241,7 +269,7 @@ def gumbel_cut(scored: DataFrame, k: int) -> tuple[float, int]:
 
 def _sampled(documents: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[Model, DataFrame, float, int]:
     model = fit(documents, labels, text, key)
-    scored = written(score(documents, model, text, key), "quality")
+    scored = score(documents, model, text, key)
     likely = F.col("log_weight") >= (math.log(0.5 / model.share[0]) if model.kinds else 0.0)
     k = scored.filter((F.col("n_grams") > 0) & likely).count()
     return model, scored, *gumbel_cut(scored, k)
@@ -261,10 +289,10 @@ def keep_good(documents: DataFrame, labels: DataFrame, text: str = "text", key:
     """The rows of ``documents`` that are kept, with all their columns. Texts are weighed again in
     the scan that filters them, which costs less than to shuffle them for a join."""
     model, _, cut, last = _sampled(documents, labels, text, key)
-    n_grams, log_weight = (next(x for x in (name + "_" * i for i in range(1, 99)) if x not in documents.columns) for name in ("n_grams", "log_weight"))
-    rows = weigh(documents, model, text, n_grams, log_weight)
+    n_grams, deltas = (next(x for x in (name + "_" * i for i in range(1, 99)) if x not in documents.columns) for name in ("n_grams", "deltas"))
+    rows = weigh(documents, model, text, n_grams, deltas)
     id_ = F.col(key).cast("long")
-    return rows.filter(_drawn(sampling_key(id_, F.col(n_grams), F.col(log_weight)), id_, cut, last)).select(*documents.columns)
+    return rows.filter(_drawn(sampling_key(id_, F.col(n_grams), model.log_weight(F.col(deltas))), id_, cut, last)).select(*documents.columns)
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,58 @@ def test_quality_held_out(spark, documents):
     assert op03_quality.classify(docs.limit(0), labels).count() == 0
 
 
+def _grams(text):
+    """Counts of a text's n-grams by name, one counter for each family."""
+    tokens = re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\t-\r]+", (text or "").encode().translate(bytes(LOWER.get(i, i) for i in range(256))))
+    beside = list(zip(tokens, tokens[1:]))
+    repeats = sum(a == b for a, b in beside)
+    return [collections.Counter(tokens) + collections.Counter({"repeat": repeats}), collections.Counter(t[:5] for t in tokens if len(t) > 5),
+            collections.Counter(x for x in beside if x[0] != x[1])]
+
+
+def test_quality_weights_equal_brute_force(spark, documents):
+    """log_weight again in plain Python, with n-grams by name instead of by bucket."""
+    r = random.Random(3)
+    words, bad = [f"word{i}" for i in range(60)], ["idiot", "scum", "%%", "click here", "click click"]
+    texts, kinds = [], []
+    for i in range(300):
+        kind = r.choice([0, 0, 1, 2])
+        w = r.choices(words, k=r.randint(1, 40)) + [x for x in r.choices(bad[:2] if kind == 2 else bad[2:], k=9) if kind]
+        texts.append(" ".join(r.sample(w, len(w))))
+        kinds.append(kind)
+    texts += ["", None, "Word1 word1", texts[0]]
+    labels = spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kinds) if i % 3], "doc_id long, quality int, toxic int")
+    got = {x.id: x for x in op03_quality.classify(documents(texts).drop("id", "n"), labels).collect()}
+    grams = [_grams(t) for t in texts]
+    of_kind = [[i for i, k in enumerate(kinds) if i % 3 and k == kind] for kind in range(3)]
+    tables = []
+    for kind in (1, 2):
+        ratio = []
+        for f in range(3):
+            (n, d), (m, e) = ((sum((grams[i][f] for i in of_kind[k]), collections.Counter()), collections.Counter(g for i in of_kind[k] for g in grams[i][f])) for k in (0, kind))
+            nt, no = len(of_kind[0]), len(of_kind[kind])
+            all_n, all_m = sum(n.values()) + 1, sum(m.values()) + 1
+            rates = {g: math.log((n[g] + 0.5) / all_n) - math.log((m[g] + 0.5) / all_m) for g in {**n, **m}}
+            chance = {g: abs(2 * (math.sqrt(e[g] + 0.375) - math.sqrt(no * (d[g] + e[g]) / (nt + no) + 0.375)) / math.sqrt(nt / (nt + no))) for g in rates}
+            told = {g for g in rates if (chance[g] >= 3 or g == "repeat") and abs(rates[g]) >= 1}
+            rest = math.log((sum(c for g, c in n.items() if g not in told) + 0.5) / all_n) - math.log((sum(c for g, c in m.items() if g not in told) + 0.5) / all_m)
+            ratio.append(({g: rates[g] for g in told}, rest))
+        tables.append(ratio)
+    deltas = [[sum(c * told.get(g, rest) for f, (told, rest) in enumerate(ratio) for g, c in grams[i][f].items()) for ratio in tables] for i in range(len(texts))]
+    share = [len(x) / sum(map(len, of_kind)) for x in of_kind]
+    real = [i for i, g in enumerate(grams) if g[0]]
+
+    def weight(i):
+        return -math.log(share[0] + sum(s * math.exp(-x) for s, x in zip(share[1:], deltas[i])))
+    for _ in range(op03_quality.ROUNDS):
+        of = [[math.exp(weight(i)) * s * math.exp(-x) for s, x in zip(share, (0, *deltas[i]))] for i in real]
+        share = [sum(x) / len(of) for x in zip(*of)]
+    for i in real:
+        assert got[i].n_grams == sum(sum(f.values()) for f in grams[i])
+        assert got[i].log_weight == pytest.approx(weight(i), rel=1e-4, abs=1e-4)
+    assert {i for i in got if not got[i].n_grams} == {300, 301}
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 5000])
 def test_gumbel_cut_is_exact(spark, k):
     r = random.Random(k)
