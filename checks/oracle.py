@@ -7,6 +7,8 @@ rewritten for RE2 where Java and RE2 differ: ``\\s`` (Java includes \\x0B) and `
 
 from __future__ import annotations
 
+from lectio.sources.dictionaries import REF_PROTOTYPES
+
 WS = r"[ \t\n\x0B\f\r]"
 DOT = r"[^\n\r\x{85}\x{2028}\x{2029}]"
 JWS_CLASS = r"\t\n\x0B\f\r\x1C-\x1F \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
@@ -723,6 +725,18 @@ ORACLE.update(corpus_oracles())
 ORACLE.update(querylog_oracles())
 ORACLE.update(vector_oracles())
 ORACLE["conversation_search"] = conversation_search_sql()
+_PHRASES = ", ".join(f"({i}, {q(c)}, {q(x)})" for i, (c, x) in enumerate((c, x) for c, xs in REF_PROTOTYPES.items() for x in xs))
+ORACLE["phrase_prototypes"] = f"""WITH turns AS (SELECT conv_id * 4294967296 + turn AS qid, text FROM conversations),
+phrases AS (SELECT * FROM (VALUES {_PHRASES}) t(id, class, phrase)),
+{_hash_dense('turns', 'qid', 'text', 'tv')},
+{_hash_dense('phrases', 'id', 'phrase', 'pv')},
+sims AS (SELECT t.vec_id AS qid, p.class, avg({cos('t.embedding', 'v.embedding')}) AS s
+  FROM tv t, pv v JOIN phrases p ON p.id = v.vec_id GROUP BY ALL),
+wide AS (SELECT qid, max(s) FILTER (class = 'KEYWORD') AS kw, max(s) FILTER (class = 'SEMANTIC') AS sem,
+  max(s) FILTER (class = 'CONTEXT') AS ctx, max(s) FILTER (class = 'NO_CONTEXT') AS noctx FROM sims GROUP BY qid)
+SELECT t.qid, round(coalesce(kw, 0), 6) AS kw_sim, round(coalesce(sem, 0), 6) AS sem_sim, round(coalesce(ctx, 0), 6) AS ctx_sim,
+  round(coalesce(noctx, 0), 6) AS noctx_sim, coalesce(noctx > ctx AND noctx - ctx > 0.08, false) AS skip_scope
+FROM turns t LEFT JOIN wide USING (qid)"""
 ORACLE["text_key_map"] = f"""WITH {VERSES},
 {P1_TEXTS},
 loaded AS (

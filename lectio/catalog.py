@@ -517,5 +517,15 @@ def conversation_search(spark, sf_dir):
     return S.routed_search(fixtures.conversation_inputs(spark, sf_dir))
 
 
-QUERIES.update({"query_log_stream": query_log_stream, "search_stream": search_stream,
+def phrase_prototypes(spark, sf_dir):
+    """V3 and C4's gate with the reference's own phrases as prototypes: every turn of ``conversations``
+    against the mean of each class, phrases and turns in one embedder's space."""
+    turns = T.table(spark, sf_dir, "conversations").select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("qid"), "text")
+    q = EMBED.with_hash_vector(turns, "text", "qvec").drop("text")
+    sims = {"kw_sim": "KEYWORD", "sem_sim": "SEMANTIC", "ctx_sim": "CONTEXT", "noctx_sim": "NO_CONTEXT"}
+    near = C.with_class_similarity(q, C.prototype_centroids(fixtures.phrase_prototypes(spark)), sims)
+    return near.select("qid", *(F.round(c, 6).alias(c) for c in sims), C.scope_skipped().alias("skip_scope"))
+
+
+QUERIES.update({"query_log_stream": query_log_stream, "phrase_prototypes": phrase_prototypes, "search_stream": search_stream,
                 "conversation_search": conversation_search})

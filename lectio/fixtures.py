@@ -21,7 +21,7 @@ from .sources import tables
 from .sources.embed import embed_distinct, hash_embed, with_hash_vector
 from .sources.grams import GramIndex, read_gram_index, write_gram_index
 from .sources.vectors import read_index, write_index
-from .sources.dictionaries import synthetic_dictionaries
+from .sources.dictionaries import reference_prototypes, synthetic_dictionaries
 
 _BUILT: dict[tuple[str, str, str], str] = {}
 
@@ -93,6 +93,11 @@ def conversation_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     return dataclasses.replace(base, index=hashed_index(spark, sf_dir), queries=conv.join(qvec, "qid", "left"), embed=with_hash_vector)
 
 
+def phrase_prototypes(spark: SparkSession, embed=with_hash_vector) -> DataFrame:
+    """V3's prototype vectors from the reference's phrases, by the embedder that embeds the queries."""
+    return embed(reference_prototypes(spark), "phrase", "embedding").drop("phrase")
+
+
 def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     return SearchInputs(
         verses=passages(spark, sf_dir),

@@ -24,6 +24,45 @@ from pyspark.sql import functions as F
 # They must equal the reference service's tables for equal results.
 # ---------------------------------------------------------------------------
 
+# Phrases that stand for the classes of a query: intent (KEYWORD, SEMANTIC) and scope (CONTEXT, NO_CONTEXT).
+REF_PROTOTYPES = {
+    "KEYWORD": [
+        "가사라는 지명이 나오는 구절", "모세가 등장하는 구절을 찾아줘", "다윗이라는 이름이 나오는 성경 구절",
+        "아브라함이 언급된 부분", "예루살렘이 나오는 곳", "바울이라는 단어가 포함된 구절", "베드로가 나오는 성경",
+        "시온이라는 지명", "갈릴리가 언급되는 구절", "여리고가 등장하는",
+        "verses containing the word shepherd", "find verses that mention Moses", "passages where David appears",
+        "verses with the name Abraham", "scriptures mentioning Jerusalem", "verses that contain the word love",
+        "find where Paul is mentioned", "passages with the word faith", "verses including the term righteousness",
+        "scriptures containing Galilee",
+    ],
+    "SEMANTIC": [
+        "사랑에 대한 말씀", "용서에 관한 구절", "믿음의 의미를 알려주는 성경", "힘든 시간에 위로가 되는 말씀",
+        "하나님의 사랑을 느낄 수 있는 구절", "소망과 희망에 대해", "감사에 관련된 성경 구절", "평안을 주는 말씀",
+        "지혜로운 삶에 대한 가르침", "겸손함에 대해 말하는 구절",
+        "verses about God's love", "what does the Bible say about forgiveness", "comfort in times of suffering",
+        "passages about faith and trust", "scriptures on hope and encouragement", "teachings about wisdom",
+        "verses related to peace and rest", "passages concerning eternal life", "what the Bible teaches about humility",
+        "scriptures about gratitude and thanksgiving",
+    ],
+    "CONTEXT": [
+        "신약에서 나오는 구절", "구약에서 언급된 말씀", "신약성경에서 사랑에 대한", "구약성서에서 예언된",
+        "verses from the new testament", "passages in the old testament", "in the NT about love", "OT prophecies about",
+        "사복음서에서 사랑이 나온 구절", "복음서에서 예수님의 말씀", "모세오경에서 율법에 대한", "바울서신에서 믿음에 관한",
+        "시가서에서 찬양에 대해", "대선지서에서 예언", "소선지서에서 심판", "선지서에서 구원에 대한", "예언서에서 메시아",
+        "in the four gospels about", "from the pentateuch about", "pauline epistles on faith", "wisdom books about",
+        "로마서에서 복음의 정의", "창세기에서 창조에 대한", "요한복음에서 영생에 관한", "시편에서 위로의 말씀",
+        "잠언에서 지혜에 대해", "이사야에서 메시아 예언",
+        "in Romans about justification", "in Genesis about creation", "from John about eternal life", "in Psalms about comfort",
+        "이사야, 예레미야에서 구원이 언급된", "마태복음과 요한복음에서 기적", "고린도전서와 후서에서 교회에 대해",
+        "에베소서, 빌립보서에서 기쁨",
+    ],
+    "NO_CONTEXT": [
+        "사랑에 대한 말씀", "용서에 관한 구절", "하나님의 은혜", "믿음의 의미", "소망에 대해", "평안을 주는 말씀",
+        "위로의 구절", "verses about love", "what does the Bible say about forgiveness", "comfort in suffering",
+        "faith and trust", "모세가 나오는 구절", "다윗이 언급된", "예루살렘이 나오는",
+    ],
+}
+
 REF_VERSION_ALIASES = {
     "KRV": ["KRV", "개역개정", "개역한글", "krv"],
     "ASV": ["ASV", "asv", "American Standard Version"],
@@ -38,43 +77,35 @@ REF_STOP_WORDS = [
     "구절", "말씀", "성경", "찾아", "줘", "주세요",
 ]
 
-_KR_GOSPELS = ["마", "막", "눅", "요"]
-_KR_LAW = ["창", "출", "레", "민", "신"]
-_KR_WISDOM = ["욥", "시", "잠", "전", "아"]
-_KR_MAJOR = ["사", "렘", "애", "겔", "단"]
-_KR_MINOR = ["호", "욜", "암", "옵", "욘", "미", "나", "합", "습", "학", "슥", "말"]
-_KR_GENERAL = ["히", "약", "벧전", "벧후", "요일", "요이", "요삼", "유"]
 REF_BOOK_GROUPS_KR = {
-    "사복음서": _KR_GOSPELS,
-    "복음서": _KR_GOSPELS,
-    "모세오경": _KR_LAW,
-    "율법서": _KR_LAW,
+    "사복음서": ["마", "막", "눅", "요"],
+    "복음서": ["마", "막", "눅", "요"],
+    "모세오경": ["창", "출", "레", "민", "신"],
+    "율법서": ["창", "출", "레", "민", "신"],
     "역사서": ["수", "삿", "룻", "삼상", "삼하", "왕상", "왕하", "대상", "대하", "스", "느", "에"],
-    "시가서": _KR_WISDOM,
-    "지혜서": _KR_WISDOM,
-    "대선지서": _KR_MAJOR,
-    "소선지서": _KR_MINOR,
-    "선지서": _KR_MAJOR + _KR_MINOR,
-    "예언서": _KR_MAJOR + _KR_MINOR,
+    "시가서": ["욥", "시", "잠", "전", "아"],
+    "지혜서": ["욥", "시", "잠", "전", "아"],
+    "대선지서": ["사", "렘", "애", "겔", "단"],
+    "소선지서": ["호", "욜", "암", "옵", "욘", "미", "나", "합", "습", "학", "슥", "말"],
+    "선지서": ["사", "렘", "애", "겔", "단", "호", "욜", "암", "옵", "욘", "미", "나", "합", "습", "학", "슥", "말"],
+    "예언서": ["사", "렘", "애", "겔", "단", "호", "욜", "암", "옵", "욘", "미", "나", "합", "습", "학", "슥", "말"],
     "바울서신": ["롬", "고전", "고후", "갈", "엡", "빌", "골", "살전", "살후", "딤전", "딤후", "딛", "몬"],
-    "일반서신": _KR_GENERAL,
-    "공동서신": _KR_GENERAL,
+    "일반서신": ["히", "약", "벧전", "벧후", "요일", "요이", "요삼", "유"],
+    "공동서신": ["히", "약", "벧전", "벧후", "요일", "요이", "요삼", "유"],
 }
 
-_EN_GOSPELS = ["Matt", "Mark", "Luke", "John"]
-_EN_LAW = ["Gen", "Ex", "Lev", "Num", "Deut"]
-_EN_PROPHETS = ["Isa", "Jer", "Lam", "Ezek", "Dan", "Hos", "Joel", "Amos", "Obad", "Jonah", "Mic", "Nah",
-                "Hab", "Zeph", "Hag", "Zech", "Mal"]
 REF_BOOK_GROUPS_EN = {
-    "four gospels": _EN_GOSPELS,
-    "gospels": _EN_GOSPELS,
-    "pentateuch": _EN_LAW,
-    "torah": _EN_LAW,
+    "four gospels": ["Matt", "Mark", "Luke", "John"],
+    "gospels": ["Matt", "Mark", "Luke", "John"],
+    "pentateuch": ["Gen", "Ex", "Lev", "Num", "Deut"],
+    "torah": ["Gen", "Ex", "Lev", "Num", "Deut"],
     "wisdom books": ["Job", "Ps", "Prov", "Eccl", "Song"],
     "major prophets": ["Isa", "Jer", "Lam", "Ezek", "Dan"],
     "minor prophets": ["Hos", "Joel", "Amos", "Obad", "Jonah", "Mic", "Nah", "Hab", "Zeph", "Hag", "Zech", "Mal"],
-    "prophets": _EN_PROPHETS,
-    "prophetic books": _EN_PROPHETS,
+    "prophets": ["Isa", "Jer", "Lam", "Ezek", "Dan", "Hos", "Joel", "Amos", "Obad", "Jonah", "Mic", "Nah", "Hab",
+                 "Zeph", "Hag", "Zech", "Mal"],
+    "prophetic books": ["Isa", "Jer", "Lam", "Ezek", "Dan", "Hos", "Joel", "Amos", "Obad", "Jonah", "Mic", "Nah",
+                        "Hab", "Zeph", "Hag", "Zech", "Mal"],
     "pauline epistles": ["Rom", "1Cor", "2Cor", "Gal", "Eph", "Phil", "Col", "1Thess", "2Thess", "1Tim", "2Tim",
                          "Titus", "Philem"],
     "general epistles": ["Heb", "Jas", "1Pet", "2Pet", "1John", "2John", "3John", "Jude"],
@@ -196,3 +227,10 @@ def reference_dictionaries(spark: SparkSession) -> Dictionaries:
 def synthetic_dictionaries(spark: SparkSession) -> Dictionaries:
     return _build(spark, SYN_VERSION_ALIASES, {"en": SYN_BOOK_GROUPS}, {"en": SYN_BOOK_NAMES},
                   SYN_CROSSWALK, SYN_READER_BOOKS, REF_STOP_WORDS)
+
+
+def reference_prototypes(spark: SparkSession) -> DataFrame:
+    """``(set, class, vec_id, phrase)``: the phrases that an embedder turns into V3's prototypes."""
+    sets = {"KEYWORD": "intent", "SEMANTIC": "intent", "CONTEXT": "scope", "NO_CONTEXT": "scope"}
+    rows = [(sets[c], c, phrase) for c, phrases in REF_PROTOTYPES.items() for phrase in phrases]
+    return _values(spark, [(s, c, i, phrase) for i, (s, c, phrase) in enumerate(rows)], "set string, class string, vec_id long, phrase string")

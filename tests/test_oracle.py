@@ -39,4 +39,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(NAMES) - set(ORACLE)
-    assert rows_only <= {"vector_append", "index_bootstrap", "query_log_stream", "search_stream"}
+    assert rows_only <= {"query_log_stream"}
