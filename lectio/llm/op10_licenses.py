@@ -237,11 +237,143 @@ BODIES = [
     ("python-2", 5, 0.9, "between the python software foundation", "this license agreement is between the python software foundation"),
 ]
 
+# Sentences of further licenses' texts, exceptions and notices.
+TEXTS = [
+    ("mit-0", 6, 0.9, "deal in the software without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("mit", 4, 0.85, "deal in the software without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("x11", 6, 0.9, "except as contained in this notice", "except as contained in this notice the names? of (?:\\S+ ){1,24}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("hpnd", 5, 0.85, "copy modify and distribute this software and its documentation", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee|with or without fee|without fee) is hereby granted"),
+    ("hpnd", 4, 0.8, "used in advertising or publicity pertaining", "not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission"),
+    ("ntp", 6, 0.85, "makes no representations about the suitability this software", "makes no representations about the suitability this software for any purpose"),
+    ("0bsd", 6, 0.9, "permission to use copy modify and or distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("isc", 4, 0.8, "disclaims all warranties with regard", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("bsd", 3, 0.75, "this software is provided by", "this software is provided by (?:the )?(?:\\S+ ){1,24}as is and any express or implied warranties including but not limited to"),
+    ("bsd", 3, 0.75, "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-1", 2, 0.6, "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-2-patent", 6, 0.9, "royalty free irrevocable", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("bsd-3-clear", 6, 0.9, "no express or implied licenses to any party", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-views", 5, 0.8, "views and conclusions contained in the software", "the views and conclusions contained in the software and documentation are those of the authors"),
+    ("ncsa", 6, 0.9, "to deal with the software without restriction", "to deal with the software without restriction"),
+    ("zlib", 4, 0.85, "altered source versions must be", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", 6, 0.9, "png reference library", "(?:the )?png reference library(?: version \\d)? is supplied as is"),
+    ("libtiff", 6, 0.9, "copy modify distribute and sell this software", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("curl", 6, 0.85, "this permission notice appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ijg", 6, 0.9, "independent jpeg group", "this software is based in part on the work of the independent jpeg group"),
+    ("ftl", 6, 0.9, "freetype", "(?:portions of this software are copyright (?:\\S+ ){0,12}the freetype project|the freetype project license)"),
+    ("bzip2", 6, 0.85, "product documentation would be appreciated", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 3 altered"),
+    ("info-zip", 6, 0.9, "info zip license", "info zip license"),
+    ("imagemagick", 6, 0.9, "imagemagick license", "imagemagick license"),
+    ("openssl", 6, 0.9, "openssl project for use in the openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", 6, 0.9, "cryptographic software written by eric young", "this product includes cryptographic software written by eric young"),
+    ("json", 6, 0.95, "software shall be used for good", "the software shall be used for good not evil"),
+    ("beerware", 6, 0.95, "buy me a beer", "(?:if we meet some day and you think this stuff is worth it )?you can buy me a beer in return"),
+    ("beerware", 4, 0.8, "ware license", "(?:the )?beer ?ware license"),
+    ("unlicense", 5, 0.9, "anyone is free to copy modify", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", 5, 0.9, "you just do what the fuck", "you just do what the fuck you want to"),
+    ("public-domain", 4, 0.85, "hereby release", "(?:i|we|the authors?) hereby release this (?:code|software|work|file) (?:in|into|to) the public domain"),
+    ("public-domain", 4, 0.85, "disclaims copyright to this source", "the author disclaims copyright to this source code"),
+    ("public-domain", 3, 0.7, "work of the united states government", "is a work of the united states government"),
+    ("gfdl-1.3", 6, 0.95, "gnu free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3"),
+    ("gfdl-1.2", 6, 0.95, "gnu free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 2"),
+    ("gfdl", 4, 0.8, "free documentation license", "(?:gnu )?free documentation license"),
+    ("gpl", 5, 0.85, "received a copy of the gnu general public license", "you should have received a copy of the gnu general public license along with this (?:program|software|library|file|package)"),
+    ("lgpl", 5, 0.85, "received a copy of the gnu lesser general public license", "you should have received a copy of the gnu lesser general public license along with this (?:program|software|library|file|package)"),
+    ("agpl", 5, 0.85, "received a copy of the gnu affero general public license", "you should have received a copy of the gnu affero general public license along with this (?:program|software|library|file|package)"),
+    ("gpl", 3, 0.7, "fitness for a particular purpose see the gnu", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", 3, 0.75, "fitness for a particular purpose see the gnu", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("gpl-3", 4, 0.85, "propagate or modify a covered work", "you may not propagate or modify a covered work except as expressly provided under this license"),
+    ("gpl-3", 4, 0.85, "convey a covered work", "you may convey a covered work in object code form under the terms of sections 4 and 5"),
+    ("gpl-2", 4, 0.85, "cause any work that you distribute", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-2-only", 6, 0.9, "version 2 as published by the free software foundation", "gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-1", 6, 0.9, "either version 1 or", "gnu general public license as published by the free software foundation either version 1 or (?:at your option )?any later version"),
+    ("classpath-exception-2", 6, 0.95, "linking this library statically or dynamically", "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("classpath-exception-2", 5, 0.9, "classpath exception", "(?:with|subject to) the classpath exception"),
+    ("gcc-exception-3.1", 6, 0.95, "gcc runtime library exception", "gcc runtime library exception(?: version 3 1)?"),
+    ("bison-exception-2.2", 6, 0.95, "part or all of the bison parser skeleton", "you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", 6, 0.95, "configuration script generated by autoconf", "as part of a program that contains a configuration script generated by autoconf"),
+    ("font-exception-2", 6, 0.95, "embed this font or unaltered portions", "if you create a document which uses this font and embed this font or unaltered portions of this font into the document"),
+    ("linux-syscall-note", 6, 0.95, "user programs that use kernel services", "this copyright does not cover user programs that use kernel services by normal system calls"),
+    ("openssl-exception", 6, 0.9, "link the code of portions of this program with the openssl", "permission to link the code of portions of this program with the openssl library"),
+    ("llvm-exception", 6, 0.95, "llvm exceptions", "apache license v2 0 with llvm exceptions"),
+    ("apache-2", 4, 0.85, "distributed under the license is distributed on an as is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 4, 0.85, "licensed to the apache software foundation", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", 4, 0.8, "derivative works that you distribute all copyright", "you must retain in the source form of any derivative works that you distribute all copyright patent trademark and attribution notices"),
+    ("apache-1", 5, 0.85, "developed by the apache group", "this product includes software developed by the apache group for use in the apache http server project"),
+    ("mpl-2", 5, 0.9, "incompatible with secondary licenses", "incompatible with secondary licenses as defined by the mozilla public license v 2 0"),
+    ("mpl-2", 5, 0.9, "mozilla org mpl 2 0", "you can obtain one at (?:https? )?(?:www )?mozilla org mpl 2 0"),
+    ("mpl-1", 6, 0.9, "contents of this file are subject to the mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("npl-1.1", 6, 0.9, "netscape public license", "(?:the contents of this file are subject to the )?netscape public license(?: version)? 1 1"),
+    ("epl-2", 5, 0.9, "eclipse org legal epl 2 0", "(?:www )?eclipse org legal epl 2 0"),
+    ("epl-1", 5, 0.9, "eclipse org legal epl v10", "(?:www )?eclipse org legal epl v10(?: html)?"),
+    ("edl-1", 5, 0.9, "eclipse distribution license", "eclipse distribution license(?: v| version)? ?1 0"),
+    ("cddl-1", 5, 0.9, "contents of this file are subject to the terms of the common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ipl-1", 5, 0.9, "ibm public license", "ibm public license(?: version| v)? ?1 0"),
+    ("cpl-1", 5, 0.9, "under the terms of this common public license", "the accompanying program is provided under the terms of this common public license"),
+    ("apsl-2", 5, 0.9, "apple public source license", "apple public source license(?: version)? 2 0"),
+    ("qpl-1", 5, 0.9, "q public license", "q public license(?: version)? 1 0"),
+    ("sleepycat", 6, 0.9, "sleepycat", "(?:the )?sleepycat (?:software|license)"),
+    ("php-3.01", 5, 0.9, "php license", "subject to version 3 01 of the php license"),
+    ("php-3", 5, 0.9, "php license", "subject to version 3 0 of the php license"),
+    ("zpl-2.1", 5, 0.9, "zope public license", "zope public license zpl version 2 1"),
+    ("cnri-python", 6, 0.9, "corporation for national research initiatives", "this license agreement is between the corporation for national research initiatives"),
+    ("ruby", 5, 0.85, "same terms as ruby", "(?:distributed|licensed|redistribute it|released) under the same terms as ruby"),
+    ("perl", 5, 0.85, "same terms as perl", "under the same terms as perl(?: itself)?"),
+    ("artistic-1", 5, 0.85, "artistic control over the development", "the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("vim", 6, 0.9, "vim license", "vim license"),
+    ("lppl-1.3c", 5, 0.9, "latex project public license", "under the conditions of the latex project public license either version 1 3"),
+    ("lppl", 4, 0.8, "latex project public license", "latex project public license"),
+    ("cecill-2.1", 5, 0.9, "cecill", "cecill(?: free software license agreement)?(?: version)? 2 1"),
+    ("cecill-b", 5, 0.9, "cecill b", "cecill b(?: license)?"),
+    ("cecill-c", 5, 0.9, "cecill c", "cecill c(?: license)?"),
+    ("eupl-1.2", 5, 0.9, "eupl", "licensed under the eupl(?: version)?(?: v)? ?1 2"),
+    ("mulanpsl-2", 5, 0.9, "mulan psl", "mulan psl v2"),
+    ("ms-rl", 5, 0.9, "microsoft reciprocal license", "microsoft reciprocal license"),
+    ("upl-1", 5, 0.9, "universal permissive license", "universal permissive license(?: upl)?(?: version| v)? ?1 0"),
+    ("ecl-2", 5, 0.9, "educational community license", "educational community license(?: version)? 2 0"),
+    ("afl-3", 5, 0.9, "academic free license", "academic free license(?: version)? 3 0"),
+    ("rpl-1.5", 5, 0.9, "reciprocal public license", "reciprocal public license(?: version)? 1 5"),
+    ("nasa-1.3", 5, 0.9, "nasa open source agreement", "nasa open source agreement(?: version)? 1 3"),
+    ("w3c", 5, 0.9, "w3c software", "w3c software (?:and document )?(?:notice and )?license"),
+    ("unicode", 5, 0.9, "unicode data files", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("bitstream-vera", 5, 0.9, "bitstream vera", "bitstream vera is a trademark of bitstream inc"),
+    ("ofl-1.1", 4, 0.85, "reserved font name", "with reserved font names?"),
+    ("sspl-1", 5, 0.9, "server side public license", "server side public license(?: version| v)? ?1?"),
+    ("busl-1.1", 5, 0.9, "business source license", "business source license(?: version)? ?(?:1 1)?"),
+    ("elastic-2", 5, 0.9, "elastic license", "elastic license(?: version| v)? ?2(?: 0)?"),
+    ("commons-clause", 5, 0.9, "commons clause", "commons clause(?: license condition)?"),
+    ("confluent-1", 5, 0.9, "confluent community license", "confluent community license(?: agreement)?(?: version 1 0)?"),
+    ("polyform-nc-1", 5, 0.9, "polyform noncommercial license", "polyform noncommercial license(?: 1 0 0)?"),
+    ("polyform-sb-1", 5, 0.9, "polyform small business license", "polyform small business license(?: 1 0 0)?"),
+    ("hippocratic", 5, 0.9, "hippocratic license", "hippocratic license"),
+    ("openrail", 5, 0.9, "rail", "(?:bigscience |creativeml )?open ?rail(?: m| plus plus m)?(?: license)?"),
+    ("community-model", 5, 0.85, "community license agreement", "(?:llama \\d )?community license agreement"),
+    ("odbl", 5, 0.9, "open data commons open database", "open data commons open database license"),
+    ("odc-by", 5, 0.9, "open data commons attribution", "open data commons attribution license"),
+    ("pddl-1", 5, 0.9, "public domain dedication and license", "(?:open data commons )?public domain dedication and license"),
+    ("ogl-uk-3", 5, 0.9, "open government licence", "open government licence(?: v| version)? ?3(?: 0)?"),
+    ("etalab-2", 5, 0.9, "licence ouverte", "licence ouverte(?: v| version)? ?2 ?0?"),
+    ("dl-de-by-2", 5, 0.9, "datenlizenz deutschland", "datenlizenz deutschland namensnennung(?: version)? 2 0"),
+    ("cc0", 5, 0.9, "creativecommons org publicdomain zero", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by", 4, 0.85, "creativecommons org licenses by", "creativecommons org licenses by \\d \\d"),
+    ("cc-by-sa", 5, 0.9, "creativecommons org licenses by sa", "creativecommons org licenses by sa \\d \\d"),
+    ("cc-by-nd", 5, 0.9, "creativecommons org licenses by nd", "creativecommons org licenses by nd \\d \\d"),
+    ("cc-by-nc", 5, 0.9, "creativecommons org licenses by nc", "creativecommons org licenses by nc \\d \\d"),
+    ("cc-by-nc-sa", 5, 0.9, "creativecommons org licenses by nc sa", "creativecommons org licenses by nc sa \\d \\d"),
+    ("cc-by-nc-nd", 5, 0.9, "creativecommons org licenses by nc nd", "creativecommons org licenses by nc nd \\d \\d"),
+    ("cc-by-nc-nd", 5, 0.9, "creative commons attribution noncommercial no", "creative commons attribution noncommercial no ?deriv(?:ative)?s"),
+    ("cc-by-nc-sa", 5, 0.9, "creative commons attribution noncommercial share", "creative commons attribution noncommercial share ?alike"),
+    ("proprietary", 4, 0.85, "unauthorized copying of this", "unauthorized copying of this (?:file|software|program|document)(?: via any medium)? is strictly prohibited"),
+    ("proprietary", 4, 0.85, "proprietary and confidential", "(?:this software is )?proprietary and confidential"),
+    ("proprietary", 3, 0.75, "without the prior written permission", "no part of this (?:publication|book|work|document|software) may be reproduced (?:\\S+ ){0,30}without the prior written permission"),
+    ("proprietary", 3, 0.75, "may not be reproduced or", "may not be reproduced or (?:re)?distributed without (?:the )?(?:express |prior )?written (?:permission|consent)"),
+    ("proprietary", 3, 0.7, "licensed not sold", "(?:the|this) software is licensed not sold"),
+]
+
 
 def by_hand() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, certainty, keyword, pattern) of the signatures written by hand."""
     out = [(label, 6, 1.0, keyword, f"(?<={OPERAND}){x}(?= )") for label, keyword, x in SPDX_IDS]
-    return out + [(label, p, c, keyword, f"(?<= )(?:{x})(?= )") for label, p, c, keyword, x in UNVERSIONED + VERSIONED + BODIES]
+    return out + [(label, p, c, keyword, f"(?<= )(?:{x})(?= )") for label, p, c, keyword, x in UNVERSIONED + VERSIONED + BODIES + TEXTS]
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
@@ -257,6 +389,15 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     return out + by_hand()
 
 
+#: Pieces of many keywords: a text without one is not asked for the keywords that hold it.
+GATES = ["license", "permission", "copyright", "software", "warrant"]
+
+
+def gate(keyword: str, pattern: str) -> str:
+    """What a text must hold for a rule's keyword to be looked for."""
+    return SPDX_HEAD if OPERAND in pattern else next((g for g in GATES if g in keyword), keyword)
+
+
 #: All that is no word: ASCII but letters and digits.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The head of SPDX lines, which all texts with an SPDX id hold.
@@ -305,9 +446,9 @@ def scan_licenses(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
     held: dict[str, list] = {}
     for i, (a, p, c, k, x) in enumerate(rules()):
         rule = F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("certainty"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(i).alias("rule"), F.lit(OPERAND in x).alias("spdx"))
-        held.setdefault(SPDX_HEAD if OPERAND in x else k, []).append(rule)
-    # Each keyword is looked for once, whatever the number of its rules; those of the SPDX ids only
-    # in texts with an SPDX line.
+        held.setdefault(gate(k, x), []).append(rule)
+    # Each gate is looked for once, whatever the number of its rules; a rule's own keyword only in
+    # texts that hold its gate (an SPDX line, for the SPDX ids).
     table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in held.items()))
     hits = F.flatten(F.transform(
         F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["keyword"])), lambda r: F.filter(r["rules"], lambda x: F.contains(words, x["keyword"])))),

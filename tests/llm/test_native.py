@@ -69,6 +69,28 @@ def test_license_signatures_by_hand(spark, documents):
     assert {x: ",".join(rows[i]) for i, x in enumerate(want)} == want
 
 
+def test_license_texts_and_exceptions(spark, documents):
+    want = {
+        "The Software shall be used for Good, not Evil.": "json",
+        "Some day you can buy me a beer in return.": "beerware",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3": "gfdl-1.3",
+        "Linking this library statically or dynamically with other modules is making a combined work based on this library.": "classpath-exception-2",
+        "NOTE! This copyright does *not* cover user programs that use kernel services by normal system calls": "linux-syscall-note",
+        "see https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl-2",
+        "Apache License v2.0 with LLVM Exceptions": "llvm-exception",
+        "THIS SOFTWARE IS PROVIDED BY THE AUTHOR ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE": "bsd",
+        "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential": "proprietary",
+        "under the Open Government Licence v3.0": "ogl-uk-3",
+        "the CreativeML OpenRAIL-M license": "openrail",
+        "distributed under the same terms as Perl itself": "perl",
+        "Business Source License 1.1": "busl-1.1",
+        "A permission to walk in the park, with software and a copyright.": "",
+    }
+    rows = {r.doc_id: r.labels for r in op10_licenses.scan_licenses(documents(list(want))).collect()}
+    assert all(x in rows[i] if x else not rows[i] for i, x in enumerate(want.values())), rows
+
+
 def test_license_spans_as_by_all_pairs(spark, documents):
     texts = ["licensed under the gnu general public license version 2 or the gnu lesser general public license version 2 1 and the mit license " * n for n in (1, 3, 300)]
     texts += ["SPDX-License-Identifier: MIT " * 200, "apache apache license apache license version 2 0 cc by nc cc by cc by nc sa 4 0 " * 50]
@@ -106,6 +128,10 @@ def test_license_rules_hold_their_keywords(spark):
     # A keyword is a piece of each match: the words of a pattern's fixed part.
     for label, _, _, keyword, pattern in op10_licenses.by_hand():
         assert re.search(re.escape(keyword.strip()).replace("\\ ", ".{0,40}"), pattern), (label, keyword)
+        assert op10_licenses.gate(keyword, pattern) in (keyword, op10_licenses.SPDX_HEAD, *op10_licenses.GATES)
+    for label, _, _, keyword, pattern in op10_licenses.TEXTS:
+        assert keyword in re.sub(r"\(\?:[^()]*\)\?", "", pattern).replace(" ?", " ") or keyword in pattern, (label, keyword)
+    assert len(op10_licenses.by_hand()) > 250
 
 
 def test_secret_spans(spark, documents, tmp_path):
