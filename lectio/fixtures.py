@@ -1,8 +1,8 @@
 """Search inputs shaped from the supplied Parquet tables (FIXTURES.md).
 
 The passage table is built once per session and source folder, the way the index build
-of the service runs once: Spark derives it from ``documents`` (one shuffle, for the
-verse-number window), range-partitions it by ``ord`` and writes it as Parquet under the
+of the service runs once: Spark derives it from ``documents`` in one shuffle, by ranges of
+chapters and so of ``ord``, which serves the verse-number window too, and writes it as Parquet under the
 shared checkpoint folder. Searches then read it with column pruning and pushed filters
 instead of re-deriving it per query."""
 
@@ -28,9 +28,9 @@ _BUILT: dict[tuple[str, str, str], str] = {}
 
 def build_passages(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """Write the passage table (S1 output shape), range-partitioned and sorted by ``ord`` (see
-    ``operators.hydrate``), and return its path."""
+    ``operators.hydrate``), and return its path. The ranges are those of ``tables.verses``."""
     path = path or scratch_path(spark, "verses")
-    tables.verses(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").write.mode("overwrite").parquet(path)
+    tables.verses(spark, sf_dir).sortWithinPartitions("ord").write.mode("overwrite").option("compression", "zstd").parquet(path)
     return path
 
 

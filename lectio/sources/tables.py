@@ -22,12 +22,14 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: ord, version, book_short, book_name, testament, book_number, chapter, verse,
     title, text, reference, key. ``ord`` is arrival order. The verse-number window is
-    partitioned by (lang, source, chapter), so no window partition exceeds one chapter."""
+    partitioned by (lang, source, chapter), so no window partition exceeds one chapter. The texts
+    are shuffled once, by ranges of chapters; that holds each window together, and as chapters are
+    runs of ``ord``, it is the layout by ``ord`` as well."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     book_no = F.substring("source", 4, 1 << 30).cast("int")
     chap0 = F.floor(F.col("doc_id") / F.lit(float(CHAPTER_SIZE)))
     w = Window.partitionBy("lang", "source", "chap0").orderBy("doc_id")
-    v = (d.withColumn("chap0", chap0)
+    v = (d.withColumn("chap0", chap0).repartitionByRange("chap0")
          .withColumn("verse", F.row_number().over(w).cast("int"))
          .select(
              F.col("doc_id").alias("ord"),
