@@ -20,8 +20,8 @@ GRAM = 3                  # characters of the longest gram
 RUN = 4096                # passages of a list
 RUN_CHARS = 1 << 20       # characters that a task splits at once
 BUCKETS = 64              # folders of a table
-TEXTS_PER_FILE = 1 << 18
-BITS = 21                 # of a code point, plus one so that zero is none
+TEXTS_PER_TASK = 1 << 14
+BROADCAST_BYTES = 32 << 20  # bytes of looked-up keywords or grams that are broadcast
 
 POSTINGS = "gram string, ords array<long>, bucket int"
 COUNTS = "gram string, n long, bucket int"
@@ -42,53 +42,88 @@ def windows(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1))
 
 
-def _packed(codes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The up to ``GRAM`` characters from each place on as one number; ``last`` marks texts' ends."""
-    one = codes.astype(np.int64) + 1
-    out, going = one.copy(), ~last
-    for k in range(1, GRAM):
-        out <<= BITS
-        out[:-k][going[:-k]] |= one[k:][going[:-k]]
-        going[:-k] &= ~last[k:]
-    return out
+def _spelled(codes: np.ndarray, size: int) -> list[str]:
+    """Rows of ``size`` code points as strings."""
+    if not size or not len(codes):
+        return [""] * len(codes)
+    # All rows are decoded as one string and cut: no Python object for each character.
+    whole = np.ascontiguousarray(codes, "<u4").tobytes().decode("utf-32-le")
+    return [whole[i:i + size] for i in range(0, len(whole), size)]
 
 
-def _spelled(packed: np.ndarray) -> list[str]:
-    parts = [(packed >> (BITS * k)) & ((1 << BITS) - 1) for k in range(GRAM - 1, -1, -1)]
-    return ["".join(chr(c - 1) for c in row if c) for row in zip(*(p.tolist() for p in parts))]
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.r_[True, sorted_[1:] != sorted_[:-1]]] if len(sorted_) else sorted_
 
 
 def _lists(ords: list[int], texts: list[str]):
-    """(gram, ords) of a run of texts as an Arrow batch."""
+    """(gram, ords) of a run of texts as an Arrow batch, or None if the run has to be halved. A gram
+    and its text's place make one number, with the run's characters numbered densely, so distinct
+    pairs are a plain sort."""
     import pyarrow as pa
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     ids = np.asarray(ords, np.int64)
     ends = np.cumsum(sizes)
-    met = []      # (window, text) pairs, distinct within a piece
-    for at in range(0, int(ends[-1]) if len(ends) else 0, RUN_CHARS):
-        # A piece of the joined texts, and the characters after it that its last windows reach.
-        lo, hi = at, min(at + RUN_CHARS, int(ends[-1]))
+    total = int(ends[-1]) if len(ends) else 0
+    pieces = [(lo, min(lo + RUN_CHARS, total)) for lo in range(0, total, RUN_CHARS)]
+
+    def codes_of(lo: int, hi: int) -> np.ndarray:
+        """Code points of a piece of the joined texts, and of what its last windows reach."""
         first, final = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(ends, hi - 1, side="right"))
         begin = int(ends[first] - sizes[first])
+        # A last window may reach into texts after the piece's last one; it ends at its own text's end.
         joined = "".join(texts[first:final + 1])[lo - begin:hi - begin + GRAM - 1]
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        place = lo + np.arange(len(codes))
-        text = np.searchsorted(ends, place, side="right")
-        last = place + 1 == ends[text]
-        windows = _packed(codes, last)[:hi - lo]
-        known, number = np.unique(windows, return_inverse=True)
-        pairs = np.unique(number * len(texts) + text[:hi - lo])
-        met.append((known[pairs // len(texts)], pairs % len(texts)))
-    window = np.concatenate([m[0] for m in met]) if met else np.zeros(0, np.int64)
-    text = np.concatenate([m[1] for m in met]) if met else np.zeros(0, np.int64)
-    # Shorter grams are the beginnings of the windows; the empty one (0) is in every text.
-    cuts = [np.zeros(len(texts), np.int64)] + [window >> (BITS * k) << (BITS * k) for k in range(GRAM)]
-    known, number = np.unique(np.concatenate(cuts), return_inverse=True)
-    pairs = np.unique(number * len(texts) + np.concatenate([np.arange(len(texts)), *[text] * GRAM]))
-    gram = pairs // len(texts)
-    offsets = np.searchsorted(gram, np.arange(len(known) + 1)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[pairs % len(texts)]))
-    return pa.record_batch([pa.array(_spelled(known), pa.string()), lists], ["gram", "ords"])
+        return np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+
+    used = np.zeros(0x110000, bool)
+    for lo, hi in pieces:
+        used[codes_of(lo, hi)] = True
+    alphabet = np.flatnonzero(used).astype(np.uint32)
+    dense = np.zeros(0x110000, np.int64)
+    dense[alphabet] = np.arange(1, len(alphabet) + 1)      # zero is no character
+    bits, room = len(alphabet).bit_length(), max(0, len(texts) - 1).bit_length()
+    if GRAM * bits + room > 63:                             # too many characters; one text always fits
+        return None
+    met = []        # sorted numbers (window, text), distinct within a piece
+    for lo, hi in pieces:
+        codes = dense[codes_of(lo, hi)]
+        text = np.searchsorted(ends, np.arange(lo, lo + len(codes)), side="right")
+        window = codes << (bits * (GRAM - 1))
+        for k in range(1, GRAM):
+            together = text[k:] == text[:-k]
+            window[:-k] |= np.where(together, codes[k:] << (bits * (GRAM - 1 - k)), 0)
+        met.append(_distinct(np.sort(((window << room) | text)[:hi - lo])))
+    pairs = _distinct(np.sort(np.concatenate(met))) if len(met) > 1 else (met[0] if met else np.zeros(0, np.int64))
+    mask, digit = (1 << room) - 1, (1 << bits) - 1
+    grams, offsets, places = [""] if len(texts) else [], [0, len(texts)] if len(texts) else [0], [np.arange(len(texts))]
+    held = len(texts)
+    ends_at = [np.asarray(offsets, np.int64)]
+    # Shorter grams are the beginnings of the windows; the empty one is in every text.
+    for size in range(GRAM, 0, -1):
+        low = room + bits * (GRAM - size)
+        if size < GRAM:
+            pairs = _distinct(np.sort((pairs >> low << low) | (pairs & mask)))
+        own = pairs[(pairs >> low) & digit != 0]            # windows cut at a text's end are shorter
+        gram = own >> room
+        starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(own) else np.zeros(0, np.int64)
+        heads = own[starts]
+        shown = np.stack([alphabet[((heads >> (room + bits * (GRAM - 1 - k))) & digit) - 1] for k in range(size)], axis=1) if len(heads) else np.zeros((0, size), np.uint32)
+        grams += _spelled(shown, size)
+        places.append(own & mask)
+        held += len(own)
+        ends_at.append(np.r_[starts[1:], len(own)][:len(starts)] + (held - len(own)))
+    offsets = np.concatenate(ends_at).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[np.concatenate(places)]))
+    return pa.record_batch([pa.array(grams, pa.string()), lists], ["gram", "ords"])
+
+
+def _fitting(ords: list[int], texts: list[str]):
+    made = _lists(ords, texts)
+    if made is not None:
+        yield made
+        return
+    half = len(texts) // 2
+    yield from _fitting(ords[:half], texts[:half])
+    yield from _fitting(ords[half:], texts[half:])
 
 
 def _split(batches):
@@ -100,20 +135,19 @@ def _split(batches):
             while end < len(texts) and end - at < RUN and (end == at or chars + len(texts[end]) <= RUN_CHARS):
                 chars += len(texts[end])
                 end += 1
-            yield _lists(ords[at:end], texts[at:end])
+            yield from _fitting(ords[at:end], texts[at:end])
             at = end
 
 
 def write_gram_index(passages: DataFrame, path: str | None = None, id_col: str = "ord", text_col: str = "text") -> GramIndex:
-    """Builds and writes the index: one pass over the texts, one shuffle of the lists."""
+    """Builds and writes the index: one pass over the texts; a task writes its own lists, unshuffled."""
     spark = passages.sparkSession
     path = path or scratch_path(spark, "grams")
     texts = passages.select(F.col(id_col).cast("long").alias("ord"), F.col(text_col).alias("text")).filter("text is not null and ord is not null")
-    lists = texts.mapInArrow(_split, "gram string, ords array<long>").withColumn("bucket", bucket())
-    # A bucket's lists are dealt to more files as the corpus grows.
-    spread = F.pmod(F.xxhash64(F.get("ords", F.lit(0))), F.lit(max(1, texts.count() // TEXTS_PER_FILE)))
-    (lists.repartition("bucket", spread).sortWithinPartitions("bucket", "gram")
-     .write.partitionBy("bucket").parquet(f"{path}/postings"))
+    # Small partitions are put together, so files follow the texts.
+    tasks = max(spark.sparkContext.defaultParallelism, texts.count() // TEXTS_PER_TASK + 1)
+    lists = texts.coalesce(tasks).mapInArrow(_split, "gram string, ords array<long>").withColumn("bucket", bucket())
+    lists.sortWithinPartitions("bucket", "gram").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     (_read(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "gram").agg(F.sum(F.size("ords")).cast("long").alias("n"))
      .repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts"))
     return read_gram_index(spark, path)
@@ -142,5 +176,16 @@ def candidates(index: GramIndex, keywords: DataFrame) -> DataFrame:
     known = kw.join(index.counts.filter(folders).select("gram", "n"), "gram", "left")
     rarest = known.groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
     rarest = rarest.filter("r.n > 0").select("keyword", F.col("r.gram").alias("gram"))
-    found = rarest.join(index.postings.filter(folders).select("gram", "ords"), "gram")
+    path = scratch_path(kw.sparkSession, "keyword-rarest")
+    rarest.write.parquet(path)
+    rarest = kw.sparkSession.read.schema("keyword string, gram string").parquet(path)
+    lists = index.postings.filter(folders).select("gram", "ords")
+    # Lists meet the keywords where they are read; of keywords beyond that size, only the lists of
+    # wanted grams are shuffled.
+    size = lambda rows, c: rows.agg(F.coalesce(F.sum(F.octet_length(c) + 64), F.lit(0))).first()[0]
+    if size(rarest, "keyword") <= BROADCAST_BYTES:
+        rarest = F.broadcast(rarest)
+    elif size(grams := rarest.select("gram").distinct(), "gram") <= BROADCAST_BYTES:
+        lists = lists.join(F.broadcast(grams), "gram", "left_semi")
+    found = lists.join(rarest, "gram")
     return found.select("keyword", F.explode("ords").alias("ord"), (F.char_length("keyword") <= GRAM).alias("exact"))
