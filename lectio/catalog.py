@@ -201,13 +201,13 @@ def keyword_topk(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
     kw = ctx.select("qid", F.col("search_keyword").alias("keyword"))
     # queries with one keyword share its first hits: the cut comes before the join
-    hits = top_per_group(keyword_join(inp.verses, kw, index=inp.grams), "keyword", [F.col("ord").asc()], 5)
+    hits = top_per_group(keyword_join(inp.verses, kw, index=inp.gram_index()), "keyword", [F.col("ord").asc()], 5)
     return hits.join(kw, "keyword").select("qid", "rank", "ord")
 
 
 def keyword_join_q(spark, sf_dir):
     inp, ctx = _ctx(spark, sf_dir)
-    return keyword_join(inp.verses, ctx.select(F.col("search_keyword").alias("keyword")), index=inp.grams)
+    return keyword_join(inp.verses, ctx.select(F.col("search_keyword").alias("keyword")), index=inp.gram_index())
 
 
 def version_alias_filter(spark, sf_dir):

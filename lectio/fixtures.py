@@ -107,5 +107,5 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
         dicts=synthetic_dictionaries(spark),
         thresholds=Thresholds.fixture(),
         index=vector_index(spark, sf_dir),
-        grams=gram_index(spark, sf_dir),
+        grams=lambda: gram_index(spark, sf_dir),   # built by the first search for keywords
     )

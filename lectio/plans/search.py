@@ -52,11 +52,15 @@ class SearchInputs:
     score_mode: str = "cosine"   # or "relevance": (1 + cos) / 2
     scope_match: str = "reference"  # or "phrase": whole English scope phrase, word-bounded OT/NT
     index: DataFrame | None = None  # the vectors packed by ``sources.vectors.write_index``
-    grams: GramIndex | None = None  # the passages' gram index; without it a search builds one
+    # the passages' gram index, or what gives it to the searches that need one; without it a search builds one
+    grams: GramIndex | Callable[[], GramIndex] | None = None
     # adds the vector of a text column: (frame, text column, new column) -> frame. With it the
     # cleaned query has a vector of its own; without it the query's vector stands in.
     embed: Callable[[DataFrame, str, str], DataFrame] | None = None
 
+    def gram_index(self) -> GramIndex | None:
+        return self.grams() if callable(self.grams) else self.grams
+
 
 def query_context(inp: SearchInputs, centroids: dict | None = None) -> DataFrame:
     """Valid queries with scope, intent and request defaults resolved (one row per qid).
@@ -170,7 +174,7 @@ def keyword_hits(inp: SearchInputs, ctx: DataFrame, k_col: str = "k") -> DataFra
            .withColumn("sig_id", F.struct(*SIGNATURE)))
     kmax = max(int(sig.agg(F.max("sig_k").alias("kmax")).first()["kmax"] or 0), 1)
     narrow = ["ord", "version", "book_short", "testament"]
-    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow, index=inp.grams)
+    pairs = keyword_join(inp.verses, sig.select(F.col("search_keyword").alias("keyword")), carry=narrow, index=inp.gram_index())
     # a keyword may match a third of the corpus: Spark broadcasts the signatures while
     # they are small in bytes; beyond that AQE splits the skewed join
     hits = pairs.join(sig, F.col("keyword") == F.col("search_keyword")).drop("keyword")
