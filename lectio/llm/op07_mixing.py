@@ -72,15 +72,20 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(source, shard, quota) from (source, blocks): at every level each node's blocks are put in
     a random order and cut in the middle, so the children's quotas by source are drawn from the
     multivariate hypergeometric distribution. Rows are blocks: a bounded number for a source."""
-    units = quotas.select("source", F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("unit")).withColumn("node", F.lit(0))
-    quota = units
-    for level in range(levels):
+    units = quotas.select("source", F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("unit"))
+    quota = units.withColumn("node", F.lit(0)).withColumn("seed", F.lit(SEED))
+    for _ in range(levels):
+        # A level is one small job. The seed is a column, so every level has the same plan, whose
+        # compiled code the driver and the executors hold once.
+        quota = written(quota, "mix-split")
         within = Window.partitionBy("node")
-        rank = F.row_number().over(within.orderBy(F.xxhash64(F.lit(SEED + level), "source", "unit"), "source", "unit"))
+        rank = F.row_number().over(within.orderBy(F.xxhash64("seed", "source", "unit"), "source", "unit"))
         held = F.count("*").over(within)
         # The odd block of a node goes left or right by the node's hash.
-        half = F.floor((held + F.pmod(F.xxhash64(F.lit(SEED + level), "node"), F.lit(2))) / 2)
-        quota = quota.withColumn("right", (rank > half).cast("int")).withColumn("node", F.col("node") * 2 + F.col("right")).drop("right")
+        half = F.floor((held + F.pmod(F.xxhash64("seed", "node"), F.lit(2))) / 2)
+        quota = quota.withColumn("right", (rank > half).cast("int"))
+        quota = quota.select("source", "unit", (F.col("node") * 2 + F.col("right")).alias("node"), (F.col("seed") + 1).alias("seed"))
+    quota = written(quota, "mix-split")
     return quota.groupBy("source", F.col("node").alias("shard")).agg(F.count("*").alias("quota"))
 
 
